@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from quadlens.llm import line_dedup, quality_rules
+import public_tokenizers
+
+from quadlens.llm import line_dedup, packing, piece_codec, quality_rules, token_counts
 from quadlens.llm.common import table
 
+#: Places of the public vocabularies; parameters of the operators.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_sentencepiece(spark, sf_dir):
+    return piece_codec.round_trip_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op6_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, 1024)
+
 
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 1024)
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op8_quality_rules, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_sentencepiece, op6_token_counts, op8_quality_rules, op9_packing, op10_line_dedup)}
 
 
 def oracle_sql():
