@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quadlens.llm import line_dedup, packing, piece_codec, quality_rules, token_counts
+from quadlens.llm import html_crf, knn_voronoi, lang_hd, line_dedup, packing, piece_codec, quality_rules, token_counts
 from quadlens.llm.common import table
 
 #: Places of the public vocabularies; parameters of the operators.
@@ -12,14 +12,26 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark, sf_dir):
     return piece_codec.round_trip_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op5_language_id(spark, sf_dir):
+    return lang_hd.language_report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, 1024)
 
 
+def op7_exact_top_k(spark, sf_dir):
+    return knn_voronoi.top_k(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -33,8 +45,8 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_sentencepiece, op6_token_counts, op8_quality_rules, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op5_language_id, op6_token_counts, op7_exact_top_k, op8_quality_rules, op9_packing, op10_line_dedup)}
 
 
 def oracle_sql():
-    return {"op8_quality_rules": quality_rules.oracle(), "op10_line_dedup": line_dedup.ORACLE}
+    return {"op7_exact_top_k": knn_voronoi.ORACLE, "op8_quality_rules": quality_rules.oracle(), "op10_line_dedup": line_dedup.ORACLE}
