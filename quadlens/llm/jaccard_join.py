@@ -65,7 +65,7 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         sets = [shingle_hashes(t, n) for t in texts]
         sizes = np.array([len(s) for s in sets], np.int64)
         prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
-        rows = K.key_rows(ids, np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes), None, buckets, blocks)
+        rows = K.key_rows(ids, np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes), buckets, blocks)
         for p, i in K.by_part(K.block_of(ids, blocks), blocks):
             rows.append((p % buckets, p, K.PAYLOAD, K.packed(ids[i], sizes[i], prints[0::2][i], prints[1::2][i])))
         return rows
@@ -76,7 +76,7 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if kind == K.PAYLOAD:
                 told.append(K.unpacked(blob))
             else:
-                found.append(K.entries(blob)[:2])
+                found.append(K.entries(blob))
         ids, sizes, fp1, fp2 = (np.concatenate(x) for x in zip(*told)) if told else [np.zeros(0, np.int64)] * 4
         doc = np.concatenate([d for d, _ in found]) if found else np.zeros(0, np.int64)
         key = np.concatenate([k for _, k in found]) if found else np.zeros(0, np.uint64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quadlens.llm import html_crf, jaccard_join, knn_voronoi, lang_hd, line_dedup, packing, piece_codec, quality_rules, token_counts
+from quadlens.llm import html_crf, jaccard_join, knn_voronoi, lang_hd, line_dedup, packing, piece_codec, quality_rules, suffix_dedup, token_counts
 from quadlens.llm.common import table
 
 #: Places of the public vocabularies; parameters of the operators.
@@ -20,6 +20,10 @@ def op2_sentencepiece(spark, sf_dir):
     return piece_codec.round_trip_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
 
@@ -49,7 +53,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op4_jaccard_join, op5_language_id, op6_token_counts, op7_exact_top_k, op8_quality_rules, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_suffix_dedup, op4_jaccard_join, op5_language_id, op6_token_counts, op7_exact_top_k, op8_quality_rules, op9_packing, op10_line_dedup)}
 
 
 def oracle_sql():

@@ -41,7 +41,12 @@ def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob."""
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.kind), a.dtype.itemsize, len(a)))], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    return zstandard.compress(head.tobytes() + b"".join(_planes(a).tobytes() for a in arrays), 1)
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    """64-bit numbers byte by byte, so that unused high bytes compress away."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T if a.dtype.itemsize == 8 else a
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -49,7 +54,9 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8), 8 + 24 * n, []
     for kind, size, length in head.reshape(-1, 3).tolist():
-        out.append(np.frombuffer(raw, f"<{chr(kind)}{size}", length, at))
+        a = np.frombuffer(raw, np.uint8, size * length, at)
+        a = np.ascontiguousarray(a.reshape(8, -1).T).reshape(-1) if size == 8 else a
+        out.append(a.view(f"<{chr(kind)}{size}"))
         at += size * length
     return out
 
@@ -94,8 +101,8 @@ def text_groups(batches, most: int = GROUP_BYTES) -> Iterator[tuple[np.ndarray,
         yield np.array(docs, np.int64), texts
 
 
-def key_rows(docs: np.ndarray, key: np.ndarray, at: np.ndarray, pos: np.ndarray | None, buckets: int, blocks: int, key_bytes: int = 8) -> list[tuple]:
-    """Rows for the entries of one group: entry i is key[i] of document docs[at[i]], at place pos[i]; at ascends."""
+def key_rows(docs: np.ndarray, key: np.ndarray, at: np.ndarray, buckets: int, blocks: int, with_docs: bool = True) -> list[tuple]:
+    """Rows for the entries of one group: entry i is key[i] of document docs[at[i]]; at ascends."""
     rows, block = [], block_of(docs, blocks)
     order = np.argsort(key, kind="stable")
     k, d = key[order], docs[at[order]]
@@ -107,68 +114,68 @@ def key_rows(docs: np.ndarray, key: np.ndarray, at: np.ndarray, pos: np.ndarray
         told = k[first[several]]
         bucket = (told % np.uint64(buckets)).astype(np.int64)
         for p, i in by_part(bucket, buckets):
-            rows.append((p, -1, KEYS, packed(np.zeros(0, np.int64), np.zeros(0, np.uint32), told[i], np.zeros(0, np.uint32))))
+            rows.append((p, -1, KEYS, packed(np.zeros(0, np.int64), np.zeros(0, np.uint32), told[i])))
     single = np.flatnonzero(~multi)
     bucket = (key[single] % np.uint64(buckets)).astype(np.int64)
     for p, i in by_part(bucket, buckets):
-        rows.append((p, -1, KEYS, _entries(docs, key, at, pos, single[i])))
+        rows.append((p, -1, KEYS, _entries(docs, key, at, single[i])))
     shared = np.flatnonzero(multi)
     for p, i in by_part(block[at[shared]], blocks):
-        rows.append((p % buckets, p, SHARED, _entries(docs, key, at, pos, shared[i])))
+        rows.append((p % buckets, p, SHARED, _entries(docs, key, at, shared[i], with_docs)))
     return rows
 
 
-def _entries(docs, key, at, pos, i) -> bytes:
+def _entries(docs, key, at, i, with_docs: bool = True) -> bytes:
+    if not with_docs:
+        return packed(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.unique(key[i]))
     a = at[i]
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    place = pos[i] if pos is not None else np.zeros(0, np.uint32)
-    return packed(docs[a[first]], np.diff(np.append(first, len(a))).astype(np.uint32), key[i], place)
+    return packed(docs[a[first]], np.diff(np.append(first, len(a))).astype(np.uint32), key[i])
 
 
-def entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, key, pos (empty if none) of each entry."""
-    docs, counts, key, pos = unpacked(blob)
-    return np.repeat(docs, counts), key, pos
+def entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """doc (empty if left out) and key of each entry."""
+    docs, counts, key = unpacked(blob)
+    return np.repeat(docs, counts), key
 
 
-def find_shared(table: pa.Table, blocks: int) -> pa.Table:
+def find_shared(table: pa.Table, blocks: int, with_docs: bool) -> pa.Table:
     """One bucket's rows: what is for blocks passes through; keys of more than one document go back to their blocks."""
-    rows, docs, keys, places, told = [], [], [], [], []
+    rows, docs, keys, told = [], [], [], []
     for block, kind, blob in zip(table.column("block").to_pylist(), table.column("kind").to_pylist(), table.column("blob").to_pylist()):
         if kind != KEYS:
             rows.append((0, block, kind, blob))
             continue
-        d, k, p = entries(blob)
+        d, k = entries(blob)
         if len(d):
             docs.append(d)
             keys.append(k)
-            places.append(p)
         else:
             told.append(k)
     if docs:
-        doc, key, pos = np.concatenate(docs), np.concatenate(keys), np.concatenate(places)
-        del docs, keys, places
+        doc, key = np.concatenate(docs), np.concatenate(keys)
+        del docs, keys
         order = np.argsort(key)
         k, d = key[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
         if told:
             several |= np.isin(k[first], np.concatenate(told))
-        found = np.sort(order[np.repeat(several, np.diff(np.append(first, len(k))))])
+        found = order[np.repeat(several, np.diff(np.append(first, len(k))))]
         del order, k, d
-        # by document, for the blocks
         found = found[np.argsort(doc[found], kind="stable")]
-        doc, key, pos = doc[found], key[found], pos[found] if len(pos) else None
+        doc, key = doc[found], key[found]
         own, at = np.unique(doc, return_inverse=True)
         for p, i in by_part(block_of(doc, blocks), blocks):
-            rows.append((0, p, SHARED, _entries(own, key, at, pos, i)))
+            rows.append((0, p, SHARED, _entries(own, key, at, i, with_docs)))
     return pa.Table.from_batches([as_batch(rows)])
 
 
-def shared_blobs(docs: DataFrame, emit: Callable, buckets: int, blocks: int) -> DataFrame:
+def shared_blobs(docs: DataFrame, emit: Callable, buckets: int, blocks: int, with_docs: bool = True) -> DataFrame:
     """block, kind, blob: for each block the shared keys of its documents (SHARED) and the payloads emit adds (PAYLOAD).
 
-    emit(doc_ids, texts) gives the rows of one group of documents, made with key_rows.
+    emit(doc_ids, texts) gives the rows of one group of documents, made with key_rows. Without with_docs, a
+    block is told its shared keys only, not which document holds which.
     """
     def run(batches):
         for ids, texts in text_groups(batches):
@@ -177,4 +184,4 @@ def shared_blobs(docs: DataFrame, emit: Callable, buckets: int, blocks: int) ->
                 yield as_batch(rows[i : i + 512])
 
     sent = docs.select("doc_id", "text").mapInArrow(run, ROW)
-    return sent.groupBy("part").applyInArrow(lambda t: find_shared(t, blocks), ROW).select("block", "kind", "blob")
+    return sent.groupBy("part").applyInArrow(lambda t: find_shared(t, blocks, with_docs), ROW).select("block", "kind", "blob")
