@@ -50,7 +50,7 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # an empty table leaves no file to read the schema from
 
 
 def partitions(spark: SparkSession) -> int:
