@@ -10,7 +10,7 @@ import uuid
 
 from quadlens.llm import jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
 from quadlens.llm.common import on_workers, shared_dir
-from quadlens.llm.queries import BYTE_BPE
+from quadlens.llm.queries import BYTE_BPE, BYTE_RANKS
 
 
 def quality(spark, docs, sf_dir):
@@ -38,7 +38,7 @@ def passages(spark, docs, sf_dir):
 def packed(spark, docs, sf_dir):
     """Sequences of at most 1024 tokens."""
     on_workers(spark)
-    return packing.pack(docs, BYTE_BPE, 1024)
+    return packing.pack(docs, BYTE_BPE, 1024, ranks=BYTE_RANKS)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", passages), ("best-fit packing", packed)]

@@ -28,11 +28,11 @@ from quadlens.llm.common import checkpointed
 
 
 @lru_cache(maxsize=2)
-def _ids(path: str) -> chunk_table.BytePieces:
-    return chunk_table.BytePieces(path, lambda e: np.array(e.ids, "<u4").tobytes())
+def _ids(path: str, ranks: str | None) -> chunk_table.BytePieces:
+    return chunk_table.BytePieces(path, counts=False, ranks=ranks)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, ranks: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, with its task and its place among the task's pieces of that length."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -40,14 +40,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2) -> Da
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tail = np.array([end], "<u4").tobytes()
         for b in batches:
-            texts, rows = [x or "" for x in b.column("text").to_pylist()], []
-            for doc, found in zip(b.column("doc_id").to_pylist(), _ids(path).results(texts)):
-                ids = memoryview(b"".join(found) + tail)
-                n = len(ids) // 4
-                edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                for k, (i, j) in enumerate(zip(edges, edges[1:])):
-                    rows.append((doc, k, i, j - i, zlib.crc32(ids[4 * i : 4 * j]), task, seen[j - i]))
-                    seen[j - i] += 1
+            docs, rows = iter(b.column("doc_id").to_pylist()), []
+            for edge, ids in _ids(path, ranks).results(b.column("text")):
+                raw = memoryview(ids.tobytes())
+                for a, z in zip(edge.tolist(), edge[1:].tolist()):
+                    doc, n = next(docs), z - a + 1  # the end id comes last
+                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+                    for k, (i, j) in enumerate(zip(edges, edges[1:])):
+                        crc = zlib.crc32(raw[4 * (a + i) : 4 * min(a + j, z)])
+                        rows.append((doc, k, i, j - i, zlib.crc32(tail, crc) if j == n else crc, task, seen[j - i]))
+                        seen[j - i] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             columns = list(zip(*rows)) if rows else [()] * 7
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
@@ -109,10 +111,10 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
     return {length: np.array(rows, np.int64) for length, rows in out.items()}
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, ranks: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece. ranks: see BytePieces."""
     spark = docs.sparkSession
-    cut = checkpointed(pieces(docs, path, capacity, end))
+    cut = checkpointed(pieces(docs, path, capacity, end, ranks))
     per_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_task = checkpointed(per_task.select("task", "length", "n", before.alias("before")))

@@ -10,6 +10,7 @@ from quadlens.llm.common import table
 #: Places of the public vocabularies; parameters of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_html_extraction(spark, sf_dir):
@@ -45,7 +46,7 @@ def op8_quality_rules(spark, sf_dir):
 
 
 def op9_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 1024)
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 1024, ranks=BYTE_RANKS)
 
 
 def op10_line_dedup(spark, sf_dir):

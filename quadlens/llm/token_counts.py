@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quadlens.llm import chunk_table
@@ -20,16 +22,16 @@ from quadlens.llm import chunk_table
 
 @lru_cache(maxsize=2)
 def _lengths(path: str) -> chunk_table.BytePieces:
-    return chunk_table.BytePieces(path, len)
+    return chunk_table.BytePieces(path, counts=True)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs."""
     def run(batches):
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            counts = [sum(x) for x in _lengths(path).results(texts)]
-            columns = [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
+            text = b.column("text").fill_null("")
+            counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(edge) for edge, _ in _lengths(path).results(text))])
+            columns = [b.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)]
             yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 from quadlens.llm import html_crf, jaccard_join, knn_voronoi, lang_hd, line_dedup, packing, piece_codec, quality_rules, suffix_dedup, token_counts
-from quadlens.llm.queries import BYTE_BPE, PIECE_MODEL
+from quadlens.llm.queries import BYTE_BPE, BYTE_RANKS, PIECE_MODEL
 
 from . import brute
 
@@ -67,9 +67,10 @@ def test_packing(odd):
     from tokenizers import Tokenizer
 
     rows, docs = odd
-    packed = packing.pack(docs, BYTE_BPE, 64).toPandas()
-    got, least = brute.check_packing(rows, packed, Tokenizer.from_file(BYTE_BPE), 64)
-    assert least <= got <= least + 2
+    for ranks in (None, BYTE_RANKS):
+        packed = packing.pack(docs, BYTE_BPE, 64, ranks=ranks).toPandas()
+        got, least = brute.check_packing(rows, packed, Tokenizer.from_file(BYTE_BPE), 64)
+        assert least <= got <= least + 2
 
 
 def test_minimum_bin_slack():
