@@ -154,7 +154,7 @@ def find_shared(table: pa.Table, blocks: int, with_docs: bool) -> pa.Table:
             told.append(k)
     if docs:
         doc, key = np.concatenate(docs), np.concatenate(keys)
-        del docs, keys
+        docs, keys = [], []
         order = np.argsort(key)
         k, d = key[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
