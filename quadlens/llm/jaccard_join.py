@@ -1,24 +1,25 @@
 """N-gram Jaccard join by adaptive multi-match prefixes, and the connected classes of its links.
 
-1. Sets. A document's set holds the 64-bit hashes of its n-word shingles. `shared_keys` tells which of them
-   any other document has; only those can count for an intersection. A document whose shared shingles are
-   fewer than its set's least overlap (threshold x size) can have no link and is done.
-2. Classes. Documents with equal sets (128 bits of hash) become one class with the smallest doc_id for a
-   representative; copies are never expanded into pairs.
-3. Prefixes. Shingles are ordered by hash. With s shared shingles and a least overlap of a, any partner
-   shares at least m of the first s - a + m of them. A document's m (1 to MATCHES) is the one with the least
-   estimated cost: entries its prefix meets in the inverted lists, plus the candidates that would be verified,
-   which fall as m rises. Two documents become candidates if they share min(m, m') prefix shingles.
-4. Leaders. In large families of near copies all pairs would be candidates. So first every member of an
+1. Sets. A document's set holds the 48-bit hashes of its n-word shingles. Documents with equal sets (128 bits
+   of hash) form one class with the smallest doc_id for a representative; copies are never expanded into
+   pairs. `shared_keys` tells which shingles of a set any other set has; only those can count for an
+   intersection. A set whose shared shingles are fewer than its least overlap (threshold x size) can have no
+   link and is done.
+2. Prefixes. Shared shingles are ordered by hash. Partners i and j need an overlap o of at least
+   percent (n_i + n_j) / (100 + percent), so they share at least m of the first s - o + m of their s shared
+   shingles each. m = 1 makes the inverted lists. A set whose lists promise many candidates lengthens its prefix:
+   the estimated cost of verifying them sets m (a power of two up to MATCHES), and a pair that meets in a list
+   becomes a candidate only if the longer prefixes share min(m_i, m_j), tested where the lists are joined.
+3. Leaders. In large families of near copies most pairs would be candidates. So first every member of an
    inverted list meets one leader only, the member with the fewest shingles of its own; links found join
-   components. Then only pairs of different components are candidates, within the sizes that their unshared
-   shingles still allow. No link between components is lost, and no list is expanded into all pairs.
-5. Verification by array_intersect, components by smallest-label propagation with pointer jumping.
+   components. Then only pairs of different components can become candidates. No link between components is
+   lost, and no list is expanded into all pairs.
+4. Verification by array_intersect, components by smallest-label propagation with pointer jumping.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing (its component
 is its own id); fewer than n words count as one shingle; rows with a null doc_id take no part and give no
 row; rows that repeat a doc_id are one document; extra columns are ignored; an empty table gives an empty
-result. Shingles are compared by 64 bits of hash.
+result. Shingles are compared by 48 bits of hash within a pair of documents.
 """
 
 from __future__ import annotations
@@ -32,23 +33,25 @@ from pyspark.sql import functions as F
 from quadlens.llm import shared_keys as K
 from quadlens.llm.common import checkpointed
 
-MATCHES = 4
-VERIFY_COST = 8.0
+MATCHES = 32
+PAIRS_PER_MATCH = 64  # estimated candidates that are worth one more match
+LONGEST = 256  # shingles of a prefix that is carried along for the test
 INFO = "doc_id long, n_shingles long, fp1 long, fp2 long, shared array<long>"
+SETS = 3
 
 
 def shingle_hashes(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-word shingles. bytes.lower and bytes.split know ASCII only, as the rule does."""
+    """Sorted distinct 48-bit hashes of a text's n-word shingles. bytes.lower and bytes.split know ASCII only, as the rule does."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(h) < n:
-        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), 1)], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), 1) >> 16], np.uint64)
     out = h[: len(h) - n + 1].copy()
     for i in range(1, n):
         out = K.mixed(out * K.MIX + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+    return np.unique(out >> np.uint64(16))
 
 
 def least_overlap(size, percent: int):
@@ -57,40 +60,54 @@ def least_overlap(size, percent: int):
 
 
 def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """INFO of each document: set size, hash of the set, and its shared shingles in order if they can suffice for a link."""
+    """INFO of each document, without shared; and of each set that can have a link, with shared and without doc_id."""
     size = K.text_bytes(docs)
-    buckets, blocks = max(8, size // (24 << 20)), max(8, size // (24 << 20))
+    buckets, blocks = max(8, size // (8 << 20)), max(8, size // (8 << 20))  # some 10 MB of keys each
 
     def emit(ids, texts):
         sets = [shingle_hashes(t, n) for t in texts]
         sizes = np.array([len(s) for s in sets], np.int64)
         prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
-        rows = K.key_rows(ids, np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes), buckets, blocks)
+        fp1, fp2 = prints[0::2], prints[1::2]
+        once = np.sort(np.unique(fp1, return_index=True)[1])
+        rows = K.key_rows(fp1[once], np.concatenate([sets[i] for i in once]), np.repeat(np.arange(len(once)), sizes[once]), buckets, blocks)
         for p, i in K.by_part(K.block_of(ids, blocks), blocks):
-            rows.append((p % buckets, p, K.PAYLOAD, K.packed(ids[i], sizes[i], prints[0::2][i], prints[1::2][i])))
+            rows.append((p % buckets, p, K.PAYLOAD, K.packed(ids[i], sizes[i], fp1[i], fp2[i])))
+        for p, i in K.by_part(K.block_of(fp1[once], blocks), blocks):
+            rows.append((p % buckets, p, SETS, K.packed(sizes[once[i]], fp1[once[i]], fp2[once[i]])))
         return rows
 
     def finish(table: pa.Table) -> pa.Table:
-        told, found = [], []
+        told, sets, found = [], [], []
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
             if kind == K.PAYLOAD:
                 told.append(K.unpacked(blob))
+            elif kind == SETS:
+                sets.append(K.unpacked(blob))
             else:
                 found.append(K.entries(blob))
-        ids, sizes, fp1, fp2 = (np.concatenate(x) for x in zip(*told)) if told else [np.zeros(0, np.int64)] * 4
-        doc = np.concatenate([d for d, _ in found]) if found else np.zeros(0, np.int64)
+        empty = np.zeros(0, np.int64)
+        ids, sizes, fp1, fp2 = (np.concatenate(x) for x in zip(*told)) if told else [empty] * 4
+        of_set, set1, set2 = (np.concatenate(x) for x in zip(*sets)) if sets else [empty] * 3
+        once = np.unique(set1, return_index=True)[1]
+        of_set, set1, set2 = of_set[once], set1[once], set2[once]
+        doc = np.concatenate([d for d, _ in found]) if found else empty
         key = np.concatenate([k for _, k in found]) if found else np.zeros(0, np.uint64)
+        found.clear()
         order = np.lexsort((key, doc))
         doc, key = doc[order], key[order]
-        if len(key):  # rows that repeat a document tell the same keys again
-            once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
-            doc, key = doc[once], key[once]
-        a, b = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
-        enough = (b - a >= least_overlap(sizes, percent)) & (sizes > 0)
-        lengths = np.where(enough, b - a, 0)
-        take = np.repeat(a - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum()) if len(ids) else np.zeros(0, int)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(key[take].view(np.int64)), mask=pa.array(~enough))
-        return pa.table([pa.array(ids), pa.array(sizes), pa.array(fp1), pa.array(fp2), lists], ["doc_id", "n_shingles", "fp1", "fp2", "shared"])
+        if len(key):  # the same set of another group tells the same keys again
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+            doc, key = doc[new], key[new]
+        a, b = np.searchsorted(doc, set1), np.searchsorted(doc, set1, "right")
+        able = np.flatnonzero((b - a >= least_overlap(of_set, percent)) & (of_set > 0))
+        a, lengths = a[able], (b - a)[able]
+        take = np.repeat(a - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        offsets = np.concatenate([np.zeros(len(ids) + 1, np.int64), np.cumsum(lengths)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[take].view(np.int64)), mask=pa.array(np.arange(len(offsets) - 1) < len(ids)))
+        both = [np.concatenate(x) for x in ((sizes, of_set[able]), (fp1, set1[able]), (fp2, set2[able]))]
+        doc_id = pa.concat_arrays([pa.array(ids), pa.nulls(len(able), pa.int64())])
+        return pa.table([doc_id, *map(pa.array, both), lists], ["doc_id", "n_shingles", "fp1", "fp2", "shared"])
 
     return K.shared_blobs(docs, emit, buckets, blocks).groupBy("block").applyInArrow(finish, INFO)
 
@@ -102,17 +119,28 @@ def _feasible(percent: int, a: str = "", b: str = "_2") -> Column:
 
 
 def prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """rep, n, s, m, token: the adaptive prefix of each representative that has candidates."""
-    spare = F.col("s") - F.expr(f"({percent} * n + 99) div 100")
-    longest = F.least(F.lit(MATCHES), F.expr(f"({percent} * n + 99) div 100"))
-    rows = reps.select("rep", "n", "s", spare.alias("spare"), longest.alias("most"), F.posexplode(F.slice("shared", F.lit(1), (spare + longest).cast("int"))).alias("pos", "token"))
+    """token, pos, rep, n, s, m, long: the inverted lists, and the longer prefix of those that test one (else null)."""
+    spare = F.expr(f"cast(s - ({percent} * n + 99) div 100 as int)")
+    rows = reps.select("rep", "n", "s", F.posexplode(F.slice("shared", F.lit(1), spare + 1)).alias("pos", "token"))
     held = rows.groupBy("token").agg((F.count("*") - 1).alias("others")).where("others > 0")
     rows = checkpointed(rows.join(held, "token"))
-    scans = [F.sum(F.when(F.col("pos") < F.col("spare") + m, F.col("others"))).alias(f"scan{m}") for m in range(1, MATCHES + 1)]
-    cost = rows.groupBy("rep").agg(F.first("most").alias("most"), *scans)
-    options = [F.when(F.col("most") >= m, F.struct((F.coalesce(F.col(f"scan{m}"), F.lit(0)) * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m"))) for m in range(1, MATCHES + 1)]
-    best = cost.select("rep", F.array_min(F.array_compact(F.array(*options)))["m"].alias("m"))
-    return rows.join(best, "rep").where(F.col("pos") < F.col("spare") + F.col("m")).select("rep", "n", "s", "m", "token")
+    cost = rows.groupBy("rep").agg(F.sum("others").alias("cost"))
+    want = F.least(F.pow(F.lit(2), F.floor(F.log2(1 + F.col("cost") / PAIRS_PER_MATCH))), F.lit(MATCHES), F.expr(f"({percent} * n + 99) div 100")).cast("int")
+    m = reps.join(cost, "rep").select("rep", spare.alias("spare"), want.alias("m"), "shared")
+    tests = (F.col("m") > 1) & (F.col("spare") + F.col("m") <= LONGEST)
+    m = m.select("rep", F.when(tests, F.col("m")).otherwise(1).alias("m"), F.when(tests, F.slice("shared", F.lit(1), F.col("spare") + F.col("m"))).alias("long"))
+    return rows.drop("others").join(m, "rep")
+
+
+def _meets(percent: int) -> Column:
+    """Whether two list entries (suffix _2) can be a pair, and this token is the one to tell of it."""
+    o = f"(({percent} * (n + n_2) + {99 + percent}) div {100 + percent})"
+    m = "least(m, m_2)"
+    near = F.expr(f"pos <= s - {o} AND pos_2 <= s_2 - {o}")
+    cut = lambda x, s, k: f"slice({x}, 1, greatest(0, cast({s} - {o} + {k} as int)))"
+    enough = F.expr(f"size(array_intersect({cut('long', 's', m)}, {cut('long_2', 's_2', m)})) >= {m}")
+    first = F.expr(f"get(array_intersect({cut('long', 's', 1)}, {cut('long_2', 's_2', 1)}), 0) = token")
+    return _feasible(percent) & near & (F.expr("long IS NULL OR long_2 IS NULL") | (enough & first))
 
 
 def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -139,17 +167,16 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each document; documents link at percent/100 Jaccard similarity or more."""
-    info = checkpointed(document_sets(docs, n, percent)).dropDuplicates(["doc_id"])
-    able = info.where("shared IS NOT NULL")
-    classes = able.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    members = able.select("doc_id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("doc_id", "rep")
-    reps = able.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.size("shared").cast("long").alias("s"), "shared").join(classes.select("rep"), "rep", "left_semi")
-    reps = checkpointed(reps)
+    told = checkpointed(document_sets(docs, n, percent))
+    info = told.where("doc_id IS NOT NULL").drop("shared").dropDuplicates(["doc_id"])
+    classes = info.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
+    reps = told.where("shared IS NOT NULL").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.size("shared").cast("long").alias("s"), "shared")
+    reps = checkpointed(reps.join(classes, ["fp1", "fp2"]).select("rep", "n", "s", "shared"))
     entries = checkpointed(prefixes(reps, percent))
     # one leader for each inverted list
     leader = entries.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "rep", "n", "s")).alias("l"))
     leader = leader.select("token", F.col("l.rep").alias("rep_2"), F.col("l.n").alias("n_2"), F.col("l.s").alias("s_2"))
-    met = entries.join(leader, "token").where("rep <> rep_2").where(_feasible(percent)).groupBy("rep", "rep_2").agg(F.count("*").alias("shared"))
+    met = entries.select("token", "rep", "n", "s").join(leader, "token").where("rep <> rep_2").where(_feasible(percent)).groupBy("rep", "rep_2").agg(F.count("*").alias("shared"))
     nth = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("shared"), "rep_2"))
     met = met.withColumn("nth", nth).where("nth <= 2").select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
     links = checkpointed(verified(met, reps, percent))
@@ -158,15 +185,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     entries = checkpointed(entries.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
     open_lists = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     entries = entries.join(open_lists, "token", "left_semi")
-    other = entries.select("token", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "s", "m", "comp")))
-    pairs = entries.join(other, "token").where(F.expr("rep < rep_2 AND comp <> comp_2") & _feasible(percent))
-    pairs = pairs.groupBy("rep", "rep_2").agg(F.count("*").alias("shared"), F.first("m").alias("m"), F.first("m_2").alias("m_2"))
-    pairs = pairs.where(F.col("shared") >= F.least("m", "m_2")).select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
+    other = entries.select("token", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "s", "m", "pos", "long", "comp")))
+    pairs = entries.join(other, "token").where(F.expr("rep < rep_2 AND comp <> comp_2") & _meets(percent))
+    pairs = pairs.select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
     links = links.unionByName(checkpointed(verified(pairs, reps, percent)))
     comp = components(links)
-    of_doc = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
-    out = info.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
+    out = info.join(of_class, ["fp1", "fp2"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
