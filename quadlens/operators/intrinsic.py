@@ -26,11 +26,11 @@ def axis_at(rows: DataFrame, umbilicus: DataFrame, z: str = "z") -> DataFrame:
     w = Window.orderBy("z")
     nxt = {c: F.lead(c).over(w).alias(f"{c}1") for c in "zyx"}
     seg = umbilicus.select(*[F.col(c).alias(f"{c}0") for c in "zyx"], *[nxt[c] for c in "zyx"], F.row_number().over(w).alias("n"))
-    seg = seg.select(F.when(F.col("n") == 1, F.lit(-math.inf)).otherwise(F.col("z0")).alias("lo"), F.coalesce("z1", F.lit(math.inf)).alias("hi"), *[f"{c}{k}" for c in "zyx" for k in (0, 1)])
+    seg = seg.select(F.when(F.col("n") == 1, F.lit(-math.inf)).otherwise(F.col("z0")).alias("_lo"), F.coalesce("z1", F.lit(math.inf)).alias("_hi"), *[f"{c}{k}" for c in "zyx" for k in (0, 1)])
     v = F.col(z).cast("double")
     t = F.when(F.col("z1").isNull() | (v <= F.col("z0")), 0.0).otherwise(F.try_divide(v - F.col("z0"), F.col("z1") - F.col("z0")))
     at = lambda c: (F.col(f"{c}0") + t * (F.coalesce(f"{c}1", f"{c}0") - F.col(f"{c}0"))).alias(f"a{c}")
-    return rows.join(F.broadcast(seg), (v >= F.col("lo")) & (v < F.col("hi"))).select(*rows.columns, at("y"), at("x"))
+    return rows.join(F.broadcast(seg), (v >= F.col("_lo")) & (v < F.col("_hi"))).select(*rows.columns, at("y"), at("x"))
 
 
 def binned_radius(family: DataFrame, umbilicus: DataFrame, z_bins: int = 10, theta_bins: int = 48, min_count: int = 3) -> DataFrame:

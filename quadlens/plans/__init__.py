@@ -1,13 +1,17 @@
-"""Registered queries of the mesh engine."""
+"""Registered queries of the mesh engine: over closed-form surfaces, and over the driver's tables."""
+
+from quadlens.plans import mesh_queries, table_queries
+
+_ALL = mesh_queries.TABLE | table_queries.TABLE
 
 
 def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return mesh_queries.intrinsic_report(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

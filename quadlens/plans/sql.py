@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 T = "6.283185307179586e0"
 
@@ -12,7 +13,7 @@ def num(x: float) -> str:
 
 
 def with_(*ctes: str, last: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + last
+    return re.sub(r'(?<!["\w])by(?!["\w])', '"by"', "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + last)  # the y of a corner b is no keyword
 
 
 def rnd(*names: str, digits: int = 6) -> str:
@@ -147,8 +148,8 @@ def scored(spec, clean: bool, size: dict, inputs: bool = True) -> list[str]:
 
 
 def modal(name: str, src: str, key: str, value: str) -> str:
-    return f"""{name} AS (SELECT {key}, v AS mode, n / total AS share, CAST(total AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, v) AS k, sum(n) OVER (PARTITION BY {key}) AS total
- FROM (SELECT {key}, {value} AS v, count(*) AS n FROM {src} WHERE {value} IS NOT NULL GROUP BY ALL)) WHERE k = 1)"""
+    return f"""{name} AS (SELECT {key}, v AS mode, n / total AS share, CAST(total AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, v) AS nth_, sum(n) OVER (PARTITION BY {key}) AS total
+ FROM (SELECT {key}, {value} AS v, count(*) AS n FROM {src} WHERE {value} IS NOT NULL GROUP BY ALL)) WHERE nth_ = 1)"""
 
 
 def sheets() -> list[str]:
