@@ -38,10 +38,10 @@ def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
     return (mixed(doc.astype(np.int64).view(np.uint64) + MIX) % np.uint64(blocks)).astype(np.int64)
 
 
-def packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob."""
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.kind), a.dtype.itemsize, len(a)))], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(_planes(a).tobytes() for a in arrays), 1)
+    return zstandard.compress(head.tobytes() + b"".join(_planes(a).tobytes() for a in arrays), level)
 
 
 def _planes(a: np.ndarray) -> np.ndarray:
