@@ -75,7 +75,7 @@ def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: li
     shifts = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     level = F.lit(0.0)
     own = _cells(level, cell, p)
-    around = points.select(*keys, "pz", "py", "px", F.explode(shifts).alias("s")).select(*keys, "pz", "py", "px", *[(c + F.col(f"s.{n}")).alias(f"_c{a}") for c, n, a in zip(own, "ijk", "zyx")])
+    around = points.select(*keys, "pz", "py", "px", F.explode(shifts).alias("_s")).select(*keys, "pz", "py", "px", *[(c + F.col(f"_s.{n}")).alias(f"_c{a}") for c, n, a in zip(own, "ijk", "zyx")])
     at = faces.select("gz", "gy", "gx", *[c.alias(f"_c{a}") for c, a in zip(_cells(level, cell, triple("g")), "zyx")])
     near = around.join(at, ["_cz", "_cy", "_cx"]).groupBy(*keys).agg(F.min(norm(sub(p, triple("g")))).alias("_near"))
     points = points.join(near, keys, "left").withColumn("_bound", F.least("_far", F.coalesce("_near", "_far"))).drop("_far", "_near")
@@ -84,8 +84,8 @@ def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: li
     faces = faces.withColumn("_kind", kind)
     kinds = [r[0] for r in faces.select("_kind").distinct().collect()]  # powers of two of the radius
     by_kind = F.array(*[F.struct(F.lit(int(k)).alias("kind"), F.lit(cell * math.pow(2.0, k)).alias("r")) for k in kinds])
-    asked = points.select("*", F.explode(by_kind).alias("k")).withColumn("_reach", F.col("_bound") + F.col("k.r") + 1e-9)
-    asked = asked.withColumns({"_kind": F.col("k.kind"), "_level": F.greatest(F.ceil(F.log2(2 * F.col("_reach") / cell)), F.lit(0)).cast("int")}).cache()
+    asked = points.select("*", F.explode(by_kind).alias("_k")).withColumn("_reach", F.col("_bound") + F.col("_k.r") + 1e-9)
+    asked = asked.withColumns({"_kind": F.col("_k.kind"), "_level": F.greatest(F.ceil(F.log2(2 * F.col("_reach") / cell)), F.lit(0)).cast("int")}).cache()
     spans = _cells(F.col("_level"), cell, p, F.col("_reach"))
     looked = asked
     for (lo, hi), a in zip(spans, "zyx"):
@@ -93,6 +93,6 @@ def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: li
     used = asked.select("_kind", "_level").distinct()  # a few dozen pairs of classes and levels
     held = faces.join(F.broadcast(used), "_kind")
     held = held.withColumns({f"_c{a}": c for a, c in zip("zyx", _cells(F.col("_level"), cell, triple("g")))})
-    pairs = looked.drop("k").join(held, ["_kind", "_level", "_cz", "_cy", "_cx"])
+    pairs = looked.drop("_k").join(held, ["_kind", "_level", "_cz", "_cy", "_cx"])
     pairs = _with_pair(pairs).where(F.sqrt("_g2") <= F.col("_bound") + F.col("radius") + 1e-9)
     return _best(with_triangle_distance(pairs), keys, keep)

@@ -261,7 +261,7 @@ _PER_PATCH = [*S.sheets(), S.modal("mw", "pts", "patch", "winding"), *S.agreemen
 
 @query(S.with_(*_SCORED, *_PER_PATCH, last="SELECT patch, n_points, n_unseen, modal_winding, " + S.rnd("dist_p50", "dist_p90", "dist_p99", "dist_max", "frac_within_tau", "angle_p50", "angle_p90", "single_winding", "sheet_consistency", "agreement", digits=4) + " FROM scores"))
 def patch_scores(spark, sf_dir):
-    return rounded(scoring.patch_scores(sheets.with_sheets(_points(spark).cache(), ["patch"])), 4)
+    return rounded(scoring.patch_scores(sheets.with_sheets(_points(spark), ["patch"]).cache()), 4)
 
 
 @query(S.with_(*_SCORED, *_PER_PATCH, last=f"""SELECT n_patches, n_points, {S.rnd('mean_single_winding', 'min_single_winding', 'mean_sheet', 'min_sheet', 'mean_agreement', 'dist_p50', 'dist_p90', 'dist_p99', 'dist_max', 'frac_within_tau', 'angle_p90', digits=4)} FROM
