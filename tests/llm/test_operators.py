@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -131,6 +132,31 @@ def test_suffix_dedup(odd):
     assert by_doc(suffix_dedup.suffix_dedup_report(docs)) == want
 
 
+def test_suffix_dedup_splits_a_hot_anchor(spark, monkeypatch):
+    """A phrase under 50 bytes in every document, and a passage over 50: no task gets the contexts of all documents."""
+    rng = random.Random(7)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = own(90)
+    rows = {5 * i: own(60) + "\nReleased under the MIT License.\n" + own(60) + (passage if i % 3 else "") + own(20) for i in range(900)}
+    rows |= {10_000 + i: rows[5 * i][30:200] for i in range(0, 900, 7)}  # equal windows over the edges too
+    docs = spark.createDataFrame(list(rows.items()), DOC).repartition(6)
+    dealt, seen = suffix_dedup.dealt, []
+    monkeypatch.setattr(suffix_dedup, "PART_WINDOWS", 2000)
+    monkeypatch.setattr(suffix_dedup, "dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    want = {i: (n, r, s, brute.sha(k)) for i, (n, r, s, k) in brute.suffix_kept(rows).items()}
+    assert by_doc(suffix_dedup.suffix_dedup_report(docs, many=100)) == want
+    load, sorted_together = Counter(), Counter()
+    for r in seen[0].where(f"kind = {suffix_dedup.CONTEXTS}").collect():
+        key = suffix_dedup.K.unpacked(bytes(r.blob))[0].tolist()
+        load[r.part] += len(key)
+        sorted_together.update((r.part, k) for k in key)
+    assert max(sorted_together.values()) <= 100 and max(load.values()) < 0.1 * sum(load.values())
+    # kept texts, too
+    docs = docs.selectExpr("doc_id", "text", "length(text) AS n_chars")
+    kept = {r.doc_id: r.text for r in suffix_dedup.dedup_documents(docs, many=100).collect()}
+    assert {i: brute.sha(t.encode()) for i, t in kept.items()} == {i: w[3] for i, w in want.items()}
+
+
 def test_induced_sort_spills():
     import numpy as np
 
