@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlens.operators.graph import components
+from quadlens.operators.graph import _cut, components
 
 #: Suffixes that derived exports add to a patch's name (fixed values).
 SUFFIXES = (r"_sel_.*$", r"_region_\d+$", r"_v\d+(\.tifxyz)?$", r"_(flatboi|copy|front|back|new|lasagna|growpatch)$")
@@ -33,15 +33,29 @@ def merged_families(items: DataFrame) -> DataFrame:
     return items.join(roots.select(F.col("node").alias("family"), "comp"), "family", "left").withColumn("root", F.coalesce("comp", "family")).drop("comp")
 
 
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with n, their number from 0 in the order of by (unique), and total: rows are dealt by range and numbered
+    within each range; the driver only adds up the ranges' counts."""
+    placed = _cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())
+    first, total = [], 0
+    for part, n in counts:
+        first.append((part, total))
+        total += n
+    first = rows.sparkSession.createDataFrame(first, "_part int, _first long")
+    n = F.col("_first") + F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    return placed.join(F.broadcast(first), "_part").withColumn("n", n).withColumn("total", F.lit(total).cast("long")).drop("_part", "_first")
+
+
 def z_stratified(items: DataFrame, fraction: float, seed: int) -> DataFrame:
     """items (name, root, z) with side: of each block of families in z order one family, by hash of seed, is held out.
 
-    Families are numbered in z order with a global window over one row per family.
+    Families are numbered in z order range by range, so no task has to hold them all.
     """
     if not 0 < fraction <= 0.5:
         raise ValueError("the held-out fraction must be in (0, 0.5]")
     fam = items.groupBy("root").agg(F.avg("z").alias("z"))
-    fam = fam.withColumn("n", F.row_number().over(Window.orderBy("z", "root")) - 1).crossJoin(F.broadcast(fam.agg(F.count("*").alias("total"))))
+    fam = numbered(fam, "z", "root")
     blocks = F.greatest(F.lit(1), F.bround(F.col("total") * fraction).cast("long"))
     # block b covers [rint(b * total / blocks), rint((b + 1) * total / blocks))
     guess = F.floor(F.col("n") * blocks / F.col("total"))

@@ -130,6 +130,20 @@ def test_family_keys(spark):
     assert {r.name: r.key for r in df.select("name", splits.family_key(F.col("name")).alias("key")).collect()} == names
 
 
+def test_split_numbers_families_in_ranges(spark):
+    """Many families, ties in z: numbered as one global window would, but without gathering them in one task."""
+    items = spark.range(3000).selectExpr("concat('f', id) AS name", "concat('f', id) AS root", "CAST(nullif(id % 7, 3) AS DOUBLE) AS z")
+    split = splits.z_stratified(items, 0.2, 5)
+    assert "SinglePartition" not in split._jdf.queryExecution().executedPlan().toString()
+    order = sorted(items.collect(), key=lambda r: (r.z is not None, r.z or 0, r.root))
+    block = {r.root: r.block for r in split.collect()}
+    assert [block[r.root] for r in order] == [k // 5 for k in range(3000)]
+    assert split.where("side = 'heldout'").count() == split.where("side = 'heldout'").select("block").distinct().count() == 600
+    fam = splits.numbered(items, "z", "root")
+    assert [r.n for r in fam.orderBy("z", "root").collect()] == list(range(3000)) and fam.select("total").distinct().first()[0] == 3000
+    assert splits.z_stratified(items.limit(0), 0.2, 5).count() == 0
+
+
 def test_bootstrap(spark):
     same = spark.createDataFrame([(f"i{k}", 1.0 + k, 5.0 + k, 5.0 + k) for k in range(8)], "item string, weight double, a double, b double")
     r = compare.paired_bootstrap(same, 200, 1).first()
