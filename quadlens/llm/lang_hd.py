@@ -5,10 +5,12 @@ the letters' vectors, permuted (rolled) by their place; a text's vector is the b
 vectors; a language's prototype is the bundle over all its learning texts, each scaled to the same weight
 per trigram. A text goes to the language of highest cosine.
 
-The trigram counts of each language are sums over all learning rows, made on Spark (languages x trigrams,
-at most SYMBOLS^3 each, whatever the input); the prototypes follow from them by linearity. Prediction is one
-Arrow pass without a shuffle. Non-letters count as word borders; letters outside the Latin ranges share a
-few symbols by code point.
+The trigram counts of each language are sums over all learning rows, made on Spark; the prototypes follow from
+them by linearity. Latin letters up to U+017F have SYMBOLS symbols, and trigrams of these alone come to the driver
+(languages x trigrams, at most SYMBOLS^3 each, whatever the input). Every other letter has a symbol of its own, its
+vector made from a seeded hash of the lower-cased letter; trigrams with such letters may be many, so they are bundled
+on Spark and a vector per language comes to the driver. Prediction is one Arrow pass without a shuffle. A letter is
+any code point of category L; all else counts as word borders.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is every text if nothing
 could be learned; rows with a null lang or text teach nothing; a null doc_id learns as the text 'null' would
@@ -18,6 +20,7 @@ cosines go to the alphabetically first language; an empty table gives an empty r
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -26,23 +29,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadlens.llm.shared_keys import MIX, mixed
+
 SYMBOLS, BORDER, OTHERS = 64, 0, 4
+NARROW = SYMBOLS**3  # trigrams from here on hold a symbol from SYMBOLS on
+BITS = 21  # of a symbol in them
 DIMENSIONS, SEED = 1024, 20240229
 GROUP = 1 << 20
 
 
 @lru_cache(maxsize=1)
 def _codes() -> np.ndarray:
-    """Code point to symbol: a-z, then the lower-case letters up to U+017F in turn, other letters by code point; 0 for anything else."""
-    out = np.zeros(0x110000, np.uint8)
+    """Code point to symbol: a-z, then the lower-case letters up to U+017F in turn, other letters SYMBOLS and the lower-cased code point; 0 for anything else."""
+    out = np.zeros(0x110000, np.int32)
     latin = sorted({c for i in range(0x41, 0x180) if (c := chr(i).lower()).isalpha() and len(c) == 1})
     symbol = {c: 1 + i % (SYMBOLS - OTHERS - 1) for i, c in enumerate(latin)}
     for i in range(0x180):
         if chr(i).isalpha():
             out[i] = symbol.get(chr(i).lower()[0], SYMBOLS - 1)
-    for i in range(0x180, 0x30000):
+    for i in range(0x180, sys.maxunicode + 1):
         if unicodedata.category(chr(i))[0] == "L":
-            out[i] = SYMBOLS - OTHERS + i % OTHERS
+            low = ord(chr(i).lower()[0])
+            out[i] = out[low] if low < 0x180 else SYMBOLS + low
     return out
 
 
@@ -51,8 +59,27 @@ def letter_vectors() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
 
 
+def symbol_vectors(symbols: np.ndarray) -> np.ndarray:
+    """The vectors of symbols: letter_vectors below SYMBOLS, from there on bits of a seeded hash."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    bits = mixed(mixed(symbols.astype(np.uint64) + np.uint64(SEED))[:, None] + words * MIX)
+    out = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+    known = symbols < SYMBOLS
+    out[known] = letter_vectors()[symbols[known]]
+    return out
+
+
 def bound(trigrams: np.ndarray) -> np.ndarray:
-    """The vectors of trigrams (a * SYMBOLS + b) * SYMBOLS + c."""
+    """The vectors of trigrams: (a * SYMBOLS + b) * SYMBOLS + c, or from NARROW on a, b and c in BITS each."""
+    wide = trigrams >= NARROW
+    if wide.any():
+        out, mask = np.empty((len(trigrams), DIMENSIONS), np.int8), (1 << BITS) - 1
+        t = trigrams[wide]
+        symbols, at = np.unique(np.concatenate([t >> 2 * BITS, t >> BITS & mask, t & mask]), return_inverse=True)
+        v, (a, b, c) = symbol_vectors(symbols), at.reshape(3, -1)
+        out[wide] = np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
+        out[~wide] = bound(trigrams[~wide])
+        return out
     v = letter_vectors()
     first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
     return first[trigrams // SYMBOLS**2] * second[trigrams // SYMBOLS % SYMBOLS] * v[trigrams % SYMBOLS]
@@ -64,7 +91,12 @@ def trigrams_of(text: str) -> np.ndarray:
     s = s[(s != BORDER) | np.concatenate([[True], s[:-1] != BORDER])].astype(np.int32)
     if len(s) < 3:
         return np.zeros(0, np.int32)
-    t = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    if s.max() < SYMBOLS:
+        t = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    else:
+        s = s.astype(np.int64)
+        a, b, c = s[:-2], s[1:-1], s[2:]
+        t = np.where(np.maximum(np.maximum(a, b), c) < SYMBOLS, (a * SYMBOLS + b) * SYMBOLS + c, (a << 2 * BITS) | (b << BITS) | c)
     return t[s[1:-1] != BORDER]
 
 
@@ -75,6 +107,11 @@ class Bound:
         self.limit, self.place, self.rows, self.n = limit, None, None, 0
 
     def __call__(self, trigrams: np.ndarray) -> np.ndarray:
+        wide = trigrams >= NARROW
+        if wide.any():  # not kept
+            out = np.empty((len(trigrams), DIMENSIONS), np.int8)
+            out[wide], out[~wide] = bound(trigrams[wide]), self(trigrams[~wide])
+            return out
         if self.place is None or self.n + len(trigrams) > self.limit:
             self.place, self.rows, self.n = np.full(SYMBOLS**3, -1, np.int32), np.empty((max(self.limit, len(trigrams)), DIMENSIONS), np.int8), 0
         new = trigrams[self.place[trigrams] < 0]
@@ -103,19 +140,44 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 t = trigrams_of(text)
                 if len(t):
                     at, n = np.unique(t, return_counts=True)
-                    sums.setdefault(lang, np.zeros(SYMBOLS**3))[at] += n / np.sqrt((n * n).sum())
+                    n, wide = n / np.sqrt((n * n).sum()), int(np.searchsorted(at, NARROW))
+                    sums.setdefault(lang, np.zeros(NARROW))[at[:wide]] += n[:wide]
+                    if wide < len(at):
+                        yield weights(lang, at[wide:], n[wide:])
         for lang, s in sums.items():
             at = np.flatnonzero(s)
-            yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(s[at])], ["lang", "trigram", "weight"])
+            yield weights(lang, at, s[at])
+
+    def weights(lang, at, w):
+        return pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(w)], ["lang", "trigram", "weight"])
 
-    counted = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(count, "lang string, trigram int, weight double")
-    total = counted.groupBy("lang", "trigram").agg(F.sum("weight").alias("weight")).toPandas()  # languages x trigrams at most
-    langs, rows = sorted(total["lang"].unique()), []
+    def bundled(batches):
+        sums: dict[str, np.ndarray] = {}  # in millionths, so that order does not matter
+        for b in batches:
+            lang, at = np.array(b.column("lang").to_pylist(), object), b.column("trigram").to_numpy()
+            w = (b.column("weight").to_numpy() * 1e6).round()
+            for x in set(lang.tolist()):
+                mine = np.flatnonzero(lang == x)
+                for i in range(0, len(mine), 4096):
+                    j = mine[i : i + 4096]
+                    sums[x] = sums.get(x, 0) + (w[j] @ bound(at[j])).astype(np.int64)
+        for x, vector in sums.items():
+            yield pa.record_batch([pa.array([x] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(vector)], ["lang", "place", "value"])
+
+    counted = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(count, "lang string, trigram long, weight double")
+    summed = counted.groupBy("lang", "trigram").agg(F.sum("weight").alias("weight")).cache()
+    total = summed.where(F.col("trigram") < NARROW).toPandas()  # languages x trigrams at most
+    wide = summed.where(F.col("trigram") >= NARROW).mapInArrow(bundled, "lang string, place int, value long")
+    others = {lang: g for lang, g in wide.groupBy("lang", "place").agg(F.sum("value").alias("value")).toPandas().groupby("lang")}
+    summed.unpersist()
+    langs, rows = sorted({*total["lang"], *others}), []
     for lang in langs:
         mine = total[total["lang"] == lang].sort_values("trigram")
         at, w, vector = mine["trigram"].to_numpy(), mine["weight"].to_numpy().round(6), np.zeros(DIMENSIONS)
         for i in range(0, len(at), 4096):
             vector += w[i : i + 4096] @ bound(at[i : i + 4096])
+        if lang in others:
+            vector[others[lang]["place"].to_numpy()] += others[lang]["value"].to_numpy() / 1e6
         rows.append(vector / max(np.linalg.norm(vector), 1e-12))
     return langs, np.array(rows).reshape(len(langs), DIMENSIONS)
 

@@ -226,6 +226,20 @@ def test_language(spark, small):
     assert {r.lang_pred for r in lang_hd.language_report(odd.where("doc_id = 2")).collect()} == {"und"}
 
 
+def test_language_of_other_scripts(spark):
+    """Two languages in one script, for scripts beyond Latin; a letter from U+30000 on is a letter."""
+    rng = random.Random(8)
+    words = {"ru": "что это было они для очень когда если между который", "uk": "що це було вони для дуже коли якщо між який", "el": "και είναι αυτό για όταν πολύ μεταξύ που", "zh": "我们的 这个时候 因为 所以 没有人 什么样 学习的 国家", "ja": "わたしは このとき なぜなら だから ひとは どんな 勉強する 国の"}
+    text = lambda x: ("" if x in ("zh", "ja") else " ").join(rng.choice(words[x].split()) for _ in range(12))
+    rows = [(i, text(x), x) for i, x in enumerate(list(words) * 40)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    asked = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(list(words) * 20)], learn.schema)
+    got = {r.doc_id: r.lang_pred for r in lang_hd.predict(asked, learn).collect()}
+    assert sum(got[i] == x for i, x in enumerate(list(words) * 20)) >= 98
+    assert all(lang_hd._codes()[ord(c)] for c in "\U00030000\U00031350жΩ中") and lang_hd._codes()[ord("Ж")] == lang_hd._codes()[ord("ж")]
+    assert len({int(lang_hd._codes()[ord(c)]) for c in "абвгдежзαβγδ中国学"}) == 15
+
+
 REPORTS = {
     "piece_codec": lambda d: piece_codec.round_trip_report(d, PIECE_MODEL),
     "token_counts": lambda d: token_counts.token_counts(d, BYTE_BPE),
