@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -28,36 +29,112 @@ from pyspark.sql import DataFrame
 
 #: HTML's element classes, fixed by its standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea title select button object head".split())
+SCRIPT = frozenset("script style".split())
+ONCE = frozenset("textarea title iframe select button".split())  # hidden too, and never inside their own kind
+NESTED = frozenset("noscript template svg object math".split())
+FOREIGN = frozenset("svg math".split())  # the only ones that a slash before > closes
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
+DEPTH = 512  # browsers flatten what is nested deeper
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>?", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+GAP, ATTRIBUTE, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 WORDS = re.compile(r"[a-z]+")
-ATTR = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMING = frozenset(("class", "id", "role"))
 SENTENCE = re.compile(r"[.!?…][\"'”’)]*$")
 
 CONTENT, OTHER = 0, 1
 
 
+def _attributes(page: str, at: int) -> tuple[list[str], bool, int]:
+    """Values of the naming attributes, whether a slash closes the tag, and its end, for a tag whose name ends at `at`.
+
+    Quotes count only where a value begins, as in HTML. A quote that is never closed is a plain character.
+    """
+    found, n = [], len(page)
+    while True:
+        at = GAP.match(page, at).end()
+        if at >= n or page[at] == ">":
+            return found, page[at - 1] == "/", min(at + 1, n)
+        m = ATTRIBUTE.match(page, at)
+        name, at = m[0].lower(), m.end()
+        if not (m := EQUALS.match(page, at)):
+            continue
+        at = m.end()
+        quote = page[at : at + 1]
+        end = page.find(quote, at + 1) if quote in ("'", '"') else -1
+        if end >= 0:
+            value, at = page[at + 1 : end], end + 1
+        else:
+            m = BARE.match(page, at)
+            value, at = m[0], m.end()
+        if name in NAMING:
+            found.append(value)
+
+
+class _Ends:
+    """Where elements that hide their content begin and end; each name is looked for once a page."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def _next(self, name: str, closing: bool, at: int) -> tuple[int, int] | None:
+        if (name, closing) not in self.known:
+            tag = re.compile(rf"<{'/' if closing else ''}{re.escape(name)}(?=[\s/>])[^>]*>?", re.I)
+            spans = [m.span() for m in tag.finditer(self.page)]
+            self.known[name, closing] = [a for a, _ in spans], spans
+        starts, spans = self.known[name, closing]
+        k = bisect_left(starts, at)
+        return spans[k] if k < len(spans) else None
+
+    def after(self, name: str, at: int) -> int | None:
+        """The end of the hidden content that begins at `at`; None for an element that nothing closes."""
+        end = self._next(name, True, at)
+        if end is None:
+            return len(self.page) if name in SCRIPT else None
+        if name in ONCE and (again := self._next(name, False, at)) and again < end:
+            return None
+        return end[1]
+
+
 def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset]], int]]:
-    """(text, ancestors as (tag, attribute words), characters inside links) of each leaf block in page order."""
+    """(text, ancestors as (tag, attribute words), characters inside links) of each leaf block in page order.
+
+    One pass, linear in the page. Script and style run to their end tag or the page's end; other hidden elements
+    that nothing closes hide nothing.
+    """
     out, stack, parts, links, linked, at = [], [], [], 0, 0, 0
+    ends, headed = _Ends(page), False
+
+    def text(upto):
+        nonlocal linked
+        if upto > at:
+            part = html.unescape(page[at:upto])
+            parts.append(part)
+            linked += len(part) * (links > 0)
 
     def flush():
         nonlocal parts, linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             out.append((text, [x for x in stack if x[0] not in INLINE], min(linked, len(text))))
         parts, linked = [], 0
 
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
+    look = 0
+    while (start := page.find("<", look)) >= 0:
+        tag = NAME.match(page, start)
+        if not tag:
+            other = COMMENT.match(page, start)
+            look = other.end() if other else start + 1
+            if other:
+                text(start)
+                at = look
             continue
-        if m[1]:
+        text(start)
+        values, slash, at = _attributes(page, tag.end())
+        look, name = at, tag[2].lower()
+        if tag[1]:
             if name == "a":
                 links = max(0, links - 1)
             if name not in INLINE:
@@ -67,13 +144,14 @@ def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset]], int]]
                     del stack[i:]
                     break
             continue
-        if name in RAW and not m[3].endswith("/"):
-            if name != "head":
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                continue
-            end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-            at = (end.end() if end[0][1] == "/" else end.start()) if end else at
+        if name == "head":
+            if not headed and (end := HEAD_END.search(page, at)):
+                at = look = end.end() if end[0][1] == "/" else end.start()
+            headed = True  # a page has one head
+            continue
+        if name in SCRIPT or name in ONCE or name in NESTED:
+            end = None if name in FOREIGN and slash else ends.after(name, at)
+            at = look = at if end is None else end
             continue
         if name == "br":
             parts.append(" ")
@@ -84,10 +162,9 @@ def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset]], int]]
             if stack and (stack[-1][0] == "p" or name in ("li", "td", "tr", "dd", "dt", "option") and stack[-1][0] == name):
                 stack.pop()
         links += name == "a"
-        if name not in VOID and not m[3].endswith("/"):
-            words = frozenset(w for x in ATTR.findall(m[3]) for w in WORDS.findall(x.lower())) if m[3] else frozenset()
-            stack.append((name, words))
-    parts.append(page[at:])
+        if name not in VOID and len(stack) < DEPTH:
+            stack.append((name, frozenset(w for x in values for w in WORDS.findall(x.lower()))))
+    text(len(page))
     flush()
     return out
 
