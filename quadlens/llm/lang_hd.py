@@ -5,12 +5,11 @@ the letters' vectors, permuted (rolled) by their place; a text's vector is the b
 vectors; a language's prototype is the bundle over all its learning texts, each scaled to the same weight
 per trigram. A text goes to the language of highest cosine.
 
-The trigram counts of each language are sums over all learning rows, made on Spark; the prototypes follow from
-them by linearity. Latin letters up to U+017F have SYMBOLS symbols, and trigrams of these alone come to the driver
-(languages x trigrams, at most SYMBOLS^3 each, whatever the input). Every other letter has a symbol of its own, its
-vector made from a seeded hash of the lower-cased letter; trigrams with such letters may be many, so they are bundled
-on Spark and a vector per language comes to the driver. Prediction is one Arrow pass without a shuffle. A letter is
-any code point of category L; all else counts as word borders.
+The trigram counts of each language are sums over all learning rows, made on Spark, and are bundled there: one
+vector per language comes to the driver. Latin letters up to U+017F have SYMBOLS symbols; every other letter has a
+symbol of its own, its vector made from a seeded hash of the lower-cased letter. Prediction is one Arrow pass without
+a shuffle. A letter is any code point of category L; all else counts as word borders. Long texts are read piece by
+piece; trigrams over the edges of pieces count as all others.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is every text if nothing
 could be learned; rows with a null lang or text teach nothing; a null doc_id learns as the text 'null' would
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +35,7 @@ SYMBOLS, BORDER, OTHERS = 64, 0, 4
 NARROW = SYMBOLS**3  # trigrams from here on hold a symbol from SYMBOLS on
 BITS = 21  # of a symbol in them
 DIMENSIONS, SEED = 1024, 20240229
-GROUP = 1 << 20
+PIECE = 1 << 20  # characters read at a time
 
 
 @lru_cache(maxsize=1)
@@ -85,19 +85,35 @@ def bound(trigrams: np.ndarray) -> np.ndarray:
     return first[trigrams // SYMBOLS**2] * second[trigrams // SYMBOLS % SYMBOLS] * v[trigrams % SYMBOLS]
 
 
-def trigrams_of(text: str) -> np.ndarray:
-    """The trigrams of a text, words bordered by one BORDER; none without a letter."""
-    s = _codes()[np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), np.uint32)]
-    s = s[(s != BORDER) | np.concatenate([[True], s[:-1] != BORDER])].astype(np.int32)
-    if len(s) < 3:
-        return np.zeros(0, np.int32)
-    if s.max() < SYMBOLS:
-        t = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    else:
-        s = s.astype(np.int64)
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """Symbols of a text in pieces, with one BORDER between words and at both ends; a piece repeats the last two symbols of the one before."""
+    tail, border = np.zeros(0, np.int32), np.full(1, BORDER, np.int32)
+    for i in range(0, max(len(text), 1), PIECE):
+        codes = _codes()[np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "replace"), np.uint32)]
+        s = np.concatenate([tail[-1:], border[: i == 0], codes, border[: i + PIECE >= len(text)]])
+        keep = (s != BORDER) | np.concatenate([[True], s[:-1] != BORDER])
+        s = np.concatenate([tail[:-1], s[keep]])
+        yield s
+        tail = s[-2:]
+
+
+def trigrams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of a text in order and how often each occurs, words bordered by one BORDER; none without a letter."""
+    found = []
+    for s in _pieces(text):
+        if len(s) < 3:
+            continue
+        if s.max() >= SYMBOLS:
+            s = s.astype(np.int64)
         a, b, c = s[:-2], s[1:-1], s[2:]
-        t = np.where(np.maximum(np.maximum(a, b), c) < SYMBOLS, (a * SYMBOLS + b) * SYMBOLS + c, (a << 2 * BITS) | (b << BITS) | c)
-    return t[s[1:-1] != BORDER]
+        t = (a * SYMBOLS + b) * SYMBOLS + c
+        if s.dtype == np.int64:
+            t = np.where(np.maximum(np.maximum(a, b), c) < SYMBOLS, t, (a << 2 * BITS) | (b << BITS) | c)
+        found.append(np.unique(t[b != BORDER], return_counts=True))
+    if len(found) < 2:
+        return found[0] if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    at, of = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+    return at, np.bincount(of, np.concatenate([n for _, n in found]), len(at)).astype(np.int64)
 
 
 class Bound:
@@ -137,16 +153,21 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                t = trigrams_of(text)
-                if len(t):
-                    at, n = np.unique(t, return_counts=True)
+                at, n = trigrams_of(text)
+                if len(at):
                     n, wide = n / np.sqrt((n * n).sum()), int(np.searchsorted(at, NARROW))
                     sums.setdefault(lang, np.zeros(NARROW))[at[:wide]] += n[:wide]
                     if wide < len(at):
                         yield weights(lang, at[wide:], n[wide:])
+                    if len(sums) > 64:  # a task holds few languages at a time
+                        for x in list(sums):
+                            yield told(x, sums.pop(x))
         for lang, s in sums.items():
-            at = np.flatnonzero(s)
-            yield weights(lang, at, s[at])
+            yield told(lang, s)
+
+    def told(lang, s):
+        at = np.flatnonzero(s)
+        return weights(lang, at, s[at])
 
     def weights(lang, at, w):
         return pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(w)], ["lang", "trigram", "weight"])
@@ -165,19 +186,13 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.record_batch([pa.array([x] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(vector)], ["lang", "place", "value"])
 
     counted = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(count, "lang string, trigram long, weight double")
-    summed = counted.groupBy("lang", "trigram").agg(F.sum("weight").alias("weight")).cache()
-    total = summed.where(F.col("trigram") < NARROW).toPandas()  # languages x trigrams at most
-    wide = summed.where(F.col("trigram") >= NARROW).mapInArrow(bundled, "lang string, place int, value long")
-    others = {lang: g for lang, g in wide.groupBy("lang", "place").agg(F.sum("value").alias("value")).toPandas().groupby("lang")}
-    summed.unpersist()
-    langs, rows = sorted({*total["lang"], *others}), []
-    for lang in langs:
-        mine = total[total["lang"] == lang].sort_values("trigram")
-        at, w, vector = mine["trigram"].to_numpy(), mine["weight"].to_numpy().round(6), np.zeros(DIMENSIONS)
-        for i in range(0, len(at), 4096):
-            vector += w[i : i + 4096] @ bound(at[i : i + 4096])
-        if lang in others:
-            vector[others[lang]["place"].to_numpy()] += others[lang]["value"].to_numpy() / 1e6
+    summed = counted.groupBy("lang", "trigram").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    vectors = summed.mapInArrow(bundled, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value")).toPandas()  # languages x DIMENSIONS
+    langs, rows = [], []
+    for lang, g in vectors.groupby("lang"):
+        vector = np.zeros(DIMENSIONS)
+        vector[g["place"].to_numpy()] = g["value"].to_numpy()
+        langs.append(lang)
         rows.append(vector / max(np.linalg.norm(vector), 1e-12))
     return langs, np.array(rows).reshape(len(langs), DIMENSIONS)
 
@@ -193,10 +208,9 @@ def predict(docs: DataFrame, learn: DataFrame) -> DataFrame:
             names, scores = [], []
             for text in b.column("text").to_pylist():
                 vector = np.zeros(DIMENSIONS, np.float32)
-                for i in range(0, len(text or ""), GROUP):
-                    at, n = np.unique(trigrams_of(text[i : i + GROUP]), return_counts=True)
-                    for j in range(0, len(at), 8192):
-                        vector += n[j : j + 8192].astype(np.float32) @ _bound()(at[j : j + 8192]).astype(np.float32)
+                at, n = trigrams_of(text or "")
+                for j in range(0, len(at), 8192):
+                    vector += n[j : j + 8192].astype(np.float32) @ _bound()(at[j : j + 8192]).astype(np.float32)
                 size = float(np.linalg.norm(vector))
                 if not size or not langs:
                     names.append("und")
