@@ -5,8 +5,9 @@ with built-in functions only; each row of RULES then becomes one comparison over
 no shuffle: a document is judged on its own row.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null doc_id is
-passed through; repeated rows are judged one by one; extra columns are ignored; an empty table gives an
-empty result. Windows are compared within one text by 64 bits of hash.
+passed through; repeated rows are judged one by one; extra columns are passed through by keep_good and left out
+of the report, whatever their names (measured and judged add columns to docs, which must not have these yet); an
+empty table gives an empty result. Windows are compared within one text by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadlens.llm.common import as_before, whole_rows
+
 #: Stop words of the corpus languages (English, German, French, Spanish).
 STOP_WORDS = (
     "the of and to in a is that it for was on are as with be by at this from or an not have has "
@@ -113,8 +116,8 @@ def quality_report(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns."""
-    return judged(docs, rules).where("kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with docs' columns, whatever their names."""
+    return as_before(judged(whole_rows(docs, "text"), rules).where("kept"), docs)
 
 
 def oracle(rules=RULES) -> str:
