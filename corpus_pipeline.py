@@ -6,10 +6,8 @@ columns of documents; the last packs what is left into sequences.
 
 from __future__ import annotations
 
-import uuid
-
 from quadlens.llm import jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
-from quadlens.llm.common import on_workers, shared_dir
+from quadlens.llm.common import new_path, on_workers
 from quadlens.llm.queries import BYTE_BPE, BYTE_RANKS
 
 
@@ -53,7 +51,7 @@ def run(spark, sf_dir):
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+            path = new_path(spark, "pipeline")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
