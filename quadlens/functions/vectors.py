@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,9 @@ def angle_deg(a, b) -> Column:
 def with_triangle_distance(df: DataFrame, out: str = "dist") -> DataFrame:
     """df with the distance of point (pz, py, px) to triangle (az.., bz.., cz..).
 
-    The regions around a triangle are tried in order: corners, edges, inside. Each region's weights of the
-    corners b and c say where the nearest point lies, so one CASE per weight is all there is.
+    The regions around a triangle are tried in order: corners, edges, inside (the textbook case analysis, as in
+    C. Ericson, Real-Time Collision Detection, 5.1.5). Each region's weights of the corners b and c say where the
+    nearest point lies, so one CASE per weight is all there is.
     """
     p, a, b, c = (triple(x) for x in "pabc")
     ab, ac = sub(b, a), sub(c, a)
@@ -74,6 +76,24 @@ def with_triangle_distance(df: DataFrame, out: str = "dist") -> DataFrame:
     return df.withColumn(out, norm(sub(p, near))).drop("_1", "_2", "_3", "_4", "_5", "_6", "_va", "_vb", "_vc", "_v", "_w")
 
 
+def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The same over arrays of points and corners, row by row."""
+    ab, ac = b - a, c - a
+    along = lambda e, o: (e * (p - o)).sum(1)
+    d1, d2, d3, d4, d5, d6 = along(ab, a), along(ac, a), along(ab, b), along(ac, b), along(ab, c), along(ac, c)
+    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    safe = lambda x: np.where(np.abs(x) < TINY, TINY, x)
+    regions = [
+        (d1 <= 0) & (d2 <= 0), (d3 >= 0) & (d4 <= d3), (d6 >= 0) & (d5 <= d6),
+        (vc <= 0) & (d1 >= 0) & (d3 <= 0), (vb <= 0) & (d2 >= 0) & (d6 <= 0), (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0),
+    ]
+    zero, one, whole = np.zeros(len(p)), np.ones(len(p)), safe(va + vb + vc)
+    edge = (d4 - d3) / safe((d4 - d3) + (d5 - d6))
+    v = np.select(regions, [zero, one, zero, d1 / safe(d1 - d3), zero, one - edge], vb / whole)
+    w = np.select(regions, [zero, zero, one, zero, d2 / safe(d2 - d6), edge], vc / whole)
+    return np.sqrt(((p - (a + v[:, None] * ab + w[:, None] * ac)) ** 2).sum(1))
+
+
 def polar(y: Column, x: Column, cy, cx) -> tuple[Column, Column]:
     """radius and azimuth around (cy, cx)."""
     dy, dx = y - cy, x - cx

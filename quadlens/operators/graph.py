@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and cut from its lineage, in spark.checkpoint.dir; in a temporary folder where that is unset in a local run."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadlens-"))
     return df.checkpoint()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node each node of links (a, b) is connected with; labels jump, so rounds grow with the log of the diameter."""
-    edges = _cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         heard = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
         step = labels.join(heard, "node").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        step = _cut(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
+        step = cut(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
         labels = step.select("node", "comp")
         if step.where("old <> comp").isEmpty():
             return labels

@@ -1,32 +1,36 @@
 """Exact nearest-face join of points with triangles.
 
-Grid strategy. An upper bound for each point comes first: its distance to a bounded set of centroids, then to
-the centroids in its own grid cell and those around it. Any closer face has its centroid within bound +
-radius; faces are classed by power-of-two radius so that one huge face does not widen the search of all.
-For each class a point looks up the cells its ball touches, in a grid whose cells are at least as wide as the
-ball: eight at most, whatever the bound. Grids are keyed (class, level, cell), so it is one equi-join; pairs
-are pruned by centroid distance before the exact distance is taken, and the best pair per point is kept by an
-aggregate that combines map-side. AQE splits cells that hold many points.
+Faces are dealt to tiles, cells of a grid over their centroids that hold some TILE faces each; a crowded tile is
+split into parts. A summary per tile (its bounding box) says how near its faces can be. Every point first meets
+the tile it is nearest to, which gives it a distance; then it meets the other tiles whose boxes are nearer than
+that, if any. Tiles are solved where their points and faces meet: faces in order along a space-filling curve form
+small blocks with bounding spheres, blocks and then faces that cannot be nearest are left out, and the exact distance
+is taken to the rest. Up to TILE faces there is one tile and one step. Points of a crowded place are dealt to
+several tasks, each with the tile's faces.
 
 Ties go to the nearer centroid, then to the smaller (block, winding, row, col).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlens.functions.vectors import norm, sub, triple, with_triangle_distance
+from quadlens.functions.vectors import sub, triangle_distance, triple, with_triangle_distance
+from quadlens.operators.graph import cut
 
-SEEDS = 256  # centroids for the first bound
+TILE = 1 << 16  # faces of a tile and points of a task, about
+BLOCK, STEP = 32, 256  # faces of a block, points at a time
+SLACK = 1e-9
 FACE = ["winding", "row", "col", "block"]
+TIES = ["_g", "face_block", "face_winding", "face_row", "face_col"]
 
 
 def _best(pairs: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """keys, dist and keep of the best pair of each point."""
-    rank = F.struct(F.round("dist", 9).alias("d"), F.round("_g2", 6).alias("g"), F.col("face_block"), F.col("face_winding"), F.col("face_row"), F.col("face_col"), F.col("dist"), *[F.col(c) for c in keep])
+    rank = F.struct(F.round("dist", 9).alias("d"), *[F.col(c) for c in TIES], F.col("dist"), *[F.col(c) for c in keep])
     names = ["face_winding", "face_row", "face_col", "face_block"]
     return pairs.groupBy(*keys).agg(F.min(rank).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in ("dist", *names, *keep)])
 
@@ -36,63 +40,149 @@ def _faces_side(faces: DataFrame, keep: list[str]) -> DataFrame:
     return faces.select(*[F.col(c).alias(f"face_{c}") for c in FACE], *corner, "radius", *keep)
 
 
-def _with_pair(df: DataFrame) -> DataFrame:
-    d = sub(triple("p"), triple("g"))
-    return df.withColumn("_g2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-
-
 def nearest_brute(points: DataFrame, faces: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
     """Every pair; for checks on small inputs."""
     keep = list(keep)
     pairs = points.select(*keys, "pz", "py", "px").crossJoin(F.broadcast(_faces_side(faces, keep)))
-    return _best(with_triangle_distance(_with_pair(pairs)), keys, keep)
+    d = sub(triple("p"), triple("g"))
+    pairs = pairs.withColumn("_g", F.round(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], 6))
+    return _best(with_triangle_distance(pairs), keys, keep)
 
 
-def _cells(level: Column, cell: float, at: tuple, reach: Column | None = None) -> list[Column]:
-    """Per axis the cell of `at`, or the first and last cell of the ball of reach around it."""
-    size = F.lit(cell) * F.pow(F.lit(2.0), level)
-    if reach is None:
-        return [F.floor(c / size) for c in at]
-    return [(F.floor((c - reach) / size), F.floor((c + reach) / size)) for c in at]
+def _array(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in names], 1) if table.num_rows else np.zeros((0, len(names)))
+
+
+def _curve(p: np.ndarray, bits: int = 16) -> np.ndarray:
+    """Order of points along a curve that interleaves the bits of their places."""
+    span = np.ptp(p, axis=0).max() or 1.0
+    cell = ((p - p.min(0)) / span * ((1 << bits) - 1)).astype(np.uint64)
+    code = np.zeros(len(p), np.uint64)
+    for b in range(bits):
+        for axis in range(3):
+            code |= (cell[:, axis] >> np.uint64(b) & np.uint64(1)) << np.uint64(3 * b + axis)
+    return np.argsort(code, kind="stable")
+
+
+class _Blocks:
+    """Faces of one tile in blocks along the curve, with each block's bounding sphere."""
+
+    def __init__(self, corners: np.ndarray, centroid: np.ndarray, radius: np.ndarray):
+        self.order = _curve(centroid)
+        g, r = centroid[self.order], radius[self.order]
+        start = np.arange(0, len(g), BLOCK)
+        size = np.diff(np.append(start, len(g)))
+        self.mid = np.add.reduceat(g, start) / size[:, None]
+        far = np.linalg.norm(g - np.repeat(self.mid, size, 0), axis=1) + r
+        self.reach = np.maximum.reduceat(far, start)
+        self.start, self.size, self.g, self.r, self.corners = start, size, g, r, corners[self.order]
+
+    def nearest(self, p: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each point: the face, its distance and the squared distance of its centroid."""
+        to_mid = np.sqrt(((p[:, None] - self.mid[None]) ** 2).sum(2))
+        bound = (to_mid + self.reach).min(1)
+        point, block = np.nonzero(to_mid - self.reach <= bound[:, None] + SLACK)
+        n = self.size[block]
+        point = np.repeat(point, n)
+        face = np.repeat(self.start[block] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        g2 = ((p[point] - self.g[face]) ** 2).sum(1)
+        to_g = np.sqrt(g2)
+        first = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
+        bound = np.minimum.reduceat(to_g, first)[point]  # centroids lie on their faces
+        near = np.flatnonzero(to_g - self.r[face] <= bound + SLACK)
+        point, face, g2 = point[near], face[near], g2[near].round(6)
+        dist = triangle_distance(p[point], *np.moveaxis(self.corners[face].reshape(-1, 3, 3), 1, 0))
+        own = self.order[face]
+        order = np.lexsort((*ties[own].T[::-1], g2, dist.round(9), point))
+        first = order[np.concatenate([[True], point[order][1:] != point[order][:-1]])]
+        return own[first], dist[first], g2[first]
+
+
+def _solver(keys: list[str], keep: list[str]):
+    corners = [f"{n}{a}" for n in "abc" for a in "zyx"]
+    names = [*keys, "dist", *TIES, *keep]
+
+    def solve(points: pa.Table, faces: pa.Table) -> pa.Table:
+        p = _array(points, ["pz", "py", "px"])
+        if not len(p) or not faces.num_rows:
+            of, face, dist, g2 = (np.zeros(0, np.int64),) * 4
+        else:
+            blocks, ties = _Blocks(_array(faces, corners), _array(faces, ["gz", "gy", "gx"]), faces.column("radius").to_numpy()), _array(faces, TIES[1:])
+            of = _curve(p)  # points near each other need the same blocks
+            found = [blocks.nearest(p[of[i : i + STEP]], ties) for i in range(0, len(of), STEP)]
+            face, dist, g2 = (np.concatenate(x) for x in zip(*found))
+        take = pa.array(face.astype(np.int64))
+        own = [points.column(c).take(pa.array(of)) for c in keys]
+        return pa.table([*own, pa.array(dist.astype(float)), pa.array(g2.astype(float)), *(faces.column(c).take(take) for c in (*TIES[1:], *keep))], names)
+
+    return solve
+
+
+def _types(df: DataFrame, names: list[str]) -> list[str]:
+    kinds = dict(df.dtypes)
+    return [f"`{c}` {kinds[c]}" for c in names]
+
+
+def _met(asked: DataFrame, faces: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    """The best face of each point in each tile part it asks; asked and faces have tile and part."""
+    tasks = asked.groupBy("tile", "part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tasks"))
+    faces = faces.join(tasks, ["tile", "part"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    asked = asked.join(tasks, ["tile", "part"]).withColumn("task", F.pmod(F.xxhash64(*keys), F.col("tasks")).cast("int")).drop("tasks")
+    schema = ", ".join([*_types(asked, keys), "dist double, _g double", *_types(faces, [*TIES[1:], *keep])])
+    at = ["tile", "part", "task"]
+    return asked.groupBy(*at).cogroup(faces.groupBy(*at)).applyInArrow(_solver(keys, keep), schema)
 
 
 def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
     """keys, dist, face_winding, face_row, face_col, face_block and keep (columns of faces) of the face nearest to each point (pz, py, px)."""
-    keep = list(keep)
-    points = points.select(*keys, "pz", "py", "px")
-    faces = _faces_side(faces, keep).cache()
-    stats = faces.agg(F.percentile_approx("radius", 0.5, 1000).alias("mid"), F.max("radius").alias("most")).first()
-    if stats["mid"] is None:
+    keep, spark = list(keep), points.sparkSession
+    points, faces = cut(points.select(*keys, *[F.col(f"p{a}").cast("double").alias(f"p{a}") for a in "zyx"])), cut(_faces_side(faces, keep))
+    seen = faces.agg(F.count("*").alias("n"), *[f(f"g{a}").alias(f"{f.__name__}_{a}") for f in (F.min, F.max) for a in "zyx"]).first()
+    if not seen["n"]:
         raise ValueError("no face to be near to")
-    cell = max(2.0 * stats["mid"], 1e-9)
-    # first bound: a bounded set of centroids, by hash order
-    seeds = faces.select("gz", "gy", "gx").orderBy(F.xxhash64("gz", "gy", "gx")).limit(SEEDS).collect()
-    centers = F.array(*[F.struct(F.lit(r[0]).alias("z"), F.lit(r[1]).alias("y"), F.lit(r[2]).alias("x")) for r in seeds])
-    p = triple("p")
-    far = F.array_min(F.transform(centers, lambda s: norm(sub(p, (s["z"], s["y"], s["x"])))))
-    points = points.withColumn("_far", far)
-    # second bound: centroids in the cells around
-    shifts = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    level = F.lit(0.0)
-    own = _cells(level, cell, p)
-    around = points.select(*keys, "pz", "py", "px", F.explode(shifts).alias("_s")).select(*keys, "pz", "py", "px", *[(c + F.col(f"_s.{n}")).alias(f"_c{a}") for c, n, a in zip(own, "ijk", "zyx")])
-    at = faces.select("gz", "gy", "gx", *[c.alias(f"_c{a}") for c, a in zip(_cells(level, cell, triple("g")), "zyx")])
-    near = around.join(at, ["_cz", "_cy", "_cx"]).groupBy(*keys).agg(F.min(norm(sub(p, triple("g")))).alias("_near"))
-    points = points.join(near, keys, "left").withColumn("_bound", F.least("_far", F.coalesce("_near", "_far"))).drop("_far", "_near")
-    # exact pass, by class of radius
-    kind = F.greatest(F.ceil(F.log2(F.greatest(F.col("radius"), F.lit(1e-12)) / cell)), F.lit(-1)).cast("int")
-    faces = faces.withColumn("_kind", kind)
-    kinds = [r[0] for r in faces.select("_kind").distinct().collect()]  # powers of two of the radius
-    by_kind = F.array(*[F.struct(F.lit(int(k)).alias("kind"), F.lit(cell * math.pow(2.0, k)).alias("r")) for k in kinds])
-    asked = points.select("*", F.explode(by_kind).alias("_k")).withColumn("_reach", F.col("_bound") + F.col("_k.r") + 1e-9)
-    asked = asked.withColumns({"_kind": F.col("_k.kind"), "_level": F.greatest(F.ceil(F.log2(2 * F.col("_reach") / cell)), F.lit(0)).cast("int")}).cache()
-    spans = _cells(F.col("_level"), cell, p, F.col("_reach"))
-    looked = asked
-    for (lo, hi), a in zip(spans, "zyx"):
-        looked = looked.withColumn(f"_c{a}", F.explode(F.sequence(lo, hi)))
-    used = asked.select("_kind", "_level").distinct()  # a few dozen pairs of classes and levels
-    held = faces.join(F.broadcast(used), "_kind")
-    held = held.withColumns({f"_c{a}": c for a, c in zip("zyx", _cells(F.col("_level"), cell, triple("g")))})
-    pairs = looked.drop("_k").join(held, ["_kind", "_level", "_cz", "_cy", "_cx"])
-    pairs = _with_pair(pairs).where(F.sqrt("_g2") <= F.col("_bound") + F.col("radius") + 1e-9)
-    return _best(with_triangle_distance(pairs), keys, keep)
+    if seen["n"] <= TILE:
+        one = [F.lit(0).alias("tile"), F.lit(0).alias("part")]
+        return _best(_met(points.select("*", *one), faces.select("*", *one), keys, keep), keys, keep)
+    low = [seen[f"min_{a}"] for a in "zyx"]
+    cell = max(max(seen[f"max_{a}"] - x for a, x in zip("zyx", low)), 1e-9) * (TILE / seen["n"]) ** 0.5  # faces lie on surfaces
+    at = [F.floor((F.col(f"g{a}") - x) / cell) for a, x in zip("zyx", low)]
+    faces = faces.withColumn("tile", (at[0] * (1 << 20) + at[1]) * (1 << 20) + at[2])
+    edge = [f(*[F.col(f"{n}{a}") for n in "abc"]) for f in (F.least, F.greatest) for a in "zyx"]
+    boxes = faces.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), *[(F.min if i < 3 else F.max)(c).alias(f"e{i}") for i, c in enumerate(edge)])
+    boxes = cut(boxes)
+    faces = faces.join(F.broadcast(boxes.select("tile", "parts")), "tile").withColumn("part", F.pmod(F.xxhash64(*[f"face_{c}" for c in FACE]), F.col("parts")).cast("int")).drop("parts")  # a row a tile
+    table = boxes.toArrow()  # a row a tile: one for some TILE faces
+    shared = spark.sparkContext.broadcast((table.column("tile").to_numpy(), table.column("parts").to_numpy(), _array(table, [f"e{i}" for i in range(6)])))
+
+    def asks(first: bool):
+        def run(batches):
+            tiles, parts, box = shared.value
+            for b in batches:
+                p = _array(b, ["pz", "py", "px"])
+                out = []
+                for i in range(0, len(p), STEP):
+                    q = p[i : i + STEP, None]
+                    far = np.sqrt((np.maximum(np.maximum(box[None, :, :3] - q, q - box[None, :, 3:]), 0) ** 2).sum(2))
+                    near = far.argmin(1)
+                    if first:
+                        of, tile = np.arange(len(q)), near
+                    else:
+                        far[np.arange(len(q)), near] = np.inf
+                        of, tile = np.nonzero(far <= b.column("dist").to_numpy()[i : i + STEP, None] + SLACK)
+                    n = parts[tile]
+                    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    out.append((np.repeat(of + i, n), np.repeat(tiles[tile], n), part))
+                of, tile, part = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+                own = [b.column(c).take(pa.array(of)) for c in (*keys, "pz", "py", "px")]
+                yield pa.record_batch([*own, pa.array(tile.astype(np.int64)), pa.array(part.astype(np.int32))], [*keys, "pz", "py", "px", "tile", "part"])
+
+        return run
+
+    schema = ", ".join([*_types(points, keys), "pz double, py double, px double, tile long, part int"])
+    near = cut(_best(_met(points.mapInArrow(asks(True), schema), faces, keys, keep), keys, keep))
+    rest = points.join(near.select(*keys, "dist"), keys).mapInArrow(asks(False), schema)
+    pairs = _met(rest, faces, keys, keep)
+    own = near.join(faces.select(*TIES[1:], "gz", "gy", "gx"), TIES[1:]).join(points, keys)
+    d = sub(triple("p"), triple("g"))
+    g = F.round(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], 6)
+    return _best(own.withColumn("_g", g).select(*pairs.columns).unionByName(pairs), keys, keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlens.operators.graph import _cut, components
+from quadlens.operators.graph import components, cut
 
 #: Suffixes that derived exports add to a patch's name (fixed values).
 SUFFIXES = (r"_sel_.*$", r"_region_\d+$", r"_v\d+(\.tifxyz)?$", r"_(flatboi|copy|front|back|new|lasagna|growpatch)$")
@@ -36,7 +36,7 @@ def merged_families(items: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
     """rows with n, their number from 0 in the order of by (unique), and total: rows are dealt by range and numbered
     within each range; the driver only adds up the ranges' counts."""
-    placed = _cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    placed = cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     counts = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())
     first, total = [], 0
     for part, n in counts:
