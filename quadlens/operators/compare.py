@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlens.functions.stats import pct
+from quadlens.operators.graph import cut
+from quadlens.operators.splits import numbered
 
 
 def flattened(row: DataFrame) -> DataFrame:
@@ -27,34 +29,28 @@ def deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), "metric").withColumn("delta", F.col("b") - F.col("a"))
 
 
-def natural_key(name: str):
-    """Digit runs compared as numbers, for a driver-side listing."""
-    import re
+def natural_key(name: Column) -> Column:
+    """A string in whose order digit runs count as numbers: their length comes first."""
+    parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), 0)
+    digits = lambda x: F.regexp_replace(x, "^0+(?=\\d)", "")
+    padded = lambda x: F.when(x.rlike("^\\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 6, "0"), digits(x))).otherwise(x)
+    return F.array_join(F.transform(parts, padded), "")
 
-    return [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", name)]
 
-
-def paired_bootstrap(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, draws: int = 20_000, seed: int = 20260731) -> DataFrame:
     """pairs (item, weight, a, b): weighted means, their difference and a 95 % interval from resampled items.
 
     Each draw takes as many items as there are, with replacement. How often a draw takes an item is what counts,
     so slots are spread over draws by hash and each draw needs one pass over its slots.
     """
-    spark = pairs.sparkSession
-    numbered = pairs.withColumn("k", F.row_number().over(_by_item()) - 1)
-    n = numbered.count()
-    pick = F.pmod(F.crc32(F.concat_ws("|", F.lit(str(seed)), "draw", "slot").cast("binary")), F.lit(max(n, 1)))
-    slots = spark.range(draws * n).select((F.col("id") / max(n, 1)).cast("long").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
-    taken = slots.select("draw", pick.alias("k")).groupBy("draw", "k").agg(F.count("*").alias("times"))
+    items = cut(numbered(pairs.where("a IS NOT NULL AND b IS NOT NULL"), "item"))
+    n = max(items.count(), 1)
+    slots = items.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("slot"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "slot").cast("binary")), 1, 8), 16, 10).cast("long") % n
+    taken = slots.select("draw", pick.alias("n")).groupBy("draw", "n").agg(F.count("*").alias("times"))
     w = F.col("times") * F.col("weight")
-    each = taken.join(numbered, "k").groupBy("draw").agg((F.sum(w * F.col("a")) / F.sum(w)).alias("ma"), (F.sum(w * F.col("b")) / F.sum(w)).alias("mb"))
+    each = taken.join(items, "n").groupBy("draw").agg((F.sum(w * F.col("a")) / F.sum(w)).alias("ma"), (F.sum(w * F.col("b")) / F.sum(w)).alias("mb"))
     each = each.withColumn("d", F.col("mb") - F.col("ma"))
-    ends = each.agg(pct("d", 0.025).alias("lo"), pct("d", 0.975).alias("hi"))
-    whole = pairs.agg((F.sum(F.col("a") * F.col("weight")) / F.sum("weight")).alias("a"), (F.sum(F.col("b") * F.col("weight")) / F.sum("weight")).alias("b"))
+    ends = each.agg(pct("d", 0.025).alias("lo"), pct("d", 0.975).alias("hi"))  # as many numbers as draws
+    whole = items.agg((F.sum(F.col("a") * F.col("weight")) / F.sum("weight")).alias("a"), (F.sum(F.col("b") * F.col("weight")) / F.sum("weight")).alias("b"))
     return whole.crossJoin(ends).select("a", "b", (F.col("b") - F.col("a")).alias("delta"), "lo", "hi", ((F.col("lo") > 0) == (F.col("hi") > 0)).alias("excludes_zero"))
-
-
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.orderBy("item")

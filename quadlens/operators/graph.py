@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage, in spark.checkpoint.dir; in a temporary folder where that is unset in a local run."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where that is unset in a local run."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadlens-"))
+        found = tempfile.mkdtemp(prefix="quadlens-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has yet; removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and cut from its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

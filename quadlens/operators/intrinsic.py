@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadlens.functions.stats import fraction
 from quadlens.functions.vectors import polar
+from quadlens.operators.graph import cut
 
 KINDS = ("violation", "collapsed", "inflated")
 
@@ -35,16 +36,15 @@ def axis_at(rows: DataFrame, umbilicus: DataFrame, z: str = "z") -> DataFrame:
 
 def binned_radius(family: DataFrame, umbilicus: DataFrame, z_bins: int = 10, theta_bins: int = 48, min_count: int = 3) -> DataFrame:
     """winding, zb, tb, mean_r, n of the cells with enough vertices. The axis is taken at the middle of a z bin."""
-    v = family.where("valid").select("winding", *[F.col(c).cast("double").alias(c) for c in "zyx"])
-    ends = v.agg(F.min("z").alias("lo"), (F.max("z") + 1e-6).alias("hi"))
-    v = v.crossJoin(F.broadcast(ends))  # one row
-    edge = lambda k: F.when(F.lit(k) == z_bins, F.col("hi")).otherwise(F.col("lo") + F.lit(float(k)) * ((F.col("hi") - F.col("lo")) / z_bins))
-    zb = F.lit(0)
-    for k in range(1, z_bins):
-        zb = zb + (F.col("z") >= edge(k)).cast("int")
-    v = v.withColumn("zb", zb)
-    middle = sum((F.when(F.col("zb") == k, (edge(k) + edge(k + 1)) / 2).otherwise(0.0) for k in range(z_bins)), F.lit(0.0))
-    v = axis_at(v.withColumn("zc", middle), umbilicus, "zc")
+    v = cut(family.where("valid").select("winding", *[F.col(c).cast("double").alias(c) for c in "zyx"]))
+    ends = v.agg(F.min("z").alias("lo"), (F.max("z") + 1e-6).alias("hi")).first()
+    if ends["lo"] is None:
+        raise ValueError("no valid vertex")
+    lo, hi = F.lit(ends["lo"]), F.lit(ends["hi"])
+    edge = lambda k: F.when(k == z_bins, hi).otherwise(lo + k * ((hi - lo) / z_bins))
+    guess = F.least(F.greatest(F.floor((F.col("z") - lo) / ((hi - lo) / z_bins)), F.lit(0)), F.lit(z_bins - 1))
+    v = v.withColumn("zb", guess).withColumn("zb", (F.col("zb") + (F.col("z") >= edge(F.col("zb") + 1)).cast("int") - (F.col("z") < edge(F.col("zb"))).cast("int")).cast("int"))
+    v = axis_at(v.withColumn("zc", (edge(F.col("zb")) + edge(F.col("zb") + 1)) / 2), umbilicus, "zc")
     r, theta = polar(F.col("y"), F.col("x"), F.col("ay"), F.col("ax"))
     tb = F.floor((theta + math.pi) / (2 * math.pi) * theta_bins)
     tb = F.least(F.greatest(tb, F.lit(0)), F.lit(theta_bins - 1)).cast("int")
@@ -57,13 +57,14 @@ def gaps(cells: DataFrame, family: DataFrame) -> DataFrame:
     ids = family.select("winding").distinct()
     nxt = ids.select("winding", F.lead("winding").over(Window.orderBy("winding")).alias("outer"))  # as many rows as windings
     other = cells.select(F.col("winding").alias("outer"), "zb", "tb", F.col("mean_r").alias("r2"))
-    g = cells.join(F.broadcast(nxt), "winding").join(other, ["outer", "zb", "tb"])
+    g = cells.join(nxt, "winding").join(other, ["outer", "zb", "tb"])
     return g.select(F.col("winding").alias("inner"), "zb", "tb", ((F.col("r2") - F.col("mean_r")) / (F.col("outer") - F.col("winding"))).alias("gap"))
 
 
 def classed(g: DataFrame, collapse: float = 0.2, inflate: float = 2.5) -> DataFrame:
     """g with the median pitch and each gap's kind (ok, violation, collapsed or inflated)."""
-    g = g.crossJoin(F.broadcast(g.agg(F.median("gap").alias("pitch"))))
+    g = cut(g)
+    g = g.withColumn("pitch", F.lit(g.agg(F.median("gap")).first()[0]).cast("double"))
     kind = F.when(F.col("gap") <= 0, "violation").when(F.col("gap") < collapse * F.col("pitch"), "collapsed").when(F.col("gap") > inflate * F.col("pitch"), "inflated").otherwise("ok")
     return g.withColumn("kind", kind)
 

@@ -93,7 +93,7 @@ def split_combined(vertices: DataFrame, blocks: list[tuple[int, int, int]]) -> D
     spark = vertices.sparkSession
     ranges = spark.createDataFrame(blocks, "_w int, j0 int, j1 int")  # as many rows as windings
     last = vertices.agg(F.max("col").alias("last"))
-    cut = vertices.drop("winding", "surface").join(F.broadcast(ranges), F.col("col").between(F.col("j0"), F.col("j1"))).crossJoin(F.broadcast(last)).where("col <= last")
+    cut = vertices.drop("winding", "surface").join(ranges, F.col("col").between(F.col("j0"), F.col("j1"))).crossJoin(F.broadcast(last)).where("col <= last")
     return cut.select(F.format_string("w%03d", "_w").alias("surface"), F.col("_w").alias("winding"), "row", (F.col("col") - F.col("j0")).alias("col"), "z", "y", "x", "valid")
 
 

@@ -98,9 +98,10 @@ class _Blocks:
         return own[first], dist[first], g2[first]
 
 
-def _solver(keys: list[str], keep: list[str]):
+def _solver(names: list[str], keep: list[str]):
+    """names: columns of the points that are passed on."""
     corners = [f"{n}{a}" for n in "abc" for a in "zyx"]
-    names = [*keys, "dist", *TIES, *keep]
+    out = [*names, "dist", *TIES, *keep]
 
     def solve(points: pa.Table, faces: pa.Table) -> pa.Table:
         p = _array(points, ["pz", "py", "px"])
@@ -112,8 +113,8 @@ def _solver(keys: list[str], keep: list[str]):
             found = [blocks.nearest(p[of[i : i + STEP]], ties) for i in range(0, len(of), STEP)]
             face, dist, g2 = (np.concatenate(x) for x in zip(*found))
         take = pa.array(face.astype(np.int64))
-        own = [points.column(c).take(pa.array(of)) for c in keys]
-        return pa.table([*own, pa.array(dist.astype(float)), pa.array(g2.astype(float)), *(faces.column(c).take(take) for c in (*TIES[1:], *keep))], names)
+        own = [points.column(c).take(pa.array(of)) for c in names]
+        return pa.table([*own, pa.array(dist.astype(float)), pa.array(g2.astype(float)), *(faces.column(c).take(take) for c in (*TIES[1:], *keep))], out)
 
     return solve
 
@@ -123,42 +124,50 @@ def _types(df: DataFrame, names: list[str]) -> list[str]:
     return [f"`{c}` {kinds[c]}" for c in names]
 
 
-def _met(asked: DataFrame, faces: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+def _solved(asked: DataFrame, faces: DataFrame, at: list[str], names: list[str], keep: list[str]) -> DataFrame:
+    schema = ", ".join([*_types(asked, names), "dist double, _g double", *_types(faces, [*TIES[1:], *keep])])
+    return asked.groupBy(*at).cogroup(faces.groupBy(*at)).applyInArrow(_solver(names, keep), schema)
+
+
+def _met(asked: DataFrame, faces: DataFrame, keys: list[str], names: list[str], keep: list[str]) -> DataFrame:
     """The best face of each point in each tile part it asks; asked and faces have tile and part."""
     tasks = asked.groupBy("tile", "part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tasks"))
     faces = faces.join(tasks, ["tile", "part"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     asked = asked.join(tasks, ["tile", "part"]).withColumn("task", F.pmod(F.xxhash64(*keys), F.col("tasks")).cast("int")).drop("tasks")
-    schema = ", ".join([*_types(asked, keys), "dist double, _g double", *_types(faces, [*TIES[1:], *keep])])
-    at = ["tile", "part", "task"]
-    return asked.groupBy(*at).cogroup(faces.groupBy(*at)).applyInArrow(_solver(keys, keep), schema)
+    return _solved(asked, faces, ["tile", "part", "task"], names, keep)
 
 
-def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """keys, dist, face_winding, face_row, face_col, face_block and keep (columns of faces) of the face nearest to each point (pz, py, px)."""
-    keep, spark = list(keep), points.sparkSession
-    points, faces = cut(points.select(*keys, *[F.col(f"p{a}").cast("double").alias(f"p{a}") for a in "zyx"])), cut(_faces_side(faces, keep))
-    seen = faces.agg(F.count("*").alias("n"), *[f(f"g{a}").alias(f"{f.__name__}_{a}") for f in (F.min, F.max) for a in "zyx"]).first()
-    if not seen["n"]:
+def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: list[str] = (), carry: list[str] = ()) -> DataFrame:
+    """keys, carry (columns of points), dist, face_winding, face_row, face_col, face_block and keep (columns of faces) of the
+    face nearest to each point (pz, py, px)."""
+    keep, names, place = list(keep), [*keys, *carry], ["pz", "py", "px"]
+    points = cut(points.select(*names, *[F.col(c).cast("double").alias(c) for c in place if c not in names]))
+    faces = cut(_faces_side(faces, keep))
+    n = faces.count()
+    if not n:
         raise ValueError("no face to be near to")
-    if seen["n"] <= TILE:
-        one = [F.lit(0).alias("tile"), F.lit(0).alias("part")]
-        return _best(_met(points.select("*", *one), faces.select("*", *one), keys, keep), keys, keep)
-    low = [seen[f"min_{a}"] for a in "zyx"]
-    cell = max(max(seen[f"max_{a}"] - x for a, x in zip("zyx", low)), 1e-9) * (TILE / seen["n"]) ** 0.5  # faces lie on surfaces
+    if n <= TILE:
+        tasks = max(1, -(-points.count() // TILE))
+        asked = points.withColumn("task", F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int"))
+        dealt = faces.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        return _solved(asked, dealt, ["task"], names, keep).drop("_g")
+    ends = faces.agg(*[f(f"g{a}").alias(f"{f.__name__}_{a}") for f in (F.min, F.max) for a in "zyx"]).first()
+    low = [ends[f"min_{a}"] for a in "zyx"]
+    cell = max(max(ends[f"max_{a}"] - x for a, x in zip("zyx", low)), 1e-9) * (TILE / n) ** 0.5  # faces lie on surfaces
     at = [F.floor((F.col(f"g{a}") - x) / cell) for a, x in zip("zyx", low)]
     faces = faces.withColumn("tile", (at[0] * (1 << 20) + at[1]) * (1 << 20) + at[2])
     edge = [f(*[F.col(f"{n}{a}") for n in "abc"]) for f in (F.least, F.greatest) for a in "zyx"]
     boxes = faces.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), *[(F.min if i < 3 else F.max)(c).alias(f"e{i}") for i, c in enumerate(edge)])
     boxes = cut(boxes)
-    faces = faces.join(F.broadcast(boxes.select("tile", "parts")), "tile").withColumn("part", F.pmod(F.xxhash64(*[f"face_{c}" for c in FACE]), F.col("parts")).cast("int")).drop("parts")  # a row a tile
+    faces = faces.join(boxes.select("tile", "parts"), "tile").withColumn("part", F.pmod(F.xxhash64(*[f"face_{c}" for c in FACE]), F.col("parts")).cast("int")).drop("parts")
     table = boxes.toArrow()  # a row a tile: one for some TILE faces
-    shared = spark.sparkContext.broadcast((table.column("tile").to_numpy(), table.column("parts").to_numpy(), _array(table, [f"e{i}" for i in range(6)])))
+    shared = points.sparkSession.sparkContext.broadcast((table.column("tile").to_numpy(), table.column("parts").to_numpy(), _array(table, [f"e{i}" for i in range(6)])))
 
     def asks(first: bool):
         def run(batches):
             tiles, parts, box = shared.value
             for b in batches:
-                p = _array(b, ["pz", "py", "px"])
+                p = _array(b, place)
                 out = []
                 for i in range(0, len(p), STEP):
                     q = p[i : i + STEP, None]
@@ -168,21 +177,19 @@ def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: li
                         of, tile = np.arange(len(q)), near
                     else:
                         far[np.arange(len(q)), near] = np.inf
-                        of, tile = np.nonzero(far <= b.column("dist").to_numpy()[i : i + STEP, None] + SLACK)
+                        of, tile = np.nonzero(far <= b.column("_dist").to_numpy()[i : i + STEP, None] + SLACK)
                     n = parts[tile]
                     part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     out.append((np.repeat(of + i, n), np.repeat(tiles[tile], n), part))
                 of, tile, part = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-                own = [b.column(c).take(pa.array(of)) for c in (*keys, "pz", "py", "px")]
-                yield pa.record_batch([*own, pa.array(tile.astype(np.int64)), pa.array(part.astype(np.int32))], [*keys, "pz", "py", "px", "tile", "part"])
+                own = [b.column(c).take(pa.array(of)) for c in every]
+                yield pa.record_batch([*own, pa.array(tile.astype(np.int64)), pa.array(part.astype(np.int32))], [*every, "tile", "part"])
 
         return run
 
-    schema = ", ".join([*_types(points, keys), "pz double, py double, px double, tile long, part int"])
-    near = cut(_best(_met(points.mapInArrow(asks(True), schema), faces, keys, keep), keys, keep))
-    rest = points.join(near.select(*keys, "dist"), keys).mapInArrow(asks(False), schema)
-    pairs = _met(rest, faces, keys, keep)
-    own = near.join(faces.select(*TIES[1:], "gz", "gy", "gx"), TIES[1:]).join(points, keys)
-    d = sub(triple("p"), triple("g"))
-    g = F.round(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], 6)
-    return _best(own.withColumn("_g", g).select(*pairs.columns).unionByName(pairs), keys, keep)
+    every = points.columns
+    schema = ", ".join([*_types(points, every), "tile long, part int"])
+    near = cut(_met(points.mapInArrow(asks(True), schema), faces, keys, names, keep))
+    known = near.groupBy(*keys).agg(F.min("dist").alias("_dist"))
+    rest = _met(points.join(known, keys).mapInArrow(asks(False), schema), faces, keys, names, keep)
+    return _best(near.unionByName(rest), names, keep)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadlens.functions.stats import fraction, modes, pct, quantile_block, weighted
 from quadlens.functions.vectors import angle_deg, triple
 from quadlens.operators import mesh, sheets
+from quadlens.operators.graph import cut
 from quadlens.operators.nearest import nearest_faces
 
 TAU, UNSEEN_DIST, MIN_UNSEEN = 6.0, 2.0, 8
@@ -28,19 +29,21 @@ def point_scores(patches: DataFrame, family: DataFrame, inputs: DataFrame | None
     """One row per quad center: distance, winding and u of the nearest face, normal angle, and distance to the inputs."""
     points, keys = patch_points(patches, z_range), ["patch", "row", "col"]
     f = mesh.face_normals(mesh.faces(family))
-    near = find(points, f, keys, ["u", "mz", "my", "mx"])
-    out = points.join(near, keys).withColumn("angle", angle_deg(triple("n"), triple("m")))
+    carry = ["pz", "py", "px", "nz", "ny", "nx", "quad_label"]
+    out = find(points, f, keys, ["u", "mz", "my", "mx"], carry).withColumn("angle", angle_deg(triple("n"), triple("m")))
     out = out.select(*keys, *[F.col(f"p{a}").alias(a) for a in "zyx"], "quad_label", "dist", F.col("face_winding").alias("winding"), "u", "angle")
     if inputs is None:
         return out.withColumn("input_dist", F.lit(None).cast("double"))
-    own = find(points, mesh.faces(inputs), keys).select(*keys, F.col("dist").alias("input_dist"))
-    return out.join(own, keys)
+    own = ["z", "y", "x", "quad_label", "dist", "winding", "u", "angle"]
+    asked = out.withColumns({f"p{a}": F.col(a) for a in "zyx"}).withColumnRenamed("dist", "family_dist")
+    found = find(asked, mesh.faces(inputs), keys, [], [c if c != "dist" else "family_dist" for c in own])
+    return found.withColumnsRenamed({"dist": "input_dist"}).withColumnRenamed("family_dist", "dist").select(*keys, *own, "input_dist")
 
 
 def as_surfaces(patches: DataFrame) -> DataFrame:
     """Patches numbered by name as if they were windings, so that their faces can be made."""
     ids = patches.select("patch").distinct().withColumn("winding", F.dense_rank().over(_by_name()).cast("int"))
-    return patches.join(F.broadcast(ids), "patch").select("winding", "row", "col", "z", "y", "x", "valid")  # one row per patch
+    return patches.join(ids, "patch").select("winding", "row", "col", "z", "y", "x", "valid")  # one row per patch
 
 
 def _by_name():
@@ -60,12 +63,25 @@ def winding_agreement(points: DataFrame) -> DataFrame:
     return p.groupBy("patch").agg(fraction((F.col("told") - F.col("told_mode")) == (F.col("winding") - F.col("own_mode"))).alias("agreement"))
 
 
-def patch_scores(points: DataFrame, tau: float = TAU) -> DataFrame:
-    """One row per patch, from point_scores with sheet labels (sheets.with_sheets)."""
+def scored(patches: DataFrame, family: DataFrame, inputs: DataFrame | None = None, z_range: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(point scores, skipped): patches without a point to score, inside the z window, are skipped and told by name."""
+    points = cut(point_scores(patches, family, None if inputs is None else as_surfaces(inputs), z_range))
+    return points, patches.select("patch").distinct().join(points.select("patch").distinct(), "patch", "left_anti")
+
+
+def patch_scores(points: DataFrame, tau: float = TAU, unseen: float = UNSEEN_DIST) -> DataFrame:
+    """One row per patch, from point_scores with sheet labels (sheets.with_sheets); the unseen_ numbers are those of its
+    points farther than `unseen` from all inputs, null if it has none."""
+    far = F.col("input_dist") > unseen
+    of = lambda c: F.when(far, F.col(c))
     base = points.groupBy("patch").agg(
         F.count("*").alias("n_points"), *quantile_block("dist", "dist"), fraction(F.col("dist") <= tau).alias("frac_within_tau"),
-        pct("angle", 0.5).alias("angle_p50"), pct("angle", 0.9).alias("angle_p90"), F.count_if(F.col("input_dist") > UNSEEN_DIST).alias("n_unseen"),
+        pct("angle", 0.5).alias("angle_p50"), pct("angle", 0.9).alias("angle_p90"), F.count_if(far).alias("n_unseen"),
+        *[pct(of("dist"), q).alias(f"unseen_dist_{n}") for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))], F.max(of("dist")).alias("unseen_dist_max"),
+        F.avg(F.when(far, (F.col("dist") <= tau).cast("double"))).alias("unseen_frac_within_tau"), pct(of("angle"), 0.9).alias("unseen_angle_p90"),
     )
+    share = sheets.largest_share(points.where(far), PATCH).withColumnRenamed("share", "unseen_sheet_consistency")
+    base = base.join(share, "patch", "left")
     modal = modes(points, PATCH, "winding").select("patch", F.col("mode").alias("modal_winding"), F.col("share").alias("single_winding"))
     sheet = sheets.largest_share(points, PATCH).withColumnRenamed("share", "sheet_consistency")
     return base.join(modal, "patch").join(sheet, "patch").join(winding_agreement(points), "patch", "left")
@@ -85,9 +101,19 @@ def leakage_profile(points: DataFrame) -> DataFrame:
     return points.agg(*[fraction(F.col("input_dist") <= t).alias(f"within_{str(t).replace('.', '_')}") for t in LEAKAGE])
 
 
-def unseen_aggregate(points: DataFrame, tau: float = TAU, least: int = MIN_UNSEEN) -> DataFrame:
+def full_aggregate(points: DataFrame, scores: DataFrame, skipped: DataFrame, tau: float = TAU, unseen: float = UNSEEN_DIST, inputs: DataFrame | None = None) -> DataFrame:
+    """aggregate with the number of skipped patches and, where inputs are given, evidence_leakage and unseen as structs."""
+    one = aggregate(points, scores, tau).crossJoin(skipped.agg(F.count("*").alias("n_patches_skipped")))
+    if inputs is None:
+        return one
+    leak = leakage_profile(points).crossJoin(inputs.agg(F.count_distinct("patch").alias("n_input_patches")))
+    far = unseen_aggregate(points, tau, MIN_UNSEEN, unseen)
+    return one.crossJoin(leak.select(F.struct("*").alias("evidence_leakage"))).crossJoin(far.select(F.struct("*").alias("unseen")))  # one row each
+
+
+def unseen_aggregate(points: DataFrame, tau: float = TAU, least: int = MIN_UNSEEN, unseen: float = UNSEEN_DIST) -> DataFrame:
     """One row over the points far from all inputs, of patches that have enough of them; sheets keep their full-patch labels."""
-    far = points.where(F.col("input_dist") > UNSEEN_DIST)
+    far = points.where(F.col("input_dist") > unseen)
     enough = far.groupBy("patch").agg(F.count("*").alias("k")).where(F.col("k") >= least)
     kept = far.join(enough, "patch")
     share = sheets.largest_share(kept, PATCH).join(enough, "patch")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +12,18 @@ from quadlens.operators.graph import components, cut
 SUFFIXES = (r"_sel_.*$", r"_region_\d+$", r"_v\d+(\.tifxyz)?$", r"_(flatboi|copy|front|back|new|lasagna|growpatch)$")
 
 
-def family_key(name: Column, rounds: int = 12) -> Column:
-    """name without derived-export suffixes, cut until nothing changes (rounds bounds the depth) and never to nothing."""
+def family_key(name: Column) -> Column:
+    """name without derived-export suffixes, cut until nothing changes and never to nothing.
+
+    A suffix has three characters at least, so a third of the name's length is as many rounds as can change it.
+    """
     def cut(acc: Column) -> Column:
         for s in SUFFIXES:
             acc = F.when(F.regexp_replace(acc, s, "") == "", acc).otherwise(F.regexp_replace(acc, s, ""))
         return acc
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), name, lambda acc, _: cut(acc))
+    rounds = F.floor(F.char_length(name) / 3) + 1
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), rounds), name, lambda acc, _: cut(acc))
 
 
 def content_hash(*parts: Column) -> Column:
@@ -33,24 +38,32 @@ def merged_families(items: DataFrame) -> DataFrame:
     return items.join(roots.select(F.col("node").alias("family"), "comp"), "family", "left").withColumn("root", F.coalesce("comp", "family")).drop("comp")
 
 
-def numbered(rows: DataFrame, *by: str) -> DataFrame:
-    """rows with n, their number from 0 in the order of by (unique), and total: rows are dealt by range and numbered
-    within each range; the driver only adds up the ranges' counts."""
-    placed = cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
-    counts = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())
+def running(rows: DataFrame, weight: Column, *by: str) -> DataFrame:
+    """rows with before, the sum of weight (whole numbers) over the rows ahead in the order of by (unique), and total: rows
+    are dealt by range and summed within each range; the driver only adds up the ranges' sums."""
+    placed = cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight.cast("long")))
+    sums = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.sum("_w")).collect())
     first, total = [], 0
-    for part, n in counts:
+    for part, n in sums:
         first.append((part, total))
         total += n
-    first = rows.sparkSession.createDataFrame(first, "_part int, _first long")
-    n = F.col("_first") + F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
-    return placed.join(F.broadcast(first), "_part").withColumn("n", n).withColumn("total", F.lit(total).cast("long")).drop("_part", "_first")
+    first = rows.sparkSession.createDataFrame(first, "_part int, _first long")  # as many rows as ranges
+    own = F.sum("_w").over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.join(F.broadcast(first), "_part").withColumn("before", F.col("_first") + own - F.col("_w"))
+    return placed.withColumn("total", F.lit(total).cast("long")).drop("_part", "_first", "_w")
 
 
-def z_stratified(items: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """items (name, root, z) with side: of each block of families in z order one family, by hash of seed, is held out.
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with n, their number from 0 in the order of by (unique), and total."""
+    return running(rows, F.lit(1), *by).withColumnRenamed("before", "n")
+
 
-    Families are numbered in z order range by range, so no task has to hold them all.
+def z_stratified(items: DataFrame, fraction: float, seed: int, pcg64: bool = False) -> DataFrame:
+    """items (name, root, z) with side: of each block of families in z order one family is held out.
+
+    Families are numbered in z order range by range, so no task has to hold them all. The family is picked by hash of
+    seed; with pcg64, by one draw of a seeded PCG64 per block, in the blocks' order, for splits that must match
+    published ones (a number a block is then made on the driver).
     """
     if not 0 < fraction <= 0.5:
         raise ValueError("the held-out fraction must be in (0, 0.5]")
@@ -62,8 +75,15 @@ def z_stratified(items: DataFrame, fraction: float, seed: int) -> DataFrame:
     start = lambda b: F.rint(b * (F.col("total") / blocks))
     b = F.when(F.col("n") < start(guess), guess - 1).when(F.col("n") >= start(guess + 1), guess + 1).otherwise(guess)
     fam = fam.withColumn("block", b.cast("long"))
-    pick = F.row_number().over(Window.partitionBy("block").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "root"), 256)))
-    fam = fam.withColumn("held", pick == 1)
+    if pcg64:
+        sizes = fam.groupBy("block").agg(F.count("*").alias("k"), F.min("n").alias("first")).orderBy("block").collect()
+        rng = np.random.default_rng(seed)
+        drawn = [(r["block"], r["first"] + int(rng.integers(0, r["k"]))) for r in sizes]
+        drawn = fam.sparkSession.createDataFrame(drawn, "block long, picked long")
+        fam = fam.join(drawn, "block").withColumn("held", F.col("n") == F.col("picked"))
+    else:
+        pick = F.row_number().over(Window.partitionBy("block").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "root"), 256)))
+        fam = fam.withColumn("held", pick == 1)
     return items.join(fam.select("root", "block", "held"), "root").withColumn("side", F.when(F.col("held"), "heldout").otherwise("fit")).drop("held")
 
 
@@ -80,11 +100,3 @@ def audit_inputs(inputs: DataFrame, held_out: DataFrame) -> DataFrame:
 def audit_scored(scored: DataFrame, held_out: DataFrame) -> DataFrame:
     """Scored patches whose geometry is not held out."""
     return scored.join(held_out.select("geometry_hash").distinct(), "geometry_hash", "left_anti")
-
-
-def numpy_picks(block_sizes: list[int], seed: int) -> list[int]:
-    """The draws of a seeded PCG64, one per block, where a published split has to be reproduced."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    return [int(rng.integers(0, n)) for n in block_sizes]

@@ -1,8 +1,8 @@
-"""Registered queries of the mesh engine: over closed-form surfaces, and over the driver's tables."""
+"""Registered queries of the mesh engine: over closed-form surfaces, over files, and over the driver's tables."""
 
-from quadlens.plans import mesh_queries, table_queries
+from quadlens.plans import file_queries, mesh_queries, table_queries
 
-_ALL = mesh_queries.TABLE | table_queries.TABLE
+_ALL = mesh_queries.TABLE | file_queries.TABLE | table_queries.TABLE
 
 
 def entry(spark, sf_dir):

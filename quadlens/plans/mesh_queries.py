@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadlens.functions.stats import rounded
 from quadlens.functions.vectors import triple
 from quadlens.operators import compare, intrinsic, mesh, scoring, sheets, strips
+from quadlens.operators.graph import cut
 from quadlens.operators.nearest import nearest_faces
 from quadlens.plans import sql as S
 from quadlens.sources import synthetic
@@ -261,14 +262,14 @@ _PER_PATCH = [*S.sheets(), S.modal("mw", "pts", "patch", "winding"), *S.agreemen
 
 @query(S.with_(*_SCORED, *_PER_PATCH, last="SELECT patch, n_points, n_unseen, modal_winding, " + S.rnd("dist_p50", "dist_p90", "dist_p99", "dist_max", "frac_within_tau", "angle_p50", "angle_p90", "single_winding", "sheet_consistency", "agreement", digits=4) + " FROM scores"))
 def patch_scores(spark, sf_dir):
-    return rounded(scoring.patch_scores(sheets.with_sheets(_points(spark), ["patch"]).cache()), 4)
+    return rounded(scoring.patch_scores(cut(sheets.with_sheets(_points(spark), ["patch"]))), 4)
 
 
 @query(S.with_(*_SCORED, *_PER_PATCH, last=f"""SELECT n_patches, n_points, {S.rnd('mean_single_winding', 'min_single_winding', 'mean_sheet', 'min_sheet', 'mean_agreement', 'dist_p50', 'dist_p90', 'dist_p99', 'dist_max', 'frac_within_tau', 'angle_p90', digits=4)} FROM
  (SELECT CAST(count(*) AS BIGINT) AS n_patches, CAST(sum(n_points) AS BIGINT) AS n_points, sum(single_winding * n_points) / sum(n_points) AS mean_single_winding, min(single_winding) AS min_single_winding, sum(sheet_consistency * n_points) / sum(n_points) AS mean_sheet, min(sheet_consistency) AS min_sheet, sum(agreement * n_points) / sum(n_points) FILTER (agreement IS NOT NULL) AS mean_agreement FROM scores),
  (SELECT {S.quantiles('dist', 'dist')}, avg(CASE WHEN dist <= 6 THEN 1.0 ELSE 0.0 END) AS frac_within_tau, quantile_cont(angle, 0.9) AS angle_p90 FROM pts)"""))
 def score_aggregate(spark, sf_dir):
-    points = sheets.with_sheets(_points(spark), ["patch"]).cache()
+    points = cut(sheets.with_sheets(_points(spark), ["patch"]))
     return rounded(scoring.aggregate(points, scoring.patch_scores(points)), 4)
 
 
@@ -278,7 +279,7 @@ def score_aggregate(spark, sf_dir):
  (SELECT CAST(count(*) AS BIGINT) AS n_patches, sum(share * k) / sum(k) AS mean_sheet, min(share) AS min_sheet FROM sh JOIN enough USING (patch)),
  (SELECT CAST(count(*) AS BIGINT) AS n_points, {S.quantiles('dist', 'dist')}, avg(CASE WHEN dist <= 6 THEN 1.0 ELSE 0.0 END) AS frac_within_tau, quantile_cont(angle, 0.9) AS angle_p90 FROM kept), (SELECT count(DISTINCT patch) AS n_all FROM pts)"""))
 def unseen_aggregate(spark, sf_dir):
-    return rounded(scoring.unseen_aggregate(sheets.with_sheets(_points(spark), ["patch"]).cache()), 4)
+    return rounded(scoring.unseen_aggregate(cut(sheets.with_sheets(_points(spark), ["patch"]))), 4)
 
 
 @query(S.with_(*S.scored(SPEC, False, SIZE, False), "cor AS (SELECT patch, r + i AS r, c + j AS c, winding FROM pts, range(2) a(i), range(2) b(j))", last='SELECT patch, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, min(winding) AS winding FROM cor GROUP BY patch, r, c HAVING min(winding) = max(winding)'))

@@ -48,9 +48,9 @@ def collapsed(name: str, src: str, w: int, t0: float, t1: float, factor: float,
     return f"{name} AS (SELECT a.winding, a.r, a.c, a.z, {pull('y')}, {pull('x')}, a.valid FROM {src} a LEFT JOIN {src} b ON b.winding = {w - 1} AND a.r = b.r AND a.c = b.c)"
 
 
-def radially(name: str, src: str, grow: str) -> str:
+def radially(name: str, src: str, grow: str, key: str = "winding", more: str = "") -> str:
     """grow: over t (azimuth), z and winding."""
-    return f"""{name} AS (SELECT winding, r, c, z, CAST(yd / greatest(rad, 1e-9) * (rad + {grow}) + 0e0 AS FLOAT) AS y, CAST(xd / greatest(rad, 1e-9) * (rad + {grow}) + 0e0 AS FLOAT) AS x, valid
+    return f"""{name} AS (SELECT {key}, r, c, z, CAST(yd / greatest(rad, 1e-9) * (rad + {grow}) + 0e0 AS FLOAT) AS y, CAST(xd / greatest(rad, 1e-9) * (rad + {grow}) + 0e0 AS FLOAT) AS x, valid{more}
  FROM (SELECT *, sqrt(yd * yd + xd * xd) AS rad, atan2(yd, xd) AS t FROM (SELECT *, CAST(y AS DOUBLE) AS yd, CAST(x AS DOUBLE) AS xd FROM {src})))"""
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadlens.functions.stats import fraction, modes, pct, quantile_block, rounded
-from quadlens.operators import compare, splits, strips
+from quadlens.functions.stats import fraction, modes, rounded
+from quadlens.operators import compare, mesh, splits, strips
+from quadlens.operators.graph import cut
+from quadlens.operators.nearest import nearest_faces
+from quadlens.operators.ranks import exact_quantiles
 from quadlens.plans import sql as S
 
 TABLE: dict[str, tuple] = {}
@@ -27,9 +30,10 @@ def _read(spark, sf_dir, name):
 @query(f"SELECT l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, {', '.join(f'round(quantile_cont(l_extendedprice, {q}), 4) AS price_{n}' for n, q in (('p50', 0.5), ('p90', 0.9), ('p99', 0.99)))}, round(max(l_extendedprice), 4) AS price_max, round(avg(CASE WHEN l_discount <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS within FROM lineitem GROUP BY l_returnflag")
 def lineitem_percentiles(spark, sf_dir):
     """Pooled percentiles and tolerance fractions (A1-A3)."""
-    li = _read(spark, sf_dir, "lineitem")
-    out = li.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), *[F.round(c, 4).alias(f"price_{k}") for c, k in zip(quantile_block("x", "l_extendedprice"), ("p50", "p90", "p99", "max"))], fraction(F.col("l_discount") <= 0.05).alias("within"))
-    return rounded(out)
+    li = cut(_read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"), "l_discount"))
+    q = exact_quantiles(li, ["flag"], "v", {"price_p50": 0.5, "price_p90": 0.9, "price_p99": 0.99}).drop("n")
+    own = li.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.max("v"), 4).alias("price_max"), fraction(F.col("l_discount") <= 0.05).alias("within"))
+    return rounded(own.join(q.select("flag", *[F.round(c, 4).alias(c) for c in ("price_p50", "price_p90", "price_p99")]), "flag"))
 
 
 @query(S.with_("li AS (SELECT l_suppkey AS k, l_linenumber AS v FROM lineitem)", S.modal("m", "li", "k", "v"), last="SELECT k AS supplier, mode, round(share, 6) AS share, n FROM m"))
@@ -162,7 +166,7 @@ def docs_split(spark, sf_dir):
 @query(S.with_(*_SPLIT, last="SELECT side, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT root) AS BIGINT) AS n_families, CAST((SELECT count(*) FROM (SELECT geometry_hash FROM sp WHERE side = 'fit' INTERSECT SELECT geometry_hash FROM sp WHERE side = 'heldout')) AS BIGINT) AS n_crossing FROM sp GROUP BY side"))
 def split_self_check(spark, sf_dir):
     """Sizes of the sides, and the geometries on both: none."""
-    s = _split(spark, sf_dir).cache()
+    s = cut(_split(spark, sf_dir))
     return s.groupBy("side").agg(F.count("*").alias("n"), F.count_distinct("root").alias("n_families")).crossJoin(splits.crossing(s).agg(F.count("*").alias("n_crossing")))
 
 
@@ -191,10 +195,11 @@ def verdict_concordance(spark, sf_dir):
     return rounded(j.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(same).alias("n_equal"), F.count_if(F.col("quality") == 1).alias("n_good"), fraction(same).alias("concordance")))
 
 
-_MONTHS = """SELECT o_orderpriority AS item, CAST(count(*) AS DOUBLE) AS weight, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS a, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY o_orderpriority"""
+_PAIRED = """SELECT l_suppkey AS item, CAST(count(*) AS DOUBLE) AS weight, avg(l_extendedprice) FILTER (l_linestatus = 'F') AS a, avg(l_extendedprice) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY l_suppkey HAVING a IS NOT NULL AND b IS NOT NULL"""
+_DRAWS = 20_000
 
 
-@query(f"""WITH p AS ({_MONTHS}), n AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS k, count(*) OVER () AS total FROM p)
+@query(f"""WITH p AS ({_PAIRED}), n AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS k, count(*) OVER () AS total FROM p)
 SELECT CAST(count(*) AS BIGINT) AS n_items, round(sum(a * weight) / sum(weight), 3) AS a, round(sum(b * weight) / sum(weight), 3) AS b, round(sum(b * weight) / sum(weight) - sum(a * weight) / sum(weight), 3) AS delta FROM n""")
 def paired_means(spark, sf_dir):
     """Weighted means of paired items and their difference."""
@@ -204,14 +209,35 @@ def paired_means(spark, sf_dir):
 
 
 def _paired(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("item")).agg(F.count("*").cast("double").alias("weight"), F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("a"), F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))).alias("b"))
+    li = _read(spark, sf_dir, "lineitem")
+    mean = lambda x: F.avg(F.when(F.col("l_linestatus") == x, F.col("l_extendedprice")))
+    return li.groupBy(F.col("l_suppkey").alias("item")).agg(F.count("*").cast("double").alias("weight"), mean("F").alias("a"), mean("O").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
-@query(None)
+@query(f"""WITH p AS ({_PAIRED}), n AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS k, count(*) OVER () AS total FROM p),
+slots AS (SELECT i // total AS draw, i % total AS slot, total FROM (SELECT DISTINCT total FROM n), (SELECT unnest(range({_DRAWS} * (SELECT count(*) FROM p))) AS i)),
+taken AS (SELECT draw, CAST(concat('0x', substr(md5(concat('{SEED}|', draw, '|', slot)), 1, 8)) AS BIGINT) % total AS k, count(*) AS times FROM slots GROUP BY ALL),
+each AS (SELECT draw, sum(times * weight * b) / sum(times * weight) - sum(times * weight * a) / sum(times * weight) AS d FROM taken JOIN n USING (k) GROUP BY draw),
+ends AS (SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM each), whole AS (SELECT sum(a * weight) / sum(weight) AS a, sum(b * weight) / sum(weight) AS b FROM p)
+SELECT round(a, 3) AS a, round(b, 3) AS b, round(b - a, 3) AS delta, round(lo, 3) AS lo, round(hi, 3) AS hi, (lo > 0) = (hi > 0) AS excludes_zero FROM whole, ends""")
 def paired_bootstrap(spark, sf_dir):
-    """The same with a 95 % interval over 2,000 resamplings by hash (R3, A22); DuckDB lacks crc32, so tests hold it to a plain version."""
-    return rounded(compare.paired_bootstrap(_paired(spark, sf_dir), 2000, SEED), 3)
+    """The same with a 95 % interval over 20,000 resamplings of the suppliers, by hash."""
+    return rounded(compare.paired_bootstrap(_paired(spark, sf_dir), _DRAWS, SEED), 3)
+
+
+_EMB = [
+    "ev AS (SELECT 1 AS winding, vec_id // 25 AS r, vec_id % 25 AS c, CAST(CAST(embedding[1] AS DOUBLE) * 10 AS FLOAT) AS z, CAST(CAST(embedding[2] AS DOUBLE) * 10 AS FLOAT) AS y, CAST(CAST(embedding[3] AS DOUBLE) * 10 AS FLOAT) AS x, true AS valid FROM embeddings)",
+    "ep AS (SELECT vec_id, CAST(embedding[4] AS DOUBLE) * 10 AS pz, CAST(embedding[5] AS DOUBLE) * 10 AS py, CAST(embedding[6] AS DOUBLE) * 10 AS px FROM embeddings)",
+]
+
+
+@query(S.with_(*_EMB, *S.faces("f", "ev"), *S.nearest("near", "ep", ["vec_id"], "f"), last="SELECT vec_id, CAST(fr AS INTEGER) AS face_row, CAST(fc AS INTEGER) AS face_col, round(dist, 5) AS dist FROM near"))
+def emb_nearest(spark, sf_dir):
+    """The nearest face of a surface woven from the vectors, for a point of every vector; both grow with the table."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", *[(F.col("embedding")[i].cast("double") * 10).alias(f"e{i}") for i in range(6)])
+    grid = e.select(F.lit(1).alias("winding"), F.floor(F.col("vec_id") / 25).cast("int").alias("row"), (F.col("vec_id") % 25).cast("int").alias("col"), *[F.col(f"e{i}").cast("float").alias(a) for i, a in enumerate("zyx")], F.lit(True).alias("valid"))
+    points = e.select("vec_id", *[F.col(f"e{i + 3}").alias(f"p{a}") for i, a in enumerate("zyx")])
+    return nearest_faces(points, mesh.faces(grid), ["vec_id"]).select("vec_id", "face_row", "face_col", F.round("dist", 5).alias("dist"))
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING min(l_quantity) - 2 <= 10 AND max(l_quantity) + 2 >= 30)""")

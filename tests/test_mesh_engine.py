@@ -10,13 +10,13 @@ duckdb = pytest.importorskip("duckdb")
 from pyspark.sql import functions as F
 
 from quadlens import plans
-from quadlens.operators import compare, graph, intrinsic, mesh, sheets, splits, strips
+from quadlens.operators import compare, graph, intrinsic, mesh, nearest, ranks, sheets, splits, strips
 from quadlens.operators.nearest import nearest_brute, nearest_faces
 from quadlens.sources import synthetic
 
-TABLES = "customer orders part lineitem events documents labels".split()
+TABLES = "customer orders part lineitem events documents labels embeddings".split()
 #: Run here against their SQL; the driver compares all of them.
-HELD = ["gen_family", "collapse_gap", "quad_centers", "boundary_faces", "split_combined", "intrinsic_report", "nearest_face", "lineitem_modes", "lineitem_topk", "events_unwrap", "family_keys", "docs_split", "audit_semi", "verdict_concordance"]
+HELD = ["gen_family", "collapse_gap", "quad_centers", "boundary_faces", "split_combined", "intrinsic_report", "nearest_face", "lineitem_modes", "lineitem_topk", "events_unwrap", "family_keys", "docs_split", "audit_semi", "verdict_concordance", "lineitem_percentiles", "paired_bootstrap", "emb_nearest", "natural_order", "run_loader", "combined_loader", "patch_loader", "points_loader", "points_in_window", "axis_loader", "loader_stats", "z_center", "twin_surfaces", "split_files", "report_files", "unseen_blocks", "worst_patches", "skipped_patches", "strips_by_agreement", "sensitivity_floor", "pitch_blindness", "overlap_control", "sagitta_bound"]
 
 
 def cell(v):
@@ -43,7 +43,7 @@ def test_against_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"paired_bootstrap"}
+    assert set(plans.queries()) == set(plans.oracle_sql())
 
 
 def surface(spark, points, winding=1):
@@ -52,8 +52,10 @@ def surface(spark, points, winding=1):
     return spark.createDataFrame(rows, "surface string, winding int, row int, col int, z float, y float, x float, valid boolean")
 
 
-def test_nearest_equals_brute_force(spark):
-    """A wavy surface, a decoy cloud of small faces beside one huge face, and points on shared edges."""
+@pytest.mark.parametrize("tile", [1 << 16, 40])
+def test_nearest_equals_brute_force(spark, monkeypatch, tile):
+    """A wavy surface, a decoy cloud of small faces beside one huge face, and points on shared edges; in one tile and in many."""
+    monkeypatch.setattr(nearest, "TILE", tile)
     rng = random.Random(0)
     wavy = surface(spark, [[(i, j, 0.8 * math.sin(0.7 * i) + 0.6 * math.cos(0.5 * j)) for j in range(16)] for i in range(12)])
     small = [surface(spark, [[(k, 5 + k * 0.01, 5), (k, 5.01 + k * 0.01, 5)], [(k + 0.01, 5, 5), (k + 0.01, 5.01, 5)]], 10 + k) for k in range(3)]
@@ -91,6 +93,79 @@ def test_sheet_labels():
     assert len(set(sheets.sheet_labels(row[hole], col[hole], u[hole]))) == 1
 
 
+def plain_sheets(row, col, u, jump=0.5):
+    """Every pair of components, every pair of their cells."""
+    import numpy as np
+
+    at, label = {(r, c): i for i, (r, c) in enumerate(zip(row.tolist(), col.tolist()))}, {}
+
+    def find(x, of):
+        while of.setdefault(x, x) != x:
+            x = of[x]
+        return x
+
+    drift = []
+    for i, j in ((1, 0), (0, 1)):
+        steps = [(x, at[r + i, c + j]) for (r, c), x in at.items() if (r + i, c + j) in at]
+        smooth = [(a, b) for a, b in steps if abs(u[b] - u[a]) <= jump]
+        drift.append(float(np.median([u[b] - u[a] for a, b in smooth])) if smooth else 0.0)
+        for a, b in smooth:
+            a, b = find(a, label), find(b, label)
+            label[max(a, b)] = min(a, b)
+    members, merged = {}, {}
+    for k in range(len(u)):
+        members.setdefault(find(k, label), []).append(k)
+    roots = sorted(members)
+    for x, a in enumerate(roots):
+        for b in roots[x + 1 :]:
+            _, p, q = min(((row[p] - row[q]) ** 2 + (col[p] - col[q]) ** 2, p, q) for p in members[a] for q in members[b])
+            if abs((u[q] - u[p]) - (drift[0] * (row[q] - row[p]) + drift[1] * (col[q] - col[p]))) <= jump:
+                i, j = find(a, merged), find(b, merged)
+                merged[max(i, j)] = min(i, j)
+    return [find(find(k, label), merged) for k in range(len(u))]
+
+
+def test_sheets_equal_brute_force(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        row, col = (a.ravel() for a in np.mgrid[: rng.integers(3, 13), : rng.integers(3, 13)])
+        keep = rng.random(len(row)) < rng.choice([0.5, 0.8, 1.0])
+        row, col = row[keep], col[keep]
+        if not len(row):
+            continue
+        u = 10 + 0.03 * col + 0.02 * row + rng.integers(0, 3, len(row)) * rng.choice([0.4, 1.0]) * (trial % 3 > 0) + rng.normal(0, rng.choice([0.001, 0.1, 0.3]), len(row))
+        monkeypatch.setattr(sheets, "MOST", int(rng.choice([1 << 20, 7])))
+        assert sheets.sheet_labels(row, col, u).tolist() == plain_sheets(row, col, u)
+
+
+def test_noise_is_many_sheets():
+    """A patch of noise: tens of thousands of components of one quad each."""
+    import numpy as np
+
+    row, col = (a.ravel() for a in np.mgrid[:150, :150])
+    u = np.random.default_rng(1).integers(0, 6, len(row)) * 1.0
+    assert len(set(sheets.sheet_labels(row, col, u).tolist())) == 6
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([rng.random(), 1.0, 2.0])) for g in "ab" for _ in range(501)] + [("c", 4.0), ("a", None)]
+    got = {r.g: (r.n, r.q0, r.q5, r.q9) for r in ranks.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", {"q0": 0.0, "q5": 0.5, "q9": 0.9}).collect()}
+    for g in "abc":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == pytest.approx((len(v), *np.quantile(v, [0.0, 0.5, 0.9])))
+
+
+def test_natural_order(spark):
+    names = ["m2", "m10", "m1_x9", "m1_x10", "m01", "a", "m1"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in names], "n string").orderBy(compare.natural_key(F.col("n")), "n").collect()]
+    assert got == ["a", "m01", "m1", "m1_x9", "m1_x10", "m2", "m10"]
+
+
 def test_unwrap_equals_numpy(spark):
     import numpy as np
 
@@ -125,7 +200,7 @@ def test_split_holds_families_together(spark):
 
 
 def test_family_keys(spark):
-    names = {"auto_grown_1_sel_a_1": "auto_grown_1", "x_v2_flatboi": "x", "a_copy_region_3": "a", "_copy": "_copy", "plain": "plain"}
+    names = {"auto_grown_1_sel_a_1": "auto_grown_1", "x_v2_flatboi": "x", "a_copy_region_3": "a", "_copy": "_copy", "plain": "plain", "x" + "_copy_v2" * 30: "x"}
     df = spark.createDataFrame([(k,) for k in names], "name string")
     assert {r.name: r.key for r in df.select("name", splits.family_key(F.col("name")).alias("key")).collect()} == names
 
