@@ -29,6 +29,27 @@ def deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), "metric").withColumn("delta", F.col("b") - F.col("a"))
 
 
+def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with one row per key: the one with the largest order."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def paired_points(a: DataFrame, b: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """a joined with b point by point (suffix 2); a group with other points on the two sides is an error."""
+    other = b.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}2") for c in b.columns])
+    both = cut(a.withColumn("_a", F.lit(1)).join(other.withColumn("_b", F.lit(1)), keys, "full"))
+    odd = both.where("_a IS NULL OR _b IS NULL").select(group).first()
+    if odd:
+        raise ValueError(f"{odd[0]} has different points on the two sides")
+    return both.drop("_a", "_b")
+
+
+def set_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows of now that before lacks (what: new) and rows of before that now lacks (gone)."""
+    return now.subtract(before).withColumn("what", F.lit("new")).unionByName(before.subtract(now).withColumn("what", F.lit("gone")))
+
+
 def natural_key(name: Column) -> Column:
     """A string in whose order digit runs count as numbers: their length comes first."""
     parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), 0)

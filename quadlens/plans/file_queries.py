@@ -111,6 +111,14 @@ def loader_stats(spark, sf_dir):
     return rounded(files.loader_stats(files.read_surfaces(spark, path)[0]))
 
 
+@query(S.with_(S.family("fam"), "n AS (SELECT DISTINCT format('w{:03d}', winding) AS surface FROM fam)", last="SELECT surface, CAST(1800 AS BIGINT) AS n FROM n ORDER BY sha256(concat('5|', surface)) LIMIT 3"))
+def loader_sample(spark, sf_dir):
+    """A seeded sample of a folder's surfaces."""
+    path = shared_path(spark, "sample")
+    files.write_surfaces(synthetic.family(spark), path)
+    return files.sampled(files.read_surfaces(spark, path)[0], 3, 5).groupBy("surface").agg(F.count("*").alias("n"))
+
+
 @query(S.with_(S.family("fam"), S.holes("hol", "fam", 5, 4, 20, 90), last="SELECT format('w{:03d}', winding) AS surface, round((CAST(min(z) AS DOUBLE) + CAST(max(z) AS DOUBLE)) / 2, 6) AS z FROM hol WHERE valid GROUP BY winding"))
 def z_center(spark, sf_dir):
     """The middle of each surface in z, from its meta row."""

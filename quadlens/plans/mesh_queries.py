@@ -188,12 +188,56 @@ def worst_offenders(spark, sf_dir):
     return rounded(intrinsic.worst(intrinsic.classed(intrinsic.gaps(*_cells(spark)))), 5)
 
 
-@query(S.with_(*S.demo("fam"), *S.gap_cells("fam", AXIS), "a AS (SELECT inner_w, zb, tb FROM cls WHERE kind = 'violation')", last="""SELECT 'new' AS what, inner_w AS "inner", zb, tb FROM a EXCEPT SELECT 'new', 12, zb, tb FROM a WHERE inner_w = 12"""))
+@query(S.with_(*S.demo("fam"), *S.gap_cells("fam", AXIS), *S.demo("famc", True), *S.gap_cells("famc", AXIS, "c_"), "a AS (SELECT inner_w, zb, tb FROM cls WHERE kind = 'violation')",
+               "b AS (SELECT inner_w, zb, tb FROM c_cls WHERE kind = 'violation' UNION SELECT inner_w, zb, tb FROM a WHERE inner_w = 12 UNION SELECT 11, 0, tb FROM c_cls WHERE zb = 0 AND inner_w = 11)",
+               last="""SELECT 'new' AS what, inner_w AS "inner", zb, tb FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'gone', inner_w, zb, tb FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""))
 def violated_bins_diff(spark, sf_dir):
-    """Bins violated in the defective family and not in a reference (here: the clean family and all of winding 12)."""
+    """Bins violated in the defective family and not in a reference, and the other way round (the reference: the clean
+    family, all of winding 12, and the lowest bins of winding 11)."""
     bad = intrinsic.classed(intrinsic.gaps(*_cells(spark))).where("kind = 'violation'").select("inner", "zb", "tb")
-    before = intrinsic.classed(intrinsic.gaps(*_cells(spark, True))).where("kind = 'violation'").select("inner", "zb", "tb").unionByName(bad.where("inner = 12"))
-    return bad.subtract(before).select(F.lit("new").alias("what"), "inner", "zb", "tb")
+    clean = intrinsic.classed(intrinsic.gaps(*_cells(spark, True)))
+    before = clean.where("kind = 'violation'").select("inner", "zb", "tb").unionByName(bad.where("inner = 12")).unionByName(clean.where("zb = 0 AND inner = 11").select("inner", "zb", "tb"))
+    return compare.set_changes(bad, before.distinct()).select("what", "inner", "zb", "tb")
+
+
+_PLANTS = {
+    "clean": lambda v: v, "swap": lambda v: synthetic.swap_band(v, *synthetic.DEMO_SWAP), "collapse": lambda v: synthetic.collapse_gap(v, *synthetic.DEMO_COLLAPSE),
+    "drift": lambda v: synthetic.radial_drift(v, 2.0), "displaced": lambda v: synthetic.displace(v, 8.5, (20.0, 44.0), [12, 13]), "ramp": lambda v: synthetic.pitch_ramp(v, 10.0, 16.0, 40.0), "holes": lambda v: synthetic.punch_holes(v, 5, 4, 20, 90),
+}
+_PLANT_SQL = {
+    "clean": lambda n, s: f"{n} AS (SELECT * FROM {s})", "swap": lambda n, s: S.swapped(n, s, 13, 14, 1.0, 2.2), "collapse": lambda n, s: S.collapsed(n, s, 16, 4.0, 5.0, 0.9), "drift": lambda n, s: S.radially(n, s, "2e0 * sin(t)"),
+    "displaced": lambda n, s: S.radially(n, s, "CASE WHEN z >= 20 AND z < 44 AND winding IN (12, 13) THEN 85e-1 ELSE 0e0 END"), "ramp": lambda n, s: S.radially(n, s, "10e0 * least(greatest((CAST(z AS DOUBLE) - 16e0) / 40e0, 0e0), 1e0)"), "holes": lambda n, s: S.holes(n, s, 5, 4, 20, 90),
+}
+
+
+@query(S.with_(S.family("fam"), *[x for k in _PLANTS for x in (_PLANT_SQL[k](f"v_{k}", "fam"), *S.gap_cells(f"v_{k}", AXIS, f"{k}_"))],
+               last=" UNION ALL ".join(f"SELECT '{k}' AS scenario, CAST(count(*) AS BIGINT) AS n_bins, round(any_value(pitch), 4) AS median_pitch, " + ", ".join(f"CAST(count(*) FILTER (kind = '{x}') AS BIGINT) AS n_{x}" for x in intrinsic.KINDS) + f", CAST(count(*) FILTER (kind <> 'ok' AND inner_w BETWEEN 11 AND 16) AS BIGINT) AS n_located FROM {k}_cls" for k in _PLANTS)))
+def defect_matrix(spark, sf_dir):
+    """Seven planted scenarios: what the intrinsic checks see of each, and how much of it where it was planted (Q11)."""
+    rows = None
+    for k, plant in _PLANTS.items():
+        family = plant(synthetic.family(spark))
+        bins = intrinsic.classed(intrinsic.gaps(intrinsic.binned_radius(family, intrinsic.umbilicus_table(spark, AXIS)), family))
+        located = F.count_if((F.col("kind") != "ok") & F.col("inner").between(11, 16)).alias("n_located")
+        one = bins.agg(F.lit(k).alias("scenario"), F.count("*").alias("n_bins"), F.round(F.first("pitch"), 4).alias("median_pitch"), *[F.count_if(F.col("kind") == x).alias(f"n_{x}") for x in intrinsic.KINDS], located)
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+_UNIT = "((CAST(concat('0x', substr(md5(concat('3|', winding, '|', r, '|', c, '|{}|{}')), 1, 8)) AS BIGINT) + 5e-1) / 4294967296e0)"
+
+
+@query(S.with_(S.family("fam"), last="SELECT winding, r AS row, c AS col, " + ", ".join(f"round(CAST(CAST(CAST({a} AS DOUBLE) + 5e-1 * (sqrt(-2 * ln({_UNIT.format(a, 'r')})) * cos({S.T} * {_UNIT.format(a, 't')})) AS FLOAT) AS DOUBLE), 2) AS {a}" for a in "zyx") + " FROM fam"))
+def jittered(spark, sf_dir):
+    """Normal noise on every vertex, by hash."""
+    v = synthetic.jitter(synthetic.family(spark), 0.5, 3)
+    return rounded(v.select("winding", "row", "col", "z", "y", "x"), 2)
+
+
+@query(S.with_(S.family("fam"), S.holes("hol", "fam", 5, 4, 20, 90), last="SELECT winding, CAST(count(*) AS BIGINT) AS n FROM hol WHERE valid AND abs(CAST(z AS DOUBLE) - 40e0) <= 6e0 GROUP BY winding"))
+def slab_vertices(spark, sf_dir):
+    """The vertices inside a slab of z, what an overlay picture would show (K4)."""
+    return _holed(spark).where(F.col("valid") & (F.abs(F.col("z").cast("double") - 40.0) <= 6.0)).groupBy("winding").agg(F.count("*").alias("n"))
 
 
 # Scores against evidence
@@ -297,8 +341,8 @@ def winding_shift_response(spark, sf_dir):
     points = scoring.patch_points(patches)
     keys = ["patch", "row", "col"]
     a = nearest_faces(points, mesh.faces(family), keys)
-    b = nearest_faces(points, mesh.faces(synthetic.displace(family, 10.0)), keys).select(*keys, F.col("dist").alias("dist2"), F.col("face_winding").alias("w2"))
-    d = a.join(b, keys).select("patch", (F.col("w2") - F.col("face_winding")).alias("shift"), (F.col("dist2") - F.col("dist")).alias("more"))
+    b = nearest_faces(points, mesh.faces(synthetic.displace(family, 10.0)), keys)
+    d = compare.paired_points(a, b, "patch", keys).select("patch", (F.col("face_winding2") - F.col("face_winding")).alias("shift"), (F.col("dist2") - F.col("dist")).alias("more"))
     from quadlens.functions.stats import fraction
 
     return rounded(d.groupBy("patch").agg(F.count("*").alias("n"), F.median("shift").alias("median_shift"), fraction(F.col("shift") == -1).alias("frac_minus_one"), fraction(F.col("shift") == 0).alias("frac_zero"), F.round(F.median("more"), 4).alias("median_more")))

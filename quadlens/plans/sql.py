@@ -13,7 +13,8 @@ def num(x: float) -> str:
 
 
 def with_(*ctes: str, last: str) -> str:
-    return re.sub(r'(?<!["\w])by(?!["\w])', '"by"', "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + last)  # the y of a corner b is no keyword
+    recursive = any(re.search(rf"(FROM|JOIN) {x.split(' ')[0]}\b", x) for x in ctes)
+    return re.sub(r'(?<!["\w])by(?!["\w])', '"by"', ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + last)  # the y of a corner b is no keyword
 
 
 def rnd(*names: str, digits: int = 6) -> str:
@@ -28,7 +29,7 @@ def spiral(w: str, theta: str, pitch: float) -> tuple[str, str]:
 
 def family(name: str, windings=8, first=10, pitch=10.0, z_count=20, z_step=4.0, theta_count=90) -> str:
     y, x = spiral("w", f"j * {num(2 * math.pi / theta_count)}", pitch)
-    return f"""{name} AS (SELECT CAST(w AS INTEGER) AS winding, CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, CAST(i * {num(z_step)} AS FLOAT) AS z, {y} AS y, {x} AS x, true AS valid
+    return f"""{name} AS MATERIALIZED (SELECT CAST(w AS INTEGER) AS winding, CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, CAST(i * {num(z_step)} AS FLOAT) AS z, {y} AS y, {x} AS x, true AS valid
  FROM range({first}, {first + windings}) a(w), range({z_count}) b(i), range({theta_count}) d(j))"""
 
 
@@ -56,7 +57,7 @@ def radially(name: str, src: str, grow: str, key: str = "winding", more: str = "
 
 def holes(name: str, src: str, count: int, size: int, rows: int, cols: int, seed: int = 0) -> str:
     hit = " OR ".join(f"(r BETWEEN {i} AND {i + size - 1} AND c BETWEEN {j} AND {j + size - 1})" for i, j in (((7919 * k + 104729 * seed + 3) % max(rows - size, 1), (6101 * k + 15485863 * seed + 5) % max(cols - size, 1)) for k in range(count)))
-    return f"{name} AS (SELECT winding, r, c, z, y, x, valid AND NOT ({hit}) AS valid FROM {src})"
+    return f"{name} AS MATERIALIZED (SELECT winding, r, c, z, y, x, valid AND NOT ({hit}) AS valid FROM {src})"
 
 
 def demo(name: str, clean: bool = False, **size) -> list[str]:

@@ -195,6 +195,14 @@ def verdict_concordance(spark, sf_dir):
     return rounded(j.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(same).alias("n_equal"), F.count_if(F.col("quality") == 1).alias("n_good"), fraction(same).alias("concordance")))
 
 
+@query("""SELECT lang, last.quality, CAST(count(*) AS BIGINT) AS n FROM documents JOIN (SELECT doc_id % 50 AS name, arg_max(quality, doc_id) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY ALL) last ON documents.doc_id % 50 = last.name GROUP BY ALL""")
+def last_verdicts(spark, sf_dir):
+    """Verdicts joined by a name that repeats: the last one counts."""
+    named = _read(spark, sf_dir, "labels").where("quality IS NOT NULL").select((F.col("doc_id") % 50).alias("name"), "doc_id", "quality")
+    docs = _read(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 50).alias("name"))
+    return docs.join(compare.last_wins(named, "name", "doc_id").drop("doc_id"), "name").groupBy("lang", "quality").agg(F.count("*").alias("n"))
+
+
 _PAIRED = """SELECT l_suppkey AS item, CAST(count(*) AS DOUBLE) AS weight, avg(l_extendedprice) FILTER (l_linestatus = 'F') AS a, avg(l_extendedprice) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY l_suppkey HAVING a IS NOT NULL AND b IS NOT NULL"""
 _DRAWS = 20_000
 

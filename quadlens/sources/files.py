@@ -109,6 +109,12 @@ def loader_stats(vertices: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("n_surfaces"), F.percentile("share", F.lit(0.1)).alias("valid_p10"), F.percentile("share", F.lit(0.5)).alias("valid_p50"), F.max("h").alias("max_h"), F.max("w").alias("max_w"), F.min("lo").alias("z_min"), F.max("hi").alias("z_max"))
 
 
+def sampled(vertices: DataFrame, n: int, seed: int) -> DataFrame:
+    """The vertices of n surfaces, drawn by hash of the seed."""
+    few = vertices.select("surface").distinct().orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "surface"), 256)).limit(n)
+    return vertices.join(few, "surface", "left_semi")
+
+
 def read_points(spark: SparkSession, *paths: str) -> DataFrame:
     """Annotated strips (POINTS) from point-collection files: positions as zyx, or else p (x, y, z) reversed; a missing wind_a is null."""
     point = "struct<zyx: array<double>, p: array<double>, wind_a: double>"

@@ -116,6 +116,21 @@ def punch_holes(vertices: DataFrame, count: int, size: int, rows: int, cols: int
     return vertices.withColumn("valid", F.col("valid") & ~hit)
 
 
+def _uniform(*parts) -> Column:
+    """A number in (0, 1) from a hash of parts; the same whatever the partitioning."""
+    text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def jitter(vertices: DataFrame, scale: float, seed: int = 0, key: str = "winding") -> DataFrame:
+    """Normal noise of this scale on every coordinate of every vertex, by hash of seed and cell."""
+    def normal(axis: str) -> Column:
+        at = [seed, F.col(key), F.col("row"), F.col("col"), axis]
+        return F.sqrt(-2 * F.log(_uniform(*at, "r"))) * F.cos(TURN * _uniform(*at, "t"))
+
+    return vertices.withColumns({a: (F.col(a).cast("double") + F.lit(scale) * normal(a)).cast("float") for a in "zyx"})
+
+
 def demo(spark: SparkSession, clean: bool = False) -> DataFrame:
     """The demo family: 8 windings, with a sheet swap and a collapsed gap unless clean."""
     out = family(spark)

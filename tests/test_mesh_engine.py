@@ -16,7 +16,7 @@ from quadlens.sources import synthetic
 
 TABLES = "customer orders part lineitem events documents labels embeddings".split()
 #: Run here against their SQL; the driver compares all of them.
-HELD = ["gen_family", "collapse_gap", "quad_centers", "boundary_faces", "split_combined", "intrinsic_report", "nearest_face", "lineitem_modes", "lineitem_topk", "events_unwrap", "family_keys", "docs_split", "audit_semi", "verdict_concordance", "lineitem_percentiles", "paired_bootstrap", "emb_nearest", "natural_order", "run_loader", "combined_loader", "patch_loader", "points_loader", "points_in_window", "axis_loader", "loader_stats", "z_center", "twin_surfaces", "split_files", "report_files", "unseen_blocks", "worst_patches", "skipped_patches", "strips_by_agreement", "sensitivity_floor", "pitch_blindness", "overlap_control", "sagitta_bound"]
+HELD = ["gen_family", "collapse_gap", "quad_centers", "boundary_faces", "split_combined", "intrinsic_report", "nearest_face", "lineitem_modes", "lineitem_topk", "events_unwrap", "family_keys", "docs_split", "audit_semi", "verdict_concordance", "lineitem_percentiles", "paired_bootstrap", "emb_nearest", "natural_order", "run_loader", "combined_loader", "patch_loader", "points_loader", "points_in_window", "axis_loader", "loader_stats", "z_center", "twin_surfaces", "split_files", "report_files", "unseen_blocks", "worst_patches", "skipped_patches", "strips_by_agreement", "sensitivity_floor", "pitch_blindness", "overlap_control", "sagitta_bound", "violated_bins_diff", "defect_matrix", "jittered", "slab_vertices", "winding_shift_response", "last_verdicts", "loader_sample"]
 
 
 def cell(v):
