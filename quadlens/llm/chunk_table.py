@@ -51,11 +51,11 @@ class ChunkTable:
 
 
 def by_bytes(items: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """items in batches of about `most` characters each."""
+    """items in batches of about `most` bytes of UTF-8 each."""
     batch, size = [], 0
     for x in items:
         batch.append(x)
-        size += len(x) + 16
+        size += 16 + (len(x) if x.isascii() else len(x.encode()))
         if size >= most:
             yield batch
             batch, size = [], 0

@@ -12,8 +12,9 @@
 4. Leaders. In large families of near copies most pairs would be candidates. So first every member of an
    inverted list meets one leader only, the member with the fewest shingles of its own; links found join
    components. From then on only pairs of different components count.
-5. Adaptive matches. A set's cost is the number of list entries of other components it would meet. Sets whose
-   cost is at most `limit` meet them all and are settled. The others need more matches: shingles that the same
+5. Adaptive matches. A pair becomes a candidate if it shares as many prefix tokens as its overlap asks for. A
+   set's cost is the number of list entries of other components it would meet, over the tokens a pair must share. Sets
+   whose cost is at most `limit`, and whose lists have no more of them, meet them all and are settled. The others need more matches: shingles that the same
    unsettled sets hold become one weighted token; the prefix is lengthened until m tokens of it must be shared,
    and what is indexed is each m of them together, so that a pair comes up only if it shares m. m grows by one
    as long as the cost stays above the limit, up to MATCHES, or until a longer prefix would no longer help (one
@@ -46,8 +47,8 @@ from quadlens.llm import shared_keys as K
 from quadlens.llm.common import as_before, checkpointed, join_hot, whole_rows
 
 BINS = 20  # bits of a shingle that choose its bin
-LIMIT = 256  # candidates of a set that are met without asking for more matches
-MATCHES, MOST_KEYS = 4, 512
+LIMIT = 256  # entries of a list that are met without asking for more matches
+MATCHES, MOST_KEYS = 4, 128
 INFO = "doc_id long, n_shingles long, fp1 long, fp2 long, shared array<long>"
 SETS = 3
 
@@ -80,7 +81,8 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     (see `reset`).
     """
     size = K.text_bytes(docs)
-    buckets, blocks = max(8, size // (8 << 20)), max(8, size // (8 << 20))  # some 10 MB of keys each
+    buckets = blocks = max(8, size // (8 << 20))  # some 10 MB of keys each
+    deal = K.Deal(buckets, blocks)
 
     def emit(ids, texts):
         sizes, sets = zip(*(shingle_hashes(t, n) for t in texts))
@@ -88,7 +90,7 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
         fp1, fp2 = prints[0::2], prints[1::2]
         once = np.sort(np.unique(prints.reshape(-1, 2), axis=0, return_index=True)[1])
-        rows = K.key_rows(fp1[once], np.concatenate([sets[i] for i in once]), np.repeat(np.arange(len(once)), held[once]), buckets, blocks)
+        rows = K.key_rows(fp1[once], np.concatenate([sets[i] for i in once]), np.repeat(np.arange(len(once)), held[once]), deal)
         for p, i in K.by_part(K.block_of(ids, blocks), blocks):
             rows.append((p % buckets, p, K.PAYLOAD, K.packed(ids[i], sizes[i], fp1[i], fp2[i])))
         for p, i in K.by_part(K.block_of(fp1[once], blocks), blocks):
@@ -130,7 +132,7 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         doc_id = pa.concat_arrays([pa.array(ids), pa.nulls(len(able), pa.int64())])
         return pa.table([doc_id, *map(pa.array, both), lists], ["doc_id", "n_shingles", "fp1", "fp2", "shared"])
 
-    return K.shared_blobs(docs, emit, buckets, blocks).groupBy("block").applyInArrow(finish, INFO)
+    return K.shared_blobs(docs, emit, deal).groupBy("block").applyInArrow(finish, INFO)
 
 
 def reset(told: DataFrame, info: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -197,11 +199,17 @@ def open_entries(entries: DataFrame) -> DataFrame:
     return checkpointed(join_hot(entries, per, ["token", "comp"], "k"))
 
 
-def settled_pairs(entries: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different components with a shared token in entries (rep, n, s, comp, token, forced), for all pairs
-    with a settled or forced one of the two; and the rep of all others."""
+def settled_pairs(entries: DataFrame, percent: int, limit: int, prefixes: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components with shared tokens in entries (rep, n, s, comp, token, forced), for all pairs
+    with a settled or forced one of the two; and the rep of all others.
+
+    prefixes: the tokens are those of prefixes of s - o + 1 tokens, with o a set's own least overlap. A pair's overlap is
+    at most its shared ones and the o - 1 beyond the prefix, so a pair must share as many as make up its own overlap.
+    """
     entries = open_entries(entries)
-    cost = checkpointed(entries.groupBy("rep").agg(F.sum("others").alias("cost"), F.first("forced").alias("_f")).select("rep", (F.col("cost") <= limit).alias("settled"), "_f"))
+    need = F.expr(_needed(percent).replace("n_2", "n") if prefixes else "1")  # of a partner of the same size
+    few = (F.max("others") <= limit) & (F.sum("others") <= limit * F.first(need))
+    cost = checkpointed(entries.groupBy("rep").agg(few.alias("settled"), F.first("forced").alias("_f")))
     entries = checkpointed(entries.join(cost.drop("_f"), "rep"))
     side = ["rep", "n", "s", "comp"]
     second = [F.col(c).alias(f"{c}_2") for c in side]
@@ -210,17 +218,25 @@ def settled_pairs(entries: DataFrame, percent: int, limit: int) -> tuple[DataFra
     minor = minor.groupBy("token").agg(F.collect_list(F.struct(*second)).alias("others"), F.first("n_major").alias("n_major"))
     major = join_hot(entries.where("settled AND comp = major").select("token", *side), minor, ["token"], "n_major")
     pairs = major.select(*side, F.explode("others").alias("o")).select(*side, "o.*")
-    # all others that are settled are in short lists
-    small = entries.where(f"held <= {2 * limit}").select("token", *second)
-    pairs = pairs.unionByName(entries.where("settled AND comp <> major").join(small, "token").select(*pairs.columns))
+    # all others that are settled are in short lists; a pair that has come up for this token does not come up again
+    small = entries.where(f"held <= {2 * limit}").select("token", *second, F.col("settled").alias("settled_2"))
+    again = "settled_2 AND (comp_2 = major OR rep_2 < rep)"
+    pairs = pairs.unionByName(entries.where("settled AND comp <> major").join(small, "token").where(f"NOT ({again})").select(*pairs.columns))
     forced = entries.where("forced AND NOT settled")
     if not forced.isEmpty():
         pairs = pairs.unionByName(forced.join(entries.select("token", *second), "token").select(*pairs.columns))
     pairs = pairs.where(_feasible(percent) & F.expr("comp <> comp_2 AND rep <> rep_2"))
-    pairs = pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+    pairs = pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"), F.expr(_needed(percent) if prefixes else "1").alias("need"))
+    pairs = pairs.groupBy("a", "b", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("a", "b")
     return checkpointed(pairs), cost.where("NOT settled AND NOT _f").select("rep")
 
 
+def _needed(percent: int) -> str:
+    """How many tokens of their prefixes two sets of n and n_2 must share."""
+    own = lambda n: f"({percent} * {n} + 99) div 100"
+    return f"({percent} * (n + n_2) + {99 + percent}) div {100 + percent} - greatest({own('n')}, {own('n_2')}) + 1"
+
+
 def weighted_tokens(sets: DataFrame) -> DataFrame:
     """rep, n, s, comp and tokens (id, weight; rarest first): the shingles of sets that the same of these hold are one token."""
     rows = checkpointed(sets.select("rep", F.explode("shared").alias("token")))
@@ -274,13 +290,13 @@ def match_keys(profile: DataFrame, percent: int, m: int) -> DataFrame:
 
 def candidates(entries: DataFrame, reps: DataFrame, percent: int, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, b) of different components that can link, from the entries (rep, n, s, comp, token) of the inverted lists."""
-    pairs, hot = settled_pairs(entries.withColumn("forced", F.lit(False)), percent, limit)
+    pairs, hot = settled_pairs(entries.withColumn("forced", F.lit(False)), percent, limit, True)
     if hot.isEmpty():
         return pairs
     comp = entries.select("rep", "comp").distinct()
     profile = checkpointed(weighted_tokens(reps.join(hot, "rep", "left_semi").join(comp, "rep")))
     for m in range(1, MATCHES + 1):
-        more, hot = settled_pairs(match_keys(profile, percent, m), percent, limit)
+        more, hot = settled_pairs(match_keys(profile, percent, m), percent, limit, False)
         pairs = pairs.unionByName(more)
         if hot.isEmpty():
             break

@@ -119,8 +119,8 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     size = lost.agg(F.sum(F.size("dropped") * 4 + 64).alias("n")).first()["n"] or 0
     lost = lost.select(F.col("doc_id").alias("lost_id"), "version", F.col("dropped").alias("gone"))
     lost = F.broadcast(lost) if size <= BROADCAST_BYTES else lost  # measured
-    left = whole_rows(docs, "doc_id", "text")
-    left = left.join(lost, (F.col("doc_id") == F.col("lost_id")) & (F.xxhash64("text") == F.col("version")), "left").drop("lost_id", "version")
+    same = (F.col("row.doc_id") == F.col("lost_id")) & (F.xxhash64("row.text") == F.col("version"))
+    left = whole_rows(docs).join(lost, same, "left").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "gone")
     return left.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
 
 

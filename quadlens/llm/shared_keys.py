@@ -8,6 +8,9 @@ the documents' blocks (documents by hash of doc_id). Each blob is zstandard-comp
 Skew: a key that occurs in several documents of one group is known to be shared at once; its bucket gets it
 once per group, however many documents hold it, so a key in a third of all documents costs a bucket no more
 than one entry per group. Buckets and blocks are sized by bytes, so their number grows with the input.
+
+Past FAN buckets or blocks a group would have next to no keys for each of them. Keys then travel in two steps: to
+some root of as many ranges, of which tasks gather REGROUP keys at a time and deal these to their buckets.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,7 @@ KEYS, SHARED, PAYLOAD = 0, 1, 2
 ROW = "part int, block int, kind int, blob binary"
 FIELDS = ["part", "block", "kind", "blob"]
 GROUP_BYTES = 4 << 20
+FAN, REGROUP = 4096, 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,33 +106,93 @@ def text_groups(batches, most: int = GROUP_BYTES) -> Iterator[tuple[np.ndarray,
         yield np.array(docs, np.int64), texts
 
 
-def key_rows(docs: np.ndarray, key: np.ndarray, at: np.ndarray, buckets: int, blocks: int, with_docs: bool = True) -> list[tuple]:
+class Deal:
+    """How many buckets and blocks there are, and how many ranges (0: none) keys go to first."""
+
+    def __init__(self, buckets: int, blocks: int, fan: int | None = None):
+        fan = FAN if fan is None else fan
+        most = max(buckets, blocks)
+        self.buckets, self.blocks, self.ranges = buckets, blocks, int(most**0.5) + 1 if most > fan else 0
+
+
+def key_rows(docs: np.ndarray, key: np.ndarray, at: np.ndarray, deal: Deal, with_docs: bool = True) -> list[tuple]:
     """Rows for the entries of one group: entry i is key[i] of document docs[at[i]]; at ascends."""
-    rows, block = [], block_of(docs, blocks)
+    rows = []
     order = np.argsort(key, kind="stable")
     k, d = key[order], docs[at[order]]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-    multi = np.zeros(len(k), bool)
+    multi, told = np.zeros(len(k), bool), k[:0]
     if len(k):
         several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
         multi[order] = np.repeat(several, np.diff(np.append(first, len(k))))
         told = k[first[several]]
-        bucket = (told % np.uint64(buckets)).astype(np.int64)
-        for p, i in by_part(bucket, buckets):
-            rows.append((p, -1, KEYS, packed(np.zeros(0, np.int64), np.zeros(0, np.uint32), told[i])))
-    single = np.flatnonzero(~multi)
-    bucket = (key[single] % np.uint64(buckets)).astype(np.int64)
-    for p, i in by_part(bucket, buckets):
+    single, shared = np.flatnonzero(~multi), np.flatnonzero(multi)
+    block = block_of(docs, deal.blocks)[at[shared]]
+    if deal.ranges:
+        for p, i in by_part((told % np.uint64(deal.buckets)).astype(np.int64) % deal.ranges, deal.ranges):
+            rows.append((p, -1, KEYS, _told(told[i])))
+        for p, i in by_part((key[single] % np.uint64(deal.buckets)).astype(np.int64) % deal.ranges, deal.ranges):
+            rows.append((p, -1, KEYS, _entries(docs, key, at, single[i])))
+        for p, i in by_part(block % deal.ranges, deal.ranges):
+            rows.append((p, -1, SHARED, _entries(docs, key, at, shared[i])))
+        return rows
+    for p, i in by_part((told % np.uint64(deal.buckets)).astype(np.int64), deal.buckets):
+        rows.append((p, -1, KEYS, _told(told[i])))
+    for p, i in by_part((key[single] % np.uint64(deal.buckets)).astype(np.int64), deal.buckets):
         rows.append((p, -1, KEYS, _entries(docs, key, at, single[i])))
-    shared = np.flatnonzero(multi)
-    for p, i in by_part(block[at[shared]], blocks):
-        rows.append((p % buckets, p, SHARED, _entries(docs, key, at, shared[i], with_docs)))
+    for p, i in by_part(block, deal.blocks):
+        rows.append((p % deal.buckets, p, SHARED, _entries(docs, key, at, shared[i], with_docs)))
     return rows
 
 
+def regrouped(deal: Deal, with_docs: bool):
+    """The second of two steps: what came to ranges goes on to its buckets and blocks."""
+    def flush(held: dict) -> Iterator[tuple]:
+        for (kind, _), parts in held.items():
+            docs, keys = (np.concatenate(x) for x in zip(*parts))
+            if not len(docs):  # keys known to be shared
+                keys = np.unique(keys)
+                for p, i in by_part((keys % np.uint64(deal.buckets)).astype(np.int64), deal.buckets):
+                    yield p, -1, KEYS, _told(keys[i])
+                continue
+            order = np.argsort(docs, kind="stable")
+            own, at = np.unique(docs[order], return_inverse=True)
+            keys = keys[order]
+            if kind == KEYS:
+                for p, i in by_part((keys % np.uint64(deal.buckets)).astype(np.int64), deal.buckets):
+                    yield p, -1, KEYS, _entries(own, keys, at, i)
+            else:
+                for p, i in by_part(block_of(own, deal.blocks)[at], deal.blocks):
+                    yield p % deal.buckets, p, SHARED, _entries(own, keys, at, i, with_docs)
+
+    def run(batches):
+        held, size = {}, 0
+        for b in batches:
+            yield b.filter(pc.greater_equal(b.column("block"), 0))  # for blocks already
+            b = b.filter(pc.less(b.column("block"), 0))
+            for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
+                docs, keys = entries(blob)
+                held.setdefault((kind, len(docs) > 0), []).append((docs, keys))
+                size += len(keys)
+                if size >= REGROUP:
+                    rows = list(flush(held))
+                    held, size = {}, 0
+                    for i in range(0, len(rows), 512):
+                        yield as_batch(rows[i : i + 512])
+        rows = list(flush(held))
+        for i in range(0, len(rows), 512):
+            yield as_batch(rows[i : i + 512])
+
+    return run
+
+
+def _told(key: np.ndarray) -> bytes:
+    return packed(np.zeros(0, np.int64), np.zeros(0, np.uint32), key)
+
+
 def _entries(docs, key, at, i, with_docs: bool = True) -> bytes:
     if not with_docs:
-        return packed(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.unique(key[i]))
+        return _told(np.unique(key[i]))
     a = at[i]
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     return packed(docs[a[first]], np.diff(np.append(first, len(a))).astype(np.uint32), key[i])
@@ -171,8 +236,8 @@ def find_shared(table: pa.Table, blocks: int, with_docs: bool) -> pa.Table:
     return pa.Table.from_batches([as_batch(rows)])
 
 
-def shared_blobs(docs: DataFrame, emit: Callable, buckets: int, blocks: int, with_docs: bool = True) -> DataFrame:
-    """block, kind, blob: for each block the shared keys of its documents (SHARED) and the payloads emit adds (PAYLOAD).
+def shared_blobs(docs: DataFrame, emit: Callable, deal: Deal, with_docs: bool = True) -> DataFrame:
+    """block, kind, blob: for each block the shared keys of its documents (SHARED) and the payloads emit adds, rows of other kinds.
 
     emit(doc_ids, texts) gives the rows of one group of documents, made with key_rows. Without with_docs, a
     block is told its shared keys only, not which document holds which.
@@ -184,4 +249,8 @@ def shared_blobs(docs: DataFrame, emit: Callable, buckets: int, blocks: int, wit
                 yield as_batch(rows[i : i + 512])
 
     sent = docs.select("doc_id", "text").mapInArrow(run, ROW)
+    if deal.ranges:
+        sent = sent.repartition("part", F.pmod(F.xxhash64("blob"), F.lit(deal.ranges)))  # many tasks a range
+        sent = sent.mapInArrow(regrouped(deal, with_docs), ROW)
+    blocks = deal.blocks
     return sent.groupBy("part").applyInArrow(lambda t: find_shared(t, blocks, with_docs), ROW).select("block", "kind", "blob")

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -126,12 +128,58 @@ def test_jaccard_family(spark):
     assert kept == {c for _, c in brute.jaccard(rows, 4, 85).values()}
 
 
+@pytest.mark.parametrize("limit", [256, 3, 0])
+def test_jaccard_matches(spark, limit):
+    """Texts put together from shared passages and one phrase in all: whatever the limit sends to longer prefixes, components are the same."""
+    rng = random.Random(10)
+    passages = [" ".join(f"p{i}_{k}" for k in range(20)) for i in range(12)]
+    rows = {i: "one phrase that all of them begin with " + " ".join(passages[j] for j in rng.sample(range(12), 6)) for i in range(120)}
+    rows |= {200 + i: rows[i] + " end" for i in range(0, 120, 9)}
+    docs = spark.createDataFrame(list(rows.items()), DOC).repartition(3)
+    assert by_doc(jaccard_join.jaccard_components(docs, 4, 85, limit)) == brute.jaccard(rows, 4, 85)
+
+
+def test_jaccard_pairs_grow_with_documents(spark, monkeypatch):
+    """One phrase in all documents and the rest drawn from shared passages: candidates grow in proportion, not with the square."""
+    seen, verified = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
+
+    def pairs(n):
+        rng = random.Random(n)
+        passages = [" ".join(f"p{i}_{k}" for k in range(40)) for i in range(20)]
+        rows = [(i, "one phrase that all of them begin with " + " ".join(passages[j] for j in rng.sample(range(20), 6))) for i in range(n)]
+        seen.clear()
+        jaccard_join.jaccard_components(spark.createDataFrame(rows, DOC).repartition(4), 4, 85).count()
+        return sum(seen)
+
+    assert pairs(2000) < 2.7 * pairs(1000) < 0.1 * 1000 * 1000
+
+
+def test_jaccard_half_prints_collide(spark, monkeypatch):
+    """Sets with the same first half of their hash are told apart."""
+    rows = {i: " ".join(f"w{(i % 9) * 3 + k}" for k in range(30)) + (f" x{i}" if i % 2 else "") for i in range(40)} | {90: "", 91: None}
+    docs = spark.createDataFrame(list(rows.items()), DOC).repartition(2)
+    told, info = (f(jaccard_join.document_sets(docs, 4, 85)) for f in (lambda t: t, lambda t: t.where("doc_id IS NOT NULL").drop("shared")))
+    lost = told.where("doc_id IS NULL").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "n_shingles", "fp1", "fp2", "CAST(NULL AS array<long>) AS shared")
+    monkeypatch.setattr(jaccard_join, "document_sets", lambda *a: info.selectExpr("*", "CAST(NULL AS array<long>) AS shared").unionByName(lost).select(*told.columns))
+    assert by_doc(jaccard_join.jaccard_components(docs, 4, 85)) == brute.jaccard(rows, 4, 85)
+
+
 def test_suffix_dedup(odd):
     rows, docs = odd
     want = {i: (n, r, s, brute.sha(k)) for i, (n, r, s, k) in brute.suffix_kept(rows).items()}
     assert by_doc(suffix_dedup.suffix_dedup_report(docs)) == want
 
 
+def test_keys_in_two_steps(odd, monkeypatch):
+    """Past FAN buckets keys travel by ranges; the results are the same."""
+    rows, docs = odd
+    monkeypatch.setattr(suffix_dedup.K, "FAN", 4)
+    want = {i: (n, r, s, brute.sha(k)) for i, (n, r, s, k) in brute.suffix_kept(rows).items()}
+    assert by_doc(suffix_dedup.suffix_dedup_report(docs)) == want
+    assert by_doc(jaccard_join.jaccard_components(docs, 4, 85)) == brute.jaccard(rows, 4, 85)
+
+
 def test_suffix_dedup_splits_a_hot_anchor(spark, monkeypatch):
     """A phrase under 50 bytes in every document, and a passage over 50: no task gets the contexts of all documents."""
     rng = random.Random(7)
@@ -157,24 +205,57 @@ def test_suffix_dedup_splits_a_hot_anchor(spark, monkeypatch):
     assert {i: brute.sha(t.encode()) for i, t in kept.items()} == {i: w[3] for i, w in want.items()}
 
 
-def test_induced_sort_spills():
+def test_induced_sort(monkeypatch):
+    """All suffixes in order with their common prefixes, whatever goes through files: queues, arrays, recursion on names."""
     import numpy as np
 
-    from quadlens.llm.induced_sort import sorted_suffixes
+    from quadlens.llm import induced_sort
 
-    rng = random.Random(3)
-    for _ in range(60):
+    rng, spills = random.Random(3), 0
+    for _ in range(80):
         alphabet = rng.choice([b"ab", b"abc", b"a", bytes(range(97, 123))])
         strings = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 12))]
         text = b"".join(bytes(x + 1 for x in s) + b"\0" for s in strings * 2)
-        depth = rng.choice([3, 7, 50])
-        sa, lcp = sorted_suffixes(np.frombuffer(text, np.uint8), depth, rng.choice([5, 1 << 20]))
+        monkeypatch.setattr(induced_sort, "CHUNK", rng.choice([4, 16, 1 << 18]))
+        monkeypatch.setattr(induced_sort, "RUNS", rng.choice([2, 24]))
+        depth, scratch = rng.choice([3, 7, 50]), induced_sort.Scratch(rng.choice([3, 10, 1 << 20]), rng.choice([5, 1 << 20]))
+        sa, lcp = induced_sort.sorted_suffixes(np.frombuffer(text, np.uint8), depth, scratch.memory, scratch)
+        spills += scratch.spills
         assert sorted(sa) == [i for i, c in enumerate(text) if c]
         cut = [text[i : text.index(b"\0", i)][:depth] for i in sa]
         assert cut == sorted(cut)
         for k in range(1, len(cut)):
             n = next((j for j, (x, y) in enumerate(zip(cut[k - 1], cut[k])) if x != y), min(len(cut[k - 1]), len(cut[k])))
             assert lcp[k] == n
+    assert spills > 100
+
+
+def test_shard_beyond_memory():
+    """A shard several times what its queues hold, through the function the query runs in its tasks: queues spill, owners are those of brute force."""
+    import numpy as np
+
+    rng = random.Random(9)
+    pool = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(50, 79))) for _ in range(4000)]
+    pool += [x[:20] + pool[k + 1][:50] for k, x in enumerate(pool[:2000])]
+    blobs, rows = [], []
+    for block in range(4):
+        part = [rng.choice(pool) for _ in range(5000)]
+        ids = [rng.randrange(10**6) for _ in part]
+        rows.append((part, ids))
+        blobs.append((7, block, suffix_dedup.CONTEXTS, suffix_dedup.K.packed(np.array([k % 5 for k in range(5000)], np.uint64), np.array(ids), np.array([len(x) for x in part], np.uint8), np.frombuffer(b"".join(part), np.uint8), np.array([7], np.uint32))))
+    spills, queue = [], 1 << 15
+    assert sum(len(x) for x in pool) > 8 * queue
+    got = list(suffix_dedup.solve_shard(iter([suffix_dedup.K.as_batch(blobs)]), 50, queue, spills))
+    assert sum(spills) >= 8
+    owner = {}
+    for part, ids in rows:
+        for x, i in zip(part, ids):
+            for k in range(len(x) - 49):
+                owner[x[k : k + 50]] = min(i, owner.get(x[k : k + 50], i))
+    for batch in got:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
+            told = suffix_dedup.K.unpacked(blob)[2]
+            assert told.tolist() == [owner[x[k : k + 50]] for x in rows[block][0] for k in range(len(x) - 49)]
 
 
 def test_top_k(spark):
@@ -196,6 +277,59 @@ def test_top_k(spark):
     assert knn_voronoi.top_k(df.where("vec_id = 20")).count() == 0
 
 
+def test_top_k_extremes(spark):
+    """Finite components of any size take part, scores are exact; mixed dimensions are an error."""
+    rng = random.Random(6)
+    base = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(90)]
+    base += [(100, [1e8] * 4), (101, [-1e8, 1.0, 2.0, 3.0]), (120, [1e16, 3.0, 0.0, 1.0]), (121, [-1e16] * 4), (140, [1e308, 0.0, 0.0, 0.0]), (141, [-1e308, 1e-300, 0.0, 0.0]), (160, [])]
+    q = {i: [int(x) * 64 if abs(x) >= 2**53 else int((64 * x) // 1) for x in v] for i, v in base if v}
+    want = set()
+    for i in q:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:20]
+            want |= {(i, r + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, j) in enumerate(best)}
+    schema = "vec_id long, embedding array<double>, u array<double>, grp int"
+    rows = [(i, v, None, 1) for i, v in base]
+    assert {tuple(r) for r in knn_voronoi.top_k(spark.createDataFrame(rows, schema), slice_rows=40).collect()} == want
+    with pytest.raises(ValueError, match="components"):
+        knn_voronoi.top_k(spark.createDataFrame([*rows, (200, [1.0], None, 1)], schema))
+
+
+#: Pages written and labelled by hand, in markup that the training layouts do not use: html, main text.
+PAGES = [
+    ("<body><div id=top-nav><a href=/>Start</a> | <a href=/b>Blog</a></div><div id=content><h1>Spring tides</h1><p>The sea rose by two metres on Monday, higher than in any year since records began.</p><p>Harbour staff moved the boats in time, and nobody was hurt.</p></div><div id=footer>Copyright 2021 The Harbour Post</div></body>",
+     "Spring tides\nThe sea rose by two metres on Monday, higher than in any year since records began.\nHarbour staff moved the boats in time, and nobody was hurt."),
+    ("<html><body><header><h2>Daily Notes</h2><nav><ul><li><a href='/1'>One</a><li><a href='/2'>Two</a></ul></nav></header><main><article><h1>On bread</h1><p>Flour, water and salt are all it takes, and a little patience.</p><aside class='related'><a href='/c'>Cakes we love</a></aside><p>Let the dough rest overnight, then bake it in a very hot oven.</p></article></main><footer><p>&copy; Daily Notes</p></footer></body></html>",
+     "On bread\nFlour, water and salt are all it takes, and a little patience.\nLet the dough rest overnight, then bake it in a very hot oven."),
+    ("<body><div class=cookie>We use cookies. <button>OK</div><div class='post'><h1>A walk</h1><p>We set out at dawn, when the fields were still white with frost.</p><img alt=\"5\" wide\"><p>By noon we had reached the old mill &amp; its pond.</p></div><section class=comments><h3>Comments</h3><div class=comment>Nice walk!</div><div class=comment>Where is it?</div></section></body>",
+     "A walk\nWe set out at dawn, when the fields were still white with frost.\nBy noon we had reached the old mill & its pond."),
+    ("<body><script src=/a/>var menu = '<p>no</p>';</script><article><h1>Clocks</h1><p>A clock that is wrong by a minute a day is right twice in two years.</p><ul><li>Wind it in the morning.</li><li>Keep it dry.</li></ul></article><div class='ad banner'>Buy a watch today, only 9.99!</div></body>",
+     "Clocks\nA clock that is wrong by a minute a day is right twice in two years.\nWind it in the morning.\nKeep it dry."),
+]
+
+
+def test_html_by_hand():
+    model = html_crf.default_model()
+    want = [block for _, text in PAGES for block in text.split("\n")]
+    got = [block for page, _ in PAGES for block in html_crf.main_text(page, model).split("\n")]
+    right, found = Counter(want) & Counter(got), Counter(got)
+    assert right.total() >= 0.9 * len(want) and right.total() >= 0.8 * found.total()
+
+
+def test_html_odd_markup():
+    blocks = lambda page: [x[0] for x in html_crf.leaf_blocks(page)]
+    assert blocks('<p>x</p><img alt="5" wide"><p>y</p>') == ["x", "y"]
+    assert blocks("<p>x</p><script src=/a/>var x = '<p>';</script><p>y</p>") == ["x", "y"]
+    assert blocks("<p>x</p><button>go<p>the rest of the page") == ["x", "go", "the rest of the page"]
+    assert blocks("<p>x</p><button>go</button><p>y") == ["x", "y"]
+    assert blocks("a < b and <3 &lt;b&gt; <svg/>after <svg><path/></svg>end<!-- c --><!doctype html>") == ["a < b and <3 <b> after end"]
+    assert blocks("<style>p{}") == [] and blocks("</ ><p>x") == ["x"] and blocks("<title>t</title>x") == ["x"]
+    start = time.time()
+    for part in ('<a "', "<a x='", '<a x="', "<button>", "<head>", "<!--", "<div>t", "<svg><svg></svg>", "&amp"):
+        html_crf.leaf_blocks(part * (160_000 // len(part)))
+    assert time.time() - start < 60
+
+
 def test_html():
     model = html_crf.default_model()
     pages = html_crf.labelled_pages(120, 99)
@@ -240,6 +374,49 @@ def test_language_of_other_scripts(spark):
     assert len({int(lang_hd._codes()[ord(c)]) for c in "абвгдежзαβγδ中国学"}) == 15
 
 
+def test_language_against_plain_vectors(spark):
+    """The same profiles from letters one by one: cosines agree; and pieces of a text make no difference."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(12)
+    words = {"en": "the house and garden were quiet", "de": "das haus und der garten waren still", "ru": "дом и сад были тихими"}
+    rows = [(i, " ".join(rng.choice(words[x].split()) for _ in range(8)), x) for i, x in enumerate(list(words) * 8)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def profile(text):
+        codes = [0] + [int(lang_hd._codes()[ord(c)]) for c in text] + [0]
+        codes = [c for k, c in enumerate(codes) if c or not k or codes[k - 1]]
+        counts = Counter(zip(codes, codes[1:], codes[2:]))
+        total = np.zeros(lang_hd.DIMENSIONS)
+        norm = math.sqrt(sum(n * n for (_, b, _), n in counts.items() if b))
+        for (a, b, c), n in counts.items():
+            if b:
+                va, vb, vc = lang_hd.symbol_vectors(np.array([a, b, c])).astype(int)
+                total += n * np.roll(va, 2) * np.roll(vb, 1) * vc
+        return total, norm
+
+    prototypes = {}
+    for _, text, lang in rows:
+        total, norm = profile(text)
+        prototypes[lang] = prototypes.get(lang, 0) + total / norm
+    asked = spark.createDataFrame([(i, t, None) for i, t, _ in rows] + [(99, "dom сад house", None)], learn.schema)
+    for r in lang_hd.predict(asked, learn).collect():
+        total, _ = profile(dict((i, t) for i, t, _ in [*rows, (99, "dom сад house", None)])[r.doc_id])
+        cosines = {x: float(total @ p / np.linalg.norm(total) / np.linalg.norm(p)) for x, p in prototypes.items()}
+        assert r.lang_pred == max(sorted(cosines), key=cosines.get) and abs(r.score - max(cosines.values())) < 1e-4
+
+
+def test_long_language_text(monkeypatch):
+    rng = random.Random(0)
+    text = "".join(rng.choice("ab 1éжЖ中 ") for _ in range(3000))
+    whole = lang_hd.trigrams_of(text)
+    for piece in (1, 2, 7, 100):
+        monkeypatch.setattr(lang_hd, "PIECE", piece)
+        assert all((x == y).all() for x, y in zip(lang_hd.trigrams_of(text), whole))
+
+
 REPORTS = {
     "piece_codec": lambda d: piece_codec.round_trip_report(d, PIECE_MODEL),
     "token_counts": lambda d: token_counts.token_counts(d, BYTE_BPE),
@@ -252,15 +429,68 @@ REPORTS = {
 }
 
 
+LINE = "a line that is long enough to be a key, and to hold a window of fifty bytes"
+#: By operator: what a test row of doc_id 1, 2 (twice, the same text as 1) and 3 (null) must say.
+VALUES = {
+    "piece_codec": {3: (1, brute.sha(b"2"), brute.sha(b""))},
+    "token_counts": {3: (0, 0, False)},
+    "line_dedup": {1: (1, 0, brute.sha(LINE.encode())), 2: (1, 1, brute.sha(b"")), 3: (1, 0, brute.sha(b""))},
+    "quality": {1: (*brute.quality(LINE), True, False), 3: (0, 0, 0, 0, 0, True, False)},
+    "jaccard": {1: (len(brute.shingles(LINE, 5)), 1), 2: (len(brute.shingles(LINE, 5)), 1), 3: (0, 3)},
+    "suffix": {1: (75, 0, 0, brute.sha(LINE.encode())), 2: (75, 75, 1, brute.sha(b"")), 3: (0, 0, 0, brute.sha(b""))},
+    "language": {3: (zlib.crc32(b"3") % 3 == 1, "und", 0.0)},
+}
+
+
 @pytest.mark.parametrize("name", REPORTS)
 def test_defined_cases(spark, name):
     """Empty tables, null columns, repeated rows and extra columns with names the operators use themselves."""
-    schema = "doc_id long, text string, lang string, n_tokens long, h1 string, key string, block int, rep long, task int"
+    schema = "doc_id long, text string, lang string, n_tokens long, h1 string, key string, block int, rep long, task int, row int, gone int, lines int"
+    extra = (1, "x", "y", 1, 1, 1, 1, 1, 1)
     assert REPORTS[name](spark.createDataFrame([], schema)).count() == 0
-    line = "a line that is long enough to be a key, and to hold a window of fifty bytes"
-    rows = [(1, line, "en", None, "x", "y", 1, 1, 1), (2, line, None, 1, None, None, None, None, None), (2, line, None, 1, None, None, None, None, None), (None, line, "en", 1, "", "", 0, 0, 0), (3, None, None, None, None, None, None, None, None)]
+    rows = [(1, LINE, "en", *extra), (2, LINE, None, *extra), (2, LINE, *([None] * 10)), (None, LINE, "en", *extra), (3, *([None] * 11))]
     got = REPORTS[name](spark.createDataFrame(rows, schema)).collect()
     assert {r.doc_id for r in got} >= {1, 2, 3}
+    for doc, want in VALUES.get(name, {}).items():
+        assert {tuple(r)[1:] for r in got if r.doc_id == doc} == {want}
+
+
+def test_long_text(spark):
+    """A text of over a megabyte beside short ones."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(5000)]
+    long = "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(18_000))
+    rows = {1: "short text of a few words only", 2: long, 3: long[: len(long) // 2] + " and another end", 4: long}
+    docs = spark.createDataFrame(list(rows.items()), DOC)
+    assert len(long) > 1 << 20
+    assert by_doc(jaccard_join.jaccard_components(docs, 4, 85)) == {1: (4, 1), 2: (len(brute.shingles(long, 4)), 2), 3: (len(brute.shingles(rows[3], 4)), 3), 4: (len(brute.shingles(long, 4)), 2)}
+    got = by_doc(suffix_dedup.suffix_dedup_report(docs))
+    assert got[2][1] == 0 and got[4][1] == len(long) and got[3][1] == len(long) // 2
+    got = by_doc(line_dedup.line_dedup_report(docs))
+    want = brute.kept_lines(rows)
+    assert {i: (len(a), len(a) - len(s)) for i, (a, s) in want.items()} == {i: v[:2] for i, v in got.items()}
+    assert by_doc(quality_rules.quality_report(docs))[2][:5] == brute.quality(long)
+    assert {r.doc_id for r in lang_hd.language_report(docs.selectExpr("*", "'en' AS lang")).collect()} == {1, 2, 3, 4}
+
+
+def test_stages_keep_clashing_columns(spark):
+    """The pipeline's stages over documents whose columns have the names that operators use, and without n_chars."""
+    names = ["n_words", "kept", "_gone", "_id", "gone", "lines", "row", "text_", "runs", "_runs", "cut_id", "_drop", "rep", "_w", "_l", "changed", "lost_id", "version"]
+    text = " ".join(["the house and the garden of a man who was not there with us"] * 1 + [f"word{k} is in the text" for k in range(12)])
+    rows = [(i, f"{text} number {i % 2}\n{LINE} {i}", *range(len(names))) for i in (1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{x}` int" for x in names))
+    for stage in (quality_rules.keep_good, line_dedup.dedup_documents, jaccard_join.keep_one, suffix_dedup.dedup_documents):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and all(tuple(r)[2:] == tuple(range(len(names))) for r in found), stage
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    docs = spark.createDataFrame([(1, LINE), (2, f"{LINE}\nother"), (2, f"other\n{LINE} again")], DOC)
+    got = sorted((r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_dedup_report(docs).where("doc_id = 2").collect())
+    assert got == sorted([(2, 1, brute.sha(b"other")), (2, 0, brute.sha(f"other\n{LINE} again".encode()))])
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):
