@@ -26,10 +26,6 @@ def family_key(name: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1).cast("long"), rounds), name, lambda acc, _: cut(acc))
 
 
-def content_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
-
-
 def merged_families(items: DataFrame) -> DataFrame:
     """items (name, family, geometry_hash) with the family root: families that share a geometry are one, transitively."""
     twins = items.groupBy("geometry_hash").agg(F.min("family").alias("b"), F.count_distinct("family").alias("n")).where("n > 1")

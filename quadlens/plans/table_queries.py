@@ -98,13 +98,6 @@ def events_offsets(spark, sf_dir):
 _NAME = "concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN '_v2_flatboi' WHEN p_partkey % 4 = 1 THEN '_region_3' WHEN p_partkey % 4 = 2 THEN '_copy_sel_a_1' ELSE '' END)"
 
 
-def _sql_family(name: str, rounds: int = 4) -> str:
-    for _ in range(rounds):
-        for s in splits.SUFFIXES:
-            name = f"coalesce(nullif(regexp_replace({name}, '{s}', ''), ''), {name})"
-    return name
-
-
 def _sql_family_cte(src: str, name: str, rounds: int = 4) -> list[str]:
     out, prev = [], src
     for i in range(rounds * len(splits.SUFFIXES)):
