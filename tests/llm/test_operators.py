@@ -140,19 +140,21 @@ def test_jaccard_matches(spark, limit):
 
 
 def test_jaccard_pairs_grow_with_documents(spark, monkeypatch):
-    """One phrase in all documents and the rest drawn from shared passages: candidates grow in proportion, not with the square."""
+    """One phrase in all documents and the rest drawn from passages that 150 documents share each: candidates grow in
+    proportion to the documents. (From a pool of fixed size also the pairs that share most passages grow with the square.)"""
     seen, verified = [], jaccard_join.verified
     monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
 
     def pairs(n):
-        rng = random.Random(n)
-        passages = [" ".join(f"p{i}_{k}" for k in range(40)) for i in range(20)]
-        rows = [(i, "one phrase that all of them begin with " + " ".join(passages[j] for j in rng.sample(range(20), 6))) for i in range(n)]
+        rng, pool = random.Random(n), n // 25
+        passages = [" ".join(f"p{i}_{k}" for k in range(40)) for i in range(pool)]
+        rows = [(i, "one phrase that all of them begin with " + " ".join(passages[j] for j in rng.sample(range(pool), 6))) for i in range(n)]
         seen.clear()
         jaccard_join.jaccard_components(spark.createDataFrame(rows, DOC).repartition(4), 4, 85).count()
         return sum(seen)
 
-    assert pairs(2000) < 2.7 * pairs(1000) < 0.1 * 1000 * 1000
+    small, large = pairs(1000), pairs(2000)
+    assert large < 2.3 * small and large < 0.1 * 2000 * 1999 / 2
 
 
 def test_jaccard_half_prints_collide(spark, monkeypatch):
