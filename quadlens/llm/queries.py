@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quadlens.llm import html_crf, jaccard_join, knn_voronoi, lang_hd, line_dedup, packing, piece_codec, quality_rules, suffix_dedup, token_counts
+from quadlens.llm import alignment, html_crf, jaccard_join, knn_voronoi, lang_hd, line_dedup, packing, piece_codec, quality_rules, suffix_dedup, token_counts, vector_codes, warc
 from quadlens.llm.common import table
 
 #: Places of the public vocabularies; parameters of the operators.
@@ -53,9 +53,22 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_MODEL)
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_suffix_dedup, op4_jaccard_join, op5_language_id, op6_token_counts, op7_exact_top_k, op8_quality_rules, op9_packing, op10_line_dedup)}
+    first = (op1_html_extraction, op2_sentencepiece, op3_suffix_dedup, op4_jaccard_join, op5_language_id, op6_token_counts, op7_exact_top_k)
+    return {f.__name__: f for f in (*first, op8_quality_rules, op9_packing, op10_line_dedup, op11_alignment, op12_vector_codes, op13_warc)}
 
 
 def oracle_sql():
-    return {"op7_exact_top_k": knn_voronoi.ORACLE, "op8_quality_rules": quality_rules.oracle(), "op10_line_dedup": line_dedup.ORACLE}
+    return {"op7_exact_top_k": knn_voronoi.ORACLE, "op8_quality_rules": quality_rules.oracle(), "op10_line_dedup": line_dedup.ORACLE, "op12_vector_codes": vector_codes.oracle(), "op13_warc": warc.ORACLE}
