@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from quadlens.llm import chunk_table
 from quadlens.llm.common import join_hot, new_path, staged
 
-BLOCK = 8 << 20  # bytes of text taken together
-SHORT = 64  # characters of a chunk that a worker keeps
+BLOCK = 3 << 20  # bytes of text taken together; a task holds some forty times as many
+SHORT, KEPT = 64, 150_000  # characters of a chunk that a worker keeps, and how many
 SHIFT = 1 << 31  # an id pair as one number: a * SHIFT + b
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -169,7 +169,7 @@ class Aligner:
         missing = [x for x in chunks if x not in self.known]
         found = dict(zip(missing, self.align(missing)))
         out = [found[x] if x in found else self.known[x] for x in chunks]
-        if len(self.known) + len(found) > chunk_table.LIMIT:
+        if len(self.known) + len(found) > KEPT:
             self.known = {}
         self.known.update((x, r) for x, r in found.items() if len(x) <= SHORT)
         return out
