@@ -35,6 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+HOT = 1000  # at most so many keys can have more than a thousandth of all rows
+
+
+def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows inner-joined with told, which has one row a key and in n how many of rows have it; n goes.
+
+    Keys with more than a HOTth of the rows, fewer than HOT, are broadcast, so that none of them lands in one task; the rows
+    of all other keys are shuffled.
+    """
+    total = told.agg(F.sum(n)).first()[0] or 0
+    hot, cold = told.where(F.col(n) * HOT > total).drop(n), told.where(F.col(n) * HOT <= total).drop(n)
+    if cold.isEmpty():
+        return rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node each node of links (a, b) is connected with; labels jump, so rounds grow with the log of the diameter."""
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -41,15 +41,16 @@ def grid_sizes(vertices: DataFrame, keys: list[str]) -> DataFrame:
     return vertices.groupBy(*keys).agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
 
 
-def faces(vertices: DataFrame) -> DataFrame:
-    """Triangles of all windings: winding, row, col, block, u, corners a, b, c, centroid g and radius.
+def faces(vertices: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Triangles of all windings: by (columns that tell families apart), winding, row, col, block, u, corners a, b, c, centroid g and radius.
 
     u is the continuous winding coordinate: the winding plus the column's share of the surface.
     """
-    q = quads(vertices, ["winding"]).join(grid_sizes(vertices, ["winding"]).select("winding", "w"), "winding")
+    keys = [*by, "winding"]
+    q = quads(vertices, keys).join(grid_sizes(vertices, keys).select(*keys, "w"), keys)
     q = q.withColumn("u", F.col("winding") + (F.col("col") + 0.5) / F.greatest(F.col("w") - 1, F.lit(1)))
     tri = lambda block, *ks: F.struct(F.lit(block).alias("block"), *[F.col(f"{a}{k}").cast("double").alias(f"{n}{a}") for n, k in zip("abc", ks) for a in "zyx"])
-    f = q.select("winding", "row", "col", "u", F.explode(F.array(tri(0, "10", "00", "01"), tri(1, "10", "01", "11"))).alias("t")).select("winding", "row", "col", "u", "t.*")
+    f = q.select(*keys, "row", "col", "u", F.explode(F.array(tri(0, "10", "00", "01"), tri(1, "10", "01", "11"))).alias("t")).select(*keys, "row", "col", "u", "t.*")
     f = f.withColumns({f"g{a}": (F.col(f"a{a}") + F.col(f"b{a}") + F.col(f"c{a}")) / 3 for a in "zyx"})
     g = triple("g")
     return f.withColumn("radius", F.greatest(*(norm(sub(triple(n), g)) for n in "abc")))

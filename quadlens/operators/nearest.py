@@ -1,27 +1,36 @@
-"""Exact nearest-face join of points with triangles.
+"""Exact nearest-face join of points with triangles, over all faces or within groups that points and faces share.
 
-Faces are dealt to tiles, cells of a grid over their centroids that hold some TILE faces each; a crowded tile is
-split into parts. A summary per tile (its bounding box) says how near its faces can be. Every point first meets
-the tile it is nearest to, which gives it a distance; then it meets the other tiles whose boxes are nearer than
-that, if any. Tiles are solved where their points and faces meet: faces in order along a space-filling curve form
-small blocks with bounding spheres, blocks and then faces that cannot be nearest are left out, and the exact distance
-is taken to the rest. Up to TILE faces there is one tile and one step. Points of a crowded place are dealt to
-several tasks, each with the tile's faces.
+A group of at most TILE faces is solved at once. The faces of a larger one are dealt to tiles, cells of a grid over their
+centroids that hold some TILE faces each; a crowded tile is split into parts. Tiles have bounding boxes, and so have
+cells of 4 x 4 x 4 tiles, and so on up to one box a group: a table of boxes by level (see box_tree).
 
-Ties go to the nearer centroid, then to the smaller (block, winding, row, col).
+A point goes down that hierarchy. On each level it meets the boxes in those boxes it still asks, keeps the least distance
+by which some face must be near (a box touches a face on each of its sides), and drops boxes farther than that. The top
+of the hierarchy, as many levels as hold at most TOP boxes, is broadcast; further levels are joined one by one, each box
+met only by the points that ask its parent. Then a point is solved against the nearest tile, which gives it a distance,
+and against the other tiles that are nearer than that, if any.
+
+Tiles are solved where their points and faces meet: faces in order along a space-filling curve form small blocks with
+bounding spheres, blocks and then faces that cannot be nearest are left out, and the exact distance is taken to the rest.
+Points of a crowded place are dealt to several tasks, each with the tile's faces.
+
+Ties go to the nearer centroid, then to the smaller (block, winding, row, col). A point whose group has no face, or whose
+group is null, is near to none and gives no row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadlens.functions.vectors import sub, triangle_distance, triple, with_triangle_distance
-from quadlens.operators.graph import cut
+from quadlens.operators.graph import cut, join_counted
 
 TILE = 1 << 16  # faces of a tile and points of a task, about
+TOP = 1 << 12  # boxes that are broadcast
+SALT = 16  # tasks that the points which ask one box are dealt to
 BLOCK, STEP = 32, 256  # faces of a block, points at a time
 SLACK = 1e-9
 FACE = ["winding", "row", "col", "block"]
@@ -126,70 +135,196 @@ def _types(df: DataFrame, names: list[str]) -> list[str]:
 
 def _solved(asked: DataFrame, faces: DataFrame, at: list[str], names: list[str], keep: list[str]) -> DataFrame:
     schema = ", ".join([*_types(asked, names), "dist double, _g double", *_types(faces, [*TIES[1:], *keep])])
-    return asked.groupBy(*at).cogroup(faces.groupBy(*at)).applyInArrow(_solver(names, keep), schema)
-
+    faces = faces.select(*[c for c in faces.columns if c not in at or c in keep], *[F.col(c).alias(f"_at_{c}") for c in at])
+    return asked.groupBy(*at).cogroup(faces.groupBy(*[f"_at_{c}" for c in at])).applyInArrow(_solver(names, keep), schema)
+
+
+def _met(asked: DataFrame, faces: DataFrame, at: list[str], keys: list[str], names: list[str], keep: list[str]) -> DataFrame:
+    """The best face of each point in each place it asks; asked and faces have the columns `at`."""
+    tasks = asked.groupBy(*at).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tasks"))
+    many = F.broadcast(cut(tasks.where("tasks > 1")))  # one row for some TILE points
+    faces = faces.join(many, at, "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    asked = asked.join(many, at, "left").withColumn("task", F.pmod(F.xxhash64(*keys), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
+    return _solved(asked, faces, [*at, "task"], names, keep)
+
+
+# The hierarchy of boxes
+
+CELL, LOW, HIGH = ["iz", "iy", "ix"], ["z0", "y0", "x0"], ["z1", "y1", "x1"]
+FAN = 2  # bits of a cell's place that a level drops, on each axis
+
+
+def box_tree(leaves: DataFrame, within: list[str], levels: int) -> DataFrame:
+    """within, level, cell and box of every box: leaves (level 0) and what holds them, level by level."""
+    up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    up = up.withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2.0), FAN * F.col("level"))).cast("long") for c in CELL})
+    return up.groupBy(*within, "level", *CELL).agg(*[F.min(c).alias(c) for c in LOW], *[F.max(c).alias(c) for c in HIGH])
+
+
+def _bounds(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared: how near a face in a box can be, and how near one must be (some face touches each side of the box)."""
+    near = np.maximum(np.maximum(low - p, p - high), 0)
+    a, b = np.abs(p - low), np.abs(p - high)
+    side, far = np.minimum(a, b) ** 2, np.maximum(a, b) ** 2
+    return (near**2).sum(-1), (far.sum(-1)[..., None] - far + side).min(-1)
+
+
+def _column_bounds() -> tuple[Column, Column]:
+    """The same for columns pz, py, px and a box."""
+    near, side, far = [], [], []
+    for p, low, high in zip(("pz", "py", "px"), LOW, HIGH):
+        d = F.greatest(F.col(low) - F.col(p), F.col(p) - F.col(high), F.lit(0.0))
+        a, b = F.abs(F.col(p) - F.col(low)), F.abs(F.col(p) - F.col(high))
+        near.append(d * d)
+        side.append(F.least(a, b) * F.least(a, b))
+        far.append(F.greatest(a, b) * F.greatest(a, b))
+    whole = far[0] + far[1] + far[2]
+    return near[0] + near[1] + near[2], F.least(*(whole - f + s for f, s in zip(far, side)))
+
+
+class BoxTop:
+    """The levels of a hierarchy from `bottom` up, in memory: who may be near, level by level."""
+
+    def __init__(self, boxes: pa.Table, within: list[str], bottom: int):
+        level, cell = boxes.column("level").to_numpy(), _array(boxes, CELL).astype(np.int64)
+        group = list(zip(*(boxes.column(c).to_pylist() for c in within))) if within else [()] * boxes.num_rows
+        self.numbers = {}
+        of = np.array([self.numbers.setdefault(g, len(self.numbers)) for g in group], np.int64)
+        box = _array(boxes, LOW + HIGH)
+        self.low, self.high, self.cell, self.first, self.size = [], [], [], [], []  # from the bottom up
+        names = None
+        for k in range(int(level.max()), bottom - 1, -1):
+            own = np.flatnonzero(level == k)
+            parent = list(zip(of[own].tolist(), *((cell[own] >> FAN).T.tolist())))
+            above = {x: i for i, x in enumerate(names)} if names else {(g, *c): g for g, *c in parent}
+            at = np.array([above[x] for x in parent], np.int64)
+            order = np.argsort(at, kind="stable")
+            own = own[order]
+            n = len(names) if names else len(self.numbers)
+            first = np.searchsorted(at[order], np.arange(n + 1))
+            self.first.append(first[:-1])
+            self.size.append(np.diff(first))
+            self.low.append(box[own, :3])
+            self.high.append(box[own, 3:])
+            names = list(zip(of[own].tolist(), *cell[own].T.tolist()))
+            self.cell = cell[own]
+
+    def asks(self, p: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(point, box of the lowest level) pairs, and how many boxes were looked at."""
+        point, at, seen = np.arange(len(p)), group, 0
+        for first, size, low, high in zip(self.first, self.size, self.low, self.high):
+            n = size[at]
+            box = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            point = np.repeat(point, n)
+            seen += len(box)
+            near, must = _bounds(p[point], low[box], high[box])
+            bound = np.full(len(p), np.inf)
+            np.minimum.at(bound, point, must)
+            kept = np.sqrt(near) <= np.sqrt(bound[point]) + SLACK
+            point, at = point[kept], box[kept]
+        return point, at, seen
+
+
+def _descended(points: DataFrame, boxes: DataFrame, within: list[str], levels: int) -> DataFrame:
+    """Every point with the tiles it asks (CELL), and the squared distance of their boxes (_near)."""
+    counts = {r["level"]: r["count"] for r in boxes.groupBy("level").count().collect()}  # a row a level
+    kept = points.columns
+    bottom = next((k for k in range(levels + 1) if counts[k] <= TOP), None)
+    asks = None
+    if bottom is not None:
+        top = points.sparkSession.sparkContext.broadcast(BoxTop(boxes.where(F.col("level") >= bottom).toArrow(), within, bottom))  # TOP boxes at the bottom, fewer above
 
-def _met(asked: DataFrame, faces: DataFrame, keys: list[str], names: list[str], keep: list[str]) -> DataFrame:
-    """The best face of each point in each tile part it asks; asked and faces have tile and part."""
-    tasks = asked.groupBy("tile", "part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tasks"))
-    faces = faces.join(tasks, ["tile", "part"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    asked = asked.join(tasks, ["tile", "part"]).withColumn("task", F.pmod(F.xxhash64(*keys), F.col("tasks")).cast("int")).drop("tasks")
-    return _solved(asked, faces, ["tile", "part", "task"], names, keep)
-
-
-def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: list[str] = (), carry: list[str] = ()) -> DataFrame:
-    """keys, carry (columns of points), dist, face_winding, face_row, face_col, face_block and keep (columns of faces) of the
-    face nearest to each point (pz, py, px)."""
-    keep, names, place = list(keep), [*keys, *carry], ["pz", "py", "px"]
-    points = cut(points.select(*names, *[F.col(c).cast("double").alias(c) for c in place if c not in names]))
-    faces = cut(_faces_side(faces, keep))
-    n = faces.count()
-    if not n:
-        raise ValueError("no face to be near to")
-    if n <= TILE:
-        tasks = max(1, -(-points.count() // TILE))
-        asked = points.withColumn("task", F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int"))
-        dealt = faces.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-        return _solved(asked, dealt, ["task"], names, keep).drop("_g")
-    ends = faces.agg(*[f(f"g{a}").alias(f"{f.__name__}_{a}") for f in (F.min, F.max) for a in "zyx"]).first()
-    low = [ends[f"min_{a}"] for a in "zyx"]
-    cell = max(max(ends[f"max_{a}"] - x for a, x in zip("zyx", low)), 1e-9) * (TILE / n) ** 0.5  # faces lie on surfaces
-    at = [F.floor((F.col(f"g{a}") - x) / cell) for a, x in zip("zyx", low)]
-    faces = faces.withColumn("tile", (at[0] * (1 << 20) + at[1]) * (1 << 20) + at[2])
-    edge = [f(*[F.col(f"{n}{a}") for n in "abc"]) for f in (F.least, F.greatest) for a in "zyx"]
-    boxes = faces.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), *[(F.min if i < 3 else F.max)(c).alias(f"e{i}") for i, c in enumerate(edge)])
-    boxes = cut(boxes)
-    faces = faces.join(boxes.select("tile", "parts"), "tile").withColumn("part", F.pmod(F.xxhash64(*[f"face_{c}" for c in FACE]), F.col("parts")).cast("int")).drop("parts")
-    table = boxes.toArrow()  # a row a tile: one for some TILE faces
-    shared = points.sparkSession.sparkContext.broadcast((table.column("tile").to_numpy(), table.column("parts").to_numpy(), _array(table, [f"e{i}" for i in range(6)])))
-
-    def asks(first: bool):
         def run(batches):
-            tiles, parts, box = shared.value
+            tree = top.value
             for b in batches:
-                p = _array(b, place)
-                out = []
-                for i in range(0, len(p), STEP):
-                    q = p[i : i + STEP, None]
-                    far = np.sqrt((np.maximum(np.maximum(box[None, :, :3] - q, q - box[None, :, 3:]), 0) ** 2).sum(2))
-                    near = far.argmin(1)
-                    if first:
-                        of, tile = np.arange(len(q)), near
-                    else:
-                        far[np.arange(len(q)), near] = np.inf
-                        of, tile = np.nonzero(far <= b.column("_dist").to_numpy()[i : i + STEP, None] + SLACK)
-                    n = parts[tile]
-                    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    out.append((np.repeat(of + i, n), np.repeat(tiles[tile], n), part))
-                of, tile, part = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-                own = [b.column(c).take(pa.array(of)) for c in every]
-                yield pa.record_batch([*own, pa.array(tile.astype(np.int64)), pa.array(part.astype(np.int32))], [*every, "tile", "part"])
-
-        return run
-
-    every = points.columns
-    schema = ", ".join([*_types(points, every), "tile long, part int"])
-    near = cut(_met(points.mapInArrow(asks(True), schema), faces, keys, names, keep))
+                p = _array(b, ["pz", "py", "px"])
+                group = list(zip(*(b.column(c).to_pylist() for c in within))) if within else [()] * len(p)
+                group = np.array([tree.numbers.get(g, -1) for g in group], np.int64)
+                some = np.flatnonzero(group >= 0)
+                for i in range(0, len(some), STEP):
+                    own = some[i : i + STEP]
+                    point, box, _ = tree.asks(p[own], group[own])
+                    near = _bounds(p[own][point], tree.low[-1][box], tree.high[-1][box])[0]
+                    columns = [b.column(c).take(pa.array(own[point])) for c in kept]
+                    yield pa.record_batch([*columns, *(pa.array(x) for x in tree.cell[box].T), pa.array(near)], [*kept, *CELL, "_near"])
+
+        asks = points.mapInArrow(run, ", ".join([*_types(points, kept), "iz long, iy long, ix long, _near double"]))
+    else:  # more groups than can be broadcast: their uppermost boxes are joined like any level
+        bottom = levels + 1
+        asks = points.withColumns({c: F.lit(0).cast("long") for c in CELL})
+    salt = F.pmod(F.xxhash64(*kept), F.lit(SALT)).cast("int")
+    for level in range(bottom - 1, -1, -1):
+        near, must = _column_bounds()
+        below = boxes.where(F.col("level") == level).drop("level")
+        below = below.select(*within, *[F.floor(F.col(c) / (1 << FAN)).cast("long").alias(f"_{c}") for c in CELL], *[F.col(c).alias(f"_own_{c}") for c in CELL], *LOW, *HIGH, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+        asks = asks.select(*kept, *[F.col(c).alias(f"_{c}") for c in CELL]).withColumn("_salt", salt)
+        met = asks.join(below, [*within, *[f"_{c}" for c in CELL], "_salt"]).withColumns({"_near": near, "_must": must})
+        met = met.withColumn("_bound", F.min("_must").over(Window.partitionBy(*kept)))  # the boxes that one point asks
+        met = met.where(F.sqrt("_near") <= F.sqrt("_bound") + SLACK)
+        asks = cut(met.select(*kept, *[F.col(f"_own_{c}").alias(c) for c in CELL], "_near"))
+    return asks
+
+
+def _tiled(points: DataFrame, faces: DataFrame, groups: DataFrame, within: list[str], keys: list[str], names: list[str], keep: list[str]) -> DataFrame:
+    """The same for groups (within, n, size of a cell and least centroid) of more than TILE faces."""
+    faces = join_counted(faces, groups, within) if within else faces.crossJoin(F.broadcast(groups)).drop("n")  # without keys, one row
+    faces = faces.withColumns({c: F.floor((F.col(f"g{a}") - F.col(f"_low_{a}")) / F.col("_cell")).cast("long") for c, a in zip(CELL, "zyx")}).drop("_cell", *[f"_low_{a}" for a in "zyx"])
+    faces = cut(faces)
+    edge = lambda f, a: f(*[F.col(f"{n}{a}") for n in "abc"])
+    boxes = [F.min(edge(F.least, a)).alias(c) for c, a in zip(LOW, "zyx")] + [F.max(edge(F.greatest, a)).alias(c) for c, a in zip(HIGH, "zyx")]
+    leaves = cut(faces.groupBy(*within, *CELL).agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("parts"), *boxes))
+    last = leaves.agg(F.max(F.greatest(*CELL))).first()[0]
+    if last is None:
+        return None
+    levels = -(-max(last, 0).bit_length() // FAN)
+    tree = cut(box_tree(leaves.drop("parts", "n"), within, levels))
+    own = F.pmod(F.xxhash64(*[f"face_{c}" for c in FACE]), F.col("parts")).cast("int")
+    faces = join_counted(faces, leaves.select(*within, *CELL, "parts", "n"), [*within, *CELL]).withColumn("part", own).drop("parts")
+    asks = cut(_descended(points, tree, within, levels))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_near", *CELL))  # the tiles that one point asks
+    asks = cut(asks.withColumn("_nth", nth))
+    each = leaves.select(*within, *CELL, "parts")
+    place = [*within, *CELL, "part"]
+
+    def parted(some):
+        hit = some.join(each, [*within, *CELL])
+        return hit.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    near = cut(_met(parted(asks.where("_nth = 1").drop("_nth", "_near")), faces, place, keys, names, keep))
     known = near.groupBy(*keys).agg(F.min("dist").alias("_dist"))
-    rest = _met(points.join(known, keys).mapInArrow(asks(False), schema), faces, keys, names, keep)
+    rest = asks.where("_nth > 1").join(known, keys).where(F.sqrt("_near") <= F.col("_dist") + SLACK)
+    rest = _met(parted(rest.drop("_nth", "_near", "_dist")), faces, place, keys, names, keep)
     return _best(near.unionByName(rest), names, keep)
+
+
+def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: list[str] = (), carry: list[str] = (), within: list[str] = ()) -> DataFrame:
+    """keys, within and carry (columns of points), dist, face_winding, face_row, face_col, face_block and keep (columns of
+    faces) of the face nearest to each point (pz, py, px), among the faces with the same values in the columns `within`."""
+    within = list(within)
+    keys = [*keys, *(c for c in within if c not in keys)]
+    keep, names, place = list(keep), [*keys, *carry], ["pz", "py", "px"]
+    points = cut(points.select(*names, *[F.col(c).cast("double").alias(c) for c in place if c not in names]))
+    faces = _faces_side(faces, [*keep, *(c for c in within if c not in keep)])
+    faces = cut(faces.dropna(subset=within) if within else faces)
+    ends = [F.min(f"g{a}").alias(f"_low_{a}") for a in "zyx"]
+    span = F.greatest(*[F.max(f"g{a}") - F.min(f"g{a}") for a in "zyx"], F.lit(1e-9))
+    groups = faces.groupBy(*within).agg(F.count("*").alias("n"), *ends, (span * F.sqrt(F.lit(TILE) / F.count("*"))).alias("_cell"))  # faces lie on surfaces
+    groups = cut(groups)
+    small, large = groups.agg(F.count_if(F.col("n") <= TILE), F.count_if(F.col("n") > TILE)).first()
+    if not within:
+        if not groups.first()["n"]:
+            raise ValueError("no face to be near to")
+        if small:
+            tasks = max(1, -(-points.count() // TILE))
+            asked = points.withColumn("task", F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int"))
+            dealt = faces.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+            return _solved(asked, dealt, ["task"], names, keep).drop("_g")
+        return _tiled(points, faces, groups, within, keys, names, keep)
+    found = []
+    if small or not large:
+        few = groups.where(F.col("n") <= TILE).select(*within)
+        found.append(_met(points.join(few, within, "left_semi"), faces.join(few, within, "left_semi"), within, keys, names, keep).drop("_g"))
+    if large:
+        many = groups.where(F.col("n") > TILE)
+        found.append(_tiled(points, faces, many, within, keys, names, keep))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])

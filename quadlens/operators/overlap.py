@@ -9,7 +9,7 @@ from quadlens.functions.stats import fraction, pct
 from quadlens.operators import mesh, scoring
 from quadlens.operators.nearest import nearest_faces
 
-APART, LEAST, CLOSE = 4096.0, 20, 2.0
+LEAST, CLOSE = 20, 2.0
 
 
 def first_partner(listed: DataFrame, known: DataFrame) -> DataFrame:
@@ -28,18 +28,14 @@ def chosen_pairs(pairs: DataFrame, most: int, seed: int = 20260731) -> DataFrame
 def overlap_distances(patches: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, row, col, dist of the points of a pair's patch whose nearest face of the partner is not at its boundary.
 
-    All pairs are met in one join: each pair is lifted along z by APART times its number, so that no point is near a
-    face of another pair.
+    All pairs are met in one join, each within its own partner's faces.
     """
-    lift = F.col("pair") * F.lit(APART)
-    points = scoring.patch_points(patches).join(pairs, "patch").withColumn("pz", F.col("pz") + lift)
-    other = patches.withColumnRenamed("patch", "partner").join(pairs.select("partner", "pair"), "partner").withColumn("winding", F.col("pair"))
-    faces = mesh.faces(other)
-    faces = faces.withColumns({c: F.col(c) + F.col("winding") * F.lit(APART) for c in ("az", "bz", "cz", "gz")})
-    near = nearest_faces(points, faces, ["pair", "row", "col"])
-    edge = mesh.boundary_quads(mesh.quads(other, ["winding"]), ["winding"])
-    edge = edge.select(F.col("winding").alias("face_winding"), F.col("row").alias("face_row"), F.col("col").alias("face_col"), "boundary")
-    inner = near.join(edge, ["face_winding", "face_row", "face_col"]).where("face_winding = pair AND NOT boundary")
+    points = scoring.patch_points(patches).join(pairs, "patch")
+    other = patches.withColumnRenamed("patch", "partner").join(pairs.select("partner", "pair"), "partner").withColumn("winding", F.lit(0))
+    near = nearest_faces(points, mesh.faces(other, ["pair"]), ["pair", "row", "col"], within=["pair"])
+    edge = mesh.boundary_quads(mesh.quads(other, ["pair"]), ["pair"])
+    edge = edge.select("pair", F.col("row").alias("face_row"), F.col("col").alias("face_col"), "boundary")
+    inner = near.join(edge, ["pair", "face_row", "face_col"]).where("NOT boundary")
     return inner.select("pair", "row", "col", "dist")
 
 

@@ -10,6 +10,7 @@ from quadlens.functions.vectors import angle_deg, triple
 from quadlens.operators import mesh, sheets
 from quadlens.operators.graph import cut
 from quadlens.operators.nearest import nearest_faces
+from quadlens.operators.splits import numbered
 
 TAU, UNSEEN_DIST, MIN_UNSEEN = 6.0, 2.0, 8
 LEAKAGE = (0.5, 1.0, 2.0, 6.0)
@@ -42,14 +43,8 @@ def point_scores(patches: DataFrame, family: DataFrame, inputs: DataFrame | None
 
 def as_surfaces(patches: DataFrame) -> DataFrame:
     """Patches numbered by name as if they were windings, so that their faces can be made."""
-    ids = patches.select("patch").distinct().withColumn("winding", F.dense_rank().over(_by_name()).cast("int"))
-    return patches.join(ids, "patch").select("winding", "row", "col", "z", "y", "x", "valid")  # one row per patch
-
-
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy("patch")
+    ids = numbered(patches.select("patch").distinct(), "patch").select("patch", (F.col("n") + 1).cast("int").alias("winding"))
+    return patches.join(ids, "patch").select("winding", "row", "col", "z", "y", "x", "valid")
 
 
 def winding_agreement(points: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over files: written from closed-form surfaces into the shared folder, read back by the readers."""
+"""Queries over files: written from surfaces woven from the driver's tables into the shared folder, read back by the readers."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from quadlens.plans import sql as S
 from quadlens.sources import files, reports, synthetic
 
 TABLE: dict[str, tuple] = {}
-SMALL = {"windings": 3, "z_count": 4, "theta_count": 12}
 
 
 def query(sql: str | None):
@@ -33,28 +32,35 @@ def _named(v, names):
     return v.withColumn("surface", name)
 
 
-@query(S.with_(S.family("fam", **SMALL), last=M._V.format("fam")))
+_SMALL = [S.family("fam0"), "fam AS (SELECT * FROM fam0 WHERE winding < 13)"]
+
+
+def _small(spark, sf_dir):
+    return M._fam(spark, sf_dir).where("winding < 13")
+
+
+@query(S.with_(*_SMALL, last=M._V.format("fam")))
 def run_loader(spark, sf_dir):
     """A run with plain, spliced and tagged windings and a surface that is none: spliced ones are preferred."""
-    v, path = synthetic.family(spark, **SMALL), shared_path(spark, "run")
+    v, path = _small(spark, sf_dir), shared_path(spark, "run")
     plain = _named(synthetic.displace(v.where("winding = 10"), 5.0), {10: "w010"})
     other = v.where("winding = 10").withColumn("surface", F.lit("notes"))
     files.write_surfaces(_named(v, {10: "w010_spliced", 11: "w011_tag", 12: "w012_spliced_tag"}).unionByName(plain).unionByName(other), path)
     return M._vertices(files.read_run(spark, path))
 
 
-@query(S.with_("wide AS (SELECT CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c FROM range(5) a(i), range(13) b(j))", "blocks AS (SELECT * FROM (VALUES (10, 0, 4), (11, 4, 7), (12, 7, 13)) t(w, j0, j1))", last="SELECT w AS winding, r AS row, c - j0 AS col FROM wide JOIN blocks ON c BETWEEN j0 AND j1"))
+@query(S.with_(*M._WIDE, last="SELECT w AS winding, r AS row, c - j0 AS col FROM wide JOIN blocks ON c BETWEEN j0 AND j1"))
 def combined_loader(spark, sf_dir):
     """A run as one wide surface with column ranges in its meta table."""
     path = shared_path(spark, "wide")
-    files.write_surfaces(synthetic.family(spark, 1, 10, 10.0, 5, 4.0, 13).withColumn("surface", F.lit("all")), path, [(10, 0, 4), (11, 4, 7), (12, 7, 13)])
+    files.write_surfaces(M._wide(spark, sf_dir), path, M.BLOCKS)
     return files.read_run(spark, path).select("winding", "row", "col")
 
 
-@query(S.with_(S.patches("pat", M.SPEC), last="SELECT patch, CAST(count(*) AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS error FROM pat GROUP BY patch UNION ALL SELECT * FROM (VALUES ('flat', NULL, 'no valid quad'), ('twice', NULL, 'a cell is given twice')) t(patch, n, error)"))
+@query(S.with_(S.patches("pat"), last="SELECT patch, CAST(count(*) AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS error FROM pat GROUP BY patch UNION ALL SELECT * FROM (VALUES ('flat', NULL, 'no valid quad'), ('twice', NULL, 'a cell is given twice')) t(patch, n, error)"))
 def patch_loader(spark, sf_dir):
     """Good patches, and what is wrong with the others."""
-    v, path = synthetic.patches(spark).withColumnRenamed("patch", "surface"), shared_path(spark, "patches")
+    v, path = M._patches(spark, sf_dir).drop("number").withColumnRenamed("patch", "surface"), shared_path(spark, "patches")
     one = v.where("surface = 'patch0_w11'")
     bad = one.withColumn("surface", F.lit("flat")).withColumn("x", F.lit(math.nan).cast("float"))
     twice = one.withColumn("surface", F.lit("twice"))
@@ -64,39 +70,38 @@ def patch_loader(spark, sf_dir):
     return good.unionByName(errors.select("patch", F.lit(None).cast("long").alias("n"), "error"))
 
 
-_STRIP_ROWS = synthetic.strips(M._Rows())
-_STRIP_VALUES = ", ".join(f"({k}, '{n}', {p}, {S.num(z)}, {S.num(y)}, {S.num(x)}, {'NULL' if a is None else S.num(a)})" for _, k, n, p, z, y, x, a in _STRIP_ROWS)
-_STRIP_TABLE = f"sp AS (SELECT * FROM (VALUES {_STRIP_VALUES}) t(collection, name, point, z, y, x, wind_a))"
+_STRIP_TABLE = S.strips("sp")
 
 
-def _strip_file(spark) -> str:
-    """The generated strips as a point-collection file: some positions as zyx, some as p."""
-    path, found = shared_path(spark, "strips"), {}
-    for _, k, name, p, z, y, x, a in _STRIP_ROWS:
-        at = {"zyx": [z, y, x]} if p % 2 else {"p": [x, y, z]}
-        found.setdefault(str(k), {"name": name, "points": {}})["points"][str(p)] = at | {"wind_a": a}
-    found["99"] = {"name": "empty", "points": {}}
-    reports.write_text(spark, f"{path}/strips.json", json.dumps({files.VERSION_KEY: "1", "collections": found}))
-    return f"{path}/strips.json"
+def _strip_files(spark, sf_dir) -> str:
+    """The strips as point-collection files of 50 collections each: some positions as zyx, some as p."""
+    path = shared_path(spark, "strips")
+    v = M.woven.strips(M._table(spark, sf_dir, "part"))
+    at = F.struct(F.when(F.col("point") % 2 == 1, F.array("z", "y", "x")).alias("zyx"), F.when(F.col("point") % 2 == 0, F.array("x", "y", "z")).alias("p"), "wind_a")
+    strip = v.groupBy("collection").agg(F.struct(F.first("name").alias("name"), F.map_from_entries(F.collect_list(F.struct(F.col("point").cast("string"), at))).alias("points")).alias("c"))
+    found = strip.groupBy(F.floor(F.col("collection") / 50).alias("file")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("collection").cast("string"), "c"))).alias("collections"))
+    found.select(F.to_json(F.struct(F.lit("1").alias(files.VERSION_KEY), "collections")).alias("value"), "file").write.partitionBy("file").text(path)  # a file holds 500 points at most
+    return f"{path}/*"
 
 
 @query(S.with_(_STRIP_TABLE, last="SELECT CAST(collection AS BIGINT) AS collection, name, CAST(point AS BIGINT) AS point, " + S.rnd("z", "y", "x", "wind_a") + " FROM sp"))
 def points_loader(spark, sf_dir):
     """Annotated strips from JSON."""
-    return rounded(files.read_points(spark, _strip_file(spark)).select("collection", "name", "point", "z", "y", "x", "wind_a"))
+    return rounded(files.read_points(spark, _strip_files(spark, sf_dir)).select("collection", "name", "point", "z", "y", "x", "wind_a"))
 
 
 @query(S.with_(_STRIP_TABLE, last="SELECT CAST(collection AS BIGINT) AS collection, CAST(count(*) AS BIGINT) AS n FROM sp WHERE z BETWEEN 24 AND 34 GROUP BY collection HAVING count(*) >= 4"))
 def points_in_window(spark, sf_dir):
     """Strips cut to a window, kept with enough points."""
-    return files.points_in_window(files.read_points(spark, _strip_file(spark)), (24.0, 34.0), 4).groupBy("collection").agg(F.count("*").alias("n"))
+    return files.points_in_window(files.read_points(spark, _strip_files(spark, sf_dir)), (24.0, 34.0), 4).groupBy("collection").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(S.num, p)) + ")" for p in M.BENT_AXIS) + ") t(z, y, x)")
+@query("SELECT CAST(n_nationkey AS DOUBLE) AS z, CAST(n_regionkey AS DOUBLE) AS y, CAST(length(n_name) AS DOUBLE) AS x FROM nation")
 def axis_loader(spark, sf_dir):
-    """An axis from JSON."""
+    """An axis from JSON: one control point a nation."""
     path = shared_path(spark, "axis")
-    reports.write_text(spark, f"{path}/axis.json", json.dumps({"control_points": M.BENT_AXIS}))
+    rows = M._table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.length("n_name")).collect()  # one axis, 25 points
+    reports.write_text(spark, f"{path}/axis.json", json.dumps({"control_points": [list(r) for r in rows]}))
     return files.read_umbilicus(spark, f"{path}/axis.json")
 
 
@@ -107,15 +112,15 @@ _PER_SURFACE = "per AS (SELECT winding, avg(CASE WHEN valid THEN 1.0 ELSE 0.0 EN
 def loader_stats(spark, sf_dir):
     """What a folder of surfaces holds."""
     path = shared_path(spark, "holes")
-    files.write_surfaces(M._holed(spark), path)
+    files.write_surfaces(M._holed(spark, sf_dir), path)
     return rounded(files.loader_stats(files.read_surfaces(spark, path)[0]))
 
 
-@query(S.with_(S.family("fam"), "n AS (SELECT DISTINCT format('w{:03d}', winding) AS surface FROM fam)", last="SELECT surface, CAST(1800 AS BIGINT) AS n FROM n ORDER BY sha256(concat('5|', surface)) LIMIT 3"))
+@query(S.with_(S.family("fam"), "n AS (SELECT format('w{:03d}', winding) AS surface, CAST(count(*) AS BIGINT) AS n FROM fam GROUP BY ALL)", last="SELECT surface, n FROM n ORDER BY sha256(concat('5|', surface)) LIMIT 3"))
 def loader_sample(spark, sf_dir):
     """A seeded sample of a folder's surfaces."""
     path = shared_path(spark, "sample")
-    files.write_surfaces(synthetic.family(spark), path)
+    files.write_surfaces(M._fam(spark, sf_dir), path)
     return files.sampled(files.read_surfaces(spark, path)[0], 3, 5).groupBy("surface").agg(F.count("*").alias("n"))
 
 
@@ -123,29 +128,38 @@ def loader_sample(spark, sf_dir):
 def z_center(spark, sf_dir):
     """The middle of each surface in z, from its meta row."""
     path = shared_path(spark, "centers")
-    files.write_surfaces(M._holed(spark), path)
+    files.write_surfaces(M._holed(spark, sf_dir), path)
     return rounded(files.z_center(files.read_meta(spark, path), files.read_surfaces(spark, path)[0]))
 
 
-@query("SELECT * FROM (VALUES ('w010', 'a_copy'), ('a_copy', 'a_copy'), ('w011', 'w011'), ('w012', 'w012')) t(surface, root)")
+_TWINS = "UNION ALL SELECT concat('a_', patch), number, r, c, z, y, x FROM pat WHERE number % 4 = 1"
+
+
+@query(S.with_(S.patches("pat"), f"twice AS (SELECT patch, number, r, c, z, y, x FROM pat {_TWINS})", "sig AS (SELECT patch, string_agg(concat(r, ',', c, ',', z, ',', y, ',', x), ';' ORDER BY r, c) AS g FROM twice GROUP BY patch)", last="SELECT patch AS surface, min(patch) OVER (PARTITION BY g) AS root FROM sig"))
 def twin_surfaces(spark, sf_dir):
     """Surfaces with the same geometry under two names are one family (content hashes, G3)."""
-    v, path = synthetic.family(spark, **SMALL), shared_path(spark, "twins")
-    files.write_surfaces(v.unionByName(v.where("winding = 10").withColumn("surface", F.lit("a_copy"))), path)
+    v, path = M._patches(spark, sf_dir).withColumnRenamed("patch", "surface"), shared_path(spark, "twins")
+    files.write_surfaces(v.unionByName(v.where("number % 4 = 1").withColumn("surface", F.concat(F.lit("a_"), "surface"))).drop("number"), path)
     items = files.surface_hashes(files.read_surfaces(spark, path)[0]).withColumn("family", F.col("surface"))
     return splits.merged_families(items).select("surface", "root")
 
 
-@query("SELECT * FROM (VALUES ('fit/meta', 1), ('fit/vertices', 1), ('heldout/meta', 1), ('heldout/vertices', 1), ('manifest', 1)) t(folder, found)")
+@query(S.with_(*_SMALL, last="SELECT winding, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (valid) AS BIGINT) AS n_valid, 1 AS n_sides FROM fam GROUP BY winding"))
 def split_files(spark, sf_dir):
-    """A split written as two collections and a manifest, and found again (K7, S8, R1 by PCG64)."""
+    """A split written as two collections and a manifest, and found again: every surface is whole, on one side (K7, S8, R1 by PCG64)."""
     path = shared_path(spark, "split")
-    v = cut(synthetic.family(spark, **SMALL))
+    v = cut(_small(spark, sf_dir))
     items = files.surface_hashes(v).join(v.groupBy("surface").agg(F.avg(F.col("z") + F.col("winding")).alias("z")), "surface").select(F.col("surface").alias("name"), F.col("surface").alias("family"), "geometry_hash", "z")
     reports.write_split(splits.z_stratified(splits.merged_families(items), 0.34, 5, True), v, path, {"seed": 5})
-    found = files.found_files(spark, path, "part-*")
-    folder = F.regexp_extract("path", r"(fit/meta|fit/vertices|heldout/meta|heldout/vertices|manifest)/part-", 1)
-    return found.groupBy(folder.alias("folder")).agg(F.max(F.lit(1)).alias("found"))
+    sides = files.found_files(spark, f"{path}/manifest", "part-*")
+    if sides.isEmpty():
+        raise RuntimeError("the manifest was not written")
+    back = None
+    for side in ("fit", "heldout"):
+        one = files.read_surfaces(spark, f"{path}/{side}")[0].withColumn("side", F.lit(side))
+        back = one if back is None else back.unionByName(one)
+    winding = F.regexp_extract("surface", r"w(\d+)", 1).cast("int")
+    return back.groupBy(winding.alias("winding")).agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.count_distinct("side").cast("int").alias("n_sides"))
 
 
 _METRICS = ("n_bins", "median_pitch", "n_violation", "n_collapsed", "n_inflated", "frac_violation", "frac_collapsed")
@@ -155,7 +169,7 @@ _METRICS = ("n_bins", "median_pitch", "n_violation", "n_collapsed", "n_inflated"
 def report_files(spark, sf_dir):
     """A report written as JSON, tables and Markdown, and read again."""
     path = shared_path(spark, "report")
-    bins = cut(intrinsic.classed(intrinsic.gaps(*M._cells(spark))))
+    bins = cut(intrinsic.classed(intrinsic.gaps(*M._cells(spark, sf_dir))))
     reports.write_report(spark, path, {"tau": 6.0}, intrinsic=intrinsic.report(bins), worst=intrinsic.worst(bins), bins=bins)
     if not reports.in_step(spark, path):
         raise RuntimeError("report.md is not what report.json says")
@@ -176,29 +190,27 @@ _UNSEEN = "SELECT patch, CAST(count(*) FILTER (input_dist > 2) AS BIGINT) AS n_u
 @query(S.with_(*M._SCORED, last=_UNSEEN))
 def unseen_blocks(spark, sf_dir):
     """Each patch's numbers over its unseen points, null without any."""
-    scores = scoring.patch_scores(cut(sheets.with_sheets(M._points(spark), ["patch"])))
+    scores = scoring.patch_scores(cut(sheets.with_sheets(M._points(spark, sf_dir), ["patch"])))
     return rounded(scores.select("patch", "n_unseen", *[c for c in scores.columns if c.startswith("unseen_") and "sheet" not in c]), 4)
 
 
 @query(S.with_(*M._SCORED, "per AS (SELECT patch, quantile_cont(dist, 0.99) AS p99 FROM pts GROUP BY patch)", last="SELECT patch, round(p99, 4) AS dist_p99 FROM per ORDER BY p99 DESC, patch LIMIT 4"))
 def worst_patches(spark, sf_dir):
     """The patches with the largest distances first."""
-    scores = scoring.patch_scores(cut(sheets.with_sheets(M._points(spark), ["patch"])))
+    scores = scoring.patch_scores(cut(sheets.with_sheets(M._points(spark, sf_dir), ["patch"])))
     return rounded(reports.worst_patches(scores, 4).select("patch", "dist_p99"), 4)
 
 
-@query(S.with_(S.patches("pat", M.SPEC), "q AS (SELECT patch, count(*) AS n FROM pat WHERE z <= 9 GROUP BY patch)", last="SELECT patch FROM q WHERE n < 0 UNION ALL SELECT 'low' AS patch"))
+@query(S.with_(S.patches("pat"), S.quads("q", "pat", "patch"), S.centers("p", "q"), last="SELECT patch FROM p GROUP BY patch HAVING count(*) FILTER (pz BETWEEN 10 AND 40) = 0"))
 def skipped_patches(spark, sf_dir):
     """Patches without a quad center in the z window are skipped and told (F1, Q2)."""
-    v = synthetic.patches(spark, M.SPEC[:2])
-    low = v.where("patch = 'patch0_w11'").withColumn("patch", F.lit("low")).withColumn("z", (F.col("z") - 1000).cast("float"))
-    return scoring.scored(v.unionByName(low), M._fam(spark, **M.SIZE), z_range=(0.0, 100.0))[1]
+    return scoring.scored(M._patches(spark, sf_dir), M._fam(spark, sf_dir), z_range=(10.0, 40.0))[1]
 
 
 @query(S.with_(*M._STRIPS, last="SELECT CAST(collection AS BIGINT) AS collection, round(CASE WHEN n_within_tau > 0 THEN n_agree / n_within_tau END, 5) AS agreement FROM sv ORDER BY coalesce(CASE WHEN n_within_tau > 0 THEN n_agree / n_within_tau END, 0), collection LIMIT 3"))
 def strips_by_agreement(spark, sf_dir):
     """Strips with the least agreement first, those without a decidable point at the head."""
-    points, rows = M._strip_rows(spark)
+    points, rows = M._strip_rows(spark, sf_dir)
     v = strips.verdicts(strips.judged(rows), points).withColumn("agreement", F.try_divide("n_agree", "n_within_tau"))
     return rounded(reports.strips_by_agreement(v).limit(3).select("collection", "agreement"), 5)
 
@@ -215,7 +227,7 @@ def sensitivity_floor(spark, sf_dir):
     """How strong a planted collapse has to be before it is seen (Q9)."""
     rows = None
     for f in _FACTORS:
-        family = synthetic.collapse_gap(synthetic.family(spark), 16, 4.0, 5.0, f)
+        family = synthetic.collapse_gap(M._fam(spark, sf_dir), 16, 4.0, 5.0, f)
         bins = intrinsic.classed(intrinsic.gaps(intrinsic.binned_radius(family, intrinsic.umbilicus_table(spark, M.AXIS)), family))
         one = bins.agg(F.lit(f).alias("factor"), F.count_if(F.col("kind") == "collapsed").alias("n_collapsed"))
         rows = one if rows is None else rows.unionByName(one)
@@ -224,44 +236,37 @@ def sensitivity_floor(spark, sf_dir):
     return rows.crossJoin(F.broadcast(seen)).select("factor", "n_collapsed", (F.col("factor") == F.col("least")).alias("floor"))  # one row
 
 
-_SHIFTS, _FEW = (5.0, 10.0, 20.0), M.SPEC[:4]
+_SHIFTS = (5.0, 10.0, 20.0)
 
 
-@query(S.with_(S.patches("pat", _FEW), *[S.radially(f"s{i}", "pat", f"{x}e0", "patch", ", label") for i, x in enumerate(_SHIFTS)], "allp AS (" + " UNION ALL ".join(f"SELECT concat('{x}|', patch) AS patch, r, c, z, y, x, label, valid FROM s{i}" for i, x in enumerate(_SHIFTS)) + ")",
-               *S.demo("fam", True, **M.SIZE), S.quads("pq", "allp", "patch"), S.centers("pc", "pq"), *S.faces("f", "fam"), *S.nearest("pts", "pc", ["patch", "r", "c"], "f"), S.modal("m", "pts", "patch", "winding"),
+@query(S.with_(S.patches("pat"), *[S.radially(f"s{i}", "pat", f"{x}e0", "patch", ", label") for i, x in enumerate(_SHIFTS)], "allp AS (" + " UNION ALL ".join(f"SELECT concat('{x}|', patch) AS patch, r, c, z, y, x, label, valid FROM s{i}" for i, x in enumerate(_SHIFTS)) + ")",
+               *S.demo("fam", True), S.quads("pq", "allp", "patch"), S.centers("pc", "pq"), *S.faces("f", "fam"), *S.nearest("pts", "pc", ["patch", "r", "c"], "f"), S.modal("m", "pts", "patch", "winding"),
                last="SELECT pts.patch, round(median(dist), 4) AS dist_p50, any_value(mode) AS modal_winding FROM pts JOIN m USING (patch) GROUP BY pts.patch"))
 def pitch_blindness(spark, sf_dir):
     """Evidence moved by half a pitch, one and two: distances come back, the winding tells (Q10)."""
-    v, moved = synthetic.patches(spark, _FEW), None
+    v, moved = M._patches(spark, sf_dir).drop("number"), None
     for x in _SHIFTS:
         one = synthetic.displace(v, x).withColumn("patch", F.concat(F.lit(f"{x}|"), "patch"))
         moved = one if moved is None else moved.unionByName(one)
-    points = cut(scoring.point_scores(moved, M._fam(spark, True, **M.SIZE)))
+    points = cut(scoring.point_scores(moved, M._fam(spark, sf_dir)))
     from quadlens.functions.stats import modes
 
     modal = modes(points, ["patch"], "winding").select("patch", F.col("mode").alias("modal_winding"))
     return rounded(points.groupBy("patch").agg(F.median("dist").alias("dist_p50")).join(modal, "patch"), 4)
 
 
-_NEXT = [(11, 0.2 + 0.5 * i, 1.6 + 0.5 * i) for i in range(5)]
-_PAIRS = ", ".join(f"('patch{i}_w11', 'patch{i + 1}_w11', {i})" for i in range(4))
-_LIFT = lambda t, w, names: f"SELECT * REPLACE ({', '.join(f'{c} + 4096e0 * {w} AS {c}' for c in names)}) FROM {t}"
-
-
-@query(S.with_(S.patches("pat", _NEXT), f"pr AS (SELECT * FROM (VALUES {_PAIRS}) t(patch, partner, pair))", S.quads("q", "pat", "patch"), S.centers("p0", "q"), "p1 AS (SELECT p0.*, pair FROM p0 JOIN pr USING (patch))", "p AS (" + _LIFT("p1", "pair", ["pz"]) + ")",
-               "other AS (SELECT CAST(pair AS INTEGER) AS winding, r, c, z, y, x, valid FROM pat JOIN pr ON pat.patch = pr.partner)", *S.faces("f0", "other"), "f AS (" + _LIFT("f0", "winding", ["az", "bz", "cz", "gz"]) + ")", *S.nearest("near", "p", ["pair", "r", "c"], "f"),
-               "edge AS (SELECT winding, r, c, (SELECT count(*) FROM f0_q b WHERE a.winding = b.winding AND abs(a.r - b.r) + abs(a.c - b.c) = 1) < 4 AS boundary FROM f0_q a)",
-               "per AS (SELECT pair, count(*) AS n, median(dist) AS p50, quantile_cont(dist, 0.95) AS p95 FROM near JOIN edge ON near.winding = edge.winding AND fr = edge.r AND fc = edge.c WHERE NOT boundary AND near.winding = pair GROUP BY pair HAVING count(*) >= 20)",
+@query(S.with_(*M.OVERLAP, "per AS (SELECT pair, count(*) AS n, median(dist) AS p50, quantile_cont(dist, 0.95) AS p95 FROM inner_ GROUP BY pair HAVING count(*) >= 10)",
                last="SELECT CAST(count(*) AS BIGINT) AS n_pairs, round(median(p50), 5) AS median_p50, round(median(p95), 5) AS median_p95, round(avg(CASE WHEN p95 <= 2 THEN 1.0 ELSE 0.0 END), 5) AS share_close FROM per"))
 def overlap_control(spark, sf_dir):
-    """Every patch against its first known partner, over pairs with 20 points in the zone."""
-    patches = synthetic.patches(spark, _NEXT)
-    listed = patches.select("patch").distinct().withColumn("k", F.regexp_extract("patch", r"patch(\d+)", 1).cast("int")).select("patch", F.array(F.lit("gone"), F.concat(F.lit("patch"), F.col("k") + 1, F.lit("_w11"))).alias("partners"))
-    pairs = overlap.chosen_pairs(overlap.first_partner(listed, patches.select("patch").distinct()), 150)
-    return rounded(overlap.overlap_report(overlap.overlap_distances(patches, pairs)), 5)
+    """Every patch against its first known partner, over pairs with 10 points in the zone."""
+    patches, pairs = M.overlapping(spark, sf_dir)
+    listed = pairs.select("patch", F.array(F.lit("gone"), "patch", "partner").alias("partners"))
+    found = overlap.first_partner(listed, patches.select("patch").distinct()).join(pairs.select("patch", "pair"), "patch")
+    return rounded(overlap.overlap_report(overlap.overlap_distances(patches, found), least=10), 5)
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, round(100e0 * (1 - cos(k * 0.01e0 / 2)), 8) AS sag FROM range(1, 20) a(k)")
+@query("SELECT p_partkey, round(p_retailprice * (1 - cos(p_size * 0.01e0 / 2)), 6) AS sag FROM part")
 def sagitta_bound(spark, sf_dir):
     """What flat faces add to a distance from an arc."""
-    return rounded(spark.range(1, 20).select(F.col("id").alias("k"), F.lit(100.0).alias("r"), (F.col("id") * 0.01).alias("step")).select("k", sagitta("r", "step").alias("sag")), 8)
+    arcs = M._table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("r"), (F.col("p_size") * 0.01).alias("step"))
+    return rounded(arcs.select("p_partkey", sagitta("r", "step").alias("sag")), 6)

@@ -21,16 +21,21 @@ def rnd(*names: str, digits: int = 6) -> str:
     return ", ".join(f"round(CAST({n} AS DOUBLE), {digits}) AS {n}" for n in names)
 
 
-def spiral(w: str, theta: str, pitch: float) -> tuple[str, str]:
+def spiral(w: str, theta: str, pitch: float, more: str) -> tuple[str, str]:
     total = f"(({w}) * {T} + {theta})"
-    radius = f"({num(pitch)} * {total} / {T})"
-    return f"CAST(0e0 + sin{total} * {radius} AS FLOAT)", f"CAST(0e0 + cos{total} * {radius} AS FLOAT)"
+    radius = f"({num(pitch)} * {total} / {T} + {more})"
+    return f"sin{total} * {radius}", f"cos{total} * {radius}"
 
 
-def family(name: str, windings=8, first=10, pitch=10.0, z_count=20, z_step=4.0, theta_count=90) -> str:
-    y, x = spiral("w", f"j * {num(2 * math.pi / theta_count)}", pitch)
-    return f"""{name} AS MATERIALIZED (SELECT CAST(w AS INTEGER) AS winding, CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, CAST(i * {num(z_step)} AS FLOAT) AS z, {y} AS y, {x} AS x, true AS valid
- FROM range({first}, {first + windings}) a(w), range({z_count}) b(i), range({theta_count}) d(j))"""
+def _noise(value: str, scale: float) -> str:
+    return f"((CAST((floor({value}) % 100 + 100) % 100 AS DOUBLE) / 100 - 0.5e0) * {num(2 * scale)})"
+
+
+def family(name: str) -> str:
+    """The family woven from orders (see sources.woven)."""
+    y, x = spiral("winding", f"c * {num(2 * math.pi / 90)}", 10.0, _noise("v", 0.1))
+    return f"""{name} AS MATERIALIZED (SELECT winding, r, c, CAST(r * 4e0 AS FLOAT) AS z, CAST({y} AS FLOAT) AS y, CAST({x} AS FLOAT) AS x, floor(v) % 89 <> 0 AS valid
+ FROM (SELECT CAST(10 + o_orderkey % 8 AS INTEGER) AS winding, CAST(o_orderkey // 8 // 90 AS INTEGER) AS r, CAST(o_orderkey // 8 % 90 AS INTEGER) AS c, o_totalprice AS v FROM orders))"""
 
 
 def band(t0: float, t1: float, theta_count: int) -> str:
@@ -60,21 +65,27 @@ def holes(name: str, src: str, count: int, size: int, rows: int, cols: int, seed
     return f"{name} AS MATERIALIZED (SELECT winding, r, c, z, y, x, valid AND NOT ({hit}) AS valid FROM {src})"
 
 
-def demo(name: str, clean: bool = False, **size) -> list[str]:
-    n = size.get("theta_count", 90)
+def demo(name: str, clean: bool = False) -> list[str]:
     if clean:
-        return [family(name, **size)]
-    return [family(f"{name}_0", **size), swapped(f"{name}_1", f"{name}_0", 13, 14, 1.0, 2.2, n), collapsed(name, f"{name}_1", 16, 4.0, 5.0, 0.9, n)]
+        return [family(name)]
+    return [family(f"{name}_0"), swapped(f"{name}_1", f"{name}_0", 13, 14, 1.0, 2.2), collapsed(name, f"{name}_1", 16, 4.0, 5.0, 0.9)]
+
 
+def patches(name: str, where: str = "true") -> str:
+    """The patches woven from customers (see sources.woven); where: over their number."""
+    y, x = spiral("w", "theta", 10.0, _noise("v", 0.2))
+    return f"""{name} AS MATERIALIZED (SELECT concat('patch', number, '_w', w) AS patch, number, r, c, CAST((number + r) * 2e0 AS FLOAT) AS z, CAST({y} AS FLOAT) AS y, CAST({x} AS FLOAT) AS x,
+ CASE WHEN seam AND NOT (c > 0 AND floor(theta / {T}) <> floor((theta - step) / {T})) THEN CAST(floor(theta / {T}) AS DOUBLE) END AS label, true AS valid
+ FROM (SELECT *, start + c * step AS theta FROM (SELECT *, 11 + number % 7 AS w, number % 9 = 8 AS seam, CASE WHEN number % 9 = 8 THEN 5.6e0 ELSE CAST(number * 7 % 50 AS DOUBLE) / 10 END AS start, CASE WHEN number % 9 = 8 THEN 2.8e0 ELSE 1.2e0 END / 7 AS step
+ FROM (SELECT c_custkey // 40 AS number, CAST(c_custkey % 40 // 8 AS INTEGER) AS r, CAST(c_custkey % 8 AS INTEGER) AS c, c_acctbal AS v FROM customer))) WHERE {where})"""
 
-def patches(name: str, spec, pitch=10.0, z_range=(8.0, 68.0), rows=8, cols=12) -> str:
-    step = f"((t1 - t0) / {cols - 1})"
-    theta = f"(t0 + j * {step})"
-    y, x = spiral("w", theta, pitch)
-    values = ", ".join(f"('patch{i}_w{w}', {w}, {num(a)}, {num(b)})" for i, (w, a, b) in enumerate(spec))
-    label = f"CASE WHEN t1 > {T} AND NOT (j > 0 AND floor({theta} / {T}) <> floor(({theta} - {step}) / {T})) THEN CAST(floor({theta} / {T}) AS DOUBLE) END"
-    return f"""{name} AS (SELECT patch, CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, CAST({num(z_range[0])} + i * {num((z_range[1] - z_range[0]) / (rows - 1))} AS FLOAT) AS z, {y} AS y, {x} AS x, {label} AS label, true AS valid
- FROM (VALUES {values}) s(patch, w, t0, t1), range({rows}) b(i), range({cols}) d(j))"""
+
+def strips(name: str) -> str:
+    """The strips woven from parts (see sources.woven)."""
+    y, x = spiral("w", "theta", 10.0, "more")
+    return f"""{name} AS MATERIALIZED (SELECT 'parts' AS source, collection, concat(['same', 'arc', 'off', 'ladder', 'far'][kind + 1], collection) AS name, point, CAST((collection % 20) * 2e0 + point AS DOUBLE) AS z, {y} AS y, {x} AS x, CASE WHEN kind = 3 AND v < 48 THEN CAST(point % 5 AS DOUBLE) END AS wind_a
+ FROM (SELECT *, CASE kind WHEN 3 THEN 11 + point % 5 WHEN 4 THEN 30 + point ELSE 11 + collection % 6 END AS w, CASE WHEN kind = 3 THEN 1.5e0 ELSE CAST(collection % 6 AS DOUBLE) + point * CASE WHEN kind = 1 THEN {num(2 * math.pi * 0.75 / 9)} ELSE 0.1e0 END END AS theta, CASE WHEN kind = 2 AND v <= 3 THEN 10e0 ELSE 0.3e0 END AS more
+ FROM (SELECT *, collection % 5 AS kind FROM (SELECT p_partkey // 10 AS collection, p_partkey % 10 AS point, p_size AS v FROM part))))"""
 
 
 def quads(name: str, src: str, key: str, carry: str = "") -> str:
@@ -111,8 +122,9 @@ def faces(name: str, src: str) -> list[str]:
     return [q, f"{name}_w AS (SELECT winding, max(c) + 1 AS w FROM {src} GROUP BY winding)", f"{name}_t AS ({tri(0, ('10', '00', '01'))} UNION ALL {tri(1, ('10', '01', '11'))})", f"{name} AS (SELECT *, {m}, {rad} FROM (SELECT *, {n} FROM (SELECT *, {g}, {d} FROM {name}_t)))"]
 
 
-def nearest(name: str, points: str, keys: list[str], face: str, keep: list[str] = ()) -> list[str]:
-    """keys, dist, winding, fr, fc, fblock and keep of the face nearest to each row (pz, py, px) of points, over all pairs."""
+def nearest(name: str, points: str, keys: list[str], face: str, keep: list[str] = (), within: str | None = None) -> list[str]:
+    """keys, dist, winding, fr, fc, fblock and keep of the face nearest to each row (pz, py, px) of points, over all pairs (of equal `within`)."""
+    met = f"{points} p JOIN {face} f ON p.{within} = f.{within}" if within else f"{points} p CROSS JOIN {face} f"
     dots = {1: ("ab", "a"), 2: ("ac", "a"), 3: ("ab", "b"), 4: ("ac", "b"), 5: ("ab", "c"), 6: ("ac", "c")}
     d = ", ".join("(" + " + ".join(f"({e[1]}{v} - a{v}) * (p{v} - {o}{v})" for v in "zyx") + f") AS d{k}" for k, (e, o) in dots.items())
     g2 = "(" + " + ".join(f"(p{v} - g{v}) * (p{v} - g{v})" for v in "zyx") + ") AS g2"
@@ -127,24 +139,27 @@ def nearest(name: str, points: str, keys: list[str], face: str, keep: list[str]
     cols = ", ".join([*(f"p.p{v}" for v in "zyx"), *(f"f.{n}{v}" for n in "abcg" for v in "zyx"), "f.winding AS fw", "f.r AS fr", "f.c AS fc", "f.block AS fb", *(f"f.{k}" for k in keep)])
     pack = ", ".join([f"'{n}': {e}" for n, e in (("d", "round(dist, 9)"), ("g", "round(g2, 6)"), ("fb", "fb"), ("fw", "fw"), ("fr", "fr"), ("fc", "fc"), ("dist", "dist"), *((k, k) for k in keep))])
     out = ", ".join([*(f"k_{k} AS {k}" for k in keys), "b.dist AS dist", "b.fw AS winding", "b.fr AS fr", "b.fc AS fc", "b.fb AS fblock", *(f"b.{k} AS {k}" for k in keep)])
-    return [
-        f"{name}_p AS (SELECT *, {d}, {g2} FROM (SELECT {key}, {cols} FROM {points} p, {face} f))",
+    far = "(" + " + ".join(f"(p.p{v} - f.g{v}) * (p.p{v} - f.g{v})" for v in "zyx") + ")"
+    same = " AND ".join(f"p.{k} = lim.l_{k}" for k in keys)
+    return [  # a centroid lies on its face, so the nearest centroid bounds the distance
+        f"{name}_l AS MATERIALIZED (SELECT {', '.join(f'p.{k} AS l_{k}' for k in keys)}, min({far}) AS lim FROM {met} GROUP BY ALL)",
+        f"{name}_p AS (SELECT *, {d}, {g2} FROM (SELECT {key}, {cols} FROM {met} JOIN {name}_l lim ON {same} WHERE sqrt({far}) - f.radius <= sqrt(lim) + 1e-9))",
         f"{name}_v AS (SELECT *, {v} AS v, {w} AS w FROM (SELECT *, d1 * d4 - d3 * d2 AS vc, d5 * d2 - d1 * d6 AS vb, d3 * d6 - d5 * d4 AS va FROM {name}_p))",
         f"{name}_b AS (SELECT {', '.join(f'k_{k}' for k in keys)}, min({{{pack}}}) AS b FROM (SELECT *, {dist} AS dist FROM {name}_v) GROUP BY ALL)",
         f"{name} AS (SELECT {out} FROM {name}_b)",
     ]
 
 
-def scored(spec, clean: bool, size: dict, inputs: bool = True) -> list[str]:
-    """pts: point scores of the demo patches; the inputs are the first three of them."""
+def scored(clean: bool = False, inputs: bool = True) -> list[str]:
+    """pts: point scores of the patches; the inputs are every third of them."""
     keys = ["patch", "r", "c"]
-    ctes = [*demo("fam", clean, **size), patches("pat", spec), quads("pq", "pat", "patch", "label"), centers("pc", "pq"), quad_normals("pn", "pc"), *faces("f", "fam"), *nearest("near", "pn", keys, "f", ["u", "mz", "my", "mx"])]
+    ctes = [*demo("fam", clean), patches("pat"), quads("pq", "pat", "patch", "label"), centers("pc", "pq"), quad_normals("pn", "pc"), *faces("f", "fam"), *nearest("near", "pn", keys, "f", ["u", "mz", "my", "mx"])]
     if inputs:
-        ctes += [patches("ins0", spec[:3]), "ins AS (SELECT CAST(dense_rank() OVER (ORDER BY patch) AS INTEGER) AS winding, r, c, z, y, x, valid FROM ins0)", *faces("fi", "ins"), *nearest("near_i", "pn", keys, "fi")]
+        ctes += ["ins AS (SELECT CAST(number AS INTEGER) AS winding, r, c, z, y, x, valid FROM pat WHERE number % 3 = 0)", *faces("fi", "ins"), *nearest("near_i", "pn", keys, "fi")]
     angle = "degrees(acos(least(abs(nz * mz + ny * my + nx * mx), 1e0)))"
     extra = ", i.dist AS input_dist" if inputs else ", CAST(NULL AS DOUBLE) AS input_dist"
     join = " JOIN near_i i ON n.patch = i.patch AND n.r = i.r AND n.c = i.c" if inputs else ""
-    ctes.append(f"pts AS (SELECT n.patch, n.r, n.c, pz AS z, py AS y, px AS x, (label00 + label01 + label10 + label11) / 4 AS quad_label, n.dist, n.winding, n.u, {angle} AS angle{extra} FROM pn JOIN near n ON pn.patch = n.patch AND pn.r = n.r AND pn.c = n.c{join})")
+    ctes.append(f"pts AS MATERIALIZED (SELECT n.patch, n.r, n.c, pz AS z, py AS y, px AS x, (label00 + label01 + label10 + label11) / 4 AS quad_label, n.dist, n.winding, n.u, {angle} AS angle{extra} FROM pn JOIN near n ON pn.patch = n.patch AND pn.r = n.r AND pn.c = n.c{join})")
     return ctes
 
 

@@ -241,6 +241,28 @@ def emb_nearest(spark, sf_dir):
     return nearest_faces(points, mesh.faces(grid), ["vec_id"]).select("vec_id", "face_row", "face_col", F.round("dist", 5).alias("dist"))
 
 
+_BY_LABEL = [
+    "en AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings)",
+    "ev AS (SELECT label AS winding, k // 5 AS r, k % 5 AS c, CAST(CAST(embedding[1] AS DOUBLE) * 10 + 5000 * label AS FLOAT) AS z, CAST(CAST(embedding[2] AS DOUBLE) * 10 AS FLOAT) AS y, CAST(CAST(embedding[3] AS DOUBLE) * 10 AS FLOAT) AS x, true AS valid FROM en)",
+    "ep AS (SELECT vec_id, label AS winding, CAST(embedding[4] AS DOUBLE) * 10 AS pz, CAST(embedding[5] AS DOUBLE) * 10 AS py, CAST(embedding[6] AS DOUBLE) * 10 AS px FROM embeddings)",
+]
+
+
+@query(S.with_(*_BY_LABEL, *S.faces("f", "ev"), *S.nearest("near", "ep", ["vec_id", "winding"], "f", within="winding"), last="SELECT vec_id, k_label AS label, CAST(fr AS INTEGER) AS face_row, CAST(fc AS INTEGER) AS face_col, round(dist, 4) AS dist FROM (SELECT *, winding AS k_label FROM near)"))
+def emb_nearest_by_label(spark, sf_dir):
+    """Each label's vectors woven into a surface of its own, far apart in z: the nearest face of its own label for a point of every vector."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "label", *[(F.col("embedding")[i].cast("double") * 10).alias(f"e{i}") for i in range(6)])
+    n = splits.numbered(e, "label", "vec_id")
+    first = n.groupBy("label").agg(F.min("n").alias("first"))
+    k = F.col("n") - F.col("first")
+    grid = n.join(F.broadcast(first), "label").select(  # as many rows as labels
+        "label", F.lit(0).alias("winding"), F.floor(k / 5).cast("int").alias("row"), (k % 5).cast("int").alias("col"),
+        (F.col("e0") + 5000 * F.col("label")).cast("float").alias("z"), F.col("e1").cast("float").alias("y"), F.col("e2").cast("float").alias("x"), F.lit(True).alias("valid"))
+    points = e.select("vec_id", "label", *[F.col(f"e{i + 3}").alias(f"p{a}") for i, a in enumerate("zyx")])
+    near = nearest_faces(points, mesh.faces(grid, ["label"]), ["vec_id"], within=["label"])
+    return near.select("vec_id", "label", "face_row", "face_col", F.round("dist", 4).alias("dist"))
+
+
 @query("""SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING min(l_quantity) - 2 <= 10 AND max(l_quantity) + 2 >= 30)""")
 def interval_overlap(spark, sf_dir):
     """Items whose extent overlaps a window with a margin."""
