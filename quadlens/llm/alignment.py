@@ -26,6 +26,7 @@ import hashlib
 import re
 import uuid
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from quadlens.llm import chunk_table
 from quadlens.llm.common import join_hot, new_path, staged
 
 BLOCK = 3 << 20  # bytes of text taken together; a task holds some forty times as many
-SHORT, KEPT = 64, 150_000  # characters of a chunk that a worker keeps, and how many
+SHORT, KEPT = 64, 360_000  # characters of a chunk that a worker keeps, and how many
 SHIFT = 1 << 31  # an id pair as one number: a * SHIFT + b
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -97,7 +98,7 @@ class Aligner:
         self.a_bytes, self.b_bytes = _a_bytes(a_path), _b_bytes(b_path)
         self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
         self.opens = np.array([x[:1] == b" " for x in self.a_bytes])
-        self.known = {}
+        self.known, self.old = {}, {}
 
     def _encode_a(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk behind a space. Chunks of one word go to the library many to a call: what begins with a space tells them apart."""
@@ -114,23 +115,18 @@ class Aligner:
         return out
 
     def align(self, chunks: list[str]) -> list[tuple | None]:
-        """For each chunk behind a space (n_a, n_b, n_groups, groups as text, pairs, times), None if its bytes do not come back."""
+        """For each chunk behind a space (n_a, n_b, n_groups, groups as text, pairs, times or nothing where all are 1), None if its bytes do not come back."""
         one = [i for i, x in enumerate(chunks) if " " not in x]
         ids = [None] * len(chunks)
         for places in (one, [i for i, x in enumerate(chunks) if " " in x]):
             for i, found in zip(places, self._encode_a([chunks[i] for i in places])):
                 ids[i] = found
-        as_a, as_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        rows = []
-        for i, (x, a, b) in enumerate(zip(chunks, ids, self.b.encode(chunks, num_threads=1) if chunks else [])):
-            want = b" " + x.encode()
-            if b"".join(map(as_a, a)) == want and b"".join(map(as_b, b)) == want:
-                rows.append((i, a, b))
+        rows = self._sound(chunks, ids, self.b.encode(chunks, num_threads=1) if chunks else [])
         out = [None] * len(chunks)
         if not rows:
             return out
-        n_a, n_b = (np.array([len(r[k]) for r in rows]) for k in (1, 2))
-        flat_a, flat_b = (np.array([x for r in rows for x in r[k]], np.int64) for k in (1, 2))
+        n_a, n_b = (np.fromiter(map(len, (r[k] for r in rows)), np.int64, len(rows)) for k in (1, 2))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(r[k] for r in rows), np.int64) for k in (1, 2))
         of_a, of_b = owners(self.a_size[flat_a]), owners(self.b_size[flat_b])
         # tokens of both end at a chunk's end, so groups never cross chunks
         _, cuts = changes(of_a, of_b)
@@ -146,11 +142,28 @@ class Aligner:
         start_a, start_b = start_a.tolist(), start_b.tolist()
         told = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip(start_a, start_a[1:], start_b, start_b[1:])]
         edge = np.searchsorted(chunk, np.arange(len(rows) + 1)).tolist()
+        once = (np.maximum.reduceat(times, first) == 1).tolist()
         for r, (i, a, b) in enumerate(rows):
             x = slice(first[r], last[r])
-            out[i] = (len(a), len(b), edge[r + 1] - edge[r], ";".join(told[edge[r] : edge[r + 1]]), pairs[x].tobytes(), times[x].tobytes())
+            out[i] = (len(a), len(b), edge[r + 1] - edge[r], ";".join(told[edge[r] : edge[r + 1]]), pairs[x].tobytes(), b"" if once[r] else times[x].tobytes())
         return out
 
+    def _sound(self, chunks: list[str], ids_a: list, ids_b: list) -> list[tuple]:
+        """(place, A ids, B ids) of the chunks whose joined bytes are a space and the chunk, on both sides."""
+        want = (" " + " ".join(chunks)).encode()
+        as_a, as_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        if want == b"".join(map(as_a, chain.from_iterable(ids_a))) == b"".join(map(as_b, chain.from_iterable(ids_b))):
+            size = np.fromiter((1 + (len(x) if x.isascii() else len(x.encode())) for x in chunks), np.int64, len(chunks))
+            ends = np.cumsum(size)
+            if all((np.cumsum(t[np.fromiter(chain.from_iterable(ids), np.int64)])[np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) - 1] == ends).all() for t, ids in ((self.a_size, ids_a), (self.b_size, ids_b))):
+                return list(zip(range(len(chunks)), ids_a, ids_b))
+        rows = []
+        for i, (x, a, b) in enumerate(zip(chunks, ids_a, ids_b)):
+            want = b" " + x.encode()
+            if b"".join(map(as_a, a)) == want and b"".join(map(as_b, b)) == want:
+                rows.append((i, a, b))
+        return rows
+
     @staticmethod
     def _pairs(flat_a, flat_b, group_a, group_b, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct id pairs of each chunk and how many links each has, with the chunks' numbers, ascending."""
@@ -166,11 +179,18 @@ class Aligner:
         return pair[new], np.add.reduceat(times, new), of[new]
 
     def look_up(self, chunks: list[str]) -> list:
-        missing = [x for x in chunks if x not in self.known]
+        """Two tables of KEPT / 2 chunks take turns: what is found in the old one moves to the new one, the rest goes when it is full."""
+        missing = []
+        for x in chunks:
+            if x not in self.known:
+                if x in self.old:
+                    self.known[x] = self.old[x]
+                else:
+                    missing.append(x)
         found = dict(zip(missing, self.align(missing)))
         out = [found[x] if x in found else self.known[x] for x in chunks]
-        if len(self.known) + len(found) > KEPT:
-            self.known = {}
+        if len(self.known) + len(found) > KEPT // 2:
+            self.old, self.known = self.known, {}
         self.known.update((x, r) for x, r in found.items() if len(x) <= SHORT)
         return out
 
@@ -205,6 +225,7 @@ def _chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 DOC, PAIRS = 0, 1
+ONES = np.ones(1, np.int64).tobytes()
 BLOCKS = "kind int, block string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at array<int>, times array<long>, pairs array<long>, docs array<int>"
 
 
@@ -226,7 +247,7 @@ def _block_rows(doc_ids: pa.Array, texts: pa.Array, aligner: Aligner) -> pa.Reco
     # each document's distinct chunks with their occurrences, then its distinct pairs with their links
     key, seen = np.unique(of * (len(names) + 1) + at, return_counts=True)
     doc, chunk = key // (len(names) + 1), key % (len(names) + 1)
-    pool, pool_times = np.frombuffer(b"".join(x[4] for x in found), np.int64), np.frombuffer(b"".join(x[5] for x in found), np.int64)
+    pool, pool_times = np.frombuffer(b"".join(x[4] for x in found), np.int64), np.frombuffer(b"".join(x[5] or ONES * (len(x[4]) // 8) for x in found), np.int64)
     size = np.array([len(x[4]) // 8 for x in found], np.int64)
     begin = np.cumsum(size) - size
     distinct, place = np.unique(pool, return_inverse=True)
