@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,16 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, padded), "")
 
 
-def paired_bootstrap(pairs: DataFrame, draws: int = 20_000, seed: int = 20260731) -> DataFrame:
-    """pairs (item, weight, a, b): weighted means, their difference and a 95 % interval from resampled items.
+def _interval(items: DataFrame, draws: DataFrame, weight_b: str) -> DataFrame:
+    """One row: weighted means, their difference and the 95 % interval of the draws' differences d."""
+    ends = draws.agg(pct("d", 0.025).alias("lo"), pct("d", 0.975).alias("hi"))  # as many numbers as draws
+    mean = lambda v, w: (F.sum(F.col(v) * F.col(w)) / F.sum(w)).alias(v)
+    whole = items.agg(mean("a", "weight"), mean("b", weight_b))
+    return whole.crossJoin(ends).select("a", "b", (F.col("b") - F.col("a")).alias("delta"), "lo", "hi", ((F.col("lo") > 0) == (F.col("hi") > 0)).alias("excludes_zero"))
 
-    Each draw takes as many items as there are, with replacement. How often a draw takes an item is what counts,
-    so slots are spread over draws by hash and each draw needs one pass over its slots.
-    """
+
+def slot_bootstrap(pairs: DataFrame, draws: int = 20_000, seed: int = 20260731) -> DataFrame:
+    """paired_bootstrap for few items, by a hash per draw and slot, which any engine can repeat: draws times items rows."""
     items = cut(numbered(pairs.where("a IS NOT NULL AND b IS NOT NULL"), "item"))
     n = max(items.count(), 1)
     slots = items.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("slot"))
@@ -71,7 +77,69 @@ def paired_bootstrap(pairs: DataFrame, draws: int = 20_000, seed: int = 20260731
     taken = slots.select("draw", pick.alias("n")).groupBy("draw", "n").agg(F.count("*").alias("times"))
     w = F.col("times") * F.col("weight")
     each = taken.join(items, "n").groupBy("draw").agg((F.sum(w * F.col("a")) / F.sum(w)).alias("ma"), (F.sum(w * F.col("b")) / F.sum(w)).alias("mb"))
-    each = each.withColumn("d", F.col("mb") - F.col("ma"))
-    ends = each.agg(pct("d", 0.025).alias("lo"), pct("d", 0.975).alias("hi"))  # as many numbers as draws
-    whole = items.agg((F.sum(F.col("a") * F.col("weight")) / F.sum("weight")).alias("a"), (F.sum(F.col("b") * F.col("weight")) / F.sum("weight")).alias("b"))
-    return whole.crossJoin(ends).select("a", "b", (F.col("b") - F.col("a")).alias("delta"), "lo", "hi", ((F.col("lo") > 0) == (F.col("hi") > 0)).alias("excludes_zero"))
+    return _interval(items, each.withColumn("d", F.col("mb") - F.col("ma")), "weight")
+
+
+RANGE, TOGETHER = 4096, 1 << 20  # items of a range, and picks looked at together
+
+
+def range_counts(n: int, first: int, draws: int, chunk: int, seed: int, size: int = RANGE) -> np.ndarray:
+    """How many of its n picks each draw of a chunk of draws makes among the items of the range of `size` that begins at first.
+
+    All picks are split between the two halves of the ranges by a binomial draw, those of a half between its halves, and so on
+    down to one range. Each split has a generator of its own, named by seed, chunk and place, so every range finds the same
+    splits above it.
+    """
+    count = np.full(draws, n, np.int64)
+    lo, hi = 0, -(-n // size)
+    at = first // size
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        whole, left = min(hi * size, n) - lo * size, (mid - lo) * size
+        taken = np.random.Generator(np.random.PCG64([seed, chunk, lo, hi])).binomial(count, left / whole)
+        lo, hi, count = (lo, mid, taken) if at < mid else (mid, hi, count - taken)
+    return count
+
+
+def resampled_sums(values: np.ndarray, n: int, first: int, draws: int, chunk: int, seed: int, size: int = RANGE) -> np.ndarray:
+    """Sums of the columns of values, those of the items from `first` on, over the picks of each draw of a chunk."""
+    counts = range_counts(n, first, draws, chunk, seed, size)
+    rng = np.random.Generator(np.random.PCG64([seed, chunk, first, n, 1]))
+    out, edge, a = np.zeros((draws, values.shape[1])), np.concatenate([[0], np.cumsum(counts)]), 0
+    while a < draws:
+        b = max(a + 1, int(np.searchsorted(edge, edge[a] + TOGETHER, "right")) - 1)
+        at = rng.integers(0, len(values), edge[b] - edge[a])
+        some = np.flatnonzero(counts[a:b])  # a draw without a pick here has no sum
+        if len(some):
+            out[a + some] = np.add.reduceat(values[at], (edge[a:b] - edge[a])[some])
+        a = b
+    return out
+
+
+def paired_bootstrap(pairs: DataFrame, draws: int = 20_000, seed: int = 20260731, chunk: int = 2500, size: int = RANGE) -> DataFrame:
+    """pairs (item, weight, a, b and, where b has weights of its own, weight_b): weighted means, their difference and a 95 %
+    interval from resampled items. Each draw takes as many items as there are, with replacement.
+
+    Items are numbered and cut into ranges of `size`; tasks take a range and `chunk` draws, find how many picks fall into the
+    range (range_counts), make them and give four sums a draw. No pick is a row.
+    """
+    own = "weight_b" in pairs.columns
+    given = pairs.where("a IS NOT NULL AND b IS NOT NULL AND weight IS NOT NULL" + (" AND weight_b IS NOT NULL" if own else ""))
+    items = cut(numbered(given.select("item", *[F.col(c).cast("double").alias(c) for c in ("weight", "a", "b", *(["weight_b"] if own else []))]), "item"))
+    n = items.count()
+    w, v = F.col("weight"), F.col("weight_b" if own else "weight")
+    sums = items.select("n", w.alias("w"), (w * F.col("a")).alias("wa"), v.alias("v"), (v * F.col("b")).alias("vb"))
+    chunks = [(c, min(chunk, draws - c * chunk)) for c in range(-(-draws // chunk))]
+    asked = sums.withColumn("chunk", F.explode(F.array(*[F.lit(c) for c, _ in chunks]))).withColumn("range", F.floor(F.col("n") / size))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("n").to_numpy())
+        values = np.stack([table.column(c).to_numpy()[order] for c in ("w", "wa", "v", "vb")], 1)
+        c, first = table.column("chunk")[0].as_py(), int(table.column("n").to_numpy().min())
+        found = resampled_sums(values, n, first, chunks[c][1], c, seed, size)
+        return pa.table({"draw": pa.array(np.arange(len(found)) + c * chunk), **{k: found[:, i] for i, k in enumerate(("w", "wa", "v", "vb"))}})
+
+    each = asked.groupBy("range", "chunk").applyInArrow(run, "draw long, w double, wa double, v double, vb double")
+    each = each.groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("w", "wa", "v", "vb")])
+    each = each.withColumn("d", F.try_divide("vb", "v") - F.try_divide("wa", "w"))
+    return _interval(items, each, "weight_b" if own else "weight")

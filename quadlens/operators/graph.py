@@ -30,9 +30,14 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and cut from its lineage, as a table in the shared folder.
+
+    Unlike a checkpoint, a table's size is known. A checkpoint keeps the size its plan was guessed to have, which joins
+    multiply: in a loop of joins the number of its digits grows from round to round without end.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # an empty table leaves no file to read the schema from
 
 
 HOT = 1000  # at most so many keys can have more than a thousandth of all rows
@@ -53,14 +58,23 @@ def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], n: str = "n"
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node each node of links (a, b) is connected with; labels jump, so rounds grow with the log of the diameter."""
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    """node, comp: the smallest node each node of links (a, b) is connected with.
+
+    Every node points to another one of its component. In a round it and, through it, the node it points to hear of the least
+    node that its neighbours' pointers point to, and pointers to pointers are cut short; so trees are hooked on to trees as a
+    whole, and rounds grow with the log of the number of nodes, whatever the order of labels along a path.
+    """
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    alone = links.where("a = b").select(F.col("a").alias("node")).distinct()
+    nodes = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("f"))
+    labels = cut(nodes.unionByName(alone.join(nodes, "node", "left_anti").select("node", F.col("node").alias("f"))))
     while True:
-        heard = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
-        step = labels.join(heard, "node").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        step = cut(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
-        labels = step.select("node", "comp")
-        if step.where("old <> comp").isEmpty():
-            return labels
+        two = labels.join(labels.select(F.col("node").alias("f"), F.col("f").alias("ff")), "f")
+        heard = edges.join(two.select(F.col("node").alias("b"), "ff"), "b").groupBy(F.col("a").alias("node")).agg(F.min("ff").alias("h"))
+        x = two.join(heard, "node", "left").withColumn("h", F.coalesce("h", "ff"))
+        own = x.select("node", F.least("f", "ff", "h").alias("new"), F.col("f").alias("old"))
+        told = x.select(F.col("f").alias("node"), F.col("h").alias("new"), F.when(F.lit(False), F.col("f")).alias("old"))
+        step = cut(own.unionByName(told).groupBy("node").agg(F.min("new").alias("f"), F.max("old").alias("old")))
+        labels = step.select("node", "f")
+        if step.where("f <> old").isEmpty():
+            return labels.withColumnRenamed("f", "comp")

@@ -34,19 +34,25 @@ def merged_families(items: DataFrame) -> DataFrame:
     return items.join(roots.select(F.col("node").alias("family"), "comp"), "family", "left").withColumn("root", F.coalesce("comp", "family")).drop("comp")
 
 
+def running_sums(rows: DataFrame, weights: dict[str, Column], *by: str) -> DataFrame:
+    """rows with, for each name of weights (whole numbers), its sum over the rows ahead in the order of by (unique), and as
+    total_name its sum over all: rows are dealt by range and summed within each range; the driver only adds up the ranges' sums."""
+    placed = cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).withColumns({f"_w_{k}": w.cast("long") for k, w in weights.items()}))
+    sums = sorted(tuple(r) for r in placed.groupBy("_part").agg(*[F.sum(f"_w_{k}") for k in weights]).collect())
+    first, total = [], [0] * len(weights)
+    for part, *n in sums:
+        first.append((part, *total))
+        total = [t + x for t, x in zip(total, n)]
+    first = rows.sparkSession.createDataFrame(first, "_part int, " + ", ".join(f"_f_{k} long" for k in weights))  # as many rows as ranges
+    w = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.join(F.broadcast(first), "_part").withColumns({k: F.col(f"_f_{k}") + F.sum(f"_w_{k}").over(w) - F.col(f"_w_{k}") for k in weights})
+    placed = placed.withColumns({f"total_{k}": F.lit(t).cast("long") for k, t in zip(weights, total)})
+    return placed.drop("_part", *[f"{p}{k}" for k in weights for p in ("_f_", "_w_")])
+
+
 def running(rows: DataFrame, weight: Column, *by: str) -> DataFrame:
-    """rows with before, the sum of weight (whole numbers) over the rows ahead in the order of by (unique), and total: rows
-    are dealt by range and summed within each range; the driver only adds up the ranges' sums."""
-    placed = cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight.cast("long")))
-    sums = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.sum("_w")).collect())
-    first, total = [], 0
-    for part, n in sums:
-        first.append((part, total))
-        total += n
-    first = rows.sparkSession.createDataFrame(first, "_part int, _first long")  # as many rows as ranges
-    own = F.sum("_w").over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = placed.join(F.broadcast(first), "_part").withColumn("before", F.col("_first") + own - F.col("_w"))
-    return placed.withColumn("total", F.lit(total).cast("long")).drop("_part", "_first", "_w")
+    """rows with before, the sum of weight over the rows ahead in the order of by (unique), and total."""
+    return running_sums(rows, {"before": weight}, *by).withColumnRenamed("total_before", "total")
 
 
 def numbered(rows: DataFrame, *by: str) -> DataFrame:

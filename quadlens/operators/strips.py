@@ -12,28 +12,24 @@ from quadlens.functions.vectors import TURN
 from quadlens.operators import mesh
 from quadlens.operators.intrinsic import axis_at
 from quadlens.operators.nearest import nearest_faces
+from quadlens.operators.scans import running_total
 
 STRIP = ["source", "collection"]
 DECISION = 0.5
 
 
-def unwrapped(theta: Column, by: list[str], order: str) -> Column:
-    """theta with whole turns added so that successive steps stay within half a turn; a window needs its order."""
-    w = Window.partitionBy(*by).orderBy(order)
-    step = theta - F.lag(theta).over(w)
+def turn_fix(step: Column) -> Column:
+    """The whole turns that bring a step within half a turn; none without a step."""
     small = F.pmod(step + math.pi, F.lit(TURN)) - math.pi
     small = F.when((small == -math.pi) & (step > 0), math.pi).otherwise(small)
-    fix = F.when(F.abs(step) < math.pi, 0.0).otherwise(F.coalesce(small - step, F.lit(0.0)))
-    return theta, F.coalesce(fix, F.lit(0.0))
+    return F.coalesce(F.when(F.abs(step) < math.pi, 0.0).otherwise(small - step), F.lit(0.0))
 
 
-def with_turns(points: DataFrame, by: list[str], order: str, theta: str = "theta") -> DataFrame:
-    """points with `turns`, the azimuth travelled along each strip."""
-    w = Window.partitionBy(*by).orderBy(order)
-    t, fix = unwrapped(F.col(theta), by, order)
-    points = points.withColumn("_fix", fix)
-    total = F.sum("_fix").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return points.withColumn("turns", (t + total) / TURN).drop("_fix")
+def with_turns(points: DataFrame, by: list[str], order: str, theta: str = "theta", ranges: int | None = None) -> DataFrame:
+    """points with `turns`, the azimuth travelled along each strip; a strip may be longer than a task."""
+    step = F.col(theta) - F.col("_theta_before")
+    rows = running_total(points, by, [order], {"_theta_before": F.col(theta)}, turn_fix(step), "_total", ranges)
+    return rows.withColumn("turns", (F.col(theta) + F.col("_total")) / TURN).drop("_total")
 
 
 def normalised(points: DataFrame) -> DataFrame:

@@ -187,14 +187,14 @@ def natural_order(spark, sf_dir):
 _UNSEEN = "SELECT patch, CAST(count(*) FILTER (input_dist > 2) AS BIGINT) AS n_unseen, " + ", ".join(f"round(quantile_cont(dist, {q}) FILTER (input_dist > 2), 4) AS unseen_dist_{n}" for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + ", round(max(dist) FILTER (input_dist > 2), 4) AS unseen_dist_max, round(avg(CASE WHEN dist <= 6 THEN 1.0 ELSE 0.0 END) FILTER (input_dist > 2), 4) AS unseen_frac_within_tau, round(quantile_cont(angle, 0.9) FILTER (input_dist > 2), 4) AS unseen_angle_p90 FROM pts GROUP BY patch"
 
 
-@query(S.with_(*M._SCORED, last=_UNSEEN))
+@query(S.with_(*M._SCORED, last=S.named(_UNSEEN)))
 def unseen_blocks(spark, sf_dir):
     """Each patch's numbers over its unseen points, null without any."""
     scores = scoring.patch_scores(cut(sheets.with_sheets(M._points(spark, sf_dir), ["patch"])))
     return rounded(scores.select("patch", "n_unseen", *[c for c in scores.columns if c.startswith("unseen_") and "sheet" not in c]), 4)
 
 
-@query(S.with_(*M._SCORED, "per AS (SELECT patch, quantile_cont(dist, 0.99) AS p99 FROM pts GROUP BY patch)", last="SELECT patch, round(p99, 4) AS dist_p99 FROM per ORDER BY p99 DESC, patch LIMIT 4"))
+@query(S.with_(*M._SCORED, "per AS (SELECT patch, quantile_cont(dist, 0.99) AS p99 FROM pts GROUP BY patch)", last=S.named("SELECT patch, round(p99, 4) AS dist_p99 FROM per ORDER BY p99 DESC, patch LIMIT 4")))
 def worst_patches(spark, sf_dir):
     """The patches with the largest distances first."""
     scores = scoring.patch_scores(cut(sheets.with_sheets(M._points(spark, sf_dir), ["patch"])))

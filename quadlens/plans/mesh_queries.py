@@ -266,12 +266,12 @@ def _points(spark, sf_dir, clean=False, inputs=True):
 _SCORED = S.scored()
 
 
-@query(S.with_(*S.scored(False, False), last="SELECT patch, r AS row, c AS col, round(dist, 5) AS dist, winding, round(u, 6) AS u FROM pts"))
+@query(S.with_(*S.scored(False, False), last=S.named("SELECT patch, r AS row, c AS col, round(dist, 5) AS dist, winding, round(u, 6) AS u FROM pts")))
 def nearest_face(spark, sf_dir):
     return rounded(_points(spark, sf_dir, inputs=False).select("patch", "row", "col", F.round("dist", 5).alias("dist"), "winding", "u"))
 
 
-@query(S.with_(*_SCORED, last="SELECT patch, r AS row, c AS col, round(input_dist, 5) AS input_dist FROM pts"))
+@query(S.with_(*_SCORED, last=S.named("SELECT patch, r AS row, c AS col, round(input_dist, 5) AS input_dist FROM pts")))
 def leakage_dist(spark, sf_dir):
     return _points(spark, sf_dir).select("patch", "row", "col", F.round("input_dist", 5).alias("input_dist"))
 
@@ -281,35 +281,35 @@ def leakage_profile(spark, sf_dir):
     return rounded(scoring.leakage_profile(_points(spark, sf_dir)))
 
 
-@query(S.with_(*S.scored(False, False), last="SELECT patch, r AS row, c AS col, round(angle, 4) AS angle FROM pts"))
+@query(S.with_(*S.scored(False, False), last=S.named("SELECT patch, r AS row, c AS col, round(angle, 4) AS angle FROM pts")))
 def normal_angles(spark, sf_dir):
     return _points(spark, sf_dir, inputs=False).select("patch", "row", "col", F.round("angle", 4).alias("angle"))
 
 
-@query(S.with_(*S.scored(False, False), S.modal("m", "pts", "patch", "winding"), last="SELECT patch, mode, round(share, 6) AS share, n FROM m"))
+@query(S.with_(*S.scored(False, False), S.modal("m", "pts", "patch", "winding"), last=S.named("SELECT patch, mode, round(share, 6) AS share, n FROM m")))
 def modal_winding(spark, sf_dir):
     from quadlens.functions.stats import modes
 
     return rounded(modes(_points(spark, sf_dir, inputs=False), ["patch"], "winding"))
 
 
-@query(S.with_(*S.scored(False, False), *S.agreement(), last="SELECT patch, round(agreement, 6) AS agreement FROM agr"))
+@query(S.with_(*S.scored(False, False), *S.agreement(), last=S.named("SELECT patch, round(agreement, 6) AS agreement FROM agr")))
 def winding_agreement(spark, sf_dir):
     return rounded(scoring.winding_agreement(_points(spark, sf_dir, inputs=False)))
 
 
-@query(S.with_(*S.scored(False, False), *S.sheets()[:3], last="SELECT patch, way, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (abs(du) <= 0.5) AS BIGINT) AS n_smooth FROM e0 GROUP BY ALL"))
+@query(S.with_(*S.scored(False, False), *S.sheets()[:3], last=S.named("SELECT patch, way, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (abs(du) <= 0.5) AS BIGINT) AS n_smooth FROM e0 GROUP BY ALL")))
 def grid_adjacency(spark, sf_dir):
     e = mesh.grid_edges(_points(spark, sf_dir, inputs=False), ["patch"], ["u"])
     return e.groupBy("patch", "way").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("u2") - F.col("u")) <= 0.5).alias("n_smooth"))
 
 
-@query(S.with_(*S.scored(False, False), *S.sheets()[:5], last="SELECT patch, " + S.rnd("drift_row", "drift_col") + " FROM drift"))
+@query(S.with_(*S.scored(False, False), *S.sheets()[:5], last=S.named("SELECT patch, " + S.rnd("drift_row", "drift_col") + " FROM drift")))
 def drift_medians(spark, sf_dir):
     return rounded(scoring.drift_medians(_points(spark, sf_dir, inputs=False)))
 
 
-@query(S.with_(*S.scored(False, False), *S.sheets(), last="SELECT patch, round(sheet_consistency, 6) AS share FROM share"))
+@query(S.with_(*S.scored(False, False), *S.sheets(), last=S.named("SELECT patch, round(sheet_consistency, 6) AS share FROM share")))
 def sheet_components(spark, sf_dir):
     return rounded(sheets.largest_share(sheets.with_sheets(_points(spark, sf_dir, inputs=False), ["patch"]), ["patch"]))
 
@@ -324,7 +324,7 @@ UNSEEN = [f"un AS (SELECT patch, {', '.join(_UNSEEN)} FROM pts GROUP BY patch)",
 _NAMES = ["dist_p50", "dist_p90", "dist_p99", "dist_max", "frac_within_tau", "angle_p50", "angle_p90", "single_winding", "sheet_consistency", "agreement", "unseen_dist_p50", "unseen_dist_p90", "unseen_dist_p99", "unseen_dist_max", "unseen_frac_within_tau", "unseen_angle_p90", "unseen_sheet_consistency"]
 
 
-@query(S.with_(*_SCORED, *_PER_PATCH, *UNSEEN, last=f"SELECT patch, n_points, n_unseen, modal_winding, {S.rnd(*_NAMES, digits=4)} FROM scores JOIN un USING (patch) LEFT JOIN us USING (patch)"))
+@query(S.with_(*_SCORED, *_PER_PATCH, *UNSEEN, last=S.named(f"SELECT patch, n_points, n_unseen, modal_winding, {S.rnd(*_NAMES, digits=4)} FROM scores JOIN un USING (patch) LEFT JOIN us USING (patch)")))
 def patch_scores(spark, sf_dir):
     return rounded(scoring.patch_scores(cut(sheets.with_sheets(_points(spark, sf_dir), ["patch"]))), 4)
 
@@ -346,7 +346,7 @@ def unseen_aggregate(spark, sf_dir):
     return rounded(scoring.unseen_aggregate(cut(sheets.with_sheets(_points(spark, sf_dir), ["patch"]))), 4)
 
 
-@query(S.with_(*S.scored(False, False), "cor AS (SELECT patch, r + i AS r, c + j AS c, winding FROM pts, range(2) a(i), range(2) b(j))", last='SELECT patch, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, min(winding) AS winding FROM cor GROUP BY patch, r, c HAVING min(winding) = max(winding)'))
+@query(S.with_(*S.scored(False, False), "cor AS (SELECT patch, r + i AS r, c + j AS c, winding FROM pts, range(2) a(i), range(2) b(j))", last=S.named('SELECT patch, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, min(winding) AS winding FROM cor GROUP BY patch, r, c HAVING min(winding) = max(winding)')))
 def vertex_labels(spark, sf_dir):
     return mesh.vertex_labels(_points(spark, sf_dir, inputs=False).select("patch", "row", "col", "winding"), ["patch"], "winding")
 
@@ -354,7 +354,7 @@ def vertex_labels(spark, sf_dir):
 _SHIFTED = [*S.scored(True, False), S.radially("fam2", "fam", "10e0"), *S.faces("f2", "fam2"), *S.nearest("near2", "pn", ["patch", "r", "c"], "f2")]
 
 
-@query(S.with_(*_SHIFTED, "d AS (SELECT b.patch, b.winding - a.winding AS shift, b.dist - a.dist AS more FROM near a JOIN near2 b ON a.patch = b.patch AND a.r = b.r AND a.c = b.c)", last="SELECT patch, CAST(count(*) AS BIGINT) AS n, round(median(shift), 6) AS median_shift, round(avg(CASE WHEN shift = -1 THEN 1.0 ELSE 0.0 END), 6) AS frac_minus_one, round(avg(CASE WHEN shift = 0 THEN 1.0 ELSE 0.0 END), 6) AS frac_zero, round(median(more), 4) AS median_more FROM d GROUP BY patch"))
+@query(S.with_(*_SHIFTED, "d AS (SELECT b.patch, b.winding - a.winding AS shift, b.dist - a.dist AS more FROM near a JOIN near2 b ON a.patch = b.patch AND a.r = b.r AND a.c = b.c)", last=S.named("SELECT patch, CAST(count(*) AS BIGINT) AS n, round(median(shift), 6) AS median_shift, round(avg(CASE WHEN shift = -1 THEN 1.0 ELSE 0.0 END), 6) AS frac_minus_one, round(avg(CASE WHEN shift = 0 THEN 1.0 ELSE 0.0 END), 6) AS frac_zero, round(median(more), 4) AS median_more FROM d GROUP BY patch")))
 def winding_shift_response(spark, sf_dir):
     """How assignments answer to all windings moving out by one pitch."""
     family, patches = _fam(spark, sf_dir), _patches(spark, sf_dir)

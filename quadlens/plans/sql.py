@@ -71,13 +71,21 @@ def demo(name: str, clean: bool = False) -> list[str]:
     return [family(f"{name}_0"), swapped(f"{name}_1", f"{name}_0", 13, 14, 1.0, 2.2), collapsed(name, f"{name}_1", 16, 4.0, 5.0, 0.9)]
 
 
-def patches(name: str, where: str = "true") -> str:
-    """The patches woven from customers (see sources.woven); where: over their number."""
+PATCH = "concat('patch', patch, '_w', 11 + patch % 7)"
+
+
+def named(last: str) -> str:
+    """last with its column patch, a patch's number, as the patch's name."""
+    return f"SELECT * REPLACE ({PATCH} AS patch) FROM ({last})"
+
+
+def patches(name: str, patch: str = "concat('patch', number, '_w', w)") -> str:
+    """The patches woven from customers (see sources.woven)."""
     y, x = spiral("w", "theta", 10.0, _noise("v", 0.2))
-    return f"""{name} AS MATERIALIZED (SELECT concat('patch', number, '_w', w) AS patch, number, r, c, CAST((number + r) * 2e0 AS FLOAT) AS z, CAST({y} AS FLOAT) AS y, CAST({x} AS FLOAT) AS x,
+    return f"""{name} AS MATERIALIZED (SELECT {patch} AS patch, number, r, c, CAST((number + r) * 2e0 AS FLOAT) AS z, CAST({y} AS FLOAT) AS y, CAST({x} AS FLOAT) AS x,
  CASE WHEN seam AND NOT (c > 0 AND floor(theta / {T}) <> floor((theta - step) / {T})) THEN CAST(floor(theta / {T}) AS DOUBLE) END AS label, true AS valid
  FROM (SELECT *, start + c * step AS theta FROM (SELECT *, 11 + number % 7 AS w, number % 9 = 8 AS seam, CASE WHEN number % 9 = 8 THEN 5.6e0 ELSE CAST(number * 7 % 50 AS DOUBLE) / 10 END AS start, CASE WHEN number % 9 = 8 THEN 2.8e0 ELSE 1.2e0 END / 7 AS step
- FROM (SELECT c_custkey // 40 AS number, CAST(c_custkey % 40 // 8 AS INTEGER) AS r, CAST(c_custkey % 8 AS INTEGER) AS c, c_acctbal AS v FROM customer))) WHERE {where})"""
+ FROM (SELECT c_custkey // 40 AS number, CAST(c_custkey % 40 // 8 AS INTEGER) AS r, CAST(c_custkey % 8 AS INTEGER) AS c, c_acctbal AS v FROM customer))))"""
 
 
 def strips(name: str) -> str:
@@ -153,7 +161,7 @@ def nearest(name: str, points: str, keys: list[str], face: str, keep: list[str]
 def scored(clean: bool = False, inputs: bool = True) -> list[str]:
     """pts: point scores of the patches; the inputs are every third of them."""
     keys = ["patch", "r", "c"]
-    ctes = [*demo("fam", clean), patches("pat"), quads("pq", "pat", "patch", "label"), centers("pc", "pq"), quad_normals("pn", "pc"), *faces("f", "fam"), *nearest("near", "pn", keys, "f", ["u", "mz", "my", "mx"])]
+    ctes = [*demo("fam", clean), patches("pat", "number"), quads("pq", "pat", "patch", "label"), centers("pc", "pq"), quad_normals("pn", "pc"), *faces("f", "fam"), *nearest("near", "pn", keys, "f", ["u", "mz", "my", "mx"])]
     if inputs:
         ctes += ["ins AS (SELECT CAST(number AS INTEGER) AS winding, r, c, z, y, x, valid FROM pat WHERE number % 3 = 0)", *faces("fi", "ins"), *nearest("near_i", "pn", keys, "fi")]
     angle = "degrees(acos(least(abs(nz * mz + ny * my + nx * mx), 1e0)))"

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadlens.functions.stats import fraction, modes, rounded
-from quadlens.operators import compare, mesh, splits, strips
-from quadlens.operators.graph import cut
+from quadlens.operators import compare, mesh, scans, splits, strips, sweeps, wide_sheets
+from quadlens.operators.graph import cut, shared_path
 from quadlens.operators.nearest import nearest_faces
 from quadlens.operators.ranks import exact_quantiles
 from quadlens.plans import sql as S
+from quadlens.sources import records, store
 
 TABLE: dict[str, tuple] = {}
 SEED = 20260731
@@ -215,15 +216,109 @@ def _paired(spark, sf_dir):
     return li.groupBy(F.col("l_suppkey").alias("item")).agg(F.count("*").cast("double").alias("weight"), mean("F").alias("a"), mean("O").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
-@query(f"""WITH p AS ({_PAIRED}), n AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS k, count(*) OVER () AS total FROM p),
+@query(None)
+def paired_bootstrap(spark, sf_dir):
+    """The same with a 95 % interval over 20,000 resamplings of the suppliers, each side by weights of its own."""
+    li = _read(spark, sf_dir, "lineitem")
+    of = lambda x, c: F.when(F.col("l_linestatus") == x, F.col(c))
+    p = li.groupBy(F.col("l_suppkey").alias("item")).agg(F.count(of("F", "l_suppkey")).alias("weight"), F.count(of("O", "l_suppkey")).alias("weight_b"), F.avg(of("F", "l_extendedprice")).alias("a"), F.avg(of("O", "l_extendedprice")).alias("b"))
+    return rounded(compare.paired_bootstrap(p, _DRAWS, SEED), 3)
+
+
+_BY_NATION = """SELECT c_nationkey AS item, CAST(count(*) AS DOUBLE) AS weight, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS a, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL"""
+
+
+@query(f"""WITH p AS ({_BY_NATION}), n AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS k, count(*) OVER () AS total FROM p),
 slots AS (SELECT i // total AS draw, i % total AS slot, total FROM (SELECT DISTINCT total FROM n), (SELECT unnest(range({_DRAWS} * (SELECT count(*) FROM p))) AS i)),
 taken AS (SELECT draw, CAST(concat('0x', substr(md5(concat('{SEED}|', draw, '|', slot)), 1, 8)) AS BIGINT) % total AS k, count(*) AS times FROM slots GROUP BY ALL),
 each AS (SELECT draw, sum(times * weight * b) / sum(times * weight) - sum(times * weight * a) / sum(times * weight) AS d FROM taken JOIN n USING (k) GROUP BY draw),
 ends AS (SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM each), whole AS (SELECT sum(a * weight) / sum(weight) AS a, sum(b * weight) / sum(weight) AS b FROM p)
 SELECT round(a, 3) AS a, round(b, 3) AS b, round(b - a, 3) AS delta, round(lo, 3) AS lo, round(hi, 3) AS hi, (lo > 0) = (hi > 0) AS excludes_zero FROM whole, ends""")
-def paired_bootstrap(spark, sf_dir):
-    """The same with a 95 % interval over 20,000 resamplings of the suppliers, by hash."""
-    return rounded(compare.paired_bootstrap(_paired(spark, sf_dir), _DRAWS, SEED), 3)
+def slot_bootstrap(spark, sf_dir):
+    """The interval over few items, nations, by a hash per draw and slot."""
+    o = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    mean = lambda x: F.avg(F.when(F.col("o_orderstatus") == x, F.col("o_totalprice")))
+    p = o.groupBy(F.col("c_nationkey").alias("item")).agg(F.count("*").cast("double").alias("weight"), mean("F").alias("a"), mean("O").alias("b"))
+    return rounded(compare.slot_bootstrap(p, _DRAWS, SEED), 3)
+
+
+_ASOF = [
+    "pu AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY ALL)",
+    "vi AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'view')",
+    "lo AS (SELECT vi.*, p.t AS t0, p.v AS v0 FROM vi ASOF LEFT JOIN pu p ON vi.user_id = p.user_id AND vi.t >= p.t)",
+    "both_ AS (SELECT lo.*, p.t AS t1, p.v AS v1 FROM lo ASOF LEFT JOIN pu p ON lo.user_id = p.user_id AND lo.t <= p.t)",
+]
+
+
+@query(S.with_(*_ASOF, last="SELECT event_id, round(CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR t1 = t0 THEN v0 ELSE v0 + (t - t0) / (t1 - t0) * (v1 - v0) END, 4) AS value FROM both_"))
+def events_interpolated(spark, sf_dir):
+    """Each user's purchase values, interpolated at the times of the user's views; a user may hold any share of either."""
+    ev = _read(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    known = ev.where("event_type = 'purchase'").groupBy("user_id", "t").agg(F.max("value").alias("value"))
+    found = scans.interpolated(ev.where("event_type = 'view'").select("event_id", "user_id", "t"), known, ["user_id"], "t", "value")
+    return rounded(found.select("event_id", "value"), 4)
+
+
+_FLOOR = [
+    "d AS (SELECT abs(l_extendedprice / l_quantity - 1500) AS d, l_returnflag AS f, l_orderkey % 2 AS half, l_quantity AS qty FROM lineitem)",
+    "th AS (SELECT DISTINCT round(p_retailprice - 900, 2) AS t FROM part)",
+    "u AS (SELECT d AS t, 0 AS kind, CAST(f <> 'R' AND half = 0 AS INT) AS a, CAST(f <> 'R' AND half = 1 AS INT) AS b, CAST(f = 'R' AND qty > 25 AS INT) AS s FROM d UNION ALL SELECT t, 1, 0, 0, 0 FROM th)",
+    "run AS (SELECT t, kind, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(s) OVER w AS s FROM u WINDOW w AS (ORDER BY t, kind RANGE UNBOUNDED PRECEDING))",
+    "cu AS (SELECT t, a / max(a) OVER () AS a, b / max(b) OVER () AS b, s / max(s) OVER () AS s FROM run WHERE kind = 1)",
+    "band AS (SELECT max(abs(a - b)) AS band, count(*) AS n FROM cu)",
+    "bey AS (SELECT t, least(abs(s - a), abs(s - b)) AS gap FROM cu, band WHERE least(abs(s - a), abs(s - b)) > band)",
+]
+
+
+@query(S.with_(*_FLOOR, last="SELECT CAST(n AS BIGINT) AS n_thresholds, round(band, 6) AS band, (SELECT round(min(t), 2) FROM bey) AS floor, (SELECT round(arg_min(gap, t), 6) FROM bey) AS at_floor FROM band"))
+def lineitem_floor(spark, sf_dir):
+    """The least of the parts' prices, as thresholds, at which returned items of more than 25 leave the band of two null halves."""
+    li = _read(spark, sf_dir, "lineitem").select(F.abs(F.col("l_extendedprice") / F.col("l_quantity") - 1500).alias("d"), "l_returnflag", (F.col("l_orderkey") % 2).alias("half"), "l_quantity")
+    thresholds = _read(spark, sf_dir, "part").select(F.round(F.col("p_retailprice") - 900, 2).alias("t"))
+    groups = {"a": "l_returnflag <> 'R' AND half = 0", "b": "l_returnflag <> 'R' AND half = 1", "s": "l_returnflag = 'R' AND l_quantity > 25"}
+    return rounded(sweeps.floor_of(sweeps.within_each(li, "d", thresholds, "t", groups), "t", ("a", "b"), "s"))
+
+
+_GRID = ["pts AS (SELECT l_orderkey // 25 AS patch, l_orderkey % 25 AS r, l_linenumber AS c, max(CAST(l_quantity AS DOUBLE)) / 4 AS u FROM lineitem GROUP BY ALL)"]
+
+
+@query(S.with_(*_GRID, *S.sheets(), last="SELECT patch, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(sheet // 100000 AS INTEGER) AS sheet_row, CAST(sheet % 100000 AS INTEGER) AS sheet_col FROM sheet"))
+def lineitem_sheets(spark, sf_dir):
+    """Continuous sheets over grids of orders and lines, found without a task that holds a grid."""
+    k = F.col("l_orderkey")
+    points = _read(spark, sf_dir, "lineitem").groupBy(F.floor(k / 25).alias("patch"), (k % 25).cast("int").alias("row"), F.col("l_linenumber").alias("col")).agg((F.max(F.col("l_quantity").cast("double")) / 4).alias("u"))
+    return wide_sheets.wide_sheets(points, ["patch"]).drop("u")
+
+
+@query("SELECT concat('seed', seed) AS scenario, lang, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (sha256(concat(seed, '|', doc_id)) < '4') AS BIGINT) AS n_held FROM documents, range(3) s(seed) GROUP BY ALL")
+def scenario_store(spark, sf_dir):
+    """Splits by three seeds kept as scenarios of one store; one is written twice, with other rows first, and one after the others."""
+    docs, path = _read(spark, sf_dir, "documents").select("doc_id", "lang"), shared_path(spark, "store")
+
+    def split(seed):
+        held = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")), 256) < "4"
+        return docs.withColumn("held", held).withColumn("scenario", F.lit(f"seed{seed}"))
+
+    store.save(split(0).unionByName(split(1)), path, "scenario")
+    store.save(split(9).withColumn("scenario", F.lit("seed1")), path, "scenario")
+    store.save(split(1), path, "scenario")
+    wanted = spark.createDataFrame([(f"seed{k}",) for k in range(3)], "scenario string")
+    for r in store.missing(spark, path, wanted).collect():  # a row a scenario
+        store.save(split(int(r["scenario"][4:])), path, "scenario")
+    return store.load(spark, path).groupBy("scenario", "lang").agg(F.count("*").alias("n"), F.count_if("held").alias("n_held"))
+
+
+_DAMAGED = "CASE event_id % 29 WHEN 3 THEN substr(props, 1, 4) WHEN 5 THEN '[1, 2]' WHEN 7 THEN NULL WHEN 11 THEN concat('{\"k\": \"', user_id, 'x\"}') ELSE props END"
+
+
+@query(f"""WITH d AS (SELECT event_id, {_DAMAGED} AS props FROM events), j AS (SELECT *, CASE WHEN json_valid(props) THEN props END AS j FROM d)
+SELECT event_id, CASE WHEN json_type(j, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract(j, '$.k') AS BIGINT) END AS k,
+ CASE WHEN props IS NULL THEN 'missing' WHEN j IS NULL OR json_type(j) <> 'OBJECT' OR json_type(j, '$.k') NOT IN ('BIGINT', 'UBIGINT') THEN 'malformed' END AS error FROM j""")
+def props_records(spark, sf_dir):
+    """Nested JSON read record by record: what is good, and what is wrong with the rest."""
+    ev = _read(spark, sf_dir, "events").select("event_id", F.expr(_DAMAGED).alias("props"))
+    good, errors = records.parsed(ev, "props", "k long")
+    return good.select("event_id", "k", F.lit(None).cast("string").alias("error")).unionByName(errors.select("event_id", F.lit(None).cast("long").alias("k"), "error"))
 
 
 _EMB = [

@@ -9,9 +9,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quadlens.operators import mesh, nearest, overlap
+from quadlens.operators import compare, graph, mesh, nearest, overlap, scans, sheets, strips, sweeps, wide_sheets
 from quadlens.operators.nearest import BoxTop, nearest_brute, nearest_faces
 
+from quadlens.sources import records, store
+
 from .test_mesh_engine import surface
 
 
@@ -86,3 +88,163 @@ def test_overlap_of_pairs_far_apart(spark, apart):
     # 7 x 7 quads; those whose nearest face is at the partner's boundary go
     assert [sum(r.pair == k for r in found) for k in (0, 1)] == [25, 25]
     assert all(abs(r.dist - 0.25) < 1e-6 for r in found)
+
+
+def plain_turns(rows):
+    """(strip, order) -> turns, one row after the other."""
+    out, last = {}, {}
+    for g, i, theta in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        total, before = last.get(g, (0.0, None))
+        if before is not None and abs(theta - before) >= math.pi:
+            step = theta - before
+            small = (step + math.pi) % (2 * math.pi) - math.pi
+            total += (math.pi if small == -math.pi and step > 0 else small) - step
+        last[g] = total, theta
+        out[g, i] = (theta + total) / (2 * math.pi)
+    return out
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 7, 40])
+def test_unwrap_is_a_split_scan(spark, ranges):
+    """One strip has half of all rows, many have one row, one is null; a piece of a strip is never longer than its range."""
+    rng = random.Random(6)
+    groups = ["big"] * 300 + [None] * 40 + [f"s{i % 60}" for i in range(260)]
+    rows = [(g, i, rng.uniform(-math.pi, math.pi)) for i, g in enumerate(groups)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i int, theta double").repartition(5)
+    got = {(r.g, r.i): r.turns for r in strips.with_turns(df, ["g"], "i", ranges=ranges).collect()}
+    want = plain_turns(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    if ranges == 40:
+        r = scans.Ranged(df, ["g"], ["i"], ranges)
+        assert max(x["count"] for x in r.rows.groupBy("_part").count().collect()) < 60 and r.pieces.count() <= 2 * ranges
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 6, 30])
+def test_interpolation_between_tables(spark, ranges):
+    rng = random.Random(9)
+    known = {(g, t): rng.uniform(-5, 5) for g in ("a", "a", "b", "c") for t in rng.sample(range(200), 60 if g == "a" else 5)}
+    known["one", 50] = 3.0
+    asked = [(k, rng.choice(["a", "a", "a", "b", "c", "one", "none"]), rng.choice([rng.randrange(200), rng.uniform(-20, 220)])) for k in range(200)] + [(900, "a", None), (901, None, 5.0)]
+    left = spark.createDataFrame([(k, g, None if t is None else float(t)) for k, g, t in asked], "k int, g string, t double").repartition(4)
+    right = spark.createDataFrame([(g, float(t), v) for (g, t), v in known.items()] + [("a", None, 1.0), ("a", 7.5, None)], "g string, t double, v double").repartition(4)
+    got = {r.k: r.v for r in scans.interpolated(left, right, ["g"], "t", "v", ranges).collect()}
+    assert len(got) == len(asked)
+    for k, g, t in asked:
+        own = sorted((x, v) for (h, x), v in known.items() if h == g)
+        if not own or t is None:
+            assert got[k] is None
+        else:
+            assert abs(got[k] - float(np.interp(t, *zip(*own)))) < 1e-9
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_wide_sheets_equal_sheet_labels(spark, block):
+    """Random grids with holes and jumps, each a patch, cut into blocks of 3 x 3 cells or taken whole."""
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for patch in range(14):
+        row, col = (a.ravel() for a in np.mgrid[: rng.integers(3, 14), : rng.integers(3, 14)])
+        keep = rng.random(len(row)) < rng.choice([0.5, 0.8, 1.0])
+        row, col = row[keep], col[keep]
+        u = 10 + 0.03 * col + 0.02 * row + rng.integers(0, 3, len(row)) * rng.choice([0.4, 0.7, 1.0]) * (patch % 3 > 0) + rng.normal(0, rng.choice([0.001, 0.1, 0.3]), len(row))
+        label = sheets.sheet_labels(row, col, u)
+        for r, c, x, s in zip(row.tolist(), col.tolist(), u.tolist(), label.tolist()):
+            rows.append((f"p{patch}", r, c, x))
+            want[f"p{patch}", r, c] = int(row[s]), int(col[s])
+    points = spark.createDataFrame(rows, "patch string, row int, col int, u double").repartition(4)
+    got = {(r.patch, r.row, r.col): (r.sheet_row, r.sheet_col) for r in wide_sheets.wide_sheets(points, ["patch"], block=block).collect()}
+    assert got == want
+
+
+def test_closest_cells(spark):
+    """Against all pairs of cells, ties included; no more than a few cells a level stay in play for components far apart."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(r), int(c), float(r + c)) for k in range(6) for r, c in {(int(a), int(b)) for a, b in rng.integers(0, 12, (20, 2)) + [40 * (k % 3), 7 * k]}]
+    cells = spark.createDataFrame(rows, "comp int, row int, col int, flat double")
+    pairs = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    got = {(r.a, r.b): (tuple(r.p), tuple(r.q)) for r in wide_sheets.closest_cells(spark.createDataFrame(pairs, "a int, b int"), cells).collect()}
+    for a, b in pairs:
+        best = min(((r - s) ** 2 + (c - t) ** 2, (r, c, f), (s, t, g)) for k, r, c, f in rows if k == a for m, s, t, g in rows if m == b)
+        assert got[a, b] == best[1:]
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A path whose labels lie in random order along it, a star, a loop and a pair: rounds grow with the log of the nodes."""
+    rounds, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    links = [*zip(order, order[1:]), *((500, 500 + i) for i in range(1, 40)), (700, 700), (801, 800), (800, 801)]
+    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(links, "a int, b int")).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{500 + i: 500 for i in range(40)}, 700: 700, 800: 800, 801: 800}
+    assert len(rounds) <= 12
+
+
+def test_bootstrap_kernel():
+    """Counts of all ranges add up to the items, picks are spread evenly, and sums have the variance of a multinomial."""
+    n, draws = 3 * compare.RANGE + 500, 400
+    counts = np.stack([compare.range_counts(n, a, draws, 1, 7) for a in range(0, n, compare.RANGE)])
+    assert (counts.sum(0) == n).all()
+    share = np.array([compare.RANGE] * 3 + [500]) / n
+    assert (abs(counts.mean(1) - n * share) < 5 * np.sqrt(n * share * (1 - share) / draws)).all()
+    assert (abs(counts.var(1) / (n * share * (1 - share)) - 1) < 0.35).all()
+    ones = np.eye(6)
+    sums = compare.resampled_sums(ones, 6, 0, 4000, 0, 3)
+    assert (sums.sum(1) == 6).all() and (abs(sums.mean(0) - 1) < 0.1).all() and (abs(sums.var(0) - 5 / 6) < 0.1).all()
+    assert abs(np.corrcoef(sums[:, 0], sums[:, 1])[0, 1] + 1 / 5) < 0.08
+
+
+def test_bootstrap_interval(spark):
+    """One range or many give the interval that the linearised standard error tells; sides may have weights of their own."""
+    rng = np.random.default_rng(1)
+    a = rng.normal(10, 2, 300)
+    b, w, v = a + rng.normal(0.5, 1, 300), rng.integers(1, 9, 300), rng.integers(1, 9, 300)
+    rows = [(i, float(w[i]), float(a[i]), float(b[i]), float(v[i])) for i in range(300)] + [(900, 1.0, None, 2.0, 1.0), (901, 1.0, 2.0, 3.0, None)]
+    pairs = spark.createDataFrame(rows, "item int, weight double, a double, b double, weight_b double")
+    ma, mb = (a * w).sum() / w.sum(), (b * v).sum() / v.sum()
+    error = np.sqrt((((b - mb) * v / v.sum() - (a - ma) * w / w.sum()) ** 2).sum())
+    for size in (4096, 64):
+        r = compare.paired_bootstrap(pairs, 4000, 5, 700, size).first()
+        assert abs(r.a - ma) < 1e-9 and abs(r.b - mb) < 1e-9 and r.excludes_zero == ((r.lo > 0) == (r.hi > 0))
+        assert abs(r.lo - (mb - ma - 1.96 * error)) < 0.25 * error and abs(r.hi - (mb - ma + 1.96 * error)) < 0.25 * error
+
+
+def test_sweep_counts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(40)]), rng.choice("xyz")) for _ in range(400)]
+    df = spark.createDataFrame([(None if v is None else float(v), k) for v, k in rows], "v double, k string")
+    thresholds = spark.createDataFrame([(float(t),) for t in (-1, 0, 7, 7.5, 39, 60)], "t double")
+    got = {r.t: (r.x, r.all) for r in sweeps.within_each(df, "v", thresholds, "t", {"x": "k = 'x'", "all": "true"}).collect()}
+    assert got == {t: (sum(v is not None and v <= t and k == "x" for v, k in rows), sum(v is not None and v <= t for v, k in rows)) for t in (-1.0, 0.0, 7.0, 7.5, 39.0, 60.0)}
+    counts = spark.createDataFrame([(1.0, 0, 1, 0), (2.0, 5, 6, 5), (3.0, 8, 8, 2), (4.0, 10, 10, 10)], "t double, a long, b long, s long")
+    r = sweeps.floor_of(counts, "t", ("a", "b"), "s").first()
+    assert (r.n_thresholds, r.band, r.floor, round(r.at_floor, 6)) == (4, 0.1, 3.0, 0.6)
+
+
+def test_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda name, n: spark.range(n).withColumn("scenario", F.lit(name))
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "scenario string")
+    assert store.missing(spark, path, wanted).count() == 3
+    store.save(rows("a", 5).unionByName(rows("b", 7)), path, "scenario")
+    store.save(rows("b", 3), path, "scenario")
+    store.save(rows("b", 3), path, "scenario")
+    assert {r.scenario: r["count"] for r in store.load(spark, path).groupBy("scenario").count().collect()} == {"a": 5, "b": 3}
+    assert store.load(spark, path, scenario=["b", "z"]).count() == 3 and [r.scenario for r in store.missing(spark, path, wanted).collect()] == ["c"]
+    with pytest.raises(ValueError, match="partitioned"):
+        store.save(rows("a", 1), path)
+
+
+def test_broken_records_and_files(spark, tmp_path):
+    rows = [(1, '{"k": 4, "more": [1]}'), (2, '{"k": "four"}'), (3, None), (4, '{"k": 4'), (5, "[4]"), (6, "{}"), (7, '{"k": null}')]
+    good, errors = records.parsed(spark.createDataFrame(rows, "i int, j string"), "j", "k long")
+    assert {(r.i, r.k) for r in good.collect()} == {(1, 4), (6, None), (7, None)}
+    assert {(r.i, r.error) for r in errors.collect()} == {(2, "malformed"), (3, "missing"), (4, "malformed"), (5, "malformed")}
+    path = str(tmp_path / "files")
+    df = spark.range(20).selectExpr("CAST(id AS INT) AS a", "CAST(id AS STRING) AS b")
+    df.repartition(2).write.parquet(path)
+    df.select("b").coalesce(1).write.parquet(f"{path}/lacking")
+    (tmp_path / "files" / "broken.parquet").write_bytes(b"PAR1 no table PAR1")
+    found, errors = records.read_files(spark, path, df.schema)
+    assert sorted(r.a for r in found.collect()) == list(range(20))
+    assert errors.count() == 2 and all(r.error for r in errors.collect())
