@@ -47,14 +47,18 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_surfaces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, errors) of a collection: a vertex is valid unless it says otherwise, is masked (0), is the sentinel (-1, -1, -1)
-    or is not finite. Surfaces without a valid quad, or with a cell twice, are left out and told in errors (surface, error)."""
+    or is not finite. Labels that are zero all over a surface are none. Surfaces without a valid quad, or with a cell twice, are left out and told in errors (surface, error)."""
     rows = spark.read.parquet(f"{path}/vertices")
+    columns = rows.columns
     valid = finite("z") & finite("y") & finite("x") & ~((F.col("z") == -1) & (F.col("y") == -1) & (F.col("x") == -1))
     for name, good in (("valid", F.coalesce(F.col("valid") if "valid" in rows.columns else F.lit(True), F.lit(True))), ("mask", F.coalesce(F.col("mask") != 0, F.lit(True)) if "mask" in rows.columns else F.lit(True))):
         valid = valid & good
     label = F.col("label").cast("double") if "label" in rows.columns else F.lit(None).cast("double")
     label = F.when(~F.isnan(label), label)
     rows = rows.select(F.col("surface").cast("string").alias("surface"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(a).cast("float").alias(a) for a in "zyx"], label.alias("label"), valid.alias("valid"))
+    if "label" in columns:  # a grid of nothing but zeros tells of one winding, not of relative ones
+        some = rows.where("label <> 0").select("surface").distinct().withColumn("_told", F.lit(True))
+        rows = rows.join(some, "surface", "left").withColumn("label", F.when(F.col("_told"), F.col("label"))).drop("_told")
     cells = rows.groupBy("surface", "row", "col").agg(F.count("*").alias("n")).groupBy("surface").agg(F.max("n").alias("most"))
     quads = mesh.quads(rows, ["surface"]).groupBy("surface").agg(F.count("*").alias("n_quads"))
     told = cells.join(quads, "surface", "left")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlens.operators.compare import deltas, natural_key
+from quadlens.operators.compare import deltas, natural_key, paired_bootstrap
 
 TOP_PATCHES, TOP_OFFENDERS = 50, 10
 
@@ -111,7 +111,10 @@ def report_rows(spark: SparkSession, out: str) -> DataFrame:
                 yield f"{prefix}{k}", float(v)
 
     payload = json.loads(read_text(spark, f"{out}/report.json"))
-    rows = list(paths({k: payload[k] or {} for k in ("heldout_aggregate", "intrinsic")}))
+    parts = ("heldout_aggregate", "intrinsic")
+    if not isinstance(payload, dict) or not all(isinstance(payload.get(k, 0), (dict, type(None))) for k in parts):
+        raise ValueError(f"{out}/report.json is no report")
+    rows = list(paths({k: payload[k] or {} for k in parts}))
     return spark.createDataFrame(rows, "metric string, value double")
 
 
@@ -124,9 +127,21 @@ def report_patches(spark: SparkSession, out: str, unseen: bool = False) -> DataF
     return rows.where("n_unseen > 0").select("patch", F.col("n_unseen").alias("n_points"), *[F.col(c).alias(c.removeprefix("unseen_")) for c in names])
 
 
+def bootstrap(spark: SparkSession, a: str, b: str, metric: str, unseen: bool = False, draws: int = 20_000, seed: int = 20260731) -> DataFrame:
+    """The difference of a patch metric between two reports with its 95 % interval over resampled patches; each report weighs a
+    patch by its own points. With unseen, over the numbers of the patches' unseen points."""
+    one, two = (report_patches(spark, x, unseen).select("patch", F.col("n_points").alias("weight"), F.col(metric).alias("value")) for x in (a, b))
+    pairs = one.select(F.col("patch").alias("item"), "weight", F.col("value").alias("a")).join(two.select(F.col("patch").alias("item"), F.col("weight").alias("weight_b"), F.col("value").alias("b")), "item")
+    if pairs.isEmpty():
+        raise ValueError(f"{a} and {b} have no patch in common")
+    return paired_bootstrap(pairs, draws, seed)
+
+
 def compare(spark: SparkSession, a: str, b: str, out: str) -> DataFrame:
     """metric, a, b, delta of what both reports hold, written as Markdown in natural order."""
     rows = deltas(report_rows(spark, a), report_rows(spark, b)).orderBy(natural_key(F.col("metric")))
+    if rows.isEmpty():
+        raise ValueError(f"{a} and {b} have no metric in common")
     lines = [[r["metric"], shown(r["a"], ".4g"), shown(r["b"], ".4g"), shown(r["delta"], "+.4g")] for r in rows.collect()]  # a row a metric
     write_text(spark, out, "\n\n".join(["# Comparison", table(["metric", "a", "b", "delta"], lines)]) + "\n")
     return rows

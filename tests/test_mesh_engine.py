@@ -14,9 +14,9 @@ from quadlens.operators import compare, graph, intrinsic, mesh, nearest, ranks,
 from quadlens.operators.nearest import nearest_brute, nearest_faces
 from quadlens.sources import synthetic
 
-TABLES = "customer orders part lineitem events documents labels embeddings".split()
+TABLES = "nation customer supplier orders part lineitem events documents labels embeddings".split()
 #: Run here against their SQL; the driver compares all of them.
-HELD = ["gen_family", "collapse_gap", "quad_centers", "boundary_faces", "split_combined", "intrinsic_report", "nearest_face", "lineitem_modes", "lineitem_topk", "events_unwrap", "family_keys", "docs_split", "audit_semi", "verdict_concordance", "lineitem_percentiles", "paired_bootstrap", "emb_nearest", "natural_order", "run_loader", "combined_loader", "patch_loader", "points_loader", "points_in_window", "axis_loader", "loader_stats", "z_center", "twin_surfaces", "split_files", "report_files", "unseen_blocks", "worst_patches", "skipped_patches", "strips_by_agreement", "sensitivity_floor", "pitch_blindness", "overlap_control", "sagitta_bound", "violated_bins_diff", "defect_matrix", "jittered", "slab_vertices", "winding_shift_response", "last_verdicts", "loader_sample"]
+HELD = ["gen_family", "collapse_gap", "quad_centers", "boundary_faces", "split_combined", "intrinsic_report", "nearest_face", "lineitem_modes", "lineitem_topk", "events_unwrap", "family_keys", "docs_split", "audit_semi", "verdict_concordance", "lineitem_percentiles", "slot_bootstrap", "emb_nearest", "emb_nearest_by_label", "overlap_pairs", "patch_scores", "strip_verdicts", "events_interpolated", "lineitem_floor", "lineitem_sheets", "scenario_store", "props_records", "natural_order", "run_loader", "combined_loader", "patch_loader", "points_loader", "points_in_window", "axis_loader", "loader_stats", "z_center", "twin_surfaces", "split_files", "report_files", "unseen_blocks", "worst_patches", "skipped_patches", "strips_by_agreement", "sensitivity_floor", "pitch_blindness", "overlap_control", "sagitta_bound", "violated_bins_diff", "defect_matrix", "jittered", "slab_vertices", "winding_shift_response", "last_verdicts", "loader_sample"]
 
 
 def cell(v):
@@ -43,7 +43,8 @@ def test_against_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(plans.queries()) == set(plans.oracle_sql())
+    """The bootstrap's draws are numpy's; test_scale_operators holds it to their distribution."""
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"paired_bootstrap"} and set(plans.oracle_sql()) <= set(plans.queries())
 
 
 def surface(spark, points, winding=1):

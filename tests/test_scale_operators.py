@@ -1,5 +1,6 @@
 """Operators whose groups may be larger than a task, against plain versions on small inputs cut into many parts."""
 
+import json
 import math
 import random
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from quadlens.operators import compare, graph, mesh, nearest, overlap, scans, sheets, strips, sweeps, wide_sheets
 from quadlens.operators.nearest import BoxTop, nearest_brute, nearest_faces
 
-from quadlens.sources import records, store
+from quadlens import cli
+from quadlens.sources import files, records, reports, store
 
 from .test_mesh_engine import surface
 
@@ -248,3 +250,33 @@ def test_broken_records_and_files(spark, tmp_path):
     found, errors = records.read_files(spark, path, df.schema)
     assert sorted(r.a for r in found.collect()) == list(range(20))
     assert errors.count() == 2 and all(r.error for r in errors.collect())
+
+
+def test_labels_of_zeros_are_none(spark, tmp_path):
+    """A mask takes vertices out; a label grid of zeros is a single winding, one with other numbers is kept as it is."""
+    rows = [(s, i, j, float(i), float(j), 0.0, True, 0.0 if s == "single" else float(j > 1), int((s, i, j) != ("masked", 0, 0))) for s in ("single", "two", "masked") for i in range(3) for j in range(4)]
+    v = spark.createDataFrame(rows, "surface string, row int, col int, z float, y float, x float, valid boolean, label double, mask int")
+    files.write_surfaces(v, str(tmp_path))
+    got = files.read_surfaces(spark, str(tmp_path))[0].groupBy("surface").agg(F.count("label").alias("n"), F.count_if(F.col("label") == 0).alias("zero"), F.count_if("valid").alias("valid")).collect()
+    assert {r.surface: (r.n, r.zero, r.valid) for r in got} == {"single": (0, 0, 12), "two": (12, 6, 12), "masked": (12, 6, 11)}
+
+
+def test_compare_refuses(spark, tmp_path, capsys):
+    payloads = {"good": {"heldout_aggregate": {"dist_p50": 1.0}, "intrinsic": None}, "list": [1, 2], "other": {"a": 1}, "odd": {"heldout_aggregate": [1], "intrinsic": None}, "apart": {"heldout_aggregate": None, "intrinsic": {"n_bins": 3}}}
+    for name, payload in payloads.items():
+        reports.write_text(spark, f"{tmp_path}/{name}/report.json", json.dumps(payload))
+    reports.write_text(spark, f"{tmp_path}/text/report.json", "no json")
+    run = lambda a, b: cli.main(["compare", "--report-a", f"{tmp_path}/{a}", "--report-b", f"{tmp_path}/{b}", "--out", f"{tmp_path}/out.md"], spark)
+    assert run("good", "good") == 0
+    for other in ("list", "other", "odd", "apart", "text", "absent"):
+        assert run("good", other) == 2 and len(capsys.readouterr().err.strip().splitlines()) == 1
+
+
+def test_report_bootstrap(spark, tmp_path):
+    for name, more, weight in (("a", 0.0, 10), ("b", 1.0, 30)):
+        spark.createDataFrame([(f"p{i}", weight + i, i + more, 4 if i % 2 else 0, i + 2 * more) for i in range(20)], "patch string, n_points long, dist_p50 double, n_unseen long, unseen_dist_p50 double").write.json(f"{tmp_path}/{name}/patches")
+    r = reports.bootstrap(spark, f"{tmp_path}/a", f"{tmp_path}/b", "dist_p50", draws=500).first()
+    want = [sum((w + i) * (i + m) for i in range(20)) / sum(w + i for i in range(20)) for w, m in ((10, 0), (30, 1))]
+    assert abs(r.a - want[0]) < 1e-9 and abs(r.b - want[1]) < 1e-9 and r.lo < r.delta < r.hi
+    r = reports.bootstrap(spark, f"{tmp_path}/a", f"{tmp_path}/b", "dist_p50", True, 500).first()
+    assert (r.a, r.b, r.delta, r.excludes_zero) == (10.0, 12.0, 2.0, True)
