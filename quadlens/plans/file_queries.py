@@ -84,7 +84,7 @@ def _strip_files(spark, sf_dir) -> str:
     return f"{path}/*"
 
 
-@query(S.with_(_STRIP_TABLE, last="SELECT CAST(collection AS BIGINT) AS collection, name, CAST(point AS BIGINT) AS point, " + S.rnd("z", "y", "x", "wind_a") + " FROM sp"))
+@query(S.with_(_STRIP_TABLE, last="SELECT CAST(collection AS BIGINT) AS collection, " + S.STRIP_NAME + ", CAST(point AS BIGINT) AS point, " + S.rnd("z", "y", "x", "wind_a") + " FROM sp"))
 def points_loader(spark, sf_dir):
     """Annotated strips from JSON."""
     return rounded(files.read_points(spark, _strip_files(spark, sf_dir)).select("collection", "name", "point", "z", "y", "x", "wind_a"))
@@ -165,7 +165,7 @@ def split_files(spark, sf_dir):
 _METRICS = ("n_bins", "median_pitch", "n_violation", "n_collapsed", "n_inflated", "frac_violation", "frac_collapsed")
 
 
-@query(S.with_(*S.demo("fam"), *S.gap_cells("fam", M.AXIS), f"rb AS ({M._REPORT})", last=" UNION ALL ".join(f"SELECT 'intrinsic.{m}' AS metric, round(CAST({m} AS DOUBLE), 5) AS value FROM rb" for m in _METRICS)))
+@query(S.with_(*S.demo("fam"), *S.gap_cells("fam", M.AXIS), f"rb AS ({M._REPORT})", last=" UNION ALL ".join(f"SELECT 'intrinsic.{m}' AS metric, round(CAST({m} AS DOUBLE), 5) AS value FROM rb WHERE {m} IS NOT NULL" for m in _METRICS)))
 def report_files(spark, sf_dir):
     """A report written as JSON, tables and Markdown, and read again."""
     path = shared_path(spark, "report")

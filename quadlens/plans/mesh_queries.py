@@ -298,7 +298,7 @@ def winding_agreement(spark, sf_dir):
     return rounded(scoring.winding_agreement(_points(spark, sf_dir, inputs=False)))
 
 
-@query(S.with_(*S.scored(False, False), *S.sheets()[:3], last=S.named("SELECT patch, way, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (abs(du) <= 0.5) AS BIGINT) AS n_smooth FROM e0 GROUP BY ALL")))
+@query(S.with_(*S.scored(False, False), *S.sheets()[:3], last=S.named("SELECT patch, CASE way WHEN 0 THEN 'row' ELSE 'col' END AS way, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (abs(du) <= 0.5) AS BIGINT) AS n_smooth FROM e0 GROUP BY ALL")))
 def grid_adjacency(spark, sf_dir):
     e = mesh.grid_edges(_points(spark, sf_dir, inputs=False), ["patch"], ["u"])
     return e.groupBy("patch", "way").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("u2") - F.col("u")) <= 0.5).alias("n_smooth"))
@@ -413,8 +413,8 @@ def _strip_sql() -> list[str]:
         f"su AS (SELECT *, (theta + sum(fix) OVER (PARTITION BY source, collection ORDER BY point)) / {S.T} AS turns FROM sx)",
         "sw AS (SELECT *, u - turns - wind_a AS wrap, dist <= 6 AS decidable FROM su)",
         "so AS (SELECT sw.*, wrap - mid AS off_, decidable AND abs(wrap - mid) < 0.5 AS agree FROM sw LEFT JOIN (SELECT source, collection, median(wrap) AS mid FROM sw WHERE decidable GROUP BY ALL) USING (source, collection))",
-        """sv AS (SELECT p.source, p.collection, p.name, p.n_points, p.kind, p.n_dropped, coalesce(n_in_window, 0) AS n_in_window, coalesce(n_within_tau, 0) AS n_within_tau, coalesce(n_agree, 0) AS n_agree, dist_p50, dist_max, spread FROM
- (SELECT source, collection, any_value(name) AS name, count(*) AS n_points, CASE WHEN count(wind_a) > 0 THEN 'relative' ELSE 'same-winding' END AS kind, CASE WHEN count(wind_a) > 0 THEN count(*) - count(wind_a) ELSE 0 END AS n_dropped FROM sp GROUP BY ALL) p
+        """sv AS (SELECT p.source, p.collection, p.n_points, p.kind, p.n_dropped, coalesce(n_in_window, 0) AS n_in_window, coalesce(n_within_tau, 0) AS n_within_tau, coalesce(n_agree, 0) AS n_agree, dist_p50, dist_max, spread FROM
+ (SELECT source, collection, count(*) AS n_points, CASE WHEN count(wind_a) > 0 THEN 1 ELSE 0 END AS kind, CASE WHEN count(wind_a) > 0 THEN count(*) - count(wind_a) ELSE 0 END AS n_dropped FROM sp GROUP BY ALL) p
  LEFT JOIN (SELECT source, collection, count(*) AS n_in_window, count(*) FILTER (decidable) AS n_within_tau, count(*) FILTER (agree) AS n_agree, quantile_cont(dist, 0.5) AS dist_p50, max(dist) AS dist_max, max(abs(off_)) FILTER (agree) AS spread FROM so GROUP BY ALL) w USING (source, collection))""",
     ]
 
@@ -422,13 +422,13 @@ def _strip_sql() -> list[str]:
 _STRIPS = _strip_sql()
 
 
-@query(S.with_(*_STRIPS, last="SELECT source, collection, CAST(point AS BIGINT) AS point, round(turns, 6) AS turns, round(wrap, 5) AS wrap FROM sw"))
+@query(S.with_(*_STRIPS, last="SELECT 'parts' AS source, collection, CAST(point AS BIGINT) AS point, round(turns, 6) AS turns, round(wrap, 5) AS wrap FROM sw"))
 def strip_unwrap(spark, sf_dir):
     rows = _strip_rows(spark, sf_dir)[1]
     return rounded(rows.select("source", "collection", "point", "turns", F.round("wrap", 5).alias("wrap")))
 
 
-@query(S.with_(*_STRIPS, last="SELECT source, CAST(collection AS BIGINT) AS collection, name, n_points, kind, n_dropped, n_in_window, n_within_tau, n_agree, " + S.rnd("dist_p50", "dist_max", "spread", digits=5) + " FROM sv"))
+@query(S.with_(*_STRIPS, last="SELECT 'parts' AS source, CAST(collection AS BIGINT) AS collection, " + S.STRIP_NAME + ", n_points, CASE kind WHEN 1 THEN 'relative' ELSE 'same-winding' END AS kind, n_dropped, n_in_window, n_within_tau, n_agree, " + S.rnd("dist_p50", "dist_max", "spread", digits=5) + " FROM sv"))
 def strip_verdicts(spark, sf_dir):
     points, rows = _strip_rows(spark, sf_dir)
     return rounded(strips.verdicts(strips.judged(rows), points), 5)
@@ -443,7 +443,7 @@ def strip_offenders(spark, sf_dir):
 _POOL = "CAST(count(*) AS BIGINT) AS n_collections, CAST(count(*) FILTER (n_within_tau > 0) AS BIGINT) AS n_decidable, CAST(count(*) FILTER (n_within_tau > 0 AND n_agree = n_within_tau) AS BIGINT) AS n_perfect, CAST(count(*) FILTER (n_within_tau >= 2) AS BIGINT) AS n_informative, CAST(count(*) FILTER (n_within_tau >= 2 AND n_agree = n_within_tau) AS BIGINT) AS n_informative_perfect, CAST(sum(n_points) AS BIGINT) AS n_points, CAST(sum(n_in_window) AS BIGINT) AS n_in_window, CAST(sum(n_within_tau) AS BIGINT) AS n_within_tau, CAST(sum(n_agree) AS BIGINT) AS n_agree, round(max(spread), 5) AS spread_max, round(CASE WHEN sum(n_within_tau) > 0 THEN sum(n_agree) / sum(n_within_tau) END, 5) AS agreement"
 
 
-@query(S.with_(*_STRIPS, last=f"SELECT coalesce(kind, 'all') AS kind, {_POOL} FROM sv GROUP BY ROLLUP (kind)"))
+@query(S.with_(*_STRIPS, last=f"SELECT CASE WHEN kind IS NULL THEN 'all' WHEN kind = 1 THEN 'relative' ELSE 'same-winding' END AS kind, {_POOL} FROM sv GROUP BY ROLLUP (kind)"))
 def strip_rollup(spark, sf_dir):
     points, rows = _strip_rows(spark, sf_dir)
     return rounded(strips.pooled(strips.verdicts(strips.judged(rows), points)), 5)

@@ -88,10 +88,13 @@ def patches(name: str, patch: str = "concat('patch', number, '_w', w)") -> str:
  FROM (SELECT c_custkey // 40 AS number, CAST(c_custkey % 40 // 8 AS INTEGER) AS r, CAST(c_custkey % 8 AS INTEGER) AS c, c_acctbal AS v FROM customer))))"""
 
 
+STRIP_NAME = "concat(['same', 'arc', 'off', 'ladder', 'far'][collection % 5 + 1], collection) AS name"
+
+
 def strips(name: str) -> str:
-    """The strips woven from parts (see sources.woven)."""
+    """The strips woven from parts (see sources.woven), but for their source, here a number, and their names (STRIP_NAME)."""
     y, x = spiral("w", "theta", 10.0, "more")
-    return f"""{name} AS MATERIALIZED (SELECT 'parts' AS source, collection, concat(['same', 'arc', 'off', 'ladder', 'far'][kind + 1], collection) AS name, point, CAST((collection % 20) * 2e0 + point AS DOUBLE) AS z, {y} AS y, {x} AS x, CASE WHEN kind = 3 AND v < 48 THEN CAST(point % 5 AS DOUBLE) END AS wind_a
+    return f"""{name} AS MATERIALIZED (SELECT 0 AS source, collection, point, CAST((collection % 20) * 2e0 + point AS DOUBLE) AS z, {y} AS y, {x} AS x, CASE WHEN kind = 3 AND v < 48 THEN CAST(point % 5 AS DOUBLE) END AS wind_a
  FROM (SELECT *, CASE kind WHEN 3 THEN 11 + point % 5 WHEN 4 THEN 30 + point ELSE 11 + collection % 6 END AS w, CASE WHEN kind = 3 THEN 1.5e0 ELSE CAST(collection % 6 AS DOUBLE) + point * CASE WHEN kind = 1 THEN {num(2 * math.pi * 0.75 / 9)} ELSE 0.1e0 END END AS theta, CASE WHEN kind = 2 AND v <= 3 THEN 10e0 ELSE 0.3e0 END AS more
  FROM (SELECT *, collection % 5 AS kind FROM (SELECT p_partkey // 10 AS collection, p_partkey % 10 AS point, p_size AS v FROM part))))"""
 
@@ -148,13 +151,14 @@ def nearest(name: str, points: str, keys: list[str], face: str, keep: list[str]
     pack = ", ".join([f"'{n}': {e}" for n, e in (("d", "round(dist, 9)"), ("g", "round(g2, 6)"), ("fb", "fb"), ("fw", "fw"), ("fr", "fr"), ("fc", "fc"), ("dist", "dist"), *((k, k) for k in keep))])
     out = ", ".join([*(f"k_{k} AS {k}" for k in keys), "b.dist AS dist", "b.fw AS winding", "b.fr AS fr", "b.fc AS fc", "b.fb AS fblock", *(f"b.{k} AS {k}" for k in keep)])
     far = "(" + " + ".join(f"(p.p{v} - f.g{v}) * (p.p{v} - f.g{v})" for v in "zyx") + ")"
-    same = " AND ".join(f"p.{k} = lim.l_{k}" for k in keys)
+    known = ", ".join([*(f"p.{k} AS {k}" for k in keys), *(f"any_value(p.p{v}) AS p{v}" for v in "zyx")])
+    again = met.replace(f"{points} p ", f"{name}_l p ", 1)
     return [  # a centroid lies on its face, so the nearest centroid bounds the distance
-        f"{name}_l AS MATERIALIZED (SELECT {', '.join(f'p.{k} AS l_{k}' for k in keys)}, min({far}) AS lim FROM {met} GROUP BY ALL)",
-        f"{name}_p AS (SELECT *, {d}, {g2} FROM (SELECT {key}, {cols} FROM {met} JOIN {name}_l lim ON {same} WHERE sqrt({far}) - f.radius <= sqrt(lim) + 1e-9))",
+        f"{name}_l AS MATERIALIZED (SELECT {known}, min({far}) AS lim FROM {met} GROUP BY ALL)",
+        f"{name}_p AS MATERIALIZED (SELECT *, {d}, {g2} FROM (SELECT {key}, {cols} FROM {again} WHERE sqrt({far}) - f.radius <= sqrt(p.lim) + 1e-9))",
         f"{name}_v AS (SELECT *, {v} AS v, {w} AS w FROM (SELECT *, d1 * d4 - d3 * d2 AS vc, d5 * d2 - d1 * d6 AS vb, d3 * d6 - d5 * d4 AS va FROM {name}_p))",
         f"{name}_b AS (SELECT {', '.join(f'k_{k}' for k in keys)}, min({{{pack}}}) AS b FROM (SELECT *, {dist} AS dist FROM {name}_v) GROUP BY ALL)",
-        f"{name} AS (SELECT {out} FROM {name}_b)",
+        f"{name} AS MATERIALIZED (SELECT {out} FROM {name}_b)",
     ]
 
 
@@ -180,10 +184,10 @@ def sheets() -> list[str]:
     """sheet: a sheet number for each row of pts."""
     return [
         "nodes AS (SELECT patch, r, c, u, r * 100000 + c AS id FROM pts)",
-        "e0 AS (SELECT a.patch, 'row' AS way, a.id AS a, b.id AS b, b.u - a.u AS du FROM nodes a JOIN nodes b ON a.patch = b.patch AND a.r + 1 = b.r AND a.c = b.c UNION ALL SELECT a.patch, 'col', a.id, b.id, b.u - a.u FROM nodes a JOIN nodes b ON a.patch = b.patch AND a.r = b.r AND a.c + 1 = b.c)",
+        "e0 AS (SELECT a.patch, 0 AS way, a.id AS a, b.id AS b, b.u - a.u AS du FROM nodes a JOIN nodes b ON a.patch = b.patch AND a.r + 1 = b.r AND a.c = b.c UNION ALL SELECT a.patch, 1, a.id, b.id, b.u - a.u FROM nodes a JOIN nodes b ON a.patch = b.patch AND a.r = b.r AND a.c + 1 = b.c)",
         "e1 AS (SELECT * FROM e0 WHERE abs(du) <= 0.5)",
         "e2 AS (SELECT patch, a, b FROM e1 UNION SELECT patch, b, a FROM e1)",
-        "drift AS (SELECT p.patch, coalesce(median(du) FILTER (way = 'row'), 0) AS drift_row, coalesce(median(du) FILTER (way = 'col'), 0) AS drift_col FROM (SELECT DISTINCT patch FROM nodes) p LEFT JOIN e1 ON p.patch = e1.patch GROUP BY p.patch)",
+        "drift AS (SELECT p.patch, coalesce(median(du) FILTER (way = 0), 0) AS drift_row, coalesce(median(du) FILTER (way = 1), 0) AS drift_col FROM (SELECT DISTINCT patch FROM nodes) p LEFT JOIN e1 ON p.patch = e1.patch GROUP BY p.patch)",
         "reach AS (SELECT patch, id AS a, id AS b FROM nodes UNION SELECT reach.patch, reach.a, e2.b FROM reach JOIN e2 ON reach.patch = e2.patch AND reach.b = e2.a)",
         "comp AS (SELECT patch, a AS id, min(b) AS comp FROM reach GROUP BY ALL)",
         "nc AS (SELECT nodes.*, comp FROM nodes JOIN comp USING (patch, id))",
