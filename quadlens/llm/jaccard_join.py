@@ -18,8 +18,12 @@
    unsettled sets hold become one weighted token; the prefix is lengthened until m tokens of it must be shared,
    and what is indexed is each m of them together, so that a pair comes up only if it shares m. m grows by one
    as long as the cost stays above the limit, up to MATCHES, or until a longer prefix would no longer help (one
-   token outweighs the overlap) or have more than MOST_KEYS combinations; then all partners are met.
+   token outweighs the overlap) or have more than MOST_KEYS combinations; then all partners are met, in cells
+   of at most some `limit` x `limit` entries each, however long the list is.
    So pairs grow with the number of sets, whatever its lists hold, but for sets that MATCHES tokens do not tell apart.
+   Here a set carries a sketch, its tokens' parities in SKETCH x 64 bits: bits that differ tell the least number of tokens
+   that only one of two sets has, and where that leaves no room for a link the pair is no candidate. After each m the
+   links found join components, so that the next m meets fewer.
 6. Verification by array_intersect, components by smallest-label propagation with pointer jumping.
 
 Keys that very many rows have (a token, a group of copies) are joined by broadcast, see join_hot.
@@ -44,15 +48,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadlens.llm import shared_keys as K
-from quadlens.llm.common import as_before, checkpointed, join_hot, whole_rows
+from quadlens.llm.common import as_before, join_hot, new_path, staged, whole_rows
 
 BINS = 20  # bits of a shingle that choose its bin
 LIMIT = 256  # entries of a list that are met without asking for more matches
 MATCHES, MOST_KEYS = 4, 128
+SKETCH = 8  # words of 64 bits
 INFO = "doc_id long, n_shingles long, fp1 long, fp2 long, shared array<long>"
 SETS = 3
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: compressed, and of known size, which a checkpoint is not (its guesses multiply in loops of joins)."""
+    return staged(df, new_path(df.sparkSession, "jaccard"))
+
+
 def shingle_hashes(text: bytes, n: int) -> tuple[int, np.ndarray]:
     """How many distinct n-word shingles a text has, and their sorted 48-bit hashes. bytes.lower and bytes.split know ASCII only, as the rule does."""
     words = text.lower().split()
@@ -207,30 +217,53 @@ def settled_pairs(entries: DataFrame, percent: int, limit: int, prefixes: bool)
     at most its shared ones and the o - 1 beyond the prefix, so a pair must share as many as make up its own overlap.
     """
     entries = open_entries(entries)
+    possible = _feasible(percent) & F.expr("comp <> comp_2 AND rep <> rep_2")
     need = F.expr(_needed(percent).replace("n_2", "n") if prefixes else "1")  # of a partner of the same size
     few = (F.max("others") <= limit) & (F.sum("others") <= limit * F.first(need))
     cost = checkpointed(entries.groupBy("rep").agg(few.alias("settled"), F.first("forced").alias("_f")))
     entries = checkpointed(entries.join(cost.drop("_f"), "rep"))
-    side = ["rep", "n", "s", "comp"]
+    side = ["rep", "n", "s", "comp"] if prefixes else ["rep", "n", "s", "comp", "bits"]
     second = [F.col(c).alias(f"{c}_2") for c in side]
+    possible = possible if prefixes else possible & F.expr(_sketches_allow(percent))
     # members of a list's largest component meet its other entries, of which a settled set has at most `limit`
     minor = entries.where(F.expr(f"comp <> major AND held - n_major <= {limit}"))
     minor = minor.groupBy("token").agg(F.collect_list(F.struct(*second)).alias("others"), F.first("n_major").alias("n_major"))
     major = join_hot(entries.where("settled AND comp = major").select("token", *side), minor, ["token"], "n_major")
-    pairs = major.select(*side, F.explode("others").alias("o")).select(*side, "o.*")
+    able = F.filter("others", lambda o: F.expr("true") if prefixes else _able(percent, o))
+    pairs = major.select(*side, F.explode(able).alias("o")).select(*side, "o.*")
     # all others that are settled are in short lists; a pair that has come up for this token does not come up again
     small = entries.where(f"held <= {2 * limit}").select("token", *second, F.col("settled").alias("settled_2"))
     again = "settled_2 AND (comp_2 = major OR rep_2 < rep)"
     pairs = pairs.unionByName(entries.where("settled AND comp <> major").join(small, "token").where(f"NOT ({again})").select(*pairs.columns))
     forced = entries.where("forced AND NOT settled")
     if not forced.isEmpty():
-        pairs = pairs.unionByName(forced.join(entries.select("token", *second), "token").select(*pairs.columns))
-    pairs = pairs.where(_feasible(percent) & F.expr("comp <> comp_2 AND rep <> rep_2"))
+        cells = F.expr(f"(held + {limit - 1}) div {limit}")
+        every = F.explode(F.sequence(F.lit(0), cells - 1))
+        own = F.pmod(F.xxhash64("rep"), cells)
+        rows = forced.select("token", *side, own.alias("i"), every.alias("j"))
+        columns = entries.join(forced.select("token").distinct(), "token", "left_semi").select("token", *second, every.alias("i"), own.alias("j"))
+        pairs = pairs.unionByName(rows.join(columns, ["token", "i", "j"]).where(possible).select(*pairs.columns))
+    pairs = pairs.where(possible)
     pairs = pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"), F.expr(_needed(percent) if prefixes else "1").alias("need"))
     pairs = pairs.groupBy("a", "b", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("a", "b")
     return checkpointed(pairs), cost.where("NOT settled AND NOT _f").select("rep")
 
 
+def _sketches_allow(percent: int, two: str = "{}_2") -> str:
+    """Whether the tokens that surely are in one of two sets only leave room for a link."""
+    n, s, bits = (two.format(c) for c in ("n", "s", "bits"))
+    apart = " + ".join(f"bit_count(bits[{i}] ^ {bits}[{i}])" for i in range(SKETCH))
+    return f"{100 + percent} * (n + {n} - (n - s) - ({n} - {s}) - ({apart})) >= {2 * percent} * (n + {n})"
+
+
+def _able(percent: int, o: Column) -> Column:
+    """`_sketches_allow` for an element of a list, and the two are of different components."""
+    n, apart = F.col("n") + o["n_2"], F.col("n") - F.col("s") + o["n_2"] - o["s_2"]
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col("bits")[i].bitwiseXOR(o["bits_2"][i]))
+    return (F.col("comp") != o["comp_2"]) & ((100 + percent) * (n - apart) >= 2 * percent * n)
+
+
 def _needed(percent: int) -> str:
     """How many tokens of their prefixes two sets of n and n_2 must share."""
     own = lambda n: f"({percent} * {n} + 99) div 100"
@@ -238,13 +271,15 @@ def _needed(percent: int) -> str:
 
 
 def weighted_tokens(sets: DataFrame) -> DataFrame:
-    """rep, n, s, comp and tokens (id, weight; rarest first): the shingles of sets that the same of these hold are one token."""
+    """rep, n, s, bits (the sketch) and tokens (id, weight; rarest first): the shingles of sets that the same of these hold are one token."""
     rows = checkpointed(sets.select("rep", F.explode("shared").alias("token")))
     twins = rows.groupBy("token").agg(F.bit_xor(F.xxhash64("rep")).alias("print"), F.count("*").alias("df")).where("df > 1")
     twins = twins.select("token", F.xxhash64("print", "df").alias("id"), "df", F.col("df").alias("held"))
-    tokens = join_hot(rows, twins, ["token"], "held").groupBy("rep", "df", "id").agg(F.count("*").alias("w"))
-    tokens = tokens.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "id", "w"))).alias("t"), F.sum("w").alias("s"))
-    return sets.select("rep", "n", "comp").join(tokens.select("rep", "s", F.col("t.id").alias("ids"), F.col("t.w").alias("weights")), "rep")
+    words = [F.expr(f"bit_xor(if((token >> 6) % {SKETCH} = {i}, shiftleft(1L, cast(token & 63 AS int)), 0L))").alias(f"b{i}") for i in range(SKETCH)]
+    tokens = join_hot(rows, twins, ["token"], "held").groupBy("rep", "df", "id").agg(F.count("*").alias("w"), *words)
+    bits = F.array(*[F.bit_xor(f"b{i}") for i in range(SKETCH)]).alias("bits")
+    tokens = tokens.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "id", "w"))).alias("t"), F.sum("w").alias("s"), bits)
+    return sets.select("rep", "n").join(tokens.select("rep", "s", "bits", F.col("t.id").alias("ids"), F.col("t.w").alias("weights")), "rep")
 
 
 def match_prefix(weights: list[int], overlap: int, m: int) -> int | None:
@@ -264,7 +299,7 @@ def _choices(p: int, m: int) -> np.ndarray:
 
 
 def match_keys(profile: DataFrame, percent: int, m: int) -> DataFrame:
-    """rep, n, s, comp, token, forced: each m tokens of a set's prefix as one token; forced if m + 1 would not do."""
+    """rep, n, s, comp, bits, token, forced: each m tokens of a set's prefix as one token; forced if m + 1 would not do."""
     def run(batches):
         for b in batches:
             rows = []
@@ -280,28 +315,29 @@ def match_keys(profile: DataFrame, percent: int, m: int) -> DataFrame:
                     key = K.mixed(key * K.MIX + ids[at])
                 rows.append((i, np.unique(key).view(np.int64), forced))
             take = np.repeat(np.array([i for i, _, _ in rows], np.int64), [len(k) for _, k, _ in rows])
-            keep = [b.column(c).take(pa.array(take)) for c in ("rep", "n", "s", "comp")]
+            keep = [b.column(c).take(pa.array(take)) for c in ("rep", "n", "s", "comp", "bits")]
             tokens = np.concatenate([k for _, k, _ in rows]) if rows else np.zeros(0, np.int64)
             forced = np.repeat(np.array([f for _, _, f in rows], bool), [len(k) for _, k, _ in rows])
-            yield pa.record_batch([*keep, pa.array(tokens), pa.array(forced)], ["rep", "n", "s", "comp", "token", "forced"])
+            yield pa.record_batch([*keep, pa.array(tokens), pa.array(forced)], ["rep", "n", "s", "comp", "bits", "token", "forced"])
 
-    return profile.mapInArrow(run, "rep long, n long, s long, comp long, token long, forced boolean")
+    return profile.mapInArrow(run, "rep long, n long, s long, comp long, bits array<long>, token long, forced boolean")
 
 
-def candidates(entries: DataFrame, reps: DataFrame, percent: int, limit: int = LIMIT) -> DataFrame:
-    """Pairs (a, b) of different components that can link, from the entries (rep, n, s, comp, token) of the inverted lists."""
-    pairs, hot = settled_pairs(entries.withColumn("forced", F.lit(False)), percent, limit, True)
+def later_links(entries: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, limit: int = LIMIT) -> DataFrame:
+    """node, comp once the sets of different components meet, from comp and the entries (rep, n, s, token) of the inverted lists."""
+    of_comp = lambda rows: rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    pairs, hot = settled_pairs(of_comp(entries).withColumn("forced", F.lit(False)), percent, limit, True)
+    comp = joined(comp, verified(pairs, reps, percent))
     if hot.isEmpty():
-        return pairs
-    comp = entries.select("rep", "comp").distinct()
-    profile = checkpointed(weighted_tokens(reps.join(hot, "rep", "left_semi").join(comp, "rep")))
+        return comp
+    profile = checkpointed(weighted_tokens(reps.join(hot, "rep", "left_semi")))
     for m in range(1, MATCHES + 1):
-        more, hot = settled_pairs(match_keys(profile, percent, m), percent, limit, False)
-        pairs = pairs.unionByName(more)
+        pairs, hot = settled_pairs(match_keys(of_comp(profile), percent, m), percent, limit, False)
+        comp = joined(comp, verified(pairs, reps, percent))
         if hot.isEmpty():
             break
-        profile = profile.join(hot, "rep", "left_semi")
-    return pairs.distinct()
+        profile = checkpointed(profile.join(hot, "rep", "left_semi"))
+    return comp
 
 
 def _feasible(percent: int, a: str = "", b: str = "_2") -> Column:
@@ -332,6 +368,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, comp) after more links (a, b); only the components that these meet are looked at."""
+    for end in ("a", "b"):
+        links = links.join(comp.select(F.col("node").alias(end), F.col("comp").alias("of")), end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    links = checkpointed(links.where("a <> b").distinct())
+    if links.isEmpty():
+        return comp
+    into = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    moved = comp.join(into, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    alone = into.join(comp.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))
+    return checkpointed(moved.unionByName(alone))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id of each document; documents link at percent/100 Jaccard similarity or more."""
     docs = docs.select("doc_id", "text")
@@ -354,10 +403,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, limit: in
     links = checkpointed(verified(met, reps, percent))
     comp = components(links)
     # the rest: candidates of different components
-    entries = entries.select("rep", "n", "s", "token").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    more = checkpointed(verified(candidates(checkpointed(entries), reps, percent, limit), reps, percent))
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    comp = later_links(checkpointed(entries.select("rep", "n", "s", "token")), reps, comp, percent, limit)
     of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "held", F.coalesce("comp", "rep").alias("component_id"))
     out = join_hot(info.where("n_shingles > 0"), of_class, ["fp1", "fp2"], "held").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(info.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
