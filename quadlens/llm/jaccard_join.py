@@ -237,7 +237,8 @@ def settled_pairs(entries: DataFrame, percent: int, limit: int, prefixes: bool)
     pairs = pairs.unionByName(entries.where("settled AND comp <> major").join(small, "token").where(f"NOT ({again})").select(*pairs.columns))
     forced = entries.where("forced AND NOT settled")
     if not forced.isEmpty():
-        cells = F.expr(f"(held + {limit - 1}) div {limit}")
+        most = max(limit, 32)
+        cells = F.expr(f"(held + {most - 1}) div {most}")
         every = F.explode(F.sequence(F.lit(0), cells - 1))
         own = F.pmod(F.xxhash64("rep"), cells)
         rows = forced.select("token", *side, own.alias("i"), every.alias("j"))
