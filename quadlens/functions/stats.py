@@ -35,6 +35,16 @@ def quantile_block(prefix: str, value: str) -> list[Column]:
     return [pct(value, q).alias(f"{prefix}_{name}") for name, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))] + [F.max(value).alias(f"{prefix}_max")]
 
 
+def round_scaled(c: Column, digits: int) -> Column:
+    """c, a double, rounded as SQL engines over doubles do: c times 10^digits goes to the nearest whole number, halves away from zero.
+
+    F.round takes the shortest decimal form of c for its value instead, so that it rounds 16.5903775 up, which times 10^6
+    is less than a half above 16590377.
+    """
+    scaled = F.round(c * F.lit(10.0**digits))
+    return F.when(F.abs(scaled) < float("inf"), scaled / F.lit(10.0**digits)).otherwise(c)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """df with its floating columns rounded, for results that are compared across engines."""
-    return df.select(*[F.round(F.col(c).cast("double"), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[round_scaled(F.col(c).cast("double"), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

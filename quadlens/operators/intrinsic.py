@@ -31,7 +31,7 @@ def axis_at(rows: DataFrame, umbilicus: DataFrame, z: str = "z") -> DataFrame:
     v = F.col(z).cast("double")
     t = F.when(F.col("z1").isNull() | (v <= F.col("z0")), 0.0).otherwise(F.try_divide(v - F.col("z0"), F.col("z1") - F.col("z0")))
     at = lambda c: (F.col(f"{c}0") + t * (F.coalesce(f"{c}1", f"{c}0") - F.col(f"{c}0"))).alias(f"a{c}")
-    return rows.join(F.broadcast(seg), (v >= F.col("_lo")) & (v < F.col("_hi"))).select(*rows.columns, at("y"), at("x"))
+    return rows.join(F.broadcast(seg), (v >= F.col("_lo")) & ((v < F.col("_hi")) | F.col("z1").isNull())).select(*rows.columns, at("y"), at("x"))
 
 
 def binned_radius(family: DataFrame, umbilicus: DataFrame, z_bins: int = 10, theta_bins: int = 48, min_count: int = 3) -> DataFrame:

@@ -227,3 +227,13 @@ def test_bootstrap(spark):
     more = same.withColumn("b", F.col("b") + 2)
     r = compare.paired_bootstrap(more, 200, 1).first()
     assert r.delta == pytest.approx(2) and r.lo == pytest.approx(2) and r.excludes_zero
+
+
+def test_axis_between_points_to_the_last_digit(spark, small, duck, tmp_path):
+    """Prices of whole cents give many halves in the seventh digit; prices that are no numbers are beyond the axis' ends."""
+    duck.execute(f"COPY (SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT -i, v FROM (VALUES (1, 86361.51), (2, 'inf'::DOUBLE), (3, '-inf'::DOUBLE), (4, 'nan'::DOUBLE), (5, NULL), (6, 20000), (7, 1e306)) t(i, v)) TO '{tmp_path}/orders.parquet'")
+    got = plans.queries()["umbilicus_interp"](spark, str(tmp_path))
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = want.execute(plans.oracle_sql()["umbilicus_interp"]).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in want)
