@@ -21,10 +21,10 @@
    token outweighs the overlap) or have more than MOST_KEYS combinations; then all partners are met, in cells
    of at most some `limit` x `limit` entries each, however long the list is.
    So pairs grow with the number of sets, whatever its lists hold, but for sets that MATCHES tokens do not tell apart.
-   Here a set carries a sketch, its tokens' parities in SKETCH x 64 bits: bits that differ tell the least number of tokens
-   that only one of two sets has, and where that leaves no room for a link the pair is no candidate. After each m the
-   links found join components, so that the next m meets fewer.
-6. Verification by array_intersect, components by smallest-label propagation with pointer jumping.
+   From the first lists on a set carries a sketch, its tokens' parities in SKETCH x 64 bits: bits that differ tell the least
+   number of tokens that only one of two sets has, and where that leaves no room for a link the pair is never made. After
+   each m the links found join components, so that the next m meets fewer.
+6. Verification by array_intersect of the sets that are in a pair, no others being shipped; components by smallest-label propagation with pointer jumping.
 
 Keys that very many rows have (a token, a group of copies) are joined by broadcast, see join_hot.
 
@@ -46,6 +46,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadlens.llm import shared_keys as K
 from quadlens.llm.common import as_before, join_hot, new_path, staged, whole_rows
@@ -184,7 +185,7 @@ def bin_counts(sets: DataFrame) -> np.ndarray:
 
 
 def rarest_first(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """sets with shared in the order of its bins' counts, equal counts in the order of the shingles."""
+    """sets with shared in the order of its bins' counts, equal counts in the order of the shingles, and bits (its sketch)."""
     table, names = sets.sparkSession.sparkContext.broadcast(counts), sets.columns  # 2^BINS numbers
 
     def run(batches):
@@ -194,9 +195,12 @@ def rarest_first(sets: DataFrame, counts: np.ndarray) -> DataFrame:
             row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
             token = token[np.lexsort((token, table.value[token >> (48 - BINS)], row))]
             columns = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(token)) if c == "shared" else b.column(c) for c in names]
-            yield pa.record_batch(columns, names)
+            bits = np.zeros((len(edge) - 1) * SKETCH, np.uint64)
+            np.bitwise_xor.at(bits, row * SKETCH + (token >> 6) % SKETCH, np.uint64(1) << (token & 63).astype(np.uint64))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(edge)) * SKETCH, pa.int32()), pa.array(bits.view(np.int64)))
+            yield pa.record_batch([*columns, bits], [*names, "bits"])
 
-    return sets.mapInArrow(run, sets.schema)
+    return sets.mapInArrow(run, T.StructType([*sets.schema, T.StructField("bits", T.ArrayType(T.LongType()))]))
 
 
 def open_entries(entries: DataFrame) -> DataFrame:
@@ -209,32 +213,34 @@ def open_entries(entries: DataFrame) -> DataFrame:
     return checkpointed(join_hot(entries, per, ["token", "comp"], "k"))
 
 
-def settled_pairs(entries: DataFrame, percent: int, limit: int, prefixes: bool) -> tuple[DataFrame, DataFrame]:
+def settled_pairs(entries: DataFrame, percent: int, limit: int, sketches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of different components with shared tokens in entries (rep, n, s, comp, token, forced), for all pairs
     with a settled or forced one of the two; and the rep of all others.
 
-    prefixes: the tokens are those of prefixes of s - o + 1 tokens, with o a set's own least overlap. A pair's overlap is
-    at most its shared ones and the o - 1 beyond the prefix, so a pair must share as many as make up its own overlap.
+    Entries have their sets' sketches (bits), or sketches (rep, bits) is given. Then the tokens are those of prefixes of
+    s - o + 1 tokens, with o a set's own least overlap. A pair's overlap is at most its shared ones and the o - 1 beyond the
+    prefix, so a pair must share as many as make up its own overlap.
     """
+    prefixes = sketches is not None
     entries = open_entries(entries)
     possible = _feasible(percent) & F.expr("comp <> comp_2 AND rep <> rep_2")
     need = F.expr(_needed(percent).replace("n_2", "n") if prefixes else "1")  # of a partner of the same size
     few = (F.max("others") <= limit) & (F.sum("others") <= limit * F.first(need))
     cost = checkpointed(entries.groupBy("rep").agg(few.alias("settled"), F.first("forced").alias("_f")))
-    entries = checkpointed(entries.join(cost.drop("_f"), "rep"))
-    side = ["rep", "n", "s", "comp"] if prefixes else ["rep", "n", "s", "comp", "bits"]
+    told = cost.drop("_f").join(sketches, "rep") if prefixes else cost.drop("_f")
+    entries = checkpointed(entries.join(told, "rep"))
+    side = ["rep", "n", "s", "comp", "bits"]
     second = [F.col(c).alias(f"{c}_2") for c in side]
-    possible = possible if prefixes else possible & F.expr(_sketches_allow(percent))
+    possible = possible & F.expr(_sketches_allow(percent))
     # members of a list's largest component meet its other entries, of which a settled set has at most `limit`
     minor = entries.where(F.expr(f"comp <> major AND held - n_major <= {limit}"))
     minor = minor.groupBy("token").agg(F.collect_list(F.struct(*second)).alias("others"), F.first("n_major").alias("n_major"))
     major = join_hot(entries.where("settled AND comp = major").select("token", *side), minor, ["token"], "n_major")
-    able = F.filter("others", lambda o: F.expr("true") if prefixes else _able(percent, o))
-    pairs = major.select(*side, F.explode(able).alias("o")).select(*side, "o.*")
+    pairs = major.select(*side, F.explode(F.filter("others", lambda o: _able(percent, o))).alias("o")).select(*side, "o.*")
     # all others that are settled are in short lists; a pair that has come up for this token does not come up again
     small = entries.where(f"held <= {2 * limit}").select("token", *second, F.col("settled").alias("settled_2"))
     again = "settled_2 AND (comp_2 = major OR rep_2 < rep)"
-    pairs = pairs.unionByName(entries.where("settled AND comp <> major").join(small, "token").where(f"NOT ({again})").select(*pairs.columns))
+    pairs = pairs.unionByName(entries.where("settled AND comp <> major").join(small, "token").where(f"NOT ({again})").where(possible).select(*pairs.columns))
     forced = entries.where("forced AND NOT settled")
     if not forced.isEmpty():
         most = max(limit, 32)
@@ -258,11 +264,12 @@ def _sketches_allow(percent: int, two: str = "{}_2") -> str:
 
 
 def _able(percent: int, o: Column) -> Column:
-    """`_sketches_allow` for an element of a list, and the two are of different components."""
+    """`_feasible` and `_sketches_allow` for an element of a list, and the two are of different components."""
     n, apart = F.col("n") + o["n_2"], F.col("n") - F.col("s") + o["n_2"] - o["s_2"]
     for i in range(SKETCH):
         apart = apart + F.bit_count(F.col("bits")[i].bitwiseXOR(o["bits_2"][i]))
-    return (F.col("comp") != o["comp_2"]) & ((100 + percent) * (n - apart) >= 2 * percent * n)
+    feasible = (100 + percent) * F.least(F.col("s"), o["s_2"]) >= percent * n
+    return (F.col("comp") != o["comp_2"]) & feasible & ((100 + percent) * (n - apart) >= 2 * percent * n)
 
 
 def _needed(percent: int) -> str:
@@ -327,13 +334,13 @@ def match_keys(profile: DataFrame, percent: int, m: int) -> DataFrame:
 def later_links(entries: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, limit: int = LIMIT) -> DataFrame:
     """node, comp once the sets of different components meet, from comp and the entries (rep, n, s, token) of the inverted lists."""
     of_comp = lambda rows: rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    pairs, hot = settled_pairs(of_comp(entries).withColumn("forced", F.lit(False)), percent, limit, True)
+    pairs, hot = settled_pairs(of_comp(entries).withColumn("forced", F.lit(False)), percent, limit, reps.select("rep", "bits"))
     comp = joined(comp, verified(pairs, reps, percent))
     if hot.isEmpty():
         return comp
     profile = checkpointed(weighted_tokens(reps.join(hot, "rep", "left_semi")))
     for m in range(1, MATCHES + 1):
-        pairs, hot = settled_pairs(match_keys(of_comp(profile), percent, m), percent, limit, False)
+        pairs, hot = settled_pairs(match_keys(of_comp(profile), percent, m), percent, limit)
         comp = joined(comp, verified(pairs, reps, percent))
         if hot.isEmpty():
             break
@@ -348,8 +355,12 @@ def _feasible(percent: int, a: str = "", b: str = "_2") -> Column:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that link."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"of_{x}"))
+    """Those of pairs (a, b) that link. Only sets that are in a pair are shipped: their names are few and broadcast, or else
+    they are dealt as the join needs them anyway."""
+    def side(x):
+        sets = reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"of_{x}"))
+        return sets.join(pairs.select(x), x, "left_semi")
+
     both = F.size(F.array_intersect("of_a", "of_b"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     return met.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")

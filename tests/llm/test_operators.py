@@ -157,6 +157,43 @@ def test_jaccard_pairs_grow_with_documents(spark, monkeypatch):
     assert large < 2.3 * small and large < 0.1 * 2000 * 1999 / 2
 
 
+def test_jaccard_pairs_that_cannot_link_are_not_made(spark, monkeypatch):
+    """Texts that share up to five of six passages share prefix tokens, but what their sketches tell apart leaves no room
+    for a link: after the leaders hardly any pair but the planted near copies is verified."""
+    seen, verified = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
+    rng = random.Random(3)
+    passages = [" ".join(f"p{i}_{k}" for k in range(40)) for i in range(16)]
+    rows = {i: " ".join(passages[j] for j in rng.sample(range(16), 6)) for i in range(400)}
+    rows |= {1000 + i: rows[i] + " end" for i in range(0, 400, 20)}
+    docs = spark.createDataFrame(list(rows.items()), DOC).repartition(3)
+    assert by_doc(jaccard_join.jaccard_components(docs, 4, 85)) == brute.jaccard(rows, 4, 85)
+    assert sum(seen[1:]) < 100
+
+
+def test_jaccard_ships_sets_of_pairs_only(spark):
+    """Verifying three pairs of 2,000 sets must not shuffle all sets."""
+    rng = random.Random(5)
+    rows = [(i, 60, [rng.randrange(1 << 48) for _ in range(60)]) for i in range(2000)]
+    rows[1] = (1, 60, rows[0][2][:58] + [1, 2])
+    reps = jaccard_join.checkpointed(spark.createDataFrame(rows, "rep long, n long, shared array<long>"))
+    pairs = jaccard_join.checkpointed(spark.createDataFrame([(0, 1), (0, 2), (3, 4)], "a long, b long"))
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        none = jvm.jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, jvm.new_array(jvm.jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before, least = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # bytes; the sets have a million
+    try:
+        assert [tuple(r) for r in jaccard_join.verified(pairs, reps, 85).collect()] == [(0, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sum(n for k, n in shuffled().items() if k not in before) < 50
+
+
 def test_jaccard_half_prints_collide(spark, monkeypatch):
     """Sets with the same first half of their hash are told apart."""
     rows = {i: " ".join(f"w{(i % 9) * 3 + k}" for k in range(30)) + (f" x{i}" if i % 2 else "") for i in range(40)} | {90: "", 91: None}
