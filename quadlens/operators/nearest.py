@@ -1,8 +1,9 @@
 """Exact nearest-face join of points with triangles, over all faces or within groups that points and faces share.
 
-A group of at most TILE faces is solved at once. The faces of a larger one are dealt to tiles, cells of a grid over their
-centroids that hold some TILE faces each; a crowded tile is split into parts. Tiles have bounding boxes, and so have
-cells of 4 x 4 x 4 tiles, and so on up to one box a group: a table of boxes by level (see box_tree).
+A group of at most TILE faces is solved at once. The faces of a larger one are dealt to tiles: runs of cells of a fine grid over
+their centroids, along a curve that interleaves the bits of the cells' places, of some TILE faces each, whatever shape the group
+has; a tile with a crowded cell is split into parts. Tiles have bounding boxes, and so have runs of 4 tiles, and so on up to one
+box a group: a table of boxes by level (see box_tree).
 
 A point goes down that hierarchy. On each level it meets the boxes in those boxes it still asks, keeps the least distance
 by which some face must be near (a box touches a face on each of its sides), and drops boxes farther than that. The top
@@ -10,9 +11,9 @@ of the hierarchy, as many levels as hold at most TOP boxes, is broadcast; furthe
 met only by the points that ask its parent. Then a point is solved against the nearest tile, which gives it a distance,
 and against the other tiles that are nearer than that, if any.
 
-Tiles are solved where their points and faces meet: faces in order along a space-filling curve form small blocks with
-bounding spheres, blocks and then faces that cannot be nearest are left out, and the exact distance is taken to the rest.
-Points of a crowded place are dealt to several tasks, each with the tile's faces.
+Tiles are solved where their points and faces meet: points are halved into ever smaller balls, and faces that cannot be
+nearest to any point of a ball are left out on the way, large ones by their distance; the exact distance is taken to those
+that may be nearest to a point. Points of a crowded place are dealt to several tasks, each with the tile's faces.
 
 Ties go to the nearer centroid, then to the smaller (block, winding, row, col). A point whose group has no face, or whose
 group is null, is near to none and gives no row.
@@ -27,12 +28,18 @@ from pyspark.sql import functions as F
 
 from quadlens.functions.vectors import sub, triangle_distance, triple, with_triangle_distance
 from quadlens.operators.graph import cut, join_counted
+from quadlens.operators.splits import running
 
-TILE = 1 << 16  # faces of a tile and points of a task, about
+TILE = 1 << 16  # faces of a tile, about
+POINTS = 1 << 12  # points of a task
+BITS = 12  # of a cell's place along an axis; tiles are runs of cells
 TOP = 1 << 12  # boxes that are broadcast
 SALT = 16  # tasks that the points which ask one box are dealt to
-BLOCK, STEP = 32, 256  # faces of a block, points at a time
-SLACK = 1e-9
+BLOCK = 32  # faces of a block
+LEAF, STEP = 32, 1024  # points solved together; points that are measured against a few faces before
+FEW, WIDE = 32, 1024  # faces that are not worth leaving out; faces at a time
+PAIRS = 1 << 17  # pairs whose exact distances are taken at once
+SLACK, TINY = 2e-9, 1e-300  # distances are compared to nine digits
 FACE = ["winding", "row", "col", "block"]
 TIES = ["_g", "face_block", "face_winding", "face_row", "face_col"]
 
@@ -73,38 +80,173 @@ def _curve(p: np.ndarray, bits: int = 16) -> np.ndarray:
     return np.argsort(code, kind="stable")
 
 
-class _Blocks:
-    """Faces of one tile in blocks along the curve, with each block's bounding sphere."""
+def _dot(x, y):
+    return x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+
+
+class _Faces:
+    """Triangles of one tile, a column each: corners, edges, normals and their products, from which _rough has distances by matrix
+    products."""
 
     def __init__(self, corners: np.ndarray, centroid: np.ndarray, radius: np.ndarray):
-        self.order = _curve(centroid)
-        g, r = centroid[self.order], radius[self.order]
-        start = np.arange(0, len(g), BLOCK)
-        size = np.diff(np.append(start, len(g)))
-        self.mid = np.add.reduceat(g, start) / size[:, None]
-        far = np.linalg.norm(g - np.repeat(self.mid, size, 0), axis=1) + r
-        self.reach = np.maximum.reduceat(far, start)
-        self.start, self.size, self.g, self.r, self.corners = start, size, g, r, corners[self.order]
-
-    def nearest(self, p: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each point: the face, its distance and the squared distance of its centroid."""
-        to_mid = np.sqrt(((p[:, None] - self.mid[None]) ** 2).sum(2))
-        bound = (to_mid + self.reach).min(1)
-        point, block = np.nonzero(to_mid - self.reach <= bound[:, None] + SLACK)
-        n = self.size[block]
-        point = np.repeat(point, n)
-        face = np.repeat(self.start[block] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        g2 = ((p[point] - self.g[face]) ** 2).sum(1)
-        to_g = np.sqrt(g2)
-        first = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
-        bound = np.minimum.reduceat(to_g, first)[point]  # centroids lie on their faces
-        near = np.flatnonzero(to_g - self.r[face] <= bound + SLACK)
-        point, face, g2 = point[near], face[near], g2[near].round(6)
-        dist = triangle_distance(p[point], *np.moveaxis(self.corners[face].reshape(-1, 3, 3), 1, 0))
-        own = self.order[face]
-        order = np.lexsort((*ties[own].T[::-1], g2, dist.round(9), point))
-        first = order[np.concatenate([[True], point[order][1:] != point[order][:-1]])]
-        return own[first], dist[first], g2[first]
+        self.corners, self.g = corners, centroid
+        a, b, c = corners[:, :3].T, corners[:, 3:6].T, corners[:, 6:].T
+        ab, ac, bc = b - a, c - a, c - b
+        n = np.cross(ab, ac, axis=0)
+        ab2, abac, ac2, bc2, n2 = _dot(ab, ab), _dot(ab, ac), _dot(ac, ac), _dot(bc, bc), _dot(n, n)
+        long = np.maximum(np.maximum(ab2, ac2), bc2)
+        over = [1 / np.maximum(x, TINY) for x in (ab2, ac2, bc2, n2)]
+        self.balls = np.ascontiguousarray(np.concatenate([centroid.T, radius[None]]))
+        # blocks of faces that lie near each other along a curve, and their bounding balls
+        good = np.flatnonzero(np.isfinite(corners).all(1))
+        self.order = good[_curve(centroid[good])] if len(good) else good
+        start = np.arange(0, len(self.order), BLOCK)
+        self.size = np.diff(np.append(start, len(self.order)))
+        self.start, ball = start, self.balls[:, self.order]
+        mid = np.add.reduceat(ball[:3], start, axis=1) / self.size if len(start) else ball[:3]
+        off = ball[:3] - np.repeat(mid, self.size, axis=1)
+        self.blocks = np.concatenate([mid, np.maximum.reduceat(np.sqrt(_dot(off, off)) + ball[3], start)[None] if len(start) else ball[3:]])
+        self.edges = np.concatenate([a, ab, ac, n, np.stack([ab2, abac, ac2, bc2, n2, *over, long, n2 <= 1e-4 * long**2, np.sqrt(n2 / np.maximum(long, TINY))])])
+
+    def _rough(self, p: np.ndarray, mid: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, float, np.ndarray | None]:
+        """Squared distances of points from faces; by how much they may be wrong; and, if some faces are thin, the height of each
+        thin one (0 for others).
+
+        Coordinates are taken from mid, so that rounding stays small. A thin face counts by its sides alone: what lies inside is
+        nearer than these by its height at most.
+        """
+        e = self.edges[:, near]
+        ab, ac, n = e[3:6], e[6:9], e[9:12]
+        ab2, abac, ac2, bc2, n2, _ab2, _ac2, _bc2, _n2, long, thin, height = e[12:]
+        p, a = p - mid, e[:3] - mid[:, None]
+        a2, p2 = _dot(a, a), _dot(p.T, p.T)
+        size = p2.max() + a2.max() + long.max()
+        thin = (thin > 0) | (long <= 1e-7 * size)
+        d1, d2 = p @ ab - _dot(a, ab), p @ ac - _dot(a, ac)
+
+        def side(d, length2, over):
+            t = d * over
+            np.maximum(t, 0, out=t)
+            np.minimum(t, 1, out=t)
+            out = t * length2
+            out -= d
+            out -= d
+            out *= t
+            return out
+
+        found = side(d2 - d1 + (ab2 - abac), bc2, _bc2)
+        found += ab2
+        found -= 2 * d1
+        np.minimum(found, side(d1, ab2, _ab2), out=found)
+        np.minimum(found, side(d2, ac2, _ac2), out=found)
+        found += p @ (-2 * a) + a2
+        found += p2[:, None]
+        v, w = ac2 * d1 - abac * d2, ab2 * d2 - abac * d1
+        inside = (v >= 0) & (w >= 0)
+        v += w
+        inside &= v <= n2
+        if thin.any():
+            inside &= ~thin
+        up = p @ n - _dot(a, n)
+        up *= up
+        up *= _n2
+        np.copyto(found, up, where=inside)
+        return found, 1e-12 * size, np.where(thin, np.minimum(height, np.sqrt(long)), 0) if thin.any() else None
+
+    def pairs(self, p: np.ndarray, most: np.ndarray):
+        """Pairs of points and faces, those of a point side by side, that hold the nearest face of each point and all that tie with
+        it. most: what each point's distance is at most, as far as that is known; a point that no face is so near to is in no pair.
+
+        Points are halved until few are left. The points of a ball and the faces that can be nearest to one of them go down
+        together: of these faces none is farther from the ball's middle than the nearest one by more than two radii.
+        """
+        def above(found, error):
+            return np.sqrt(np.maximum(found.min(1), 0) + error) + SLACK
+
+        def halves(own, q, near, whole):
+            half = np.argpartition(q[:, np.ptp(q, axis=0).argmax()], len(own) // 2)
+            return [(own[half[: len(own) // 2]], near, whole), (own[half[len(own) // 2 :]], near, whole)]
+
+        most, work = most.copy(), [(np.flatnonzero(np.isfinite(p).all(1)), np.arange(len(self.size)), True)]
+        while work:
+            own, near, whole = work.pop()
+            if not len(own) or not len(near):
+                continue
+            q = p[own]
+            mid = (q.min(0) + q.max(0)) / 2
+            reach = np.sqrt(_dot((q - mid).T, (q - mid).T).max())
+            if whole:  # blocks of faces, until they are few or as large as the ball
+                ball = self.blocks[:, near]
+                to = ball[:3] - mid[:, None]
+                to, r = np.sqrt(_dot(to, to)), ball[3]
+                near = near[to - r <= min((to + r).min() + 2 * reach, most[own].max() + reach) + SLACK]
+                if len(own) > LEAF and len(near) > WIDE // BLOCK and reach > r.mean() / 2:
+                    work += halves(own, q, near, True)
+                    continue
+                n = self.size[near]
+                near = self.order[np.repeat(self.start[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            ball = self.balls[:, near]
+            to = ball[:3] - mid[:, None]
+            to, r = np.sqrt(_dot(to, to)), ball[3]
+            limit = min(to.min(initial=np.inf) + 2 * reach, most[own].max() + reach) + SLACK  # centroids lie on their faces
+            to -= r  # no point of a face is nearer to the middle than that
+            at = np.flatnonzero(to <= limit)
+            near, to = near[at], to[at]
+            if len(near) > FEW and r[at].max() > reach / 4:  # faces as large as the ball
+                found, error, height = self._rough(mid[None], mid, near)
+                to = np.sqrt(np.maximum(found[0] - error, 0)) - (0 if height is None else height)
+                at = np.flatnonzero(to <= min(limit, above(found, error)[0] + 2 * reach))
+                near, to = near[at], to[at]
+            if len(near) > FEW and len(own) <= STEP:  # what is near to the middle is not far from the points
+                first = near[np.argpartition(to, FEW // 2)[: FEW // 2]]
+                most[own] = np.minimum(most[own], above(*self._rough(q, mid, first)[:2]))
+                at = np.flatnonzero(to <= most[own].max() + reach + SLACK)
+                near, to = near[at], to[at]
+            if not len(near):
+                continue
+            if len(own) > LEAF:
+                work += halves(own, q, near, False)
+                continue
+            if len(near) > WIDE:
+                near = near[np.argsort(to, kind="stable")]
+            point, face, low = [], [], []
+            for i in range(0, len(near), WIDE):
+                found, error, height = self._rough(q, mid, near[i : i + WIDE])
+                most[own] = np.minimum(most[own], above(found, error))
+                limit = most[own][:, None] if height is None else most[own][:, None] + height
+                x, y = np.nonzero(found <= limit * limit + error)
+                point.append(x)
+                face.append(near[i + y])
+                low.append(np.sqrt(np.maximum(found[x, y] - error, 0)) - (0 if height is None else height[y]))
+            point, face, low = np.concatenate(point), np.concatenate(face), np.concatenate(low)
+            at = np.flatnonzero(low <= most[own][point] + SLACK)
+            if len(near) > WIDE:
+                at = at[np.argsort(point[at], kind="stable")]
+            yield own[point[at]], face[at]
+
+    def nearest(self, p: np.ndarray, ties: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The points that have a face so near, of each the face, its distance and the squared distance of its centroid."""
+        found, held = [], []
+
+        def solved():
+            point, face = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            g2 = ((p[point] - self.g[face]) ** 2).sum(1).round(6)
+            dist = triangle_distance(p[point], *np.moveaxis(self.corners[face].reshape(-1, 3, 3), 1, 0))
+            order = np.lexsort((*ties[face].T[::-1], g2, dist.round(9), point))
+            first = order[np.concatenate([[True], point[order][1:] != point[order][:-1]])]
+            found.append((point[first], face[first], dist[first], g2[first]))
+
+        n = 0
+        for pair in self.pairs(p, most):
+            held.append(pair)
+            n += len(pair[0])
+            if n >= PAIRS:
+                solved()
+                n = 0
+        if n:
+            solved()
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def _solver(names: list[str], keep: list[str]):
@@ -114,13 +256,11 @@ def _solver(names: list[str], keep: list[str]):
 
     def solve(points: pa.Table, faces: pa.Table) -> pa.Table:
         p = _array(points, ["pz", "py", "px"])
-        if not len(p) or not faces.num_rows:
-            of, face, dist, g2 = (np.zeros(0, np.int64),) * 4
-        else:
-            blocks, ties = _Blocks(_array(faces, corners), _array(faces, ["gz", "gy", "gx"]), faces.column("radius").to_numpy()), _array(faces, TIES[1:])
-            of = _curve(p)  # points near each other need the same blocks
-            found = [blocks.nearest(p[of[i : i + STEP]], ties) for i in range(0, len(of), STEP)]
-            face, dist, g2 = (np.concatenate(x) for x in zip(*found))
+        known = points.column("_dist").to_numpy() if "_dist" in points.column_names else np.full(len(p), np.inf)
+        of, face, dist, g2 = (np.zeros(0, np.int64),) * 4
+        if len(p) and faces.num_rows:
+            tile = _Faces(_array(faces, corners), _array(faces, ["gz", "gy", "gx"]), faces.column("radius").to_numpy())
+            of, face, dist, g2 = tile.nearest(p, _array(faces, TIES[1:]), known + SLACK)
         take = pa.array(face.astype(np.int64))
         own = [points.column(c).take(pa.array(of)) for c in names]
         return pa.table([*own, pa.array(dist.astype(float)), pa.array(g2.astype(float)), *(faces.column(c).take(take) for c in (*TIES[1:], *keep))], out)
@@ -133,19 +273,34 @@ def _types(df: DataFrame, names: list[str]) -> list[str]:
     return [f"`{c}` {kinds[c]}" for c in names]
 
 
-def _solved(asked: DataFrame, faces: DataFrame, at: list[str], names: list[str], keep: list[str]) -> DataFrame:
+def _solved(asked: DataFrame, faces: DataFrame, at: list[str], names: list[str], keep: list[str], tasks: int) -> DataFrame:
+    """tasks: how many pairs of points and faces there are to solve, which bytes say little about; they are spread by number."""
     schema = ", ".join([*_types(asked, names), "dist double, _g double", *_types(faces, [*TIES[1:], *keep])])
     faces = faces.select(*[c for c in faces.columns if c not in at or c in keep], *[F.col(c).alias(f"_at_{c}") for c in at])
-    return asked.groupBy(*at).cogroup(faces.groupBy(*[f"_at_{c}" for c in at])).applyInArrow(_solver(names, keep), schema)
+    n = max(1, min(4 * tasks, 8 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    asked, faces, place = asked.repartition(n, *at), faces.repartition(n, *[f"_at_{c}" for c in at]), [f"_at_{c}" for c in at]
+    return asked.groupBy(*at).cogroup(faces.groupBy(*place)).applyInArrow(_solver(names, keep), schema)
 
 
 def _met(asked: DataFrame, faces: DataFrame, at: list[str], keys: list[str], names: list[str], keep: list[str]) -> DataFrame:
-    """The best face of each point in each place it asks; asked and faces have the columns `at`."""
-    tasks = asked.groupBy(*at).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tasks"))
-    many = F.broadcast(cut(tasks.where("tasks > 1")))  # one row for some TILE points
-    faces = faces.join(many, at, "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
-    asked = asked.join(many, at, "left").withColumn("task", F.pmod(F.xxhash64(*keys), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
-    return _solved(asked, faces, [*at, "task"], names, keep)
+    """The best face of each point in each place it asks; asked and faces have the columns `at`. Faces nobody asks stay where they are."""
+    tasks = cut(asked.groupBy(*at).agg(*_dealing()))
+    many = F.broadcast(tasks.where("tasks > 1"))  # one row for some POINTS points
+    faces = faces.join(tasks.select(*at, "tasks"), at).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    asked = asked.join(many, at, "left").withColumn("task", F.coalesce(_task(), F.lit(0))).drop("tasks", "_side")
+    return _solved(asked, faces, [*at, "task"], names, keep, tasks.agg(F.sum("tasks")).first()[0] or 0)
+
+
+def _dealing() -> list[Column]:
+    """Aggregates of points: tasks, how many they are dealt to, and _side, of cells that hold some LEAF points each if they lie evenly."""
+    n = F.count("*")
+    span = F.greatest(*[F.max(c) - F.min(c) for c in ("pz", "py", "px")], F.lit(1e-9))
+    return [F.ceil(n / POINTS).cast("int").alias("tasks"), (span / F.ceil(F.cbrt(n / LEAF))).alias("_side")]
+
+
+def _task() -> Column:
+    """The task of a point: points near each other share the faces they need."""
+    return F.pmod(F.xxhash64(*[F.floor(F.col(c) / F.col("_side")) for c in ("pz", "py", "px")]), F.col("tasks")).cast("int")
 
 
 # The hierarchy of boxes
@@ -265,21 +420,40 @@ def _descended(points: DataFrame, boxes: DataFrame, within: list[str], levels: i
     return asks
 
 
+def _spread(c: Column) -> Column:
+    """The twelve bits of c, two zeros after each."""
+    for step, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        c = c.bitwiseOR(F.shiftleft(c, step)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def _code(cells: list[Column]) -> Column:
+    """The number of a cell (places below 2 ** BITS) along a curve that interleaves the bits of its places."""
+    z, y, x = (_spread(F.least(c.cast("long"), F.lit((1 << BITS) - 1))) for c in cells)
+    return F.shiftleft(z, 2).bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(x)
+
+
 def _tiled(points: DataFrame, faces: DataFrame, groups: DataFrame, within: list[str], keys: list[str], names: list[str], keep: list[str]) -> DataFrame:
     """The same for groups (within, n, size of a cell and least centroid) of more than TILE faces."""
     faces = join_counted(faces, groups, within) if within else faces.crossJoin(F.broadcast(groups)).drop("n")  # without keys, one row
-    faces = faces.withColumns({c: F.floor((F.col(f"g{a}") - F.col(f"_low_{a}")) / F.col("_cell")).cast("long") for c, a in zip(CELL, "zyx")}).drop("_cell", *[f"_low_{a}" for a in "zyx"])
-    faces = cut(faces)
+    faces = faces.withColumn("_code", _code([F.floor((F.col(f"g{a}") - F.col(f"_low_{a}")) / F.col("_cell")) for a in "zyx"])).drop("_cell", *[f"_low_{a}" for a in "zyx"])
     edge = lambda f, a: f(*[F.col(f"{n}{a}") for n in "abc"])
     boxes = [F.min(edge(F.least, a)).alias(c) for c, a in zip(LOW, "zyx")] + [F.max(edge(F.greatest, a)).alias(c) for c, a in zip(HIGH, "zyx")]
-    leaves = cut(faces.groupBy(*within, *CELL).agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("parts"), *boxes))
-    last = leaves.agg(F.max(F.greatest(*CELL))).first()[0]
+    counts = running(cut(faces.groupBy(*within, "_code").agg(F.count("*").alias("n"), *boxes)), F.col("n"), *within, "_code")
+    if within:
+        counts = join_counted(counts, counts.groupBy(*within).agg(F.min("before").alias("_first"), F.count("*").alias("_k")), within, "_k")
+    tile = F.floor((F.col("before") - F.col("_first") if within else F.col("before")) / TILE)
+    counts = cut(counts.withColumns({"iz": tile.cast("long"), "iy": F.lit(0).cast("long"), "ix": F.lit(0).cast("long")}))
+    box = [F.min(c).alias(c) for c in LOW] + [F.max(c).alias(c) for c in HIGH]
+    leaves = cut(counts.groupBy(*within, *CELL).agg(F.sum("n").alias("n"), F.ceil(F.sum("n") / (2 * TILE)).cast("int").alias("parts"), *box))
+    last = leaves.agg(F.max("iz")).first()[0]
     if last is None:
         return None
-    levels = -(-max(last, 0).bit_length() // FAN)
+    levels = -(-last.bit_length() // FAN)
     tree = cut(box_tree(leaves.drop("parts", "n"), within, levels))
     own = F.pmod(F.xxhash64(*[f"face_{c}" for c in FACE]), F.col("parts")).cast("int")
-    faces = join_counted(faces, leaves.select(*within, *CELL, "parts", "n"), [*within, *CELL]).withColumn("part", own).drop("parts")
+    places = cut(join_counted(counts.select(*within, "_code", *CELL, "n"), leaves.select(*within, *CELL, "parts", F.col("n").alias("_n")), [*within, *CELL], "_n"))
+    faces = join_counted(faces, places, [*within, "_code"]).withColumn("part", own).drop("parts", "_code")
     asks = cut(_descended(points, tree, within, levels))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_near", *CELL))  # the tiles that one point asks
     asks = cut(asks.withColumn("_nth", nth))
@@ -293,7 +467,7 @@ def _tiled(points: DataFrame, faces: DataFrame, groups: DataFrame, within: list[
     near = cut(_met(parted(asks.where("_nth = 1").drop("_nth", "_near")), faces, place, keys, names, keep))
     known = near.groupBy(*keys).agg(F.min("dist").alias("_dist"))
     rest = asks.where("_nth > 1").join(known, keys).where(F.sqrt("_near") <= F.col("_dist") + SLACK)
-    rest = _met(parted(rest.drop("_nth", "_near", "_dist")), faces, place, keys, names, keep)
+    rest = _met(parted(rest.drop("_nth", "_near")), faces, place, keys, names, keep)
     return _best(near.unionByName(rest), names, keep)
 
 
@@ -308,17 +482,18 @@ def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: li
     faces = cut(faces.dropna(subset=within) if within else faces)
     ends = [F.min(f"g{a}").alias(f"_low_{a}") for a in "zyx"]
     span = F.greatest(*[F.max(f"g{a}") - F.min(f"g{a}") for a in "zyx"], F.lit(1e-9))
-    groups = faces.groupBy(*within).agg(F.count("*").alias("n"), *ends, (span * F.sqrt(F.lit(TILE) / F.count("*"))).alias("_cell"))  # faces lie on surfaces
+    groups = faces.groupBy(*within).agg(F.count("*").alias("n"), *ends, (span / (1 << BITS)).alias("_cell"))
     groups = cut(groups)
     small, large = groups.agg(F.count_if(F.col("n") <= TILE), F.count_if(F.col("n") > TILE)).first()
     if not within:
         if not groups.first()["n"]:
             raise ValueError("no face to be near to")
         if small:
-            tasks = max(1, -(-points.count() // TILE))
-            asked = points.withColumn("task", F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int"))
+            dealing = cut(points.agg(*_dealing()))  # one row
+            tasks = max(1, dealing.first()["tasks"])
+            asked = points.crossJoin(F.broadcast(dealing)).withColumn("task", _task()).drop("tasks", "_side")
             dealt = faces.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-            return _solved(asked, dealt, ["task"], names, keep).drop("_g")
+            return _solved(asked, dealt, ["task"], names, keep, tasks).drop("_g")
         return _tiled(points, faces, groups, within, keys, names, keep)
     found = []
     if small or not large:
