@@ -260,7 +260,14 @@ def _solver(names: list[str], keep: list[str]):
         of, face, dist, g2 = (np.zeros(0, np.int64),) * 4
         if len(p) and faces.num_rows:
             tile = _Faces(_array(faces, corners), _array(faces, ["gz", "gy", "gx"]), faces.column("radius").to_numpy())
-            of, face, dist, g2 = tile.nearest(p, _array(faces, TIES[1:]), known + SLACK)
+            p, own = np.unique(p + 0.0, axis=0, return_inverse=True)  # points of one place have one answer
+            most = np.full(len(p), -np.inf)
+            np.maximum.at(most, own.ravel(), known + SLACK)
+            place, *found = tile.nearest(p, _array(faces, TIES[1:]), most)
+            at = np.full(len(p), -1)
+            at[place] = np.arange(len(place))
+            of = np.flatnonzero(at[own.ravel()] >= 0)
+            face, dist, g2 = (x[at[own.ravel()[of]]] for x in found)
         take = pa.array(face.astype(np.int64))
         own = [points.column(c).take(pa.array(of)) for c in names]
         return pa.table([*own, pa.array(dist.astype(float)), pa.array(g2.astype(float)), *(faces.column(c).take(take) for c in (*TIES[1:], *keep))], out)
@@ -480,9 +487,21 @@ def nearest_faces(points: DataFrame, faces: DataFrame, keys: list[str], keep: li
     points = cut(points.select(*names, *[F.col(c).cast("double").alias(c) for c in place if c not in names]))
     faces = _faces_side(faces, [*keep, *(c for c in within if c not in keep)])
     faces = cut(faces.dropna(subset=within) if within else faces)
+    on = [*(c for c in within if c not in place), *place]
+    spots = cut(points.groupBy(*on).agg(F.count("*").alias("_n")))
+    if 2 * spots.count() > points.count():
+        return _found(points, faces, keys, names, keep, within)
+    found = _found(spots.drop("_n"), faces, on, on, keep, within)  # points of one place have one answer
+    more = [c for c in keep if c not in on]
+    found = found.select(*on, "dist", *TIES[1:], *[F.col(c).alias(f"_keep_{c}") for c in more])
+    found = join_counted(points, cut(spots.join(found, on)), on, "_n")
+    return found.select(*names, "dist", *[f"face_{c}" for c in ("winding", "row", "col", "block")], *[F.col(f"_keep_{c}" if c in more else c).alias(c) for c in keep if c not in names])
+
+
+def _found(points: DataFrame, faces: DataFrame, keys: list[str], names: list[str], keep: list[str], within: list[str]) -> DataFrame:
     ends = [F.min(f"g{a}").alias(f"_low_{a}") for a in "zyx"]
     span = F.greatest(*[F.max(f"g{a}") - F.min(f"g{a}") for a in "zyx"], F.lit(1e-9))
-    groups = faces.groupBy(*within).agg(F.count("*").alias("n"), *ends, (span / (1 << BITS)).alias("_cell"))
+    groups = faces.groupBy(*within).agg(F.count("*").alias("n"), *ends, (span * F.greatest(F.lit(0.5**BITS), F.sqrt(F.lit(TILE / 4096) / F.count("*")))).alias("_cell"))  # a surface has few faces in a cell
     groups = cut(groups)
     small, large = groups.agg(F.count_if(F.col("n") <= TILE), F.count_if(F.col("n") > TILE)).first()
     if not within:
