@@ -284,7 +284,7 @@ _GRID = ["pts AS (SELECT l_orderkey // 25 AS patch, l_orderkey % 25 AS r, l_line
 
 @query(S.with_(*_GRID, *S.sheets(), last="SELECT patch, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(sheet // 100000 AS INTEGER) AS sheet_row, CAST(sheet % 100000 AS INTEGER) AS sheet_col FROM sheet"))
 def lineitem_sheets(spark, sf_dir):
-    """Continuous sheets over grids of orders and lines, found without a task that holds a grid."""
+    """Continuous sheets over grids of orders and lines, many grids in a task."""
     k = F.col("l_orderkey")
     points = _read(spark, sf_dir, "lineitem").groupBy(F.floor(k / 25).alias("patch"), (k % 25).cast("int").alias("row"), F.col("l_linenumber").alias("col")).agg((F.max(F.col("l_quantity").cast("double")) / 4).alias("u"))
     return wide_sheets.wide_sheets(points, ["patch"]).drop("u")
